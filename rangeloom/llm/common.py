@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -36,3 +38,39 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+
+
+def bounded_labels(labels: DataFrame, label: str, per_class: int) -> DataFrame:
+    """At most ``per_class`` labelled rows of each class: ``doc_id, label, turn``.
+
+    The rows with the least hash of their doc_id are taken, so the choice does not depend on the
+    order of the table. Null labels are left out; of several labels of a document the largest
+    counts. ``turn`` is a hash from 0 to 99 for splitting the rows further.
+    """
+    one = (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+           .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label")))
+    keyed = one.withColumn("_key", F.xxhash64("doc_id"))
+    take = lambda c: keyed.where(F.col("label") == c).orderBy("_key", "doc_id").limit(per_class)
+    return take(0).unionByName(take(1)).select("doc_id", "label", F.pmod(F.col("_key"), F.lit(100)).cast("int").alias("turn"))
+
+
+def crc_of_id() -> Column:
+    """crc32 of doc_id as text."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+
+def fitted_logistic(z: list[float], label: list[int], default: tuple[float, float], rounds: int = 40) -> tuple[float, float]:
+    """(slope, intercept) of a one-variable logistic regression; ``default`` without both classes."""
+    x, y = np.asarray(z, float), np.asarray(label, float)
+    if len(set(label)) < 2 or x.std() == 0:
+        return default
+    mean, scale = x.mean(), x.std()
+    a = np.c_[(x - mean) / scale, np.ones(len(x))]
+    w = np.zeros(2)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        step = np.linalg.solve((a.T * (p * (1 - p))) @ a + 1e-2 * np.eye(2), a.T @ (p - y) + 1e-2 * w)
+        w -= step
+        if abs(step).max() < 1e-6:
+            break
+    return float(w[0] / scale), float(w[1] - w[0] * mean / scale)

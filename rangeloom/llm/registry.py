@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rangeloom.llm import media, packing, secrets
+from rangeloom.llm import media, packing, quality_classifier, secrets, toxicity
 from rangeloom.llm.common import documents
 
 
@@ -16,10 +16,22 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
+    return toxicity.score(docs, model).withColumn("held_out", toxicity.held_out())
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(documents(spark, sf_dir))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality_classifier.fit(docs, labels.where(~quality_classifier.held_out()))
+    return quality_classifier.score(docs, model).withColumn("held_out", quality_classifier.held_out())
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
@@ -31,7 +43,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_media_columns, op9_packing, op10_secret_scans)}
+    return {f.__name__: f for f in (op2_toxicity, op7_media_columns, op8_quality_classifier, op9_packing, op10_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
