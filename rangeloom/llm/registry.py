@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rangeloom.llm import media, packing, quality_classifier, secrets, toxicity
+from rangeloom.llm import line_dedup, media, packing, quality_classifier, quality_rules, secrets, toxicity
 from rangeloom.llm.common import documents
 
 
@@ -22,6 +22,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).withColumn("held_out", toxicity.held_out())
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(documents(spark, sf_dir))
 
@@ -43,7 +51,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op7_media_columns, op8_quality_classifier, op9_packing, op10_secret_scans)}
+    return {f.__name__: f for f in (op2_toxicity, op3_line_dedup, op5_quality_rules, op7_media_columns, op8_quality_classifier, op9_packing, op10_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
