@@ -25,10 +25,12 @@ from rangeloom.llm.common import written
 SHARE, STEPS, LEAST_ROWS = 0.75, 4, 40
 #: Squared distance beyond which a vector is an outlier.
 CUTOFF = 60.0
-#: Fixed-point steps of a unit, and the least variance of a coordinate.
-GRID, FLOOR = 256, 0.01
-#: Columns of the transformed vector.
-VECTOR = ("v_words", "v_chars", "v_symbols", "v_lines", "v_repeats")
+#: Fixed-point steps of a unit.
+GRID = 256
+#: Columns of the transformed vector, each with its least standard deviation. Most documents have no
+#: symbols, repeated lines or repeated words at all; the floor says how much of them is ordinary.
+VECTOR = {"v_words": 0.3, "v_chars": 0.15, "v_symbols": 0.5, "v_lines": 0.8, "v_repeats": 0.6}
+FLOORS = [deviation ** 2 for deviation in VECTOR.values()]
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -91,17 +93,19 @@ def _with_cholesky(groups: DataFrame, d: int) -> DataFrame:
             s = F.col(f"c_{i}_{j}")
             for k in range(j):
                 s = s - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            groups = groups.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(s, F.lit(FLOOR))) if i == j else s / F.col(f"l_{j}_{j}"))
+            groups = groups.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(s, F.lit(FLOORS[j] / 4))) if i == j else s / F.col(f"l_{j}_{j}"))
     return groups
 
 
 def _estimate(rows: DataFrame, keys: list[str], d: int, inflate: Column) -> DataFrame:
     """Centre and inflated Cholesky factor of each group's rows."""
+    names = list(VECTOR)
     sums = [F.count(F.lit(1)).alias("n"), *(F.sum(v).alias(f"s_{i}") for i, v in enumerate(VECTOR)),
-            *(F.sum(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"q_{i}_{j}") for i in range(d) for j in range(i + 1))]
+            *(F.sum(F.col(names[i]) * F.col(names[j])).alias(f"q_{i}_{j}") for i in range(d) for j in range(i + 1))]
     moments = rows.groupBy(*keys).agg(*sums)
+    covariance = lambda i, j: (F.col(f"q_{i}_{j}") - F.col(f"s_{i}") * F.col(f"s_{j}") / F.col("n")) / F.col("n") * inflate
     moments = moments.select(*keys, "n", *((F.col(f"s_{i}") / F.col("n")).alias(f"m_{i}") for i in range(d)),
-                             *(((F.col(f"q_{i}_{j}") - F.col(f"s_{i}") * F.col(f"s_{j}") / F.col("n")) / F.col("n") * inflate + (FLOOR if i == j else 0.0)).alias(f"c_{i}_{j}") for i in range(d) for j in range(i + 1)))
+                             *((F.greatest(covariance(i, j), F.lit(FLOORS[i])) if i == j else covariance(i, j)).alias(f"c_{i}_{j}") for i in range(d) for j in range(i + 1)))
     return _with_cholesky(moments, d).select(*keys, *(f"m_{i}" for i in range(d)), *(f"l_{i}_{j}" for i in range(d) for j in range(i + 1)))
 
 
@@ -113,7 +117,7 @@ def scatter(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFr
     """
     keys, d = ["g_lang", "g_source"], len(VECTOR)
     big = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_group"), *(F.percentile(v, F.lit([0.25, 0.5, 0.75])).alias(f"q_{i}") for i, v in enumerate(VECTOR))).where(F.col("n_group") >= LEAST_ROWS)
-    wide = lambda i: F.greatest((F.get(f"q_{i}", F.lit(2)) - F.get(f"q_{i}", F.lit(0))) / 1.349, F.lit(FLOOR ** 0.5))
+    wide = lambda i: F.greatest((F.get(f"q_{i}", F.lit(2)) - F.get(f"q_{i}", F.lit(0))) / 1.349, F.lit(FLOORS[i] ** 0.5))
     groups = written(big.select(*keys, *(F.get(f"q_{i}", F.lit(1)).alias(f"m_{i}") for i in range(d)), *((wide(i) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i in range(d) for j in range(i + 1))), "mcd")
     # A normal sample's share of nearest rows has a smaller scatter; the factor puts it back (chi-square of 5 degrees, as a table).
     inflate = F.lit({0.5: 2.03, 0.75: 1.42, 0.9: 1.17}.get(share, 1.0))
