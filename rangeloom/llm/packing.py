@@ -57,7 +57,7 @@ class WordEncoder:
             except KeyError:
                 if len(known) > self.limit:
                     known.clear()
-                new = list(set(words) - known.keys())
+                new = [w for w in set(words) if w not in known]
                 for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
                     known[word] = np.asarray(found.ids, "<u4").tobytes()
                 yield b"".join([known[w] for w in words])
