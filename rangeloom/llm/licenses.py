@@ -52,15 +52,17 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(lowered(F.coalesce(text.cast("string"), F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def _hashes(array: str, n: int = GRAM) -> Column:
-    grams = F.transform(F.sequence(F.lit(0), F.size(array) - n), lambda i: F.xxhash64(*(F.get(array, i + j) for j in range(n))))
-    return F.when(F.size(array) >= n, grams).otherwise(F.array().cast("array<bigint>"))
+def rolling(array: str, n: int = GRAM) -> Column:
+    """Rolling grams of an array of words, each as one string."""
+    grams = F.transform(F.sequence(F.lit(0), F.size(array) - n), lambda i: F.concat_ws(" ", *(F.get(array, i + j) for j in range(n))))
+    return F.when(F.size(array) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
 def template_grams(spark: SparkSession, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """``template, t_words, t_at, h``: as many rows as the templates have words, at most."""
-    rows = spark.createDataFrame(list(templates.items()), "template string, notice string").select("template", words(F.col("notice")).alias("t_words"))
-    return rows.select("template", "t_words", F.posexplode(_hashes("t_words")).alias("t_at", "h"))
+    """``template, t_len, t_at, t_gram, h``: as many rows as the templates have words, at most."""
+    rows = spark.createDataFrame(list(templates.items()), "template string, notice string").select("template", words(F.col("notice")).alias("w"))
+    return (rows.select("template", F.size("w").alias("t_len"), F.posexplode(rolling("w")).alias("t_at", "t_gram"))
+            .withColumn("h", F.xxhash64("t_gram")))
 
 
 def places(array: str, phrase: list[str]) -> Column:
@@ -93,11 +95,9 @@ def spans(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     The template side of the join is bounded by the templates' words, whatever the corpus holds.
     """
     grams = template_grams(docs.sparkSession, templates)
-    rolling = (docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", "w", _hashes("w").alias("grams"))
-               .select("doc_id", "w", F.posexplode("grams").alias("at", "h")))
-    hits = (rolling.join(F.broadcast(grams), "h")
-            .where(F.slice("w", F.col("at") + 1, GRAM) == F.slice("t_words", F.col("t_at") + 1, GRAM))
-            .select("doc_id", "template", F.size("t_words").alias("t_len"), "at", "t_at"))
+    rolled = (docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.posexplode(rolling("w")).alias("at", "gram"))
+              .withColumn("h", F.xxhash64("gram")))
+    hits = rolled.join(F.broadcast(grams), "h").where("gram = t_gram").select("doc_id", "template", "t_len", "at", "t_at")
     votes = (hits.groupBy("doc_id", "template", "t_len", (F.col("at") - F.col("t_at")).alias("diagonal"))
              .agg(F.count(F.lit(1)).alias("votes"), F.min("at").alias("first"), (F.max("at") + GRAM - 1).alias("last"), F.collect_set("t_at").alias("t_ats")))
     ordered = Window.partitionBy("doc_id", "template").orderBy("diagonal")

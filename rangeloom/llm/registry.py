@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rangeloom.llm import line_dedup, media, packing, quality_classifier, quality_rules, secrets, toxicity
+from rangeloom.llm import jaccard_join, licenses, line_dedup, media, packing, quality_classifier, quality_rules, secrets, sentencepieces, toxicity
 from rangeloom.llm.common import documents
 
 
@@ -16,6 +16,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode_and_check(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
@@ -26,10 +30,18 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(documents(spark, sf_dir))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(documents(spark, sf_dir))
 
@@ -51,7 +63,9 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_line_dedup, op5_quality_rules, op7_media_columns, op8_quality_classifier, op9_packing, op10_secret_scans)}
+    every = (op1_sentencepiece, op2_toxicity, op3_line_dedup, op4_jaccard_join, op5_quality_rules, op6_license_scans,
+             op7_media_columns, op8_quality_classifier, op9_packing, op10_secret_scans)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
