@@ -1,9 +1,8 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-White space becomes the mark ``▁`` and texts are cut into units that no piece crosses: a run of
-marks with what follows it, up to the next mark; a line feed is a unit of its own. Texts travel as
-batches: the distinct units of a batch, and each document as positions in that list. Only distinct
-units are encoded:
+White space becomes the mark ``▁`` and texts are cut into units that no piece crosses: between
+neighbouring characters that no piece has side by side. Texts travel as batches: the distinct units
+of a batch, and each document as positions in that list, compressed. Only distinct units are encoded:
 
 1. the substrings of a unit, up to the longest piece, are exploded and joined with the piece table;
 2. the edges found are grouped by unit into its lattice;
@@ -25,22 +24,29 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rangeloom.llm.common import written
 
 MARK = "▁"
-#: A unit: marks and what follows them, or one line feed.
-UNIT = re.compile(rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
+#: A run that is cut further: marks and what follows them, or one line feed.
+RUN = re.compile(rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 #: Characters of texts, and documents, that a batch holds at most before it is closed.
-BATCH_CHARS, BATCH_DOCS = 4_000_000, 2_000
+BATCH_CHARS, BATCH_DOCS = 12_000_000, 6_000
+#: Units of more characters than this are merged by a heap.
 LONG = 64
-BATCH = "batch string, units array<string>, docs array<struct<doc_id:long,codes:array<int>,digest:string>>"
+#: An edge is one number: start, length, order of its score, id.
+LENGTH_BITS, ORDER_BITS, ID_BITS = 5, 17, 17
+BATCH = "batch long, units array<string>, doc_ids array<long>, sizes array<int>, codes binary, digests binary"
 
 
 class Vocabulary:
@@ -56,10 +62,15 @@ class Vocabulary:
         self.special = {i for i in every if model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)}
         self.rows = [(p, i, model.get_score(i)) for i, p in enumerate(self.pieces) if i not in self.special]
         self.longest = max(len(p) for p, _, _ in self.rows)
+        self.neighbours = {p[i:i + 2] for p, _, _ in self.rows for i in range(len(p) - 1)}
+        if self.longest >= 1 << LENGTH_BITS or len(self.pieces) >= 1 << ID_BITS:
+            raise ValueError("the vocabulary is too large for packed edges")
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """``piece, id, score``: as many rows as the vocabulary has."""
-        return spark.createDataFrame(pd.DataFrame(self.rows, columns=["piece", "id", "score"]), "piece string, id int, score double")
+        """``piece, value``: order of the score and id, packed; as many rows as the vocabulary has."""
+        order = {score: i for i, score in enumerate(sorted({s for _, _, s in self.rows}, reverse=True))}
+        rows = pd.DataFrame([(p, order[score] << ID_BITS | i) for p, i, score in self.rows], columns=["piece", "value"])
+        return spark.createDataFrame(rows, "piece string, value long")
 
     def raw(self) -> list[bytes]:
         """What each id adds to a decoded text."""
@@ -68,72 +79,98 @@ class Vocabulary:
         return out
 
 
-def batches(docs: DataFrame) -> DataFrame:
-    """Texts by batch: distinct units, and documents as positions of units, with a digest of the text to decode."""
-    member = pa.struct([("doc_id", pa.int64()), ("codes", pa.list_(pa.int32())), ("digest", pa.string())])
-
+def batches(docs: DataFrame, neighbours: set[str]) -> DataFrame:
+    """Texts by batch: distinct units, and documents as positions of units, with digests of the texts to decode."""
     def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, found, chars = {}, [], 0
+        task, number = TaskContext.get().partitionId(), 0
+        runs: dict[str, tuple[int, ...]] = {}
+        units: dict[str, int] = {}
+        doc_ids, sizes, codes, digests, chars = [], [], array("i"), [], 0
+
+        def coded(text: str) -> tuple[int, ...]:
+            edges = [0, *(k for k in range(1, len(text)) if text[k - 1:k + 1] not in neighbours), len(text)]
+            return tuple(units.setdefault(text[a:b], len(units)) for a, b in zip(edges, edges[1:]))
 
         def closed() -> pa.RecordBatch:
-            name = hashlib.md5(repr([(f["doc_id"], f["digest"]) for f in found]).encode()).hexdigest()
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([list(known)], pa.list_(pa.string())), pa.array([found], pa.list_(member))], names=["batch", "units", "docs"])
+            split = np.frombuffer(codes, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+            values = (task << 32 | number, list(units), doc_ids, sizes, zstandard.compress(split), b"".join(digests))
+            kinds = (pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=[x.split()[0] for x in BATCH.split(", ")])
 
         for batch in incoming:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                text = text or ""
-                units = UNIT.findall(MARK + text.replace(" ", MARK)) if text else []
-                codes = [known.setdefault(u, len(known)) for u in units]
-                found.append({"doc_id": doc, "codes": codes, "digest": hashlib.md5(text.replace(MARK, " ").encode()).hexdigest()})
+                text, before = text or "", len(codes)
+                for u in RUN.findall(MARK + text.replace(" ", MARK)) if text else ():
+                    found = runs.get(u)
+                    if found is None:
+                        found = runs[u] = coded(u)
+                    codes.extend(found)
+                doc_ids.append(doc)
+                sizes.append(len(codes) - before)
+                digests.append(hashlib.md5(text.replace(MARK, " ").encode()).digest())
                 chars += len(text)
-                if chars >= BATCH_CHARS or len(found) >= BATCH_DOCS:
+                if chars >= BATCH_CHARS or len(doc_ids) >= BATCH_DOCS:
                     yield closed()
-                    known, found, chars = {}, [], 0
-        if found:
+                    runs, units, doc_ids, sizes, codes, digests, chars, number = {}, {}, [], [], array("i"), [], 0, number + 1
+        if doc_ids:
             yield closed()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, BATCH)
 
 
 def lattice(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``unit, edges``: of each unit the spans (a, b) that are pieces, with id and score, as an array."""
+    """``unit, edges``: of each unit the spans that are pieces, as packed numbers.
+
+    Rows of a unit stay in its partition: the piece table is broadcast, its size is the vocabulary's.
+    """
     n = F.char_length("unit")
-    starts = units.select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("a"))
-    spans = (starts.select("unit", "a", F.explode(F.sequence(F.col("a") + 1, F.least(F.col("a") + vocabulary.longest, n))).alias("b"))
-             .withColumn("piece", F.expr("substring(unit, a + 1, b - a)")))
-    edges = spans.join(F.broadcast(vocabulary.table(units.sparkSession)), "piece")
-    return edges.groupBy("unit").agg(F.collect_list(F.struct("a", "b", "id", "score")).alias("edges"))
+    spans = units.select("unit", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda a: F.transform(
+        F.sequence(F.lit(1), F.least(n - a, F.lit(vocabulary.longest))), lambda k: a.cast("long") * (1 << LENGTH_BITS) + k)))).alias("span"))
+    placed = spans.withColumn("piece", F.expr(f"substring(unit, cast(shiftright(span, {LENGTH_BITS}) as int) + 1, cast(span & {(1 << LENGTH_BITS) - 1} as int))"))
+    edges = placed.join(F.broadcast(vocabulary.table(units.sparkSession)), "piece", "left").where("value is not null or span = 1")
+    return edges.groupBy("unit").agg(F.collect_list(F.shiftleft("span", ORDER_BITS + ID_BITS).bitwiseOR(F.col("value"))).alias("edges"))
 
 
-def _key(a: Column, b: Column) -> Column:
-    return a.cast("long") * (1 << 32) + b
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def folded(edges: str, n: Column) -> Column:
-    """Segment borders of the best path, by a fold over the lattice: n - 1 steps merge what can be merged."""
-    score = F.map_from_entries(F.transform(edges, lambda e: F.struct(_key(e["a"], e["b"]), -e["score"])))
+def by_span(edges: str) -> Column:
+    """The edges as a map from start and length to order and id."""
+    return F.map_from_entries(F.transform(edges, lambda e: F.struct(F.shiftright(e, ORDER_BITS + ID_BITS), e.bitwiseAND((1 << ORDER_BITS + ID_BITS) - 1))))
 
-    def step(state: Column, _: Column) -> Column:
-        cut, at = state["cut"], state["score"]
-        tried = F.transform(F.sequence(F.lit(0), F.size(cut) - 3), lambda i: F.struct(F.try_element_at(at, _key(F.get(cut, i), F.get(cut, i + 2))).alias("cost"), i.alias("i")))
-        best = F.array_min(F.filter(F.when(F.size(cut) >= 3, tried).otherwise(F.array().cast("array<struct<cost:double,i:int>>")), lambda x: x["cost"].isNotNull()))
-        return F.struct(F.when(best.isNull(), cut).otherwise(F.filter(cut, lambda _x, k: k != best["i"] + 1)).alias("cut"), at.alias("score"), best.isNull().alias("done"))
 
-    def guarded(state: Column, x: Column) -> Column:
-        return F.when(state["done"], state).otherwise(step(state, x))
+def span_of(a: Column, b: Column) -> Column:
+    return F.when(b - a < 1 << LENGTH_BITS, a.cast("long") * (1 << LENGTH_BITS) + (b - a))
+
 
-    start = F.struct(F.sequence(F.lit(0), n).alias("cut"), score.alias("score"), F.lit(False).alias("done"))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, guarded, lambda s: s["cut"])
+def folded(edges: str, n: Column) -> Column:
+    """Segment borders of the best path, by a fold over the lattice: up to n - 1 steps merge what can be merged."""
+    def step(state: Column, _: Column) -> Column:
+        cut, at = state["cut"], state["at"]
+        tried = F.transform(F.sequence(F.lit(0), F.size(cut) - 3), lambda i: F.struct(
+            F.shiftright(F.try_element_at(at, span_of(F.get(cut, i), F.get(cut, i + 2))), ID_BITS).alias("order"), i.alias("i")))
+        best = F.array_min(F.filter(tried, lambda x: x["order"].isNotNull()))
+        after = let(best, lambda b: F.when(b.isNotNull(), F.filter(cut, lambda _x, k: k != b["i"] + 1)))
+        merged = F.when(~state["done"] & (F.size(cut) >= 3), after)
+        return let(merged, lambda m: F.struct(F.coalesce(m, cut).alias("cut"), at.alias("at"), m.isNull().alias("done")))
+
+    start = F.struct(F.sequence(F.lit(0), n).alias("cut"), by_span(edges).alias("at"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, step, lambda s: s["cut"])
 
 
-def merged_borders(n: int, edges: list) -> list[int]:
+def merged_borders(n: int, edges: list[int]) -> list[int]:
     """The same borders by a heap of the mergeable neighbours, for long units."""
-    score = {(e["a"], e["b"]): -e["score"] for e in edges}
+    cost_of = {e >> ORDER_BITS + ID_BITS: (e >> ID_BITS) & ((1 << ORDER_BITS) - 1) for e in edges}
     after, before, gone, heap = list(range(1, n + 2)), list(range(-1, n)), bytearray(n + 1), []
 
     def offer(a: int) -> None:
-        if a >= 0 and after[a] < n and (cost := score.get((a, after[after[a]]))) is not None:
-            heapq.heappush(heap, (cost, a, after[a], after[after[a]]))
+        if a >= 0 and after[a] < n:
+            b = after[after[a]]
+            cost = cost_of.get(a << LENGTH_BITS | b - a) if b - a < 1 << LENGTH_BITS else None
+            if cost is not None:
+                heapq.heappush(heap, (cost, a, after[a], b))
 
     for a in range(n - 1):
         offer(a)
@@ -149,37 +186,56 @@ def merged_borders(n: int, edges: list) -> list[int]:
 
 def unit_ids(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``unit, ids`` of each distinct unit."""
-    found = units.join(lattice(units, vocabulary), "unit", "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<a:int,b:int,id:int,score:double>>")))
+    found = lattice(units, vocabulary)
     n = F.char_length("unit")
 
     def borders(lengths: pd.Series, edges: pd.Series) -> pd.Series:
-        return pd.Series([merged_borders(k, e) for k, e in zip(lengths, edges, strict=True)])
+        return pd.Series([merged_borders(k, e.tolist()) for k, e in zip(lengths, edges, strict=True)])
 
     borders.__annotations__ = {"lengths": pd.Series, "edges": pd.Series, "return": pd.Series}
     by_heap = F.pandas_udf(borders, "array<int>")
     short = found.where(n <= LONG).withColumn("cut", folded("edges", n))
     cut = short.unionByName(found.where(n > LONG).withColumn("cut", by_heap(n, F.col("edges"))))
-    ids = F.map_from_entries(F.transform("edges", lambda e: F.struct(_key(e["a"], e["b"]), e["id"])))
-    raw = lambda a: F.hex(F.encode(F.substring(F.col("unit"), a + 1, F.lit(1)), "UTF-8"))
-    spelled = lambda h: F.transform(F.sequence(F.lit(1), F.length(h), F.lit(2)), lambda i: F.conv(F.substring(h, i, F.lit(2)), 16, 10).cast("int") + vocabulary.first_byte)
-    segments = F.transform(F.slice("cut", 1, F.size("cut") - 1), lambda a, i: F.struct(a.alias("a"), F.get("cut", i + 1).alias("b")))
-    each = F.transform(segments, lambda s: F.try_element_at("by_key", _key(s["a"], s["b"])))
-    named = F.transform(F.arrays_zip(segments.alias("s"), each.alias("e")), lambda z: F.when(z["e"].isNotNull(), F.array(z["e"])).otherwise(spelled(raw(z["s"]["a"]))))
-    return cut.withColumn("by_key", ids).select("unit", F.flatten(named).alias("ids"))
+    in_bytes = lambda a: let(F.hex(F.encode(F.substring(F.col("unit"), a + 1, F.lit(1)), "UTF-8")), lambda h: F.transform(
+        F.sequence(F.lit(1), F.length(h), F.lit(2)), lambda i: F.conv(F.substring(h, i, F.lit(2)), 16, 10).cast("int") + vocabulary.first_byte))
+    named = let(by_span("edges"), lambda at: F.transform(F.slice("cut", 1, F.size("cut") - 1), lambda a, i: let(
+        F.try_element_at(at, span_of(a, F.get("cut", i + 1))).bitwiseAND((1 << ID_BITS) - 1).cast("int"),
+        lambda found_id: F.when(found_id.isNotNull(), F.array(found_id)).otherwise(in_bytes(a)))))
+    return cut.select("unit", F.flatten(named).alias("ids"))
 
 
 def encode(docs: DataFrame, model_file: str) -> DataFrame:
-    """``doc_id, ids, digest`` of each row of ``docs(doc_id, text)``."""
+    """``doc_id, ids, digest`` of each row of ``docs(doc_id, text)``; the digest is the text's."""
     vocabulary = Vocabulary(model_file)
-    held = written(batches(docs), "piece-batches")
+    held = written(batches(docs, vocabulary.neighbours), "piece-batches")
     named = held.select("batch", F.posexplode("units").alias("place", "unit"))
     coded = written(unit_ids(named.select("unit").distinct(), vocabulary), "piece-units")
     lists = (named.join(coded, "unit").groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("place", "ids"))).alias("found"))
              .select("batch", F.transform("found", lambda f: f["ids"]).alias("lists")))
-    joined = held.select("batch", "docs").join(lists, "batch", "left")
-    whole = lambda codes: F.flatten(F.transform(codes, lambda c: F.get("lists", c)))
-    return (joined.select(F.explode(F.transform("docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), whole(d["codes"]).alias("ids"), d["digest"].alias("digest")))).alias("d"))
-            .select("d.doc_id", "d.ids", "d.digest"))
+
+    def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in incoming:
+            for row in range(batch.num_rows):
+                one = batch.slice(row, 1)
+                lists, sizes = one.column("lists").flatten(), one.column("sizes").flatten().to_numpy()
+                ids, lengths = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+                start = np.cumsum(lengths, dtype=np.int64) - lengths
+                raw = np.frombuffer(zstandard.decompress(one.column("codes")[0].as_py()), np.uint8)
+                codes = np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").reshape(-1)
+                edges, digests, doc_ids = np.r_[0, np.cumsum(sizes)], one.column("digests")[0].as_py(), one.column("doc_ids").flatten()
+                for at in range(0, len(sizes), 500):
+                    to = min(at + 500, len(sizes))
+                    part = codes[edges[at]:edges[to]]
+                    n = lengths[part].astype(np.int64)
+                    total = np.r_[0, np.cumsum(n)]
+                    taken = ids[np.repeat(start[part] - total[:-1], n) + np.arange(total[-1])]
+                    offsets = total[edges[at:to + 1] - edges[at]].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([doc_ids[at:to], pa.ListArray.from_arrays(pa.array(offsets), pa.array(taken, pa.int32())),
+                                                      pa.array([digests[16 * i:16 * i + 16].hex() for i in range(at, to)])], names=["doc_id", "ids", "digest"])
+
+    empty = F.array().cast("array<array<int>>")
+    return (held.drop("units").join(lists, "batch", "left").withColumn("lists", F.coalesce("lists", empty))
+            .mapInArrow(run, "doc_id long, ids array<int>, digest string"))
 
 
 def decoder(model_file: str):
