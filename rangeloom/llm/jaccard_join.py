@@ -237,3 +237,16 @@ def near_duplicates(docs: DataFrame, fragment: int = FRAGMENT) -> DataFrame:
     least = grouped.groupBy("root").agg(F.min("rep").alias("component"))
     of_class = written(grouped.join(least, "root").select("class", "component"), "components")
     return sets.join(of_class, "class", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents whose id names their own component: one of each group of near duplicates.
+
+    Of rows that repeat such an id one stays. Rows without an id stay, as nothing can name them.
+    """
+    found = near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    found = written(found, "kept").select(F.col("doc_id").alias("_kept"), "rows")
+    matched = docs["doc_id"].cast("long") == F.col("_kept")
+    kept = docs.join(found.where("rows = 1"), matched, "left_semi").unionByName(docs.where("doc_id is null"))
+    repeated = found.where("rows > 1")
+    return kept if repeated.isEmpty() else kept.unionByName(docs.join(repeated, matched, "left_semi").dropDuplicates(["doc_id"]))
