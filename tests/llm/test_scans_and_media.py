@@ -27,7 +27,7 @@ def test_secrets_match_brute_force_and_random_tokens_are_found(spark):
     token = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
     texts += [None, "", f"see {token} here", "the international_organisation_of_names and readRecordFromTheTable", "x " * 50_000]
     docs = spark.createDataFrame(list(enumerate(texts)), SHAPE)
-    sample = spark.createDataFrame([(1000, "the record from table names read international organisation interesting words here")], SHAPE)
+    sample = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = secrets.train(secrets.labelled_samples(sample, spark, random_rows=2000))
     got = secrets.report(secrets.scan(docs, model)).orderBy("doc_id").collect()
     for r, t in zip(got, texts, strict=True):
