@@ -8,12 +8,14 @@ sets form a class at once, by a fingerprint of the set. The classes are then joi
    counts the owners of each shingle and keeps the shingles of two or more classes.
 2. A class with a partner shares at least 75 % of its shingles. Classes with fewer shared shingles
    leave.
-3. Partners share one of their rarest shingles: rarest first, two sets of similarity t have one in
-   common within the first n - ceil(t n) + 1. Each class posts those. In the first round the
-   members of a posting list are compared with one centre each; in the second, only members that
-   are not in their centre's component yet are compared with all of the list outside their own
-   component. So a large group of near copies costs a star, not all pairs, and no link between two
-   components is missed.
+3. Partners share one of their rarest shingles: rarest first, two sets that must have o shingles in
+   common share one within the first n - o + 1 of each. A class posts those of its least o, with
+   their ranks; a pair is a candidate where both ranks are within the bounds of its own o. In the
+   first round the members of a posting list are compared with one centre each, the member whose
+   shingles are the most widespread: in a group of near copies, the one nearest to their original.
+   In the second, only members that are not in their centre's component yet are compared with all
+   of the list outside their own component. So a large group of near copies costs a star, not all
+   pairs, and no link between two components is missed.
 4. To compare a pair, its overlap is counted in each fragment separately and summed.
 
 Null texts count as empty. Empty sets are linked with nothing. Repeated doc_ids with different
@@ -186,36 +188,49 @@ def compared(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     return counted.where(linked(F.col("overlap"), F.col("n_a"), F.col("n_b"))).select("a", "b")
 
 
+def least_overlap(n: Column, m: Column) -> Column:
+    """Shingles that two sets of these sizes must have in common to be linked."""
+    return F.ceil(PERCENT * (n + m) / F.lit(100.0 + PERCENT))
+
+
+def candidates(x: str, y: str) -> Column:
+    """Whether two posted rows (structs of class, n, s, rank) can belong to a linked pair."""
+    o = least_overlap(F.col(f"{x}.n"), F.col(f"{y}.n"))
+    return F.least(*(F.col(f"{z}.n") - F.col(f"{z}.rank") + 1 for z in (x, y)), F.col(f"{x}.s"), F.col(f"{y}.s")) >= o
+
+
 def class_links(docs: DataFrame, classes: DataFrame, bits: int) -> DataFrame:
     """``node, root`` of the classes that have a partner."""
-    near = lambda x, y: (100 * F.least(x, y) >= PERCENT * F.greatest(x, y))
     shared = written(shared_shingles(docs, bits), "shared")
-    alive = (shared.groupBy("class").agg(F.count(F.lit(1)).alias("s")).join(classes.select("class", F.col("n_shingles").alias("n")), "class")
+    alive = (shared.groupBy("class").agg(F.count(F.lit(1)).alias("s"), F.sum("df").alias("spread")).join(classes.select("class", F.col("n_shingles").alias("n")), "class")
              .where(100 * F.col("s") >= PERCENT * F.col("n")))
     # Shared shingles rarest first; the unshared ones of a class come before all of them.
-    allowed = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - (F.col("n") - F.col("s"))
-    ranked = written(shared.join(alive, "class").withColumn("rank", F.row_number().over(Window.partitionBy("class").orderBy("df", "h")))
-                     .select("class", "h", "n", (F.col("rank") <= allowed).alias("posted")), "alive")
+    rank = F.col("n") - F.col("s") + F.row_number().over(Window.partitionBy("class").orderBy("df", "h"))
+    ranked = written(shared.join(alive, "class").withColumn("rank", rank).withColumn("posted", F.col("rank") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)
+                     .select("class", "h", "n", "s", "rank", (F.col("spread") / F.col("n")).alias("centrality"), "posted"), "alive")
     part = F.shiftrightunsigned("h", 64 - COUNT_BITS).cast("int")
     segments = written(ranked.groupBy("class", part.alias("part")).agg(F.collect_list("h").alias("hs")), "segments")
-    posted = ranked.where("posted").select("class", "h", "n")
-    centres = posted.groupBy("h").agg(F.min(F.struct("class", "n")).alias("centre"), F.count(F.lit(1)).alias("k")).where("k > 1").select("h", "centre")
-    posted = written(posted.join(centres, "h").select("h", "class", "n", F.col("centre.class").alias("c"), F.col("centre.n").alias("n_c")), "posted")
-
-    first = posted.where((F.col("class") != F.col("c")) & near(F.col("n"), F.col("n_c"))).select(F.col("c").alias("a"), F.col("n_c").alias("n_a"), F.col("class").alias("b"), F.col("n").alias("n_b")).distinct()
-    first = written(first, "pairs")
+    posted = ranked.where("posted").select("h", F.struct("class", "n", "s", "rank").alias("x"), "centrality")
+    centres = (posted.groupBy("h").agg(F.max(F.struct("centrality", "x")).alias("centre"), F.count(F.lit(1)).alias("k")).where("k > 1")
+               .select("h", F.col("centre.x").alias("c")))
+    posted = written(posted.drop("centrality").join(centres, "h"), "posted")
+
+    def named(x: str, y: str) -> list[Column]:
+        """The pair of two structs, the smaller class first."""
+        turned = F.col(f"{x}.class") < F.col(f"{y}.class")
+        pick = lambda field, first: F.when(turned == first, F.col(f"{x}.{field}")).otherwise(F.col(f"{y}.{field}"))
+        return [pick("class", True).alias("a"), pick("n", True).alias("n_a"), pick("class", False).alias("b"), pick("n", False).alias("n_b")]
+
+    first = written(posted.where((F.col("x.class") != F.col("c.class")) & candidates("x", "c")).select(*named("x", "c")).distinct(), "pairs")
     links = written(compared(first, segments), "found")
     roots = components(links)
 
-    root_of = lambda column, name: roots.select(F.col("node").alias(column), F.col("root").alias(name))
-    rooted = (posted.join(root_of("class", "r"), "class", "left").join(root_of("c", "r_c"), "c", "left")
-              .select("h", "class", "n", F.coalesce("r", "class").alias("r"), F.coalesce("r_c", "c").alias("r_c")))
-    rooted = written(rooted, "rooted")
-    others = rooted.where("r != r_c").select("h", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("r").alias("r_b"))
-    again = (rooted.join(others, "h").where((F.col("r") != F.col("r_b")) & near(F.col("n"), F.col("n_b")))
-             .select(F.least("class", "b").alias("a"), F.when(F.col("class") < F.col("b"), F.col("n")).otherwise(F.col("n_b")).alias("n_a"),
-                     F.greatest("class", "b").alias("b"), F.when(F.col("class") < F.col("b"), F.col("n_b")).otherwise(F.col("n")).alias("n_b")).distinct())
-    again = again.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    root_of = lambda of, name: roots.select(F.col("node").alias(of), F.col("root").alias(name))
+    rooted = posted.select("h", "x", F.col("x.class").alias("k"), F.col("c.class").alias("k_c")).join(root_of("k", "r"), "k", "left").join(root_of("k_c", "r_c"), "k_c", "left")
+    rooted = written(rooted.select("h", "x", F.coalesce("r", "k").alias("r"), F.coalesce("r_c", "k_c").alias("r_c")), "rooted")
+    others = rooted.where("r != r_c").select("h", F.col("x").alias("y"), F.col("r").alias("r_y"))
+    again = rooted.join(others, "h").where((F.col("r") != F.col("r_y")) & candidates("x", "y")).select(*named("x", "y")).distinct()
+    again = again.join(first.select("a", "b"), ["a", "b"], "left_anti")
     more = written(compared(again, segments), "found")
     return roots if more.isEmpty() else components(links.unionByName(more))
 
