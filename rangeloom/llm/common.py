@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +41,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where the body uses it in a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def bounded_labels(labels: DataFrame, label: str, per_class: int) -> DataFrame:
     """At most ``per_class`` labelled rows of each class: ``doc_id, label, turn``.
 

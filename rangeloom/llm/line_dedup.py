@@ -18,37 +18,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rangeloom.llm.common import let, written
+
 WINDOW = 3
-#: Characters that separate words, as the body of a Java character class.
-SPACE = r"\x20\x09-\x0D"
+#: Characters that separate words.
+SPACE = " \t\n\x0b\x0c\r"
+
+
+def lines_of(text: Column) -> Column:
+    return F.split(text, "\n", -1)
 
 
-def trimmed_lines(text: Column) -> Column:
-    """Lines without outer white space, blank ones included, in order."""
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda line: F.regexp_replace(line, rf"^[{SPACE}]+|[{SPACE}]+$", ""))
+def bare(line: Column) -> Column:
+    """A line without outer white space."""
+    return F.btrim(line, F.lit(SPACE))
 
 
 def windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """``doc_id, at, width, k1, k2``: a row per window; ``at`` counts non-blank lines from 0."""
-    kept = F.filter(trimmed_lines(F.col("text")), lambda line: line != "")
-    rows = docs.select("doc_id", kept.alias("kept")).where(F.size("kept") > 0)
-    hashed = rows.select("doc_id", *(F.transform("kept", h).alias(n) for n, h in (("h1", lambda x: F.xxhash64(x)), ("h2", lambda x: F.xxhash64(F.lit("line"), x)))))
+    """``doc_id, first, last, k1, k2``: a row per window.
+
+    ``first`` and ``last`` are the positions in the text, counted in all lines from 0, of the
+    window's first line and of the last line before the one that follows it.
+    """
+    with_word = lambda lines: F.filter(F.transform(lines, lambda x, i: F.struct(bare(x).alias("x"), i.alias("i"))), lambda s: s["x"] != "")
+    placed = let(lines_of(F.col("text")), lambda lines: F.struct(F.size(lines).alias("n"), with_word(lines).alias("kept")))
+    rows = docs.where("text is not null").select("doc_id", placed.alias("p")).where(F.size("p.kept") > 0)
+    hashed = rows.select("doc_id", F.concat(F.transform("p.kept", lambda s: s["i"]), F.array("p.n")).alias("at"),
+                         *(F.transform("p.kept", h).alias(n) for n, h in (("h1", lambda s: F.xxhash64(s["x"])), ("h2", lambda s: F.xxhash64(F.lit("line"), s["x"])))))
     width = F.least(F.size("h1"), F.lit(size))
-    at = F.posexplode(F.transform(F.sequence(F.lit(1), F.size("h1") - width + 1), lambda i: F.struct(*(F.xxhash64(F.slice(h, i, width)).alias(k) for h, k in (("h1", "k1"), ("h2", "k2"))))))
-    return hashed.select("doc_id", width.alias("width"), at.alias("at", "key")).select("doc_id", "at", "width", "key.k1", "key.k2")
+    each = F.transform(F.sequence(F.lit(1), F.size("h1") - width + 1), lambda i: F.struct(
+        F.get("at", i - 1).alias("first"), (F.get("at", i + width - 1) - 1).alias("last"), *(F.xxhash64(F.slice(h, i, width)).alias(k) for h, k in (("h1", "k1"), ("h2", "k2")))))
+    return hashed.select("doc_id", F.explode(each).alias("w")).select("doc_id", "w.*")
 
 
 def repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """``doc_id, starts``: the later occurrences of repeated windows in each document, by position.
+    """``doc_id, gone``: the positions of the lines that later occurrences of repeated windows cover.
 
     The first occurrence is a minimum per key, so a window that is everywhere is combined before
     the shuffle; keys that occur once never meet the occurrences again.
     """
-    found = windows(docs, size)
-    first = (found.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max(F.struct("doc_id", "at")).alias("last"))
-             .where("first != last").select("k1", "k2", "first"))
-    later = found.join(first, ["k1", "k2"]).where(F.struct("doc_id", "at") != F.col("first"))
-    return later.groupBy("doc_id").agg(F.collect_set(F.struct("at", "width")).alias("starts"))
+    found = written(windows(docs, size), "line-windows")
+    place = F.struct("doc_id", "first")
+    earliest = found.groupBy("k1", "k2").agg(F.min(place).alias("one"), F.max(place).alias("other")).where("one != other").select("k1", "k2", "one")
+    later = found.join(earliest, ["k1", "k2"]).where(place != F.col("one"))
+    return later.groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("spans")).select(
+        "doc_id", F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"])))).alias("gone"))
 
 
 def dedup(docs: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -57,23 +71,17 @@ def dedup(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     ``n_lines`` counts the lines with a word, ``n_removed`` those of them that went. All other
     columns are kept. A document whose every line went has an empty text.
     """
-    covered = repeats(docs, size).select(F.col("doc_id").alias("_doc"), F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s["at"], s["at"] + s["width"] - 1)))).alias("_gone"))
+    covered = repeats(docs, size).select(F.col("doc_id").alias("_doc"), F.col("gone").alias("_gone"))
     joined = docs.join(covered, docs["doc_id"] == covered["_doc"], "left").drop("_doc")
-    lines = F.split(F.col("text"), "\n", -1)
-    has_word = F.col("text").isNotNull()
-    # One pass over the lines: how many lines with a word came before, whether this one has one, and the lines kept so far.
-    walk = F.aggregate(
-        F.transform(lines, lambda line: F.struct(line.alias("line"), line.rlike(rf"[^{SPACE}]").alias("word"))),
-        F.struct(F.lit(0).alias("seen"), F.lit(False).alias("cut"), F.array().cast("array<boolean>").alias("keep")),
-        lambda acc, x: F.struct(
-            (acc["seen"] + x["word"].cast("int")).alias("seen"),
-            F.when(x["word"], F.array_contains("_gone", acc["seen"])).otherwise(acc["cut"]).alias("cut"),
-            F.concat(acc["keep"], F.array(~F.when(x["word"], F.array_contains("_gone", acc["seen"])).otherwise(acc["cut"]))).alias("keep")))
-    touched = has_word & F.col("_gone").isNotNull()
-    keep = walk["keep"]
-    text = F.array_join(F.filter(lines, lambda line, i: F.get(F.col("_keep"), i)), "\n")
-    return (joined.withColumn("_keep", F.when(touched, keep))
-            .withColumn("n_lines", F.when(has_word, F.size(F.filter(lines, lambda line: line.rlike(rf"[^{SPACE}]")))).otherwise(0).cast("long"))
-            .withColumn("n_removed", F.when(touched, F.size("_gone")).otherwise(0).cast("long"))
-            .withColumn("text", F.when(touched, text).otherwise(F.col("text")))
-            .drop("_gone", "_keep"))
+    words_in = lambda lines: F.size(F.filter(lines, lambda x: bare(x) != "")).cast("long")
+
+    def parted(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+        text = F.when(F.col("_gone").isNotNull(), F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")).otherwise(F.col("text"))
+        removed = F.when(F.col("_gone").isNotNull(), words_in(F.transform("_gone", lambda i: F.get(lines, i)))).otherwise(F.lit(0))
+        return F.struct(words_in(lines).alias("n_lines"), removed.cast("long").alias("n_removed"), text.alias("text"))
+
+    # Null texts never meet the split.
+    done = joined.withColumn("_done", F.when(F.col("text").isNotNull(), let(lines_of(F.col("text")), parted)))
+    return (done.withColumn("n_lines", F.coalesce("_done.n_lines", F.lit(0).cast("long"))).withColumn("n_removed", F.coalesce("_done.n_removed", F.lit(0).cast("long")))
+            .withColumn("text", F.col("_done.text")).drop("_gone", "_done"))

@@ -25,7 +25,7 @@ import hashlib
 import heapq
 import re
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeloom.llm.common import written
+from rangeloom.llm.common import let, written
 
 MARK = "▁"
 #: A run that is cut further: marks and what follows them, or one line feed.
@@ -131,11 +131,6 @@ def lattice(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return edges.groupBy("unit").agg(F.collect_list(F.shiftleft("span", ORDER_BITS + ID_BITS).bitwiseOR(F.col("value"))).alias("edges"))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def by_span(edges: str) -> Column:
     """The edges as a map from start and length to order and id."""
     return F.map_from_entries(F.transform(edges, lambda e: F.struct(F.shiftright(e, ORDER_BITS + ID_BITS), e.bitwiseAND((1 << ORDER_BITS + ID_BITS) - 1))))
