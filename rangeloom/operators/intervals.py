@@ -38,12 +38,16 @@ def optimize(ranges: DataFrame, bits: int = BUCKET_BITS) -> DataFrame:
     """Sorted, disjoint, non-adjacent ranges of each feed.
 
     Merges overlapping and adjacent ranges inside (feed, bucket) first, so that a large feed is
-    spread over many tasks; the second pass only joins what is left across the bucket edges.
+    spread over many tasks. Only ranges that touch a bucket edge can go on in the next bucket; the
+    second pass sees those alone, at most two for each feed and bucket.
     Rows with ``lo > hi`` or a null bound are dropped.
     """
     valid = ranges.select("feed", "lo", "hi").where("lo <= hi")
     local = _islands(clip(valid, bits), ["feed", "bucket"])
-    return _islands(local.select("feed", "lo", "hi"), ["feed"])
+    width = 1 << bits
+    edge = (F.col("lo") % width == 0) | (F.col("hi") % width == width - 1)
+    across = _islands(local.where(edge).select("feed", "lo", "hi"), ["feed"])
+    return local.where(~edge).select("feed", "lo", "hi").unionByName(across.select("feed", "lo", "hi"))
 
 
 def size() -> Column:
@@ -55,3 +59,127 @@ def summary(optimized: DataFrame) -> DataFrame:
     """Entries and unique addresses of each feed."""
     return optimized.groupBy("feed").agg(F.count(F.lit(1)).alias("entries"),
                                          F.sum(size()).alias("unique_ips"))
+
+
+#: Bucket width for joins: a /12, so that the full space is 4,096 rows.
+JOIN_BITS = 20
+
+
+def named(ranges: DataFrame, feed: str) -> DataFrame:
+    return ranges.select(F.lit(feed).alias("feed"), "lo", "hi")
+
+
+def union(ranges: DataFrame, feed: str = "union") -> DataFrame:
+    """All addresses of all feeds as one feed."""
+    return optimize(named(ranges, feed))
+
+
+def overlaps(left: DataFrame, right: DataFrame, bits: int = JOIN_BITS) -> DataFrame:
+    """Common ranges of every overlapping pair: an equi-join on buckets, never a join on inequality alone.
+
+    Columns of ``left`` keep their names, those of ``right`` must be other ones except lo and hi.
+    Ranges are cut at bucket edges, so a pair meets once in each bucket that both touch.
+    """
+    a, b = clip(left, bits), clip(right, bits).withColumnsRenamed({"lo": "_lo", "hi": "_hi"})
+    return (a.join(b, "bucket").where("lo <= _hi and _lo <= hi")
+            .withColumns({"lo": F.greatest("lo", "_lo"), "hi": F.least("hi", "_hi")}).drop("bucket", "_lo", "_hi"))
+
+
+def segments(left: DataFrame, right: DataFrame, bits: int = JOIN_BITS) -> DataFrame:
+    """Atomic segments ``lo, hi, n_left, n_right``: how many ranges of each side cover them.
+
+    A sweep over the borders of each bucket; borders are summed before the window sees them.
+    """
+    def borders(ranges: DataFrame, a: int, b: int) -> DataFrame:
+        cut = clip(ranges.select("lo", "hi"), bits)
+        edges = F.explode(F.array(F.struct(F.col("lo").alias("p"), F.lit(a).alias("a"), F.lit(b).alias("b")), F.struct((F.col("hi") + 1).alias("p"), F.lit(-a).alias("a"), F.lit(-b).alias("b"))))
+        return cut.select("bucket", edges.alias("e")).select("bucket", "e.*")
+
+    summed = borders(left, 1, 0).unionByName(borders(right, 0, 1)).groupBy("bucket", "p").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    order = Window.partitionBy("bucket").orderBy("p")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (summed.select(F.col("p").alias("lo"), (F.lead("p").over(order) - 1).alias("hi"), F.sum("a").over(upto).alias("n_left"), F.sum("b").over(upto).alias("n_right"))
+            .where("hi is not null"))
+
+
+def intersect(left: DataFrame, right: DataFrame, feed: str = "intersect") -> DataFrame:
+    return optimize(named(segments(left, right).where("n_left > 0 and n_right > 0"), feed))
+
+
+def exclude(left: DataFrame, right: DataFrame, feed: str = "exclude") -> DataFrame:
+    """Addresses of ``left`` that ``right`` does not have."""
+    return optimize(named(segments(left, right).where("n_left > 0 and n_right = 0"), feed))
+
+
+def symmetric_difference(left: DataFrame, right: DataFrame, feed: str = "diff") -> DataFrame:
+    return optimize(named(segments(left, right).where("(n_left > 0) != (n_right > 0)"), feed))
+
+
+def common(optimized: DataFrame, feed: str = "common") -> DataFrame:
+    """Addresses that every feed has; the feeds must be optimized."""
+    feeds = optimized.select("feed").distinct().groupBy().agg(F.count(F.lit(1)).alias("feeds"))
+    counted = segments(optimized, optimized.where("false"))
+    return optimize(named(counted.join(F.broadcast(feeds), F.col("n_left") == F.col("feeds")), feed))
+
+
+def bounds(ranges: DataFrame) -> DataFrame:
+    return ranges.groupBy("feed").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def contains(optimized: DataFrame, points: DataFrame) -> DataFrame:
+    """``ip, feed`` for every address of ``points(ip)`` and every feed that has it."""
+    found = overlaps(points.select("ip", F.col("ip").alias("lo"), F.col("ip").alias("hi")), optimized)
+    return found.select("ip", "feed").distinct()
+
+
+def compare(optimized: DataFrame) -> DataFrame:
+    """All unordered pairs of feeds with sizes, combined and common addresses; no overlap counts as 0."""
+    sizes = summary(optimized)
+    right = optimized.withColumnRenamed("feed", "name2")
+    shared = (overlaps(optimized.withColumnRenamed("feed", "name1"), right).where("name1 < name2")
+              .groupBy("name1", "name2").agg(F.sum(size()).alias("common")))
+    pairs = (sizes.toDF("name1", "entries1", "ips1").join(sizes.toDF("name2", "entries2", "ips2"), F.col("name1") < F.col("name2"))
+             .join(shared, ["name1", "name2"], "left").withColumn("common", F.coalesce("common", F.lit(0).cast("long"))))
+    return pairs.select("name1", "name2", "entries1", "entries2", "ips1", "ips2", (F.col("ips1") + F.col("ips2") - F.col("common")).alias("combined"), "common")
+
+
+def to_cidrs(optimized: DataFrame) -> DataFrame:
+    """``feed, lo, prefix``: the least aligned blocks of each range.
+
+    A range climbs from its start by the largest block that is aligned and fits, then descends; both
+    halves follow from the bits of its ends, so a range gives at most 62 rows, without a loop.
+    """
+    end = F.col("hi") + 1
+    level = F.explode(F.sequence(F.lit(0), F.lit(32))).alias("k")
+    cut = optimized.where("lo <= hi").select("feed", "lo", end.alias("end"), level)
+    width = F.expr("shiftleft(1L, k)")
+    ceiling = lambda w: F.expr(f"(lo + {w} - 1) div {w} * {w}")
+    floor = lambda w: F.expr(f"end div {w} * {w}")
+    w, w2 = "shiftleft(1L, k)", "shiftleft(1L, k + 1)"
+    # Blocks of width w that no aligned block twice as wide inside the range holds.
+    inside, wider = ceiling(w) < floor(w), ceiling(w2) < floor(w2)
+    starts = F.array_compact(F.array(F.when(~wider | (ceiling(w) < ceiling(w2)), ceiling(w)), F.when(~wider | (floor(w2) < floor(w)), floor(w) - width)))
+    return (cut.where(inside).select("feed", F.explode(F.array_distinct(starts)).alias("lo"), (32 - F.col("k")).alias("prefix")))
+
+
+def ip_text(ip: Column) -> Column:
+    """Dotted quad of an address."""
+    return F.concat_ws(".", *(F.shiftright(ip, s).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0)))
+
+
+def range_text() -> Column:
+    return F.concat(ip_text(F.col("lo")), F.lit("-"), ip_text(F.col("hi")))
+
+
+def ip_number(text: Column) -> Column:
+    """The address of a canonical dotted quad; null for anything else."""
+    part = F.split(text, r"\.")
+    octets = [F.get(part, F.lit(i)).cast("long") for i in range(4)]
+    value = octets[0] * 16777216 + octets[1] * 65536 + octets[2] * 256 + octets[3]
+    return F.when(text.rlike(r"^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}$"), value)
+
+
+def to_ips(optimized: DataFrame, most: int = 1 << 24) -> DataFrame:
+    """Every single address; a range above ``most`` addresses is an error."""
+    guarded = F.when(size() > most, F.raise_error(F.lit("range is too large to be expanded"))).otherwise(F.sequence("lo", "hi"))
+    return optimized.select("feed", F.explode(guarded).alias("ip"))

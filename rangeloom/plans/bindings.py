@@ -11,6 +11,27 @@ RANGES_RAW = """SELECT concat('feed_', l_returnflag, l_linestatus) AS feed,
 FROM lineitem"""
 
 
+ASN = """SELECT CAST(s_suppkey AS bigint) * 4000000 AS lo, CAST(s_suppkey AS bigint) * 4000000 + 3499999 AS hi,
+  64512 + CAST(s_suppkey AS bigint) AS asn FROM supplier WHERE CAST(s_suppkey AS bigint) * 4000000 + 3499999 < 4294967296"""
+GEO = """SELECT concat('N', CAST(n_nationkey AS string)) AS code, CAST(n_nationkey AS bigint) * 170000000 AS lo,
+  CAST(n_nationkey AS bigint) * 170000000 + 189999999 AS hi FROM nation"""
+CRITICAL = """SELECT r_name AS provider, CASE r_regionkey % 3 WHEN 0 THEN 'hard' WHEN 1 THEN 'soft' ELSE 'contextual' END AS tier,
+  CAST(r_regionkey AS bigint) * 700000000 AS lo, CAST(r_regionkey AS bigint) * 700000000 + 899999999 AS hi FROM region"""
+#: {day} is the start of the event's day in seconds, written by each engine in its own way.
+SNAPSHOTS = """SELECT event_type AS feed, {day} AS ts, CAST(user_id AS bigint) * 2654435761 % 4294967296 AS lo,
+  CAST(user_id AS bigint) * 2654435761 % 4294967296 AS hi FROM events GROUP BY 1, 2, 3, 4"""
+SNAPSHOTS_DUCKDB = SNAPSHOTS.replace("{day}", "CAST(epoch(date_trunc('day', ts)) AS bigint)")
+SNAPSHOTS_SPARK = SNAPSHOTS.replace("{day}", "CAST(unix_timestamp(date_trunc('day', ts)) AS bigint)")
+#: A catalog of feeds; every state column follows from the key.
+CATALOG = """SELECT s_name AS feed, CAST(s_suppkey AS bigint) AS feed_no, concat('cat_', CAST(s_suppkey % 4 AS string)) AS category,
+  CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE concat('Maintainer ', CAST(s_suppkey % 7 AS string), ' & Co.') END AS maintainer,
+  CAST(s_suppkey * 37 % 1000 AS bigint) AS entries, CAST(s_suppkey * 91 % 5000 AS bigint) AS unique_ips,
+  CAST(60 * (1 + s_suppkey % 48) AS bigint) AS avg_update_mins, CAST(s_suppkey * 7919 % 60000 AS bigint) AS idle_mins,
+  CAST(CASE WHEN s_suppkey % 6 = 0 THEN s_suppkey * 104729 % 400000 ELSE 0 END AS bigint) AS failing_mins,
+  CAST(s_suppkey % 9 AS bigint) AS observed, s_suppkey % 11 = 0 AS age_excluded, s_suppkey % 13 <> 0 AS published,
+  concat('N', CAST(s_nationkey AS string)) AS country, 64512 + CAST(s_suppkey % 40 AS bigint) AS asn FROM supplier"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -26,3 +47,23 @@ def bound(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame
 
 def ranges_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bound(spark, sf_dir, RANGES_RAW, "lineitem")
+
+
+def asn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bound(spark, sf_dir, ASN, "supplier")
+
+
+def geo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bound(spark, sf_dir, GEO, "nation")
+
+
+def critical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bound(spark, sf_dir, CRITICAL, "region")
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bound(spark, sf_dir, SNAPSHOTS_SPARK, "events")
+
+
+def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bound(spark, sf_dir, CATALOG, "supplier")

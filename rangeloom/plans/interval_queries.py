@@ -13,8 +13,64 @@ g AS (SELECT feed, lo, hi, sum(CASE WHEN ph IS NULL OR lo > ph + 1 THEN 1 ELSE 0
 opt AS (SELECT feed, min(lo) AS lo, max(hi) AS hi FROM g GROUP BY feed, gid)"""
 
 
+
+
+def coalesced(source: str, feed: str) -> str:
+    """SQL that merges the rows (lo, hi) of ``source`` into one feed."""
+    return f"""SELECT '{feed}' AS feed, min(lo) AS lo, max(hi) AS hi FROM (SELECT lo, hi, sum(CASE WHEN ph IS NULL OR lo > ph + 1 THEN 1 ELSE 0 END)
+  OVER (ORDER BY lo, hi DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM (SELECT lo, hi, max(hi) OVER (ORDER BY lo, hi DESC
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ph FROM {source}) q1) q2 GROUP BY g"""
+
+
+def swept(where: str) -> str:
+    """SQL of the segments of feed_AF and feed_AO that a condition on their counts a and b keeps."""
+    return f"""WITH {OPTIMIZED}, ev AS (SELECT lo AS p, CASE WHEN feed = 'feed_AF' THEN 1 ELSE 0 END AS da, CASE WHEN feed = 'feed_AO' THEN 1 ELSE 0 END AS db FROM opt
+  UNION ALL SELECT hi + 1, CASE WHEN feed = 'feed_AF' THEN -1 ELSE 0 END, CASE WHEN feed = 'feed_AO' THEN -1 ELSE 0 END FROM opt),
+  pt AS (SELECT p, sum(da) AS da, sum(db) AS db FROM ev GROUP BY p),
+  seg AS (SELECT p AS lo, lead(p) OVER (ORDER BY p) - 1 AS hi, sum(da) OVER (ORDER BY p) AS a, sum(db) OVER (ORDER BY p) AS b FROM pt),
+  kept AS (SELECT lo, hi FROM seg WHERE {where})"""
+
+
+def _two(s, d):
+    every = iv.optimize(b.ranges_raw(s, d))
+    return every.where("feed = 'feed_AF'"), every.where("feed = 'feed_AO'")
+
+
+PAIRS = f"""WITH {OPTIMIZED}, sz AS (SELECT feed, count(*) AS entries, CAST(sum(hi - lo + 1) AS bigint) AS ips FROM opt GROUP BY feed),
+ov AS (SELECT x.feed AS f1, y.feed AS f2, CAST(sum(least(x.hi, y.hi) - greatest(x.lo, y.lo) + 1) AS bigint) AS common
+  FROM opt x JOIN opt y ON x.lo <= y.hi AND y.lo <= x.hi AND x.feed < y.feed GROUP BY 1, 2),
+pairs AS (SELECT p.feed AS name1, q.feed AS name2, p.entries AS entries1, q.entries AS entries2, p.ips AS ips1, q.ips AS ips2,
+  p.ips + q.ips - coalesce(common, 0) AS combined, coalesce(common, 0) AS common
+  FROM sz p JOIN sz q ON p.feed < q.feed LEFT JOIN ov ON f1 = p.feed AND f2 = q.feed)"""
+
+
 def register_all(register) -> None:
     register("optimize_summary", lambda s, d: iv.summary(iv.optimize(b.ranges_raw(s, d))),
              f"WITH {OPTIMIZED} SELECT feed, count(*) AS entries, CAST(sum(hi - lo + 1) AS bigint) AS unique_ips FROM opt GROUP BY feed")
     register("optimize_ranges", lambda s, d: iv.optimize(b.ranges_raw(s, d)),
              f"WITH {OPTIMIZED} SELECT feed, lo, hi FROM opt")
+    for name, operator, where in (("intersect_two", iv.intersect, "a > 0 AND b > 0"), ("exclude_two", iv.exclude, "a > 0 AND b = 0"),
+                                  ("diff_two", iv.symmetric_difference, "(a > 0) <> (b > 0)")):
+        feed = name.split("_")[0]
+        register(name, lambda s, d, operator=operator: operator(*_two(s, d)), f"{swept(where)} {coalesced('kept', feed)}")
+    register("union_feeds", lambda s, d: iv.union(b.ranges_raw(s, d)), f"WITH raw AS ({b.RANGES_RAW}) {coalesced('raw', 'union')}")
+    register("common_feeds", lambda s, d: iv.common(iv.optimize(b.ranges_raw(s, d))),
+             f"""WITH {OPTIMIZED}, ev AS (SELECT lo AS p, 1 AS x FROM opt UNION ALL SELECT hi + 1, -1 FROM opt), pt AS (SELECT p, sum(x) AS x FROM ev GROUP BY p),
+             seg AS (SELECT p AS lo, lead(p) OVER (ORDER BY p) - 1 AS hi, sum(x) OVER (ORDER BY p) AS n FROM pt),
+             kept AS (SELECT lo, hi FROM seg WHERE n = (SELECT count(DISTINCT feed) FROM opt)) {coalesced('kept', 'common')}""")
+    register("compare_all", lambda s, d: iv.compare(iv.optimize(b.ranges_raw(s, d))), f"{PAIRS} SELECT * FROM pairs")
+    register("compare_first", lambda s, d: iv.compare(iv.optimize(b.ranges_raw(s, d))).where("name1 = 'feed_AF'").selectExpr("name2 AS name", "entries2 AS entries", "ips2 AS ips", "common"),
+             f"{PAIRS} SELECT name2 AS name, entries2 AS entries, ips2 AS ips, common FROM pairs WHERE name1 = 'feed_AF'")
+    register("count_unique_merged", lambda s, d: iv.summary(iv.union(b.ranges_raw(s, d))),
+             f"WITH raw AS ({b.RANGES_RAW}) SELECT feed, count(*) AS entries, CAST(sum(hi - lo + 1) AS bigint) AS unique_ips FROM ({coalesced('raw', 'union')}) u GROUP BY feed")
+    register("bounds", lambda s, d: iv.bounds(b.ranges_raw(s, d)), f"SELECT feed, min(lo) AS lo, max(hi) AS hi FROM ({b.RANGES_RAW}) r GROUP BY feed")
+    points = "SELECT DISTINCT CAST(o_custkey AS bigint) * 2654435761 % 4294967296 AS ip FROM orders"
+    register("contains_points", lambda s, d: iv.contains(iv.optimize(b.ranges_raw(s, d)), b.bound(s, d, points, "orders")),
+             f"WITH {OPTIMIZED}, pts AS ({points}) SELECT DISTINCT ip, feed FROM pts JOIN opt ON ip BETWEEN lo AND hi")
+    register("cidr_histogram", lambda s, d: iv.to_cidrs(iv.optimize(b.ranges_raw(s, d))).groupBy("feed", "prefix").count().withColumnRenamed("count", "blocks"),
+             f"""WITH RECURSIVE {OPTIMIZED}, step(feed, pos, hi, w) AS (SELECT feed, lo, hi, (SELECT max(1::bigint << k) FROM range(0, 33) t(k) WHERE lo % (1::bigint << k) = 0 AND lo + (1::bigint << k) - 1 <= hi) FROM opt
+             UNION ALL SELECT feed, pos + w, hi, (SELECT max(1::bigint << k) FROM range(0, 33) t(k) WHERE (pos + w) % (1::bigint << k) = 0 AND pos + w + (1::bigint << k) - 1 <= hi) FROM step WHERE pos + w <= hi)
+             SELECT feed, CAST(32 - round(log2(w)) AS integer) AS prefix, count(*) AS blocks FROM step GROUP BY 1, 2""")
+    register("range_lines", lambda s, d: iv.optimize(b.ranges_raw(s, d)).select("feed", iv.range_text().alias("line")),
+             f"""WITH {OPTIMIZED} SELECT feed, concat_ws('.', lo >> 24, (lo >> 16) & 255, (lo >> 8) & 255, lo & 255) || '-' || concat_ws('.', hi >> 24, (hi >> 16) & 255, (hi >> 8) & 255, hi & 255) AS line FROM opt""")
+    register("single_ips", lambda s, d: iv.to_ips(iv.optimize(b.ranges_raw(s, d))), f"WITH {OPTIMIZED} SELECT feed, unnest(range(lo, hi + 1)) AS ip FROM opt")
