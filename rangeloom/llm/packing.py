@@ -17,6 +17,7 @@ from __future__ import annotations
 import heapq
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from rangeloom.llm.common import written
 
 CAPACITY, PIECE, GROUP = 4096, 512, 480
 #: Words kept by a task's token cache before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, slot long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -48,19 +49,32 @@ class WordEncoder:
 
         self.tokenizer, self.limit, self.known = Tokenizer.from_file(tokenizer_path), limit, {"": b""}
 
+    def _learn(self, words: list[str]) -> None:
+        """Adds words. A point or comma after a letter is a token of its own and case is dropped, so
+        such variants share one tokenisation; case is folded here only where that is plain ASCII."""
+        known, stems, marks = self.known, [], []
+        for w in words:
+            x, mark = w, ""
+            if w[-1] in ".,;:!?" and len(w) > 1 and w[-2].lower()[-1].isalpha():
+                x, mark = w[:-1], w[-1]
+            stems.append(x.lower() if x.isascii() else x)
+            marks.append(mark)
+        new = list(set(stems).union(marks).difference(known))
+        for x, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            known[x] = array("I", found.ids).tobytes()
+        known.update(zip(words, (known[x] + known[m] for x, m in zip(stems, marks, strict=True)), strict=True))
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        for at in range(0, len(texts), 100):
+            part = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[at:at + 100]]
+            if len(self.known) > self.limit:
+                self.known = {"": b""}
             known = self.known
-            try:
-                yield b"".join([known[w] for w in words])
-            except KeyError:
-                if len(known) > self.limit:
-                    known.clear()
-                new = [w for w in set(words) if w not in known]
-                for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                    known[word] = np.asarray(found.ids, "<u4").tobytes()
-                yield b"".join([known[w] for w in words])
+            new = set().union(*part).difference(known)
+            if new:
+                self._learn(list(new))
+            for words in part:
+                yield b"".join(map(known.__getitem__, words))
 
 
 def cuts(n: int, capacity: int, piece: int) -> list[tuple[int, int]]:

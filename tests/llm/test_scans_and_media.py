@@ -68,6 +68,7 @@ def test_packing_places_every_id_once(spark):
     model = Tokenizer.from_file(path)
     rng = random.Random(6)
     texts = [" ".join(rng.choice(["alpha", "beta", "gamma!", "δ", "x1"]) for _ in range(rng.randrange(0, 900))) for _ in range(80)] + ["", None, "word " * 9_000]
+    texts += ["Word, word. WORD! Éa. éa, É. x1. a.b. 'S. it's ΑΣ. ΑΣ don't... !. e\u0301. \u0130. <|endoftext|>. ab\u00a0cd. 1, 2,"]
     got = packing.pack(spark.createDataFrame(list(enumerate(texts)), SHAPE), path).collect()
     for d, t in enumerate(texts):
         ids = [*model.encode(t or "", add_special_tokens=False).ids, 2]
