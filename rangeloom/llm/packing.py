@@ -19,6 +19,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -30,8 +31,10 @@ from pyspark.sql import functions as F
 from rangeloom.llm.common import written
 
 CAPACITY, PIECE, GROUP = 4096, 512, 480
-#: Words kept by a task's token cache before it starts anew.
-CACHE_WORDS = 800_000
+#: Words of one generation of a worker's token cache; two generations are held.
+CACHE_WORDS = 500_000
+#: A token of its own between words that are tokenised in one call, and how many go into one.
+SEPARATOR, JOINED = "~", 500
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, slot long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -47,7 +50,28 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(tokenizer_path), limit, {"": b""}
+        self.tokenizer, self.limit = Tokenizer.from_file(tokenizer_path), limit
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+        ids = self._ids([SEPARATOR])[0]
+        self.separator = ids[0] if len(ids) == 1 else None
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _coded(self, words: list[str]) -> dict[str, bytes]:
+        """Token ids of words: many in one call, told apart by the separator; words that hold it go alone."""
+        alone = [w for w in words if self.separator is None or SEPARATOR in w]
+        rest = words if not alone else [w for w in words if SEPARATOR not in w and self.separator is not None]
+        out = {w: array("I", ids).tobytes() for w, ids in zip(alone, self._ids(alone), strict=True)}
+        parts = [rest[i:i + JOINED] for i in range(0, len(rest), JOINED)]
+        for part, ids in zip(parts, self._ids([f" {SEPARATOR} ".join(p) for p in parts]), strict=True):
+            flat = np.array(ids, np.uint32)
+            ends = [*(4 * np.flatnonzero(flat == self.separator)).tolist(), 4 * len(flat)]
+            raw, start = flat.tobytes(), 0
+            for word, end in zip(part, ends, strict=True):
+                out[word], start = raw[start:end], end + 4
+        return out
 
     def _learn(self, words: list[str]) -> None:
         """Adds words. A point or comma after a letter is a token of its own and case is dropped, so
@@ -59,24 +83,32 @@ class WordEncoder:
                 x, mark = w[:-1], w[-1]
             stems.append(x.lower() if x.isascii() else x)
             marks.append(mark)
-        new = list(set(stems).union(marks).difference(known))
-        for x, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[x] = array("I", found.ids).tobytes()
+        known.update(self._coded(list(set(stems).union(marks).difference(known))))
         known.update(zip(words, (known[x] + known[m] for x, m in zip(stems, marks, strict=True)), strict=True))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), 100):
             part = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[at:at + 100]]
             if len(self.known) > self.limit:
-                self.known = {"": b""}
-            known = self.known
+                self.known, self.older = {"": b""}, self.known
+            known, older = self.known, self.older
             new = set().union(*part).difference(known)
+            if older:
+                again = [w for w in new if w in older]
+                known.update((w, older[w]) for w in again)
+                new.difference_update(again)
             if new:
                 self._learn(list(new))
             for words in part:
                 yield b"".join(map(known.__getitem__, words))
 
 
+@cache
+def worker_encoder(tokenizer_path: str) -> WordEncoder:
+    """The encoder of this Python worker; its bounded cache serves the worker's later tasks too."""
+    return WordEncoder(tokenizer_path)
+
+
 def cuts(n: int, capacity: int, piece: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: whole windows, then even pieces of at most ``piece``."""
     whole = n // capacity
@@ -92,7 +124,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int,
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task, row = WordEncoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        encoder, task, row = worker_encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             out: list[list] = [[] for _ in range(6)]
