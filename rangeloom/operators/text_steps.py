@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 IPV4 = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}"
@@ -45,11 +45,24 @@ def json_path(path: str) -> Step:
 
 
 def append_slash32() -> Step:
-    return _mapped(lambda line: F.when(line.contains("/"), line).otherwise(F.concat(line, F.lit("/32"))))
+    return append_slash(32)
+
+
+def append_slash(bits: int) -> Step:
+    """The first field of a line, with the prefix length where it has none."""
+    def suffixed(line: Column) -> Column:
+        first = F.regexp_extract(line, r"\S+", 0)
+        return F.when(first.contains("/") | (first == ""), first).otherwise(F.concat(first, F.lit(f"/{bits}")))
+
+    return _mapped(suffixed)
+
+
+def remove_slash(bits: int) -> Step:
+    return _mapped(lambda line: F.regexp_replace(line, f"/{bits}$", ""))
 
 
 def remove_slash32() -> Step:
-    return _mapped(lambda line: F.regexp_replace(line, "/32$", ""))
+    return remove_slash(32)
 
 
 def drop_invalid() -> Step:
@@ -60,10 +73,57 @@ def only_ipv4() -> Step:
     return lambda df: remove_slash32()(df).where(F.col("line").rlike(f"^{IPV4}$"))
 
 
+def only_ipv4_or_blocks() -> Step:
+    return lambda df: df.where(F.col("line").rlike(f"^{IPV4}(?:/(?:3[0-2]|[12]?[0-9]))?$"))
+
+
+def fields(line: Column) -> Column:
+    return F.split(F.trim(line), r"\s+")
+
+
+def tor_exits() -> Step:
+    """The address of ``ExitAddress`` lines."""
+    return _mapped(lambda line: F.when(F.get(fields(line), F.lit(0)) == "ExitAddress", F.get(fields(line), F.lit(1))))
+
+
+def start_and_bits() -> Step:
+    """``start end bits ...`` lines as ``start/bits``."""
+    return _mapped(lambda line: F.concat_ws("/", F.get(fields(line), F.lit(0)), F.when(F.size(fields(line)) >= 3, F.get(fields(line), F.lit(2)))))
+
+
+def third_bar_field() -> Step:
+    return _mapped(lambda line: F.trim(F.split_part(line, F.lit("|"), F.lit(3))))
+
+
+def alert_rules() -> Step:
+    """The addresses in the first brackets of ``alert`` rules."""
+    return lambda df: trim()(df.where("startswith(line, 'alert ')").select(
+        "key", F.explode(F.split(F.regexp_extract("line", r"\[([^\]]*)\]", 1), ",")).alias("line")))
+
+
+def before_colon() -> Step:
+    return _mapped(lambda line: F.trim(F.split_part(line, F.lit(":"), F.lit(1))))
+
+
+def netmask_to_bits() -> Step:
+    """``address/netmask`` as ``address/length``; a line without a valid netmask stays."""
+    dotted = lambda n: ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))
+    bits = F.create_map(*(F.lit(x) for p in range(33) for x in (dotted((1 << 32) - (1 << 32 - p)), str(p))))
+
+    def rewritten(line: Column) -> Column:
+        found = F.try_element_at(bits, F.regexp_extract(line, r"/([0-9.]+)$", 1))
+        return F.when(found.isNotNull(), F.concat(F.substring_index(line, "/", 1), F.lit("/"), found)).otherwise(line)
+
+    return _mapped(rewritten)
+
+
 STEPS: dict[str, Callable[..., Step]] = {
     "passthrough": lambda: lambda df: df, "split_lines": lambda: split_lines, "remove_comments": remove_comments, "trim": trim, "grep": grep,
     "grep_not": lambda pattern: grep(pattern, inverted=True), "regex": extract, "extract_ipv4": lambda: extract(IPV4), "cut_delimiter": cut, "json_path": json_path,
     "append_slash32": append_slash32, "remove_slash32": remove_slash32, "filter_invalid4": drop_invalid, "filter_ip4": only_ipv4,
+    "append_slash128": lambda: append_slash(128), "remove_slash128": lambda: remove_slash(128), "filter_all4": only_ipv4_or_blocks,
+    "extract_ipv4_cidr": lambda: extract(rf"{IPV4}(?:/[0-9]{{1,2}})?"), "torproject_exits": tor_exits, "dshield_format": start_and_bits,
+    "dataplane_column3": third_bar_field, "snort_rules": alert_rules, "gz_proxyrss": before_colon, "subnet_to_cidr": netmask_to_bits,
     "remove_comments_semi": lambda: remove_comments(";"),
 }
 
