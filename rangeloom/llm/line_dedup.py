@@ -2,9 +2,10 @@
 
 A document's lines are its text between line feeds; lines without a word are skipped, and the
 others are compared with outer white space removed. Every three consecutive ones make a window (a
-document with fewer makes one window of what it has). A window's first occurrence, in the order of
-doc_id and position, stays; every later one covers its lines, overlapping windows merge, and
-covered lines are removed. A line without a word goes with the line before it.
+document with fewer makes one window of what it has), and so does every shorter run of consecutive
+ones that has over ``LONG`` words together. A window's first occurrence, in the order of doc_id and
+position, stays; every later one covers its lines, overlapping windows merge, and covered lines are
+removed. A line without a word goes with the line before it.
 
 Windows are keyed by two 64-bit hashes with different seeds. Only window keys are grouped; the
 texts meet their covered lines once, by document.
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from rangeloom.llm.common import let, written
 
 WINDOW = 3
+#: Words that a run of fewer lines than a window must exceed to be compared on its own.
+LONG = 50
 #: Characters that separate words.
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -34,6 +37,11 @@ def bare(line: Column) -> Column:
     return F.btrim(line, F.lit(SPACE))
 
 
+def n_words(line: Column) -> Column:
+    """Words of a line that has no outer white space and at least one word."""
+    return F.size(F.split(line, f"[{SPACE}]+", -1))
+
+
 def windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """``doc_id, first, last, k1, k2``: a row per window.
 
@@ -43,11 +51,18 @@ def windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     with_word = lambda lines: F.filter(F.transform(lines, lambda x, i: F.struct(bare(x).alias("x"), i.alias("i"))), lambda s: s["x"] != "")
     placed = let(lines_of(F.col("text")), lambda lines: F.struct(F.size(lines).alias("n"), with_word(lines).alias("kept")))
     rows = docs.where("text is not null").select("doc_id", placed.alias("p")).where(F.size("p.kept") > 0)
-    hashed = rows.select("doc_id", F.concat(F.transform("p.kept", lambda s: s["i"]), F.array("p.n")).alias("at"),
+    hashed = rows.select("doc_id", F.concat(F.transform("p.kept", lambda s: s["i"]), F.array("p.n")).alias("at"), F.transform("p.kept", lambda s: n_words(s["x"])).alias("words"),
                          *(F.transform("p.kept", h).alias(n) for n, h in (("h1", lambda s: F.xxhash64(s["x"])), ("h2", lambda s: F.xxhash64(F.lit("line"), s["x"])))))
-    width = F.least(F.size("h1"), F.lit(size))
-    each = F.transform(F.sequence(F.lit(1), F.size("h1") - width + 1), lambda i: F.struct(
-        F.get("at", i - 1).alias("first"), (F.get("at", i + width - 1) - 1).alias("last"), *(F.xxhash64(F.slice(h, i, width)).alias(k) for h, k in (("h1", "k1"), ("h2", "k2")))))
+    n = F.size("h1")
+
+    def runs(width: int) -> Column:
+        """The windows of so many lines: all of a full window or a whole shorter document, else the long ones."""
+        long = lambda i: (F.least(n, F.lit(size)) == width) | (sum((F.get("words", i + j) for j in range(width - 1)), F.get("words", i - 1)) > LONG)
+        starts = F.filter(F.when(n >= width, F.sequence(F.lit(1), n - (width - 1))), long)
+        return F.coalesce(F.transform(starts, lambda i: F.struct(
+            F.get("at", i - 1).alias("first"), (F.get("at", i + (width - 1)) - 1).alias("last"), *(F.xxhash64(F.slice(h, i, width)).alias(k) for h, k in (("h1", "k1"), ("h2", "k2"))))), F.array())
+
+    each = F.concat(*(runs(width) for width in range(1, size + 1)))
     return hashed.select("doc_id", F.explode(each).alias("w")).select("doc_id", "w.*")
 
 

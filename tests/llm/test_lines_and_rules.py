@@ -52,6 +52,35 @@ def test_line_dedup_matches_brute_force(spark):
     assert got[0]["source"] == "src0"
 
 
+def test_line_dedup_finds_long_runs_of_fewer_lines_than_a_window(spark):
+    passage = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    one, left, right, short = passage("one", 51), passage("left", 30), passage("right", 21), passage("short", 50)
+    texts = ["\n".join(["a", one, "b", left, "", f" {right}\r", "c", short, "d"]), f"e\nf\n{one}\ng", f"h\n{left}\n{right}\ni", one, f"{left}\n{right}", short,
+             f"j\nk\n{short}\nl", f"m\n{left}\nn\n{right}\no", f"p\n{one}\nq\n{one}"]
+    got = line_dedup.dedup(spark.createDataFrame(rows(texts), SHAPE)).orderBy("doc_id").collect()
+    assert [r["text"] for r in got] == [texts[0], "e\nf\ng", "h\ni", "", "", *texts[5:8], "p\nq"]
+    assert [r["n_removed"] for r in got] == [0, 1, 2, 1, 2, 0, 0, 0, 2]
+
+
+def test_line_dedup_matches_brute_force_with_long_lines(spark):
+    rng = random.Random(12)
+    lines = [" ".join(f"{c}{i}" for i in range(n)) for c, n in zip("abcdefgh", (60, 51, 50, 30, 21, 20, 3, 1), strict=True)] + ["", " "]
+    texts = ["\n".join(rng.choice(lines) + rng.choice(["", "\t", " \r"]) for _ in range(rng.randrange(0, 7))) for _ in range(80)]
+    seen, gone = set(), []
+    for t in texts:
+        kept = [(at, x.strip(SPACE)) for at, x in enumerate(t.split("\n")) if x.strip(SPACE)]
+        found = set()
+        for i in range(len(kept)):
+            for width in (1, 2, 3):
+                run = tuple(x for _, x in kept[i:i + width])
+                if len(run) == width and (width == min(3, len(kept)) or sum(len(x.split()) for x in run) > 50):
+                    found |= set(range(i, i + width)) if run in seen else set()
+                    seen.add(run)
+        gone.append(len(found))
+    got = line_dedup.dedup(spark.createDataFrame(rows(texts), SHAPE)).orderBy("doc_id").collect()
+    assert [r["n_removed"] for r in got] == gone
+
+
 def test_line_dedup_of_no_rows(spark):
     assert line_dedup.dedup(spark.createDataFrame([], SHAPE)).collect() == []
 
