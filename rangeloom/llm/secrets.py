@@ -32,6 +32,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Least log-likelihood ratio per character, in nats, for a span of kind random.
 RATIO = 1.0
+#: Share of each context's probability that goes to all characters alike, seen or not.
+SMOOTHING = 0.0003
 _HEX_MAP = bytes(104 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 _WORDS = ("passw", "secret", "token", "apikey", "api_key")
 
@@ -41,11 +43,13 @@ def _codes(text: str) -> np.ndarray:
     return np.array([0, *(table.get(c, 0) for c in text), 0])
 
 
-def train(samples: DataFrame, smoothing: float = 0.5) -> np.ndarray:
+def train(samples: DataFrame, smoothing: float = SMOOTHING) -> np.ndarray:
     """Log-likelihood ratios of character pairs from ``samples(sample, is_random)``.
 
     Pairs are counted by Spark; the counts that reach the driver are bounded by the alphabet.
-    Null samples are left out. Without samples of one class, that class is uniform.
+    Null samples are left out. A class is uniform after a character that its samples don't have.
+    Counts become shares of their context before they are smoothed, so the ratios don't depend on
+    how many samples a class has.
     """
     pairs = (samples.where("sample is not null").select("is_random", F.concat(F.lit("\n"), "sample", F.lit("\n")).alias("s"))
              .select("is_random", "s", F.explode(F.sequence(F.lit(1), F.length("s") - 1)).alias("i"))
@@ -53,11 +57,13 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> np.ndarray:
              .where(F.length(F.regexp_replace("pair", r"[A-Za-z0-9+/_=\n-]", "")) == 0)
              .groupBy("is_random", "pair").count())
     size = len(ALPHABET) + 1
-    counts = np.full((2, size, size), smoothing)
+    counts = np.zeros((2, size, size))
     for row in pairs.collect():
         a, b = _codes(row["pair"])[1:3]
         counts[int(row["is_random"]), a, b] += row["count"]
-    logs = np.log(counts / counts.sum(axis=2, keepdims=True))
+    total = counts.sum(axis=2, keepdims=True)
+    shares = np.where(total > 0, counts / np.maximum(total, 1), 1 / size)
+    logs = np.log((1 - smoothing) * shares + smoothing / size)
     return logs[1] - logs[0]
 
 

@@ -41,6 +41,17 @@ def test_secrets_match_brute_force_and_random_tokens_are_found(spark):
     assert secrets.scan(spark.createDataFrame([], SHAPE), model).collect() == []
 
 
+def test_secret_verdicts_do_not_depend_on_the_size_of_the_corpus(spark):
+    sample = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    samples = secrets.labelled_samples(sample, spark, random_rows=2000).persist()
+    drawn, ordinary = samples.where("is_random"), samples.where("not is_random")
+    one, ten, random_ten = (secrets.train(s) for s in (samples, drawn.unionByName(ordinary.crossJoin(spark.range(10)).drop("id")), ordinary.unionByName(drawn.crossJoin(spark.range(10)).drop("id"))))
+    samples.unpersist()
+    for token, found in (("4571289360315824", False), ("9x3KfQ7zLm2Vb8RtYw5P", True), ("readRecordFromTheTable", False)):
+        assert [secrets.ratio(token, m) >= secrets.RATIO for m in (one, ten, random_ten)] == [found] * 3
+        assert np.ptp([secrets.ratio(token, m) for m in (one, ten, random_ten)]) < 1e-9
+
+
 def test_media_are_stored_losslessly(spark):
     texts = ["", None, "a", "é" * 40, "x" * 64, "y" * 100_000, "a", "\x00", "a\x00"]
     docs = spark.createDataFrame([*enumerate(texts), (None, "a")], SHAPE)
