@@ -123,8 +123,16 @@ def ratio(token: str, model: np.ndarray) -> float:
     return float(model[codes[:-1], codes[1:]].mean())
 
 
+def covered(start: int, end: int, base: list[tuple[int, int, str]]) -> bool:
+    """Whether spans, given by start, leave no character of a range out."""
+    for a, b, _ in base:
+        if a <= start < b:
+            start = b
+    return start >= end
+
+
 def random_spans(text: str, base: list[tuple[int, int, str]], model: np.ndarray, judged: dict[str, bool], threshold: float = RATIO) -> list[tuple[int, int, str]]:
-    """Spans of kind random: judged tokens that overlap no base span."""
+    """Spans of kind random: judged tokens that base spans don't cover whole."""
     found = []
     for m in CANDIDATE.finditer(text):
         token = m.group()
@@ -132,7 +140,7 @@ def random_spans(text: str, base: list[tuple[int, int, str]], model: np.ndarray,
             if len(judged) > 200_000:
                 judged.clear()
             judged[token] = ratio(token, model) >= threshold
-        if judged[token] and not any(a < m.end() and m.start() < b for a, b, _ in base):
+        if judged[token] and not covered(m.start(), m.end(), base):
             found.append((m.start(), m.end(), "random"))
     return found
 

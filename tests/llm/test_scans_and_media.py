@@ -52,6 +52,18 @@ def test_secret_verdicts_do_not_depend_on_the_size_of_the_corpus(spark):
         assert np.ptp([secrets.ratio(token, m) for m in (one, ten, random_ten)]) < 1e-9
 
 
+def test_a_random_token_is_masked_beyond_the_base_span_in_it():
+    model = np.full((len(secrets.ALPHABET) + 1,) * 2, 2.0)
+    run = "0123456789abcdef01234567"
+    for text, spans, left in ((f"see Xq9Z{run}Kp7W here", ["random:4:36", "hex:8:32"], "see [random] here"), (f"{run}-Kp7W", ["hex:0:24", "random:0:29"], "[hex]"),
+                              (f"see {run} here", ["hex:4:28"], "see [hex] here"), (f"{run}/{run}", ["hex:0:24", "random:0:49", "hex:25:49"], "[hex]"),
+                              (f"token={run}", ["assign:0:30", "hex:6:30"], "[assign]")):
+        base = secrets.base_spans(text)
+        every = sorted(base + secrets.random_spans(text, base, model, {}), key=lambda s: (s[0], secrets.KINDS.index(s[2])))
+        assert [f"{k}:{a}:{b}" for a, b, k in every] == spans
+        assert secrets.masked(text, every) == left
+
+
 def test_media_are_stored_losslessly(spark):
     texts = ["", None, "a", "é" * 40, "x" * 64, "y" * 100_000, "a", "\x00", "a\x00"]
     docs = spark.createDataFrame([*enumerate(texts), (None, "a")], SHAPE)
