@@ -12,7 +12,8 @@ are exact, so results don't depend on the order of rows. Groups are only ever ag
 group may hold any share of the rows.
 
 Null texts have no words. Null lang and source form groups of their own. Groups with fewer than
-``LEAST_ROWS`` vectors reject nothing beyond the base rules.
+``LEAST_ROWS`` vectors are judged by the estimate of all vectors of their lang, and where these are
+fewer too, by that of all vectors. Only a corpus with fewer in all has nothing to judge by.
 """
 
 from __future__ import annotations
@@ -109,14 +110,35 @@ def _estimate(rows: DataFrame, keys: list[str], d: int, inflate: Column) -> Data
     return _with_cholesky(moments, d).select(*keys, *(f"m_{i}" for i in range(d)), *(f"l_{i}_{j}" for i in range(d) for j in range(i + 1)))
 
 
+#: An estimate's key: 0 for a (lang, source), 1 for a lang, 2 for all rows.
+KEYS = ["level", "e_lang", "e_source"]
+
+
+def _key(level: int) -> Column:
+    """The key that a (g_lang, g_source) has at a level."""
+    return F.struct(F.lit(level).alias("level"), (F.col("g_lang") if level < 2 else F.lit("")).alias("e_lang"), (F.col("g_source") if level < 1 else F.lit("")).alias("e_source"))
+
+
+def judges(rows: DataFrame) -> DataFrame:
+    """``g_lang, g_source`` with the key of the estimate that judges the group: the finest with LEAST_ROWS vectors."""
+    sizes = rows.groupBy("g_lang", "g_source").agg(F.count(F.lit(1)).alias("n"))
+    at = lambda level: sizes.groupBy(_key(level).alias("key")).agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_ROWS)
+    enough = at(0).unionByName(at(1)).unionByName(at(2)).select("key")
+    asked = sizes.select("g_lang", "g_source", F.explode(F.array(*(_key(level) for level in range(3)))).alias("key"))
+    return asked.join(enough, "key").groupBy("g_lang", "g_source").agg(F.min("key").alias("key")).select("g_lang", "g_source", "key.*")
+
+
 def scatter(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """Robust centre and scatter of each (g_lang, g_source): columns m_i and l_i_j, a row per group.
+    """Robust centre and scatter for each (g_lang, g_source): columns m_i and l_i_j, a row per group.
 
-    The result has a row per group and is written after every step; joins with it are left to the
-    sizes that Spark measures.
+    Every table here but ``rows`` has a row per group or estimate, and is written after every step;
+    joins with it are left to the sizes that Spark measures.
     """
-    keys, d = ["g_lang", "g_source"], len(VECTOR)
-    big = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_group"), *(F.percentile(v, F.lit([0.25, 0.5, 0.75])).alias(f"q_{i}") for i, v in enumerate(VECTOR))).where(F.col("n_group") >= LEAST_ROWS)
+    keys, d = KEYS, len(VECTOR)
+    judged_by = written(judges(rows), "mcd")
+    asked = written(judged_by.select(*keys).distinct(), "mcd")
+    rows = rows.select(*VECTOR, F.explode(F.array(*(_key(level) for level in range(3)))).alias("key")).select("key.*", *VECTOR).join(asked, keys, "left_semi")
+    big = rows.groupBy(*keys).agg(*(F.percentile(v, F.lit([0.25, 0.5, 0.75])).alias(f"q_{i}") for i, v in enumerate(VECTOR)))
     wide = lambda i: F.greatest((F.get(f"q_{i}", F.lit(2)) - F.get(f"q_{i}", F.lit(0))) / 1.349, F.lit(FLOORS[i] ** 0.5))
     groups = written(big.select(*keys, *(F.get(f"q_{i}", F.lit(1)).alias(f"m_{i}") for i in range(d)), *((wide(i) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i in range(d) for j in range(i + 1))), "mcd")
     # A normal sample's share of nearest rows has a smaller scatter; the factor puts it back (chi-square of 5 degrees, as a table).
@@ -127,14 +149,15 @@ def scatter(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFr
         w = Window.partitionBy(*keys)
         cut = (per_bin.withColumn("below", F.sum("k").over(w.orderBy("bin"))).withColumn("all", F.sum("k").over(w))
                .where(F.col("below") >= F.ceil(F.col("all") * share)).groupBy(*keys).agg(F.min("bin").alias("cut")))
+        cut = written(cut, "mcd")
         groups = written(_estimate(near.join(cut, keys).where("bin <= cut").select(*keys, *VECTOR), keys, d, inflate), "mcd")
-    return groups
+    return written(judged_by.join(groups, keys).drop(*keys), "mcd")
 
 
 def verdicts(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """The statistics of each document with ``base_failed``, ``distance`` and ``kept``.
 
-    ``distance`` is null for base failures and for documents of groups too small to judge.
+    ``distance`` is null for base failures and for documents of a corpus too small to judge.
     """
     missing = "\x00"
     stats = written(vectors(statistics(docs)).withColumn("base_failed", base_failed())

@@ -117,6 +117,21 @@ def test_quality_rules_reject_an_outlier_and_keep_its_group(spark):
     assert sum(not r["kept"] for r in got[:-1]) <= 2
 
 
+def test_quality_rules_judge_small_groups_by_language_and_then_by_all(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 8)))
+    clean = lambda: " ".join(word() for _ in range(rng.randrange(60, 120)))
+    odd = lambda: " ".join(word() + "***" for _ in range(80))
+    groups = [("en", "big", 100), ("de", "big", 60), ("en", "small", 5), ("en", None, 5), ("fr", "small", 5), (None, None, 3)]
+    data = [(t, lang, source, bad) for lang, source, n in groups for t, bad in [(clean(), False) for _ in range(n)] + [(odd(), True)]]
+    data += [(clean(), "it", f"s{i % 9}", False) for i in range(45)] + [(odd(), "it", "s0", True)]
+    docs = spark.createDataFrame([(i, t, lang, source, 0) for i, (t, lang, source, _) in enumerate(data)], SHAPE)
+    got = quality_rules.verdicts(docs).orderBy("doc_id").collect()
+    assert all(r["distance"] is not None for r in got)
+    assert all(not r["kept"] for r, (*_, bad) in zip(got, data, strict=True) if bad)
+    assert sum(not r["kept"] for r, (*_, bad) in zip(got, data, strict=True) if not bad) <= 2
+
+
 def test_quality_rules_of_no_rows(spark):
     empty = quality_rules.verdicts(spark.createDataFrame([], SHAPE))
     assert empty.where(F.col("kept")).count() == 0
