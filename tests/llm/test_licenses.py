@@ -33,3 +33,11 @@ def test_base_matches_brute_force_and_templates_are_found(spark):
 
 def test_no_rows(spark):
     assert licenses.scan(spark.createDataFrame([], SHAPE)).collect() == []
+
+
+def test_rows_that_repeat_an_id_or_have_none_keep_their_own_labels(spark):
+    notice = licenses.TEMPLATES["unlicense"]
+    rows = [(None, notice, 7), (None, "hello", 8), (3, notice, 9), (3, "x y z", 10), (3, "x y z", 11), (None, None, 12)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, row long").withColumnRenamed("row", "hits")).collect()
+    assert sorted((r["doc_id"] or 0, r["labels"], r["score"], r["n_words"]) for r in got) == [
+        (0, "", 0.0, 0), (0, "", 0.0, 1), (0, "unlicense", 1.0, 11), (3, "", 0.0, 3), (3, "", 0.0, 3), (3, "unlicense", 1.0, 11)]
