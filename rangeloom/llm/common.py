@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -11,22 +13,51 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Temporary shared folders of local sessions without the setting, by application.
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster. A session without that setting (tests, a
-    laptop) gets a temporary folder of its own, once.
+    ``spark.checkpoint.dir`` names it. A local session without that setting (tests, a laptop) gets
+    a temporary folder that goes when Python ends; a cluster without it is an error, as no folder of
+    this machine would do.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='rangeloom-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    if named:
+        return named.rstrip("/")
+    context = spark.sparkContext
+    if context.master.partition("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _LOCAL_ROOTS:
+        folder = tempfile.mkdtemp(prefix="rangeloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _LOCAL_ROOTS[context.applicationId] = f"file://{folder}"
+    return _LOCAL_ROOTS[context.applicationId]
+
+
+#: Paths that this Python process has written below the shared folder, by application.
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes what the operators of this session wrote, once their results are read; the number of paths.
+
+    Results are lazy and read those tables, so an operator can't delete them itself.
+    """
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -37,6 +68,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that ``df`` doesn't have, whatever its case rule."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def sized(df: DataFrame, most: int = 50_000) -> DataFrame:
+    """A written table, marked for broadcast where it has at most ``most`` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
@@ -61,8 +109,8 @@ def bounded_labels(labels: DataFrame, label: str, per_class: int) -> DataFrame:
 
 
 def crc_of_id() -> Column:
-    """crc32 of doc_id as text."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    """crc32 of doc_id as text; of a null one, of the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
 
 
 def fitted_logistic(z: list[float], label: list[int], default: tuple[float, float], rounds: int = 40) -> tuple[float, float]:

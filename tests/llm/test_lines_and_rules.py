@@ -135,3 +135,13 @@ def test_quality_rules_judge_small_groups_by_language_and_then_by_all(spark):
 def test_quality_rules_of_no_rows(spark):
     empty = quality_rules.verdicts(spark.createDataFrame([], SHAPE))
     assert empty.where(F.col("kept")).count() == 0
+
+
+def test_line_dedup_of_repeated_and_missing_ids_and_clashing_names(spark):
+    data = [(1, "a\nb\nc", 77, 1), (2, "a\nb\nc", 77, 2), (2, "x\ny\nz", 77, 3), (2, "x\ny\nz", 77, 4), (None, "a\nb\nc", 77, 5), (None, "k\nl\nm", 77, 6), (None, None, 77, 7), (3, "k\nl\nm\nn", 77, 8)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, n_lines long, _gone long")
+    got = {r["_gone"]: r for r in line_dedup.dedup(docs).collect()}
+    assert [got[i]["text"] for i in range(1, 9)] == ["a\nb\nc", "", "x\ny\nz", "x\ny\nz", "", "", None, "k\nl\nm\nn"]
+    assert [got[i]["n_removed"] for i in range(1, 9)] == [0, 3, 0, 0, 3, 3, 0, 0]
+    kept = line_dedup.dedup(docs, counts=False)
+    assert kept.columns == docs.columns and all(r["n_lines"] == 77 for r in kept.collect())
