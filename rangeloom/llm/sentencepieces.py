@@ -1,22 +1,26 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-White space becomes the mark ``▁`` and texts are cut into units that no piece crosses: between
-neighbouring characters that no piece has side by side. Texts travel as batches: the distinct units
-of a batch, and each document as positions in that list, compressed. Only distinct units are encoded:
+White space becomes the mark ``▁`` and texts are cut into units that no piece crosses: words, and
+longer runs between neighbouring characters that no piece has side by side. Texts travel as batches:
+a file of the shared folder keeps each document as positions in the batch's list of distinct units,
+so that no text is shuffled. Only distinct units are encoded, each once for the whole table:
 
 1. the substrings of a unit, up to the longest piece, are exploded and joined with the piece table;
 2. the edges found are grouped by unit into its lattice;
 3. a fold with Spark's higher-order ``aggregate`` finds the path. The vocabulary holds merge ranks,
    not log-probabilities: the best path takes, at each step, the edge of best score that spans two
    neighbouring segments, leftmost first, instead of maximising the sum of the scores, which would
-   give other ids than the library does. Units of over ``LONG`` characters run the same rule over
-   the same edges with a heap.
+   give other ids than the library does. The fold is quadratic in a unit, so units of over ``LONG``
+   characters, which no prose has, run the same rule over the same edges with a heap.
+
+The ids return to the batches that have the unit, and a batch puts its documents together.
 
 Characters that no piece has become the pieces of their UTF-8 bytes. Decoding joins pieces and
 bytes back; it is exact up to ``▁`` itself, which reads as a space.
 
 Null and empty texts have no ids and decode to an empty text. Repeated rows are encoded as often
-as they occur.
+as they occur, a null doc_id is carried through, other columns are ignored, whatever their names,
+and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,29 +28,32 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import uuid
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeloom.llm.common import let, written
+from rangeloom.llm.common import let, scratch, written
 
 MARK = "▁"
 #: A run that is cut further: marks and what follows them, or one line feed.
 RUN = re.compile(rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 #: Characters of texts, and documents, that a batch holds at most before it is closed.
-BATCH_CHARS, BATCH_DOCS = 12_000_000, 6_000
+BATCH_CHARS, BATCH_DOCS = 8_000_000, 6_000
+#: Unit rows that a partition of the lattice gets on average.
+PARTITION = 100_000
 #: Units of more characters than this are merged by a heap.
 LONG = 64
 #: An edge is one number: start, length, order of its score, id.
 LENGTH_BITS, ORDER_BITS, ID_BITS = 5, 17, 17
-BATCH = "batch long, units array<string>, doc_ids array<long>, sizes array<int>, codes binary, digests binary"
+BATCH = "batch long, units array<string>"
 
 
 class Vocabulary:
@@ -79,45 +86,85 @@ class Vocabulary:
         return out
 
 
-def batches(docs: DataFrame, neighbours: set[str]) -> DataFrame:
-    """Texts by batch: distinct units, and documents as positions of units, with digests of the texts to decode."""
-    def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, number = TaskContext.get().partitionId(), 0
-        runs: dict[str, tuple[int, ...]] = {}
-        units: dict[str, int] = {}
-        doc_ids, sizes, codes, digests, chars = [], [], array("i"), [], 0
+def runs_of(text: str) -> list[str]:
+    """The runs of a text that no piece crosses, in order; some may be empty."""
+    if "  " in text or MARK in text or text[:1] == " ":
+        return RUN.findall(MARK + text.replace(" ", MARK))
+    return (MARK + text.replace(" ", f" {MARK}").replace("\n", " \n ")).split(" ") if text else []
+
+
+def cut(run: str, neighbours: set[str]) -> list[str]:
+    """A run's units: its last character apart where no piece reaches it, and a long run between all such neighbours."""
+    if len(run) > LONG:
+        edges = [0, *(k for k in range(1, len(run)) if run[k - 1:k + 1] not in neighbours), len(run)]
+        return [run[a:b] for a, b in zip(edges, edges[1:])]
+    return [run] if run[-2:] in neighbours or len(run) < 2 else [run[:-1], run[-1]]
+
 
-        def coded(text: str) -> tuple[int, ...]:
-            edges = [0, *(k for k in range(1, len(text)) if text[k - 1:k + 1] not in neighbours), len(text)]
-            return tuple(units.setdefault(text[a:b], len(units)) for a, b in zip(edges, edges[1:]))
+def batches(docs: DataFrame, neighbours: set[str], folder: str) -> DataFrame:
+    """``batch, units``: the distinct units of each batch of texts.
+
+    The batch's documents, as positions of units, with digests of the texts to decode, are in a file
+    that its number names; the number is drawn, so that a repeated attempt writes a file of its own.
+    """
+    def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def fresh() -> tuple:
+            return {"": ()}, {MARK: 0}, [], [], array("i"), [], 0
 
         def closed() -> pa.RecordBatch:
-            split = np.frombuffer(codes, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-            values = (task << 32 | number, list(units), doc_ids, sizes, zstandard.compress(split), b"".join(digests))
-            kinds = (pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=[x.split()[0] for x in BATCH.split(", ")])
+            number = uuid.uuid4().int >> 65
+            save(folder, number, doc_ids, sizes, codes, digests)
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([list(units)], pa.list_(pa.string()))], names=["batch", "units"])
 
+        known, units, doc_ids, sizes, codes, digests, chars = fresh()
         for batch in incoming:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 text, before = text or "", len(codes)
-                for u in RUN.findall(MARK + text.replace(" ", MARK)) if text else ():
-                    found = runs.get(u)
-                    if found is None:
-                        found = runs[u] = coded(u)
-                    codes.extend(found)
+                runs = runs_of(text)
+                try:
+                    codes.extend(chain.from_iterable([known[u] for u in runs]))
+                except KeyError:
+                    for u in set(runs).difference(known):
+                        known[u] = tuple(units.setdefault(x, len(units)) for x in cut(u, neighbours))
+                    codes.extend(chain.from_iterable([known[u] for u in runs]))
                 doc_ids.append(doc)
                 sizes.append(len(codes) - before)
                 digests.append(hashlib.md5(text.replace(MARK, " ").encode()).digest())
                 chars += len(text)
                 if chars >= BATCH_CHARS or len(doc_ids) >= BATCH_DOCS:
                     yield closed()
-                    runs, units, doc_ids, sizes, codes, digests, chars, number = {}, {}, [], [], array("i"), [], 0, number + 1
+                    known, units, doc_ids, sizes, codes, digests, chars = fresh()
         if doc_ids:
             yield closed()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, BATCH)
 
 
+def save(folder: str, number: int, doc_ids: list, sizes: list[int], codes: array, digests: list[bytes]) -> None:
+    """Writes a batch's documents."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(folder)
+    system.create_dir(path, recursive=True)
+    split = np.frombuffer(codes, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    table = pa.table({"doc_ids": pa.array([doc_ids], pa.list_(pa.int64())), "sizes": pa.array([sizes], pa.list_(pa.int32())),
+                      "codes": pa.array([zstandard.compress(split)], pa.binary()), "digests": pa.array([b"".join(digests)], pa.binary())})
+    with system.open_output_stream(f"{path}/{number}") as out, pa.ipc.new_stream(out, table.schema) as stream:
+        stream.write_table(table)
+
+
+def load(folder: str, number: int) -> tuple[pa.Array, np.ndarray, np.ndarray, bytes]:
+    """A batch's doc_ids, sizes, codes and digests."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(folder)
+    with system.open_input_stream(f"{path}/{number}") as source, pa.ipc.open_stream(source) as stream:
+        table = stream.read_all()
+    raw = np.frombuffer(zstandard.decompress(table["codes"][0].as_py()), np.uint8)
+    codes = np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").reshape(-1)
+    return table["doc_ids"][0].values, table["sizes"][0].values.to_numpy(), codes, table["digests"][0].as_py()
+
+
 def lattice(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``unit, edges``: of each unit the spans that are pieces, as packed numbers.
 
@@ -185,12 +232,12 @@ def unit_ids(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     n = F.char_length("unit")
 
     def borders(lengths: pd.Series, edges: pd.Series) -> pd.Series:
-        return pd.Series([merged_borders(k, e.tolist()) for k, e in zip(lengths, edges, strict=True)])
+        return pd.Series([None if e is None else merged_borders(k, e.tolist()) for k, e in zip(lengths, edges, strict=True)], dtype=object)
 
     borders.__annotations__ = {"lengths": pd.Series, "edges": pd.Series, "return": pd.Series}
     by_heap = F.pandas_udf(borders, "array<int>")
-    short = found.where(n <= LONG).withColumn("cut", folded("edges", n))
-    cut = short.unionByName(found.where(n > LONG).withColumn("cut", by_heap(n, F.col("edges"))))
+    long = found.withColumn("long_cut", by_heap(n, F.when(n > LONG, F.col("edges"))))
+    cut = long.withColumn("cut", F.when(n > LONG, F.col("long_cut")).otherwise(folded("edges", n)))
     in_bytes = lambda a: let(F.hex(F.encode(F.substring(F.col("unit"), a + 1, F.lit(1)), "UTF-8")), lambda h: F.transform(
         F.sequence(F.lit(1), F.length(h), F.lit(2)), lambda i: F.conv(F.substring(h, i, F.lit(2)), 16, 10).cast("int") + vocabulary.first_byte))
     named = let(by_span("edges"), lambda at: F.transform(F.slice("cut", 1, F.size("cut") - 1), lambda a, i: let(
@@ -201,36 +248,28 @@ def unit_ids(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 def encode(docs: DataFrame, model_file: str) -> DataFrame:
     """``doc_id, ids, digest`` of each row of ``docs(doc_id, text)``; the digest is the text's."""
-    vocabulary = Vocabulary(model_file)
-    held = written(batches(docs, vocabulary.neighbours), "piece-batches")
-    named = held.select("batch", F.posexplode("units").alias("place", "unit"))
-    coded = written(unit_ids(named.select("unit").distinct(), vocabulary), "piece-units")
-    lists = (named.join(coded, "unit").groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("place", "ids"))).alias("found"))
-             .select("batch", F.transform("found", lambda f: f["ids"]).alias("lists")))
-
-    def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in incoming:
-            for row in range(batch.num_rows):
-                one = batch.slice(row, 1)
-                lists, sizes = one.column("lists").flatten(), one.column("sizes").flatten().to_numpy()
-                ids, lengths = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-                start = np.cumsum(lengths, dtype=np.int64) - lengths
-                raw = np.frombuffer(zstandard.decompress(one.column("codes")[0].as_py()), np.uint8)
-                codes = np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").reshape(-1)
-                edges, digests, doc_ids = np.r_[0, np.cumsum(sizes)], one.column("digests")[0].as_py(), one.column("doc_ids").flatten()
-                for at in range(0, len(sizes), 500):
-                    to = min(at + 500, len(sizes))
-                    part = codes[edges[at]:edges[to]]
-                    n = lengths[part].astype(np.int64)
-                    total = np.r_[0, np.cumsum(n)]
-                    taken = ids[np.repeat(start[part] - total[:-1], n) + np.arange(total[-1])]
-                    offsets = total[edges[at:to + 1] - edges[at]].astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([doc_ids[at:to], pa.ListArray.from_arrays(pa.array(offsets), pa.array(taken, pa.int32())),
-                                                      pa.array([digests[16 * i:16 * i + 16].hex() for i in range(at, to)])], names=["doc_id", "ids", "digest"])
-
-    empty = F.array().cast("array<array<int>>")
-    return (held.drop("units").join(lists, "batch", "left").withColumn("lists", F.coalesce("lists", empty))
-            .mapInArrow(run, "doc_id long, ids array<int>, digest string"))
+    vocabulary, folder = Vocabulary(model_file), scratch(docs.sparkSession, "piece-codes")
+    held = written(batches(docs, vocabulary.neighbours, folder), "piece-batches")
+    rows = held.agg(F.coalesce(F.sum(F.size("units")), F.lit(0))).first()[0]
+    # One shuffle by unit serves the lattice and the way back.
+    named = held.select("batch", F.posexplode("units").alias("place", "unit")).repartition(max(1, -(-rows // PARTITION)), "unit")
+    units = named.groupBy("unit").agg(F.max("batch").alias("a_batch"), F.max("place").alias("a_place")).where("a_batch is not null and a_place is not null").select("unit")
+    returned = named.join(unit_ids(units, vocabulary).hint("shuffle_hash"), "unit").select("batch", "place", "ids")
+
+    def put_together(found: pa.Table) -> pa.Table:
+        found = found.sort_by("place").combine_chunks()
+        lists = found.column("ids").chunk(0)
+        ids, lengths = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+        start = np.cumsum(lengths, dtype=np.int64) - lengths
+        doc_ids, sizes, codes, digests = load(folder, found.column("batch")[0].as_py())
+        n = lengths[codes].astype(np.int64)
+        total = np.r_[0, np.cumsum(n)]
+        taken = ids[np.repeat(start[codes] - total[:-1], n) + np.arange(total[-1])]
+        offsets = total[np.r_[0, np.cumsum(sizes)]].astype(np.int32)
+        texts = [digests[16 * i:16 * i + 16].hex() for i in range(len(sizes))]
+        return pa.table({"doc_id": doc_ids, "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(taken, pa.int32())), "digest": texts})
+
+    return returned.groupBy("batch").applyInArrow(put_together, "doc_id long, ids array<int>, digest string")
 
 
 def decoder(model_file: str):
