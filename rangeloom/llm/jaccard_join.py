@@ -17,7 +17,8 @@ sets form a class at once, by a fingerprint of the set. The classes are then joi
    the most widespread: in a group of near copies, the one nearest to their original. So a large
    group of near copies costs a star, not all pairs.
 5. What a star doesn't tell are links between members that are in different components now. Lists
-   where such pairs are few for each member give them all. In longer lists, neighbours by set size
+   where such pairs are few for each member give all of them that sizes, missed shingles and the shared
+   shingles of each fragment allow. In longer lists, neighbours by set size
    are compared, which connects all that are linked by the shared items alone; and every
    member is posted again under the list's items and the next one that can be in common. So a
    long list falls into shorter ones until its pairs are few, and no link between two components is missed.
@@ -49,8 +50,10 @@ WORDS, PERCENT = 5, 75
 FRAGMENT = 300_000
 #: Classes of which one task may hold the owners of one shingle.
 OWNERS = 2_000_000
-#: Pairs between components for each member of a posting list, up to which the list gives them all.
-FEW = 16
+#: Pairs between components for each member of a posting list, up to which the list looks at them all.
+FEW = 500
+#: Fragments of the item order by which the overlap of a pair is bounded before it is counted.
+BOUNDS = 16
 #: Documents of a scanned batch whose shingles a task sorts at a time.
 PART = 4_000
 #: Hash ranges in which a pair's overlap is counted separately (a power of two).
@@ -240,9 +243,15 @@ def may_miss(n: Column) -> Column:
 
 
 def candidates(x: str, y: str) -> Column:
-    """Whether two posted rows (structs of class, n, s, missed) can belong to a linked pair."""
+    """Whether two posted rows (structs of class, n, s, missed, f) can belong to a linked pair.
+
+    Neither may have missed too much so far, and in no fragment can they have more in common than the
+    one with fewer shared shingles in it has.
+    """
     o = least_overlap(F.col(f"{x}.n"), F.col(f"{y}.n"))
-    return F.least(*(F.col(f"{z}.n") - F.col(f"{z}.missed") for z in (x, y)), F.col(f"{x}.s"), F.col(f"{y}.s")) >= o
+    seen = F.least(*(F.col(f"{z}.n") - F.col(f"{z}.missed") for z in (x, y)), F.col(f"{x}.s"), F.col(f"{y}.s")) >= o
+    bound = sum((F.least(F.col(f"{x}.f.f{i}"), F.col(f"{y}.f.f{i}")) for i in range(1, BOUNDS)), F.least(F.col(f"{x}.f.f0"), F.col(f"{y}.f.f0")))
+    return seen & (bound >= o)
 
 
 def named(x: str, y: str) -> list[Column]:
@@ -275,11 +284,11 @@ def between_components(posted: DataFrame, items: DataFrame, few: int) -> DataFra
         onward = items.select(F.col("class").alias("_c"), F.col("place").alias("_p"), "item", "w", "before")
         missed = F.col("before") - F.col("x.before") - F.col("x.w") + F.col("x.missed")
         again = (long.join(onward, (F.col("x.class") == F.col("_c")) & (F.col("_p") > F.col("place"))).where(missed <= may_miss(F.col("x.n")))
-                 .select(F.col("key").alias("parent"), F.xxhash64("key", "item").alias("key"), "r", F.struct("x.class", "x.n", "x.s", missed.alias("missed"), "before", "w").alias("x"), F.col("_p").alias("place")))
+                 .select(F.col("key").alias("parent"), F.xxhash64("key", "item").alias("key"), "r", F.struct("x.class", "x.n", "x.s", missed.alias("missed"), "before", "w", "x.f").alias("x"), F.col("_p").alias("place")))
         again = written(again, "posted")
         # A list is cut only where that leaves far fewer rows than it has pairs.
         grown = again.groupBy("parent").agg(F.count(F.lit(1)).alias("rows")).withColumnRenamed("parent", "key")
-        weighed = written(long.join(grown, "key", "left").withColumn("cut", F.col("pairs") > few * (F.col("k") + F.coalesce("rows", F.lit(0)))), "lists")
+        weighed = written(long.join(grown, "key", "left").withColumn("cut", F.col("pairs") > 2 * few * (F.col("k") + F.coalesce("rows", F.lit(0)))), "lists")
         found.append(written(pairs(weighed.where("not cut")), "pairs"))
         cut = weighed.where("cut")
         # Members that the items so far link to any other are linked to the smallest set by them.
@@ -296,16 +305,19 @@ def class_links(docs: DataFrame, classes: DataFrame, bits: int, salts: int, few:
     """``node, root`` of the classes that have a partner."""
     shared = shared_shingles(docs, bits, salts)
     weighed = written(shared.groupBy("class", F.xxhash64("df", "owners").alias("item"), "df").agg(F.count(F.lit(1)).alias("w")), "items")
-    alive = (weighed.groupBy("class").agg(F.sum("w").alias("s"), F.sum(F.col("df") * F.col("w")).alias("spread")).join(classes.select("class", F.col("n_shingles").alias("n")), "class")
+    place = F.pmod("item", F.lit(BOUNDS))
+    inside = [F.sum(F.when(place == i, F.col("w")).otherwise(0)).cast("int").alias(f"f{i}") for i in range(BOUNDS)]
+    alive = (weighed.groupBy("class").agg(F.sum("w").alias("s"), F.sum(F.col("df") * F.col("w")).alias("spread"), *inside)
+             .select("class", "s", "spread", F.struct(*(f"f{i}" for i in range(BOUNDS))).alias("f")).join(classes.select("class", F.col("n_shingles").alias("n")), "class")
              .where(100 * F.col("s") >= PERCENT * F.col("n")))
     # Items rarest first; the unshared shingles of a class come before all of them.
     order = Window.partitionBy("class").orderBy("df", "item")
     placed = weighed.join(alive, "class").withColumn("place", F.row_number().over(order)).withColumn("before", F.sum("w").over(order) - F.col("w") + F.col("n") - F.col("s"))
-    items = written(placed.select("class", "place", "item", "w", "before", "n", "s", (F.col("spread") / F.col("n")).alias("centrality")), "items")
+    items = written(placed.select("class", "place", "item", "w", "before", "n", "s", "f", (F.col("spread") / F.col("n")).alias("centrality")), "items")
     part = F.shiftrightunsigned("item", 64 - COUNT_BITS).cast("int")
     segments = written(items.groupBy("class", part.alias("part")).agg(F.collect_list(F.struct("item", "w")).alias("items")), "segments")
     posted = items.where(F.col("before") <= may_miss(F.col("n"))).select(
-        F.col("item").alias("key"), F.struct("class", "n", "s", F.col("before").alias("missed"), "before", "w").alias("x"), "place", "centrality")
+        F.col("item").alias("key"), F.struct("class", "n", "s", F.col("before").alias("missed"), "before", "w", "f").alias("x"), "place", "centrality")
     centres = (posted.groupBy("key").agg(F.max(F.struct("centrality", "x")).alias("centre"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", F.col("centre.x").alias("c")))
     posted = written(posted.drop("centrality").join(centres, "key"), "posted")
 

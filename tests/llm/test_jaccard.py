@@ -95,24 +95,21 @@ def test_one_of_each_keeps_columns_of_any_name(spark):
     assert sorted((r["doc_id"] or 0, r["_kept"]) for r in kept.collect()) == [(0, 5), (2, 3), (7, 7)]
 
 
-def test_pairs_of_shared_passages_grow_with_the_documents(spark):
+def test_documents_put_together_from_shared_passages_are_hardly_compared(spark):
     from pyspark.sql import functions as F
 
-    counts = []
-    for n in (200, 800):
-        docs = spark.createDataFrame(list(enumerate(put_together(random.Random(6), n, 60, 6))), SHAPE)
-        seen = []
-        compared = jaccard_join.compared
-
-        def counting(pairs, segments, seen=seen, compared=compared):
-            seen.append(pairs.count())
-            return compared(pairs, segments)
-
-        jaccard_join.compared = counting
-        try:
-            found = jaccard_join.near_duplicates(docs, few=1)
-            assert found.where(F.col("component_id") != F.col("doc_id")).isEmpty()
-        finally:
-            jaccard_join.compared = compared
-        counts.append(sum(seen))
-    assert counts[1] < 12 * counts[0] and counts[1] < 6 * 800, counts
+    docs = spark.createDataFrame(list(enumerate(put_together(random.Random(6), 600, 60, 6))), SHAPE)
+    seen = []
+    compared = jaccard_join.compared
+
+    def counting(pairs, segments):
+        seen.append(pairs.count())
+        return compared(pairs, segments)
+
+    jaccard_join.compared = counting
+    try:
+        found = jaccard_join.near_duplicates(docs)
+        assert found.where(F.col("component_id") != F.col("doc_id")).isEmpty()
+    finally:
+        jaccard_join.compared = compared
+    assert sum(seen) < 600, seen
