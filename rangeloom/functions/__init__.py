@@ -1 +1 @@
-
+"""Column functions of addresses and text."""

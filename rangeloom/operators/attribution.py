@@ -56,3 +56,41 @@ def tiers(optimized: DataFrame, critical: DataFrame) -> DataFrame:
     whole = iv.optimize(every.select(F.col("tier").alias("feed"), "lo", "hi")).withColumnRenamed("feed", "tier")
     providers = iv.overlaps(optimized, every).groupBy("feed", "tier").agg(F.count_distinct("provider").alias("providers"))
     return counts(optimized, whole, "tier").join(providers, ["feed", "tier"])
+
+
+def split_bogons(optimized: DataFrame, bogons: DataFrame, networks: DataFrame) -> DataFrame:
+    """``feed, feed_ips, bogon_ips, attributed_ips, unknown_ips``: the last three add up to the first.
+
+    A network counts only what is not reserved space; ``networks(lo, hi)`` may overlap.
+    """
+    sizes = iv.summary(optimized).select("feed", F.col("unique_ips").alias("feed_ips"))
+    reserved = covered(optimized, bogons, "bogon_ips")
+    free = iv.exclude(networks, bogons).select("lo", "hi")
+    known = iv.overlaps(optimized, free).groupBy("feed").agg(F.sum(iv.size()).alias("attributed_ips"))
+    joined = sizes.join(reserved, "feed", "left").join(known, "feed", "left").fillna(0, ["bogon_ips", "attributed_ips"])
+    return joined.withColumn("unknown_ips", F.col("feed_ips") - F.col("bogon_ips") - F.col("attributed_ips"))
+
+
+def within(optimized: DataFrame, outer: DataFrame, inner: DataFrame, *keys: str) -> DataFrame:
+    """Counts by ``inner`` of what lies in ``outer(lo, hi)``: the countries of one network, or the networks of one country."""
+    return counts(restricted(optimized, outer), inner, *keys)
+
+
+def restricted(optimized: DataFrame, outer: DataFrame) -> DataFrame:
+    """The ranges of each feed that lie in ``outer(lo, hi)``."""
+    return iv.optimize(iv.overlaps(optimized, iv.union(outer.select("lo", "hi")).select("lo", "hi")).select("feed", "lo", "hi"))
+
+
+def context(points: DataFrame, geo: DataFrame, networks: DataFrame) -> DataFrame:
+    """``ip, code, asn`` of addresses ``ip``: the first country code by name or null, and the least network number, or 0."""
+    at = points.select("ip", F.col("ip").alias("lo"), F.col("ip").alias("hi")).distinct()
+    code = iv.overlaps(at, geo.select("code", "lo", "hi")).groupBy("ip").agg(F.min("code").alias("code"))
+    asn = iv.overlaps(at, networks.select("asn", "lo", "hi")).groupBy("ip").agg(F.min("asn").alias("asn"))
+    return at.select("ip").join(code, "ip", "left").join(asn, "ip", "left").withColumn("asn", F.coalesce("asn", F.lit(0).cast("bigint")))
+
+
+def providers(optimized: DataFrame, critical: DataFrame) -> DataFrame:
+    """``feed, provider, tier, ips`` of the providers that a feed overlaps; a provider's own ranges may overlap."""
+    whole = iv.optimize(critical.select(F.concat_ws("\t", "tier", "provider").alias("feed"), "lo", "hi")).withColumnRenamed("feed", "of")
+    found = counts(optimized, whole, "of")
+    return found.select("feed", F.substring_index("of", "\t", -1).alias("provider"), F.substring_index("of", "\t", 1).alias("tier"), "ips")

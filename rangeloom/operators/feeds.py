@@ -8,27 +8,48 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def health(feeds: DataFrame, healthy_mins: int = 1440, risky_mins: int = 10080, fail_mins: int = 20160, archive_mins: int = 129600, grace_mins: int = 43200) -> DataFrame:
+# Minutes without a change up to which a category is healthy, and from which it is risky.
+CADENCE_OF = {"intrusion": (1440, 10080), "malware_infrastructure": (1440, 10080), "messaging_abuse": (1440, 20160), "service_abuse": (1440, 20160),
+              "anonymizers": (1440, 20160), "scanners": (1440, 20160), "policy_risk": (4320, 43200), "provider_infrastructure": (20160, 129600),
+              "special_use": (129600, 525600), "geolocation": (10080, 43200), "asn": (10080, 43200)}
+OTHER_CADENCE, GRACE_MINS, ARCHIVAL_MINS = (10080, 43200), 14400, 86400
+# End of fixed values.
+
+
+def thresholds(category: Column, cadence_of: dict[str, tuple[int, int]] = CADENCE_OF, other: tuple[int, int] = OTHER_CADENCE) -> tuple[Column, Column]:
+    """Healthy and risky minutes of a category."""
+    pick = lambda i: F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for c, v in cadence_of.items() for x in (c, v[i]))), category), F.lit(other[i]))
+    return pick(0), pick(1)
+
+
+def health(feeds: DataFrame, cadence_of: dict[str, tuple[int, int]] = CADENCE_OF, grace_mins: int = GRACE_MINS, archive_mins: int = ARCHIVAL_MINS) -> DataFrame:
     """Adds ``health``; the first rule that holds decides.
 
-    ``feeds`` has published, entries, age_excluded, observed, avg_update_mins, idle_mins and failing_mins.
+    ``feeds`` has category, published, entries, age_excluded, observed, avg_update_mins, idle_mins and
+    failing_mins. A feed that fails is unavailable from the age at which it would be unmaintained (with a single
+    observation not before its grace ends), and archived once it has been so for ``archive_mins``.
     """
-    failing = (F.col("failing_mins") > 0) & (F.greatest("failing_mins", "idle_mins") >= fail_mins)
+    healthy_mins, risky_mins = thresholds(F.col("category"), cadence_of)
+    single = F.col("observed") <= 1
+    grace = single & (F.col("idle_mins") > 0) & (F.col("idle_mins") < grace_mins)
+    fail_mins = F.when(single, F.greatest(2 * risky_mins, F.lit(grace_mins))).otherwise(2 * risky_mins)
+    worst = F.greatest("failing_mins", "idle_mins")
+    failing = (F.col("failing_mins") > 0) & (worst >= fail_mins)
     rules = [(~F.col("published"), "unavailable"),
-             (failing & (F.greatest("failing_mins", "idle_mins") >= archive_mins), "archived"),
+             (failing & (worst - fail_mins >= archive_mins), "archived"),
              (failing, "unavailable"),
              (F.col("entries") == 0, "empty"),
-             (F.col("age_excluded") | ((F.col("observed") <= 1) & (F.col("idle_mins") < grace_mins)), "healthy"),
+             (F.col("age_excluded") | grace, "healthy"),
              (F.col("idle_mins") >= 2 * risky_mins, "unmaintained"),
              (F.col("idle_mins") >= risky_mins, "risky"),
-             (F.col("idle_mins") > F.greatest(F.col("avg_update_mins"), F.lit(healthy_mins)), "delayed")]
+             (F.col("idle_mins") > F.greatest(F.col("avg_update_mins"), healthy_mins), "delayed")]
     chain: Column | None = None
     for test, name in rules:
         chain = F.when(test, name) if chain is None else chain.when(test, name)
     return feeds.withColumn("health", chain.otherwise("healthy"))
 
 
-#: Upper borders in minutes, exclusive, and names of cadence bins.
+# Upper borders in minutes, exclusive, and names of cadence bins.
 CADENCES = [(60, "<1h"), (360, "1-6h"), (720, "6-12h"), (1440, "12-24h"), (4320, "1-3d"), (10080, "3-7d"), (40320, "1-4w")]
 
 
@@ -75,18 +96,34 @@ def find(feeds: DataFrame, text: str | None = None, category: str | None = None,
     return feeds
 
 
-def unique_share(pairs: DataFrame) -> DataFrame:
-    """``feed, ips, max_common, samples, percent`` from rows of iv.compare(): the share no single peer has."""
-    both = pairs.select(F.col("name1").alias("feed"), F.col("ips1").alias("ips"), "common").unionByName(pairs.select(F.col("name2").alias("feed"), F.col("ips2").alias("ips"), "common"))
-    best = both.groupBy("feed", "ips").agg(F.max("common").alias("max_common"), F.count(F.lit(1)).alias("samples"))
-    share = F.when(F.col("ips") == 0, 0.0).when(F.col("max_common") >= F.col("ips"), 0.0).otherwise(100.0 * (F.col("ips") - F.col("max_common")) / F.col("ips"))
+def unique_share(pairs: DataFrame, feeds: DataFrame) -> DataFrame:
+    """``feed, ips, max_common, samples, percent`` of every feed: the share that no single independent peer has.
+
+    ``pairs`` are rows of iv.compare(), ``feeds`` has feed, unique_ips, maintainer, provenance, hidden, reference
+    and leaves (the sources it is made of). A peer is independent if it is shown, no reference table, of a
+    primary or secondary upstream, shares no leaf, and is not of the same named maintainer. A feed without
+    independent peers has 100 percent.
+    """
+    both = pairs.select(F.col("name1").alias("feed"), F.col("name2").alias("peer"), "common").unionByName(pairs.select(F.col("name2").alias("feed"), F.col("name1").alias("peer"), "common"))
+    who = F.lower(F.trim("maintainer"))
+    peers = feeds.select(F.col("feed").alias("peer"), who.alias("peer_who"), F.col("leaves").alias("peer_leaves"),
+                         (~F.col("hidden") & ~F.col("reference") & F.col("provenance").isin("primary", "secondary_upstream")).alias("shown"))
+    own = feeds.select("feed", F.col("unique_ips").alias("ips"), who.alias("who"), "leaves")
+    met = own.join(both, "feed").join(peers, "peer").where("shown and not arrays_overlap(leaves, peer_leaves) and not (peer_who <> '' and peer_who = who)")
+    best = own.select("feed", "ips").join(met.groupBy("feed").agg(F.max("common").alias("max_common"), F.count(F.lit(1)).alias("samples")), "feed", "left").fillna(0, ["max_common", "samples"])
+    share = (F.when(F.col("ips") == 0, 0.0).when(F.col("samples") == 0, 100.0).when(F.col("max_common") >= F.col("ips"), 0.0)
+             .otherwise(100.0 * (F.col("ips") - F.col("max_common")) / F.col("ips")))
     return best.withColumn("percent", F.round(share, 4))
 
 
-def retry_mins(frequency: Column, failures: Column, cap: int = 43200) -> Column:
-    """Delay before another try: a sixteenth of the frequency, doubled for each further failure."""
-    first = F.ceil(frequency / 16)
-    return F.when(failures <= 0, 0).otherwise(F.least(first * F.pow(F.lit(2.0), F.least(failures - 1, F.lit(30))), F.lit(float(cap)))).cast("long")
+def retry_mins(frequency: Column, failures: Column, unmaintained: Column, cap: int = 43200) -> Column:
+    """Delay before another try: the frequency without failures, else a sixteenth of it, doubled for each further failure.
+
+    It is bounded by the frequency, and by ``cap`` once the feed is unmaintained.
+    """
+    every = F.greatest(frequency, F.lit(1))
+    grown = F.ceil(every / 16) * F.pow(F.lit(2.0), F.least(failures - 1, F.lit(30)))
+    return F.when(failures < 1, every).when(unmaintained, F.least(grown, F.lit(float(cap)))).otherwise(F.least(grown, every, F.lit(float(cap)))).cast("long")
 
 
 def percentile_of(histogram: DataFrame, group: str, value: str, weight: str, q: float) -> DataFrame:
@@ -97,9 +134,34 @@ def percentile_of(histogram: DataFrame, group: str, value: str, weight: str, q:
     return run.where("_run >= _need").groupBy(group).agg(F.min(value).alias("value"))
 
 
-def high_churn(churned: DataFrame, least: int = 5, high: float = 0.5, low: float = 0.05) -> DataFrame:
-    """``feed, median, rule`` by the upper median of (added + removed) / size, where enough changes are known."""
-    share = (F.col("added") + F.col("removed")) / F.greatest(F.col("unique_ips"), F.lit(1))
-    medians = churned.groupBy("feed").agg(F.sort_array(F.collect_list(share)).alias("s")).where(F.size("s") >= least)
-    m = medians.select("feed", F.round(F.get("s", F.expr("size(s) div 2")), 6).alias("median"))
-    return m.withColumn("rule", F.when(F.col("median") > high, "churn_high").when(F.col("median") < low, "churn_low").otherwise("churn_normal"))
+def top_share(totals: DataFrame, group: str, key: str, value: str) -> DataFrame:
+    """Adds ``share``, the part of a group's sum, and ``place``, by descending value and then key."""
+    w = Window.partitionBy(group)
+    return totals.withColumn("share", F.col(value) / F.sum(value).over(w)).withColumn("place", F.row_number().over(w.orderBy(F.desc(value), key)))
+
+
+def activity(history: DataFrame, changes: DataFrame, seconds: int, above: int = 100) -> DataFrame:
+    """``feed, ts, ips, added, removed, churn``: changes in buckets of some seconds, or one by one for feeds of up to ``above`` changes.
+
+    A change's size is that of the last history row at or before it, else of the first one. Buckets
+    count from the first day of year 1.
+    """
+    first = history.groupBy("feed").agg(F.min_by("unique_ips", "ts").alias("first_ips"))
+    every = changes.select("feed", "ts", "added", "removed", F.lit(None).cast("long").alias("unique_ips")).unionByName(
+        history.select("feed", "ts", F.lit(None).cast("long").alias("added"), F.lit(None).cast("long").alias("removed"), "unique_ips"))
+    w = Window.partitionBy("feed")
+    order = w.orderBy("ts", F.col("unique_ips").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sized = every.withColumn("ips", F.last("unique_ips", True).over(order)).where("added is not null").join(first, "feed").withColumn("ips", F.coalesce("ips", "first_ips"))
+    origin = 62135596800
+    bucket = F.floor((F.col("ts") + origin) / seconds) * seconds - origin
+    placed = sized.withColumn("ts", F.when(F.count(F.lit(1)).over(w) > above, bucket).otherwise(F.col("ts")).cast("long"))
+    summed = placed.groupBy("feed", "ts").agg(F.avg("ips").alias("ips"), F.sum("added").alias("added"), F.sum("removed").alias("removed"))
+    return summed.withColumn("churn", F.when(F.col("ips") > 0, 100.0 * (F.col("added") + F.col("removed")) / F.col("ips")).otherwise(0.0))
+
+
+def cadence_floor(history: DataFrame) -> DataFrame:
+    """``feed, seconds``: the upper median gap between updates."""
+    gap = history.withColumn("gap", F.col("ts") - F.lag("ts").over(Window.partitionBy("feed").orderBy("ts"))).where("gap > 0")
+    place = F.row_number().over(Window.partitionBy("feed").orderBy("gap"))
+    ranked = gap.withColumn("place", place).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("feed")))
+    return ranked.where("place = n div 2 + 1").select("feed", F.col("gap").alias("seconds"))

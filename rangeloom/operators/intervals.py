@@ -7,6 +7,8 @@ first and joined again across the edges afterwards.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,8 +63,8 @@ def summary(optimized: DataFrame) -> DataFrame:
                                          F.sum(size()).alias("unique_ips"))
 
 
-#: Bucket width for joins: a /12, so that the full space is 4,096 rows.
-JOIN_BITS = 20
+#: Bucket width for joins: a /16, so that the full space is 65,536 rows and dense feeds meet few ranges in one bucket.
+JOIN_BITS = 16
 
 
 def named(ranges: DataFrame, feed: str) -> DataFrame:
@@ -132,15 +134,100 @@ def contains(optimized: DataFrame, points: DataFrame) -> DataFrame:
     return found.select("ip", "feed").distinct()
 
 
+def _shared(left: DataFrame, right: DataFrame, condition: str = "true", bits: int = JOIN_BITS) -> DataFrame:
+    """``name1, name2, common`` of the pairs of ``left(name1)`` and ``right(name2)`` that share addresses and meet a condition."""
+    a, b = clip(left, bits), clip(right, bits).withColumnsRenamed({"lo": "_lo", "hi": "_hi", "bucket": "_bucket"})
+    met = a.join(b, F.expr(f"bucket = _bucket and lo <= _hi and _lo <= hi and {condition}"))
+    return met.groupBy("name1", "name2").agg(F.sum(F.least("hi", "_hi") - F.greatest("lo", "_lo") + 1).alias("common"))
+
+
+PAIR = ["name1", "name2", "entries1", "entries2", "ips1", "ips2"]
+
+
+def _measured(pairs: DataFrame, shared: DataFrame) -> DataFrame:
+    """Pairs with sizes, and their combined and common addresses; no overlap counts as 0."""
+    joined = pairs.join(shared, ["name1", "name2"], "left").withColumn("common", F.coalesce("common", F.lit(0).cast("long")))
+    return joined.select(*PAIR, (F.col("ips1") + F.col("ips2") - F.col("common")).alias("combined"), "common")
+
+
+def _one(feeds: DataFrame, side: int) -> DataFrame:
+    return feeds.withColumnRenamed("feed", f"name{side}")
+
+
 def compare(optimized: DataFrame) -> DataFrame:
-    """All unordered pairs of feeds with sizes, combined and common addresses; no overlap counts as 0."""
+    """All unordered pairs of feeds; the pairs are as many as the catalog's feeds make, whatever the ranges."""
     sizes = summary(optimized)
-    right = optimized.withColumnRenamed("feed", "name2")
-    shared = (overlaps(optimized.withColumnRenamed("feed", "name1"), right).where("name1 < name2")
-              .groupBy("name1", "name2").agg(F.sum(size()).alias("common")))
-    pairs = (sizes.toDF("name1", "entries1", "ips1").join(sizes.toDF("name2", "entries2", "ips2"), F.col("name1") < F.col("name2"))
-             .join(shared, ["name1", "name2"], "left").withColumn("common", F.coalesce("common", F.lit(0).cast("long"))))
-    return pairs.select("name1", "name2", "entries1", "entries2", "ips1", "ips2", (F.col("ips1") + F.col("ips2") - F.col("common")).alias("combined"), "common")
+    pairs = sizes.toDF("name1", "entries1", "ips1").join(sizes.toDF("name2", "entries2", "ips2"), F.col("name1") < F.col("name2"))
+    return _measured(pairs, _shared(_one(optimized, 1), _one(optimized, 2), "name1 < name2"))
+
+
+def compare_between(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Every feed of the first table with every feed of the second."""
+    pairs = summary(before).toDF("name1", "entries1", "ips1").crossJoin(summary(after).toDF("name2", "entries2", "ips2"))
+    return _measured(pairs, _shared(_one(before, 1), _one(after, 2)))
+
+
+def compare_pairs(optimized: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The pairs ``name1, name2`` that are asked for; a name without ranges has no row."""
+    wanted = wanted.select("name1", "name2").distinct()
+    sizes = summary(optimized)
+    pairs = wanted.join(sizes.toDF("name1", "entries1", "ips1"), "name1").join(sizes.toDF("name2", "entries2", "ips2"), "name2")
+    left = _one(optimized, 1).join(wanted.select("name1").distinct(), "name1", "left_semi")
+    right = _one(optimized, 2).join(wanted.select("name2").distinct(), "name2", "left_semi")
+    return _measured(pairs, _shared(left, right))
+
+
+def compose(ranges: DataFrame, includes: list[str], excludes: list[str] = (), most: int = 20, feed: str = "composed") -> DataFrame:
+    """The union of some feeds less the union of others; both lists are bounded by ``most``."""
+    if not includes or max(len(includes), len(excludes)) > most:
+        raise ValueError(f"from 1 to {most} feeds can be included, and up to {most} excluded")
+    kept = ranges.where(F.col("feed").isin(list(includes)))
+    return exclude(kept, ranges.where(F.col("feed").isin(list(excludes))), feed) if excludes else union(kept, feed)
+
+
+def expression(ranges: DataFrame, text: str, feed: str = "composed") -> DataFrame:
+    """A composition written as ``a + b - c``; every sign separates names."""
+    signed = [(sign or "+", name.strip()) for sign, name in re.findall(r"([+-]?)([^+-]+)", text) if name.strip()]
+    if not signed or signed[0][0] == "-":
+        raise ValueError(f"no feed is included in {text!r}")
+    return compose(ranges, [n for s, n in signed if s == "+"], [n for s, n in signed if s == "-"], feed=feed)
+
+
+def exclude_next(ranges: DataFrame, before: list[str], after: list[str], feed: str = "exclude") -> DataFrame:
+    """The feeds of the first list merged, less each of the second; a set less several is less their union."""
+    return exclude(ranges.where(F.col("feed").isin(before)), ranges.where(F.col("feed").isin(after)), feed)
+
+
+def merged(ranges: DataFrame, merges: DataFrame, states: DataFrame) -> DataFrame:
+    """Curated merges: ``feed, lo, hi`` of each merge of ``merges(merge, input, subtract)``.
+
+    ``states`` has ``feed, enabled, health``. Additive inputs that are disabled, archived or
+    unmaintained are left out; a merge without an eligible input has no rows, and one with a
+    subtractive input that is disabled, archived, unavailable or unknown is left out whole.
+    """
+    known = merges.join(states.withColumnRenamed("feed", "input"), "input", "left")
+    out = F.coalesce(~F.col("enabled"), F.lit(True)) | F.coalesce(F.col("health").isin("archived", "unmaintained"), F.lit(True))
+    lost = known.where(F.col("subtract") & (F.coalesce(~F.col("enabled"), F.lit(True)) | F.coalesce(F.col("health").isin("archived", "unavailable"), F.lit(True)))).select("merge").distinct()
+    usable = known.where(F.col("subtract") | ~out).join(lost, "merge", "left_anti").select("merge", "input", "subtract")
+    named = ranges.withColumnRenamed("feed", "input").join(usable, "input")
+    edges = clip(named.select("merge", "subtract", "lo", "hi"), BUCKET_BITS)
+    sign = lambda side, d: F.when(F.col("subtract") == side, d).otherwise(0)
+    borders = edges.select("merge", "bucket", F.explode(F.array(*(F.struct(p.alias("p"), sign(F.lit(False), d).alias("a"), sign(F.lit(True), d).alias("b")) for p, d in ((F.col("lo"), 1), (F.col("hi") + 1, -1))))).alias("e"))
+    summed = borders.groupBy("merge", "bucket", "e.p").agg(F.sum("e.a").alias("a"), F.sum("e.b").alias("b"))
+    w = Window.partitionBy("merge", "bucket").orderBy("p")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = summed.select(F.col("merge").alias("feed"), F.col("p").alias("lo"), (F.lead("p").over(w) - 1).alias("hi"), F.sum("a").over(upto).alias("a"), F.sum("b").over(upto).alias("b"))
+    return optimize(kept.where("hi is not null and a > 0 and b = 0"))
+
+
+def content_hash(optimized: DataFrame) -> DataFrame:
+    """``feed, sha256``: of the big-endian 32-bit bounds of the ranges in order, as hexadecimal text.
+
+    The digest is defined over a feed's whole sequence, so a feed's bounds pass through one row.
+    """
+    pair = F.concat(F.lpad(F.hex("lo"), 8, "0"), F.lpad(F.hex("hi"), 8, "0"))
+    ordered = optimized.groupBy("feed").agg(F.sort_array(F.collect_list(F.struct("lo", pair.alias("pair")))).alias("s"))
+    return ordered.select("feed", F.sha2(F.unhex(F.array_join(F.transform("s", lambda x: x["pair"]), "")), 256).alias("sha256"))
 
 
 def to_cidrs(optimized: DataFrame) -> DataFrame:
@@ -162,6 +249,64 @@ def to_cidrs(optimized: DataFrame) -> DataFrame:
     return (cut.where(inside).select("feed", F.explode(F.array_distinct(starts)).alias("lo"), (32 - F.col("k")).alias("prefix")))
 
 
+def enabled_cidrs(optimized: DataFrame, prefixes: list[int]) -> DataFrame:
+    """Blocks of the enabled lengths only: others are cut to the next longer one; what would need a longer one than any is dropped."""
+    enabled = sorted(set(prefixes))
+    if not all(0 <= p <= 32 for p in enabled):
+        raise ValueError("prefix lengths are from 0 to 32")
+    longer = F.lit(None).cast("int")
+    for p in reversed(enabled):
+        longer = F.when(F.col("prefix") <= p, F.lit(p)).otherwise(longer)
+    cut = to_cidrs(optimized).withColumn("to", longer).where("to is not null")
+    step = F.pow(F.lit(2.0), 32 - F.col("to")).cast("bigint")
+    parts = F.sequence(F.lit(0).cast("bigint"), F.pow(F.lit(2.0), F.col("to") - F.col("prefix")).cast("bigint") - 1)
+    return cut.select("feed", "lo", F.explode(parts).alias("i"), step.alias("step"), "to").select("feed", (F.col("lo") + F.col("i") * F.col("step")).alias("lo"), F.col("to").alias("prefix"))
+
+
+def prefix_counts(optimized: DataFrame) -> DataFrame:
+    """``feed, prefix, blocks``."""
+    return to_cidrs(optimized).groupBy("feed", "prefix").agg(F.count(F.lit(1)).alias("blocks"))
+
+
+def reduced_prefixes(counts: dict[int, int], percent: int, least: int) -> list[int]:
+    """The lengths that stay enabled when the cheapest ones are given up until the blocks would exceed their budget.
+
+    ``counts`` has the blocks of each length. Giving up a length turns its blocks into blocks of the
+    next longer one in use; the budget is ``percent`` of the blocks, and ``least`` at least.
+    """
+    left = {p: n for p, n in sorted(counts.items()) if n > 0}
+    total = sum(left.values())
+    budget = max(total * percent // 100, least)
+    while total < budget:
+        used = sorted(left)
+        steps = [(left[p] * ((1 << q - p) - 1), p, q) for p, q in zip(used, used[1:])]
+        price, p, q = min(steps, default=(budget * 10, 0, 0))
+        if price >= budget * 10 or total + price > budget:
+            break
+        left[q] += price + left.pop(p)
+        total += price
+    return sorted(left)
+
+
+def reduce_prefixes(optimized: DataFrame, percent: int = 120, least: int = 16384) -> DataFrame:
+    """``feed, prefix`` of the lengths that stay enabled; a feed has at most 33 rows to decide by."""
+    def decide(rows):
+        import pandas as pd
+
+        stay = reduced_prefixes(dict(zip(rows["prefix"].tolist(), rows["blocks"].tolist(), strict=True)), percent, least)
+        return pd.DataFrame({"feed": [rows["feed"].iloc[0]] * len(stay), "prefix": stay})
+
+    return prefix_counts(optimized).groupBy("feed").applyInPandas(decide, "feed string, prefix int")
+
+
+def body(optimized: DataFrame, single: bool = False) -> DataFrame:
+    """``feed, lo, line``: the canonical lines of a feed, blocks (an address alone without its length) or single addresses."""
+    if single:
+        return to_ips(optimized).select("feed", F.col("ip").alias("lo"), ip_text(F.col("ip")).alias("line"))
+    length = F.when(F.col("prefix") < 32, F.concat(F.lit("/"), "prefix")).otherwise("")
+    return to_cidrs(optimized).select("feed", "lo", F.concat(ip_text(F.col("lo")), length).alias("line"))
+
+
 def ip_text(ip: Column) -> Column:
     """Dotted quad of an address."""
     return F.concat_ws(".", *(F.shiftright(ip, s).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0)))

@@ -23,7 +23,7 @@ SNAPSHOTS = """SELECT event_type AS feed, {day} AS ts, CAST(user_id AS bigint) *
 SNAPSHOTS_DUCKDB = SNAPSHOTS.replace("{day}", "CAST(epoch(date_trunc('day', ts)) AS bigint)")
 SNAPSHOTS_SPARK = SNAPSHOTS.replace("{day}", "CAST(unix_timestamp(date_trunc('day', ts)) AS bigint)")
 #: A catalog of feeds; every state column follows from the key.
-CATALOG = """SELECT s_name AS feed, CAST(s_suppkey AS bigint) AS feed_no, concat('cat_', CAST(s_suppkey % 4 AS string)) AS category,
+CATALOG = """SELECT s_name AS feed, CAST(s_suppkey AS bigint) AS feed_no, CASE s_suppkey % 4 WHEN 0 THEN 'intrusion' WHEN 1 THEN 'policy_risk' WHEN 2 THEN 'special_use' ELSE 'other' END AS category,
   CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE concat('Maintainer ', CAST(s_suppkey % 7 AS string), ' & Co.') END AS maintainer,
   CAST(s_suppkey * 37 % 1000 AS bigint) AS entries, CAST(s_suppkey * 91 % 5000 AS bigint) AS unique_ips,
   CAST(60 * (1 + s_suppkey % 48) AS bigint) AS avg_update_mins, CAST(s_suppkey * 7919 % 60000 AS bigint) AS idle_mins,
@@ -31,6 +31,20 @@ CATALOG = """SELECT s_name AS feed, CAST(s_suppkey AS bigint) AS feed_no, concat
   CAST(s_suppkey % 9 AS bigint) AS observed, s_suppkey % 11 = 0 AS age_excluded, s_suppkey % 13 <> 0 AS published,
   concat('N', CAST(s_nationkey AS string)) AS country, 64512 + CAST(s_suppkey % 40 AS bigint) AS asn FROM supplier"""
 
+IP = "CAST(o_orderkey AS bigint) * 2654435761 % 4294967296"
+
+
+def quad(e: str) -> str:
+    """SQL of the dotted form of an address."""
+    return f"concat_ws('.', CAST(({e}) >> 24 AS string), CAST((({e}) >> 16) & 255 AS string), CAST((({e}) >> 8) & 255 AS string), CAST(({e}) & 255 AS string))"
+
+
+#: Address lines of every kind, k % 10 says which.
+LINES = f"""SELECT k AS key, CASE k % 10 WHEN 0 THEN {quad('ip')} WHEN 1 THEN concat({quad('ip')}, '/', CAST(k % 33 AS string)) WHEN 2 THEN concat({quad('ip')}, ' - ', {quad('ip + k % 1000')})
+  WHEN 3 THEN CAST(ip AS string) WHEN 4 THEN concat('0x', hex(ip)) WHEN 5 THEN concat({quad('ip')}, '/255.255.0.0') WHEN 6 THEN concat('  ', {quad('ip')}, ' # note; more')
+  WHEN 7 THEN concat('junk', CAST(k AS string)) WHEN 8 THEN concat({quad('ip + 1')}, '-', {quad('ip')}) ELSE concat('host', CAST(k AS string), '.example.org') END AS line
+FROM (SELECT CAST(o_orderkey AS bigint) AS k, {IP} % 4294000000 AS ip FROM orders) q"""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -11,10 +11,12 @@ from rangeloom.plans import bindings as b
 from rangeloom.plans.history_queries import RUNS, _churn
 from rangeloom.plans.interval_queries import PAIRS
 
-HEALTH = f"""cat AS ({b.CATALOG}), hc AS (SELECT *, greatest(failing_mins, idle_mins) AS worst FROM cat),
-hl AS (SELECT * EXCLUDE (worst), CASE WHEN NOT published THEN 'unavailable' WHEN failing_mins > 0 AND worst >= 129600 THEN 'archived' WHEN failing_mins > 0 AND worst >= 20160 THEN 'unavailable'
-  WHEN entries = 0 THEN 'empty' WHEN age_excluded OR (observed <= 1 AND idle_mins < 43200) THEN 'healthy' WHEN idle_mins >= 20160 THEN 'unmaintained'
-  WHEN idle_mins >= 10080 THEN 'risky' WHEN idle_mins > greatest(avg_update_mins, 1440) THEN 'delayed' ELSE 'healthy' END AS health FROM hc)"""
+CATEGORY = lambda i: "CASE category " + " ".join(f"WHEN '{c}' THEN {v[i]}" for c, v in f.CADENCE_OF.items()) + f" ELSE {f.OTHER_CADENCE[i]} END"
+HEALTH = f"""cat AS ({b.CATALOG}), hc AS (SELECT *, greatest(failing_mins, idle_mins) AS worst, {CATEGORY(0)} AS healthy_mins, {CATEGORY(1)} AS risky_mins FROM cat),
+hf AS (SELECT *, CASE WHEN observed <= 1 THEN greatest(2 * risky_mins, {f.GRACE_MINS}) ELSE 2 * risky_mins END AS fail_mins, observed <= 1 AND idle_mins > 0 AND idle_mins < {f.GRACE_MINS} AS grace FROM hc),
+hl AS (SELECT * EXCLUDE (worst, healthy_mins, risky_mins, fail_mins, grace), CASE WHEN NOT published THEN 'unavailable' WHEN failing_mins > 0 AND worst >= fail_mins AND worst - fail_mins >= {f.ARCHIVAL_MINS} THEN 'archived'
+  WHEN failing_mins > 0 AND worst >= fail_mins THEN 'unavailable' WHEN entries = 0 THEN 'empty' WHEN age_excluded OR grace THEN 'healthy' WHEN idle_mins >= 2 * risky_mins THEN 'unmaintained'
+  WHEN idle_mins >= risky_mins THEN 'risky' WHEN idle_mins > greatest(avg_update_mins, healthy_mins) THEN 'delayed' ELSE 'healthy' END AS health FROM hf)"""
 BINS = "CASE " + " ".join(f"WHEN avg_update_mins < {m} THEN '{n}'" for m, n in f.CADENCES) + " ELSE '>4w' END"
 SLUG = "coalesce(nullif(regexp_replace(regexp_replace(lower(maintainer), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), ''), 'unknown')"
 
@@ -24,8 +26,9 @@ def register_all(register) -> None:
     register("health_class", lambda s, d: health(s, d).select("feed", "health"), f"WITH {HEALTH} SELECT feed, health FROM hl")
     register("cadence_bins", lambda s, d: b.catalog(s, d).groupBy(f.cadence(F.col("avg_update_mins")).alias("cadence")).count().withColumnRenamed("count", "feeds"),
              f"WITH {HEALTH} SELECT {BINS} AS cadence, count(*) AS feeds FROM cat GROUP BY 1")
-    register("retry_delay", lambda s, d: b.catalog(s, d).select("feed", f.retry_mins(F.col("avg_update_mins"), F.col("observed")).alias("retry_mins")),
-             f"WITH {HEALTH} SELECT feed, CAST(CASE WHEN observed <= 0 THEN 0 ELSE least(ceil(avg_update_mins / 16) * pow(2, observed - 1), 43200) END AS bigint) AS retry_mins FROM cat")
+    register("retry_delay", lambda s, d: health(s, d).select("feed", f.retry_mins(F.col("avg_update_mins"), F.col("observed"), F.col("health").isin("unmaintained", "archived")).alias("retry_mins")),
+             f"""WITH {HEALTH}, g AS (SELECT *, ceil(greatest(avg_update_mins, 1) / 16) * pow(2, observed - 1) AS grown FROM hl)
+             SELECT feed, CAST(CASE WHEN observed < 1 THEN greatest(avg_update_mins, 1) WHEN health IN ('unmaintained', 'archived') THEN least(grown, 43200) ELSE least(grown, avg_update_mins, 43200) END AS bigint) AS retry_mins FROM g""")
     for name, key in (("category_rollup", "category"), ("country_index", "country"), ("asn_index", "asn")):
         register(name, lambda s, d, key=key: f.rollup(health(s, d).where("health in ('healthy', 'delayed')"), key),
                  f"""WITH {HEALTH} SELECT {key}, count(*) AS feeds, CAST(sum(unique_ips) AS bigint) AS ips, count(DISTINCT CASE WHEN maintainer <> '' THEN maintainer END) AS maintainers
@@ -35,16 +38,19 @@ def register_all(register) -> None:
     register("top_n_other", lambda s, d: f.top_with_other(b.catalog(s, d).groupBy("country").agg(F.sum("unique_ips").alias("ips")), "country", "ips", 5),
              f"""WITH {HEALTH}, t AS (SELECT country, CAST(sum(unique_ips) AS bigint) AS ips, row_number() OVER (ORDER BY sum(unique_ips) DESC, country) AS n FROM cat GROUP BY country)
              SELECT country, ips FROM t WHERE n <= 5 UNION ALL SELECT 'other', CAST(sum(ips) AS bigint) FROM t WHERE n > 5 HAVING count(*) > 0""")
-    register("find_feeds", lambda s, d: f.find(health(s, d), text="supplier", category="cat_1", health_in=("healthy", "risky"), min_ips=100).select("feed", "health", "unique_ips"),
-             f"WITH {HEALTH} SELECT feed, health, unique_ips FROM hl WHERE contains(lower(feed), 'supplier') AND category = 'cat_1' AND health IN ('healthy', 'risky') AND unique_ips >= 100")
-    register("unique_share", lambda s, d: f.unique_share(iv.compare(iv.optimize(b.ranges_raw(s, d)))),
-             f"""{PAIRS}, both_ways AS (SELECT name1 AS feed, ips1 AS ips, common FROM pairs UNION ALL SELECT name2, ips2, common FROM pairs),
-             m AS (SELECT feed, ips, max(common) AS max_common, count(*) AS samples FROM both_ways GROUP BY 1, 2)
-             SELECT *, round(CASE WHEN ips = 0 OR max_common >= ips THEN 0 ELSE 100.0::double * (ips - max_common) / ips END, 4) AS percent FROM m""")
-    register("insight_churn", lambda s, d: f.high_churn(_churn(s, d)),
-             f"""WITH {RUNS}, l AS (SELECT feed, list_sort(list((added + removed) / greatest(unique_ips, 1))) AS s FROM churn GROUP BY feed), m AS (SELECT feed, round(s[len(s) // 2 + 1], 6) AS median FROM l WHERE len(s) >= 5)
-             SELECT feed, median, CASE WHEN median > 0.5 THEN 'churn_high' WHEN median < 0.05 THEN 'churn_low' ELSE 'churn_normal' END AS rule FROM m""")
-    register("insight_listed_age_p75", lambda s, d: f.percentile_of(h.retention_current(b.snapshots(s, d)), "feed", "hours", "ips", 0.75).withColumnRenamed("value", "hours_p75"),
-             f"""WITH {RUNS}, c AS (SELECT feed, (last_ts + 1800 - added_at) // 3600 AS hours, count(*) AS ips FROM runs WHERE removed_at IS NULL GROUP BY 1, 2),
-             r AS (SELECT feed, hours, sum(ips) OVER (PARTITION BY feed ORDER BY hours) AS run, greatest(floor(sum(ips) OVER (PARTITION BY feed) * 0.75), 1) AS need FROM c)
-             SELECT feed, min(hours) AS hours_p75 FROM r WHERE run >= need GROUP BY feed""")
+    register("find_feeds", lambda s, d: f.find(health(s, d), text="supplier", category="policy_risk", health_in=("healthy", "risky"), min_ips=100).select("feed", "health", "unique_ips"),
+             f"WITH {HEALTH} SELECT feed, health, unique_ips FROM hl WHERE contains(lower(feed), 'supplier') AND category = 'policy_risk' AND health IN ('healthy', 'risky') AND unique_ips >= 100")
+    feeds = lambda s, d: iv.summary(iv.optimize(b.ranges_raw(s, d))).select("feed", "unique_ips", F.expr("CASE WHEN feed LIKE 'feed_A%' THEN 'Shared Co.' ELSE '' END AS maintainer"),
+        F.lit("primary").alias("provenance"), (F.col("feed") == "feed_NF").alias("hidden"), F.lit(False).alias("reference"), F.array(F.expr("CASE WHEN feed LIKE 'feed_R%' THEN 'leaf_r' ELSE feed END")).alias("leaves"))
+    register("unique_share", lambda s, d: f.unique_share(iv.compare(iv.optimize(b.ranges_raw(s, d))), feeds(s, d)),
+             f"""{PAIRS}, both_ways AS (SELECT name1 AS feed, name2 AS peer, common FROM pairs UNION ALL SELECT name2, name1, common FROM pairs),
+             ok AS (SELECT * FROM both_ways WHERE peer <> 'feed_NF' AND NOT (feed LIKE 'feed_A%' AND peer LIKE 'feed_A%') AND NOT (feed LIKE 'feed_R%' AND peer LIKE 'feed_R%')),
+             m AS (SELECT sz.feed, ips, coalesce(max(common), 0) AS max_common, count(common) AS samples FROM sz LEFT JOIN ok ON ok.feed = sz.feed GROUP BY 1, 2)
+             SELECT *, round(CASE WHEN ips = 0 THEN 0 WHEN samples = 0 THEN 100 WHEN max_common >= ips THEN 0 ELSE 100.0::double * (ips - max_common) / ips END, 4) AS percent FROM m""")
+    register("cadence_floor", lambda s, d: f.cadence_floor(h.sizes(b.snapshots(s, d))),
+             f"WITH {RUNS}, g AS (SELECT feed, list_sort(list(gap)) AS s FROM (SELECT feed, ts - lag(ts) OVER (PARTITION BY feed ORDER BY ts) AS gap FROM hist) q WHERE gap > 0 GROUP BY feed) SELECT feed, s[len(s) // 2 + 1] AS seconds FROM g")
+    register("activity_buckets", lambda s, d: f.activity(h.sizes(b.snapshots(s, d)), h.changesets(b.snapshots(s, d)), 7 * 86400, above=10).select("feed", "ts", F.round("ips", 4).alias("ips"), "added", "removed", F.round("churn", 4).alias("churn")),
+             f"""WITH {RUNS}, j AS (SELECT c.*, unique_ips, count(*) OVER (PARTITION BY c.feed) AS n FROM chg c JOIN hist ON hist.feed = c.feed AND hist.ts = c.ts),
+             k AS (SELECT feed, CASE WHEN n > 10 THEN (ts + 62135596800) // 604800 * 604800 - 62135596800 ELSE ts END AS ts, added, removed, unique_ips FROM j),
+             a AS (SELECT feed, ts, avg(unique_ips) AS ips, CAST(sum(added) AS bigint) AS added, CAST(sum(removed) AS bigint) AS removed FROM k GROUP BY 1, 2)
+             SELECT feed, ts, round(ips, 4) AS ips, added, removed, round(100.0::double * (added + removed) / ips, 4) AS churn FROM a""")

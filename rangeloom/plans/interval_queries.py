@@ -74,3 +74,40 @@ def register_all(register) -> None:
     register("range_lines", lambda s, d: iv.optimize(b.ranges_raw(s, d)).select("feed", iv.range_text().alias("line")),
              f"""WITH {OPTIMIZED} SELECT feed, concat_ws('.', lo >> 24, (lo >> 16) & 255, (lo >> 8) & 255, lo & 255) || '-' || concat_ws('.', hi >> 24, (hi >> 16) & 255, (hi >> 8) & 255, hi & 255) AS line FROM opt""")
     register("single_ips", lambda s, d: iv.to_ips(iv.optimize(b.ranges_raw(s, d))), f"WITH {OPTIMIZED} SELECT feed, unnest(range(lo, hi + 1)) AS ip FROM opt")
+
+    every = lambda s, d: iv.optimize(b.ranges_raw(s, d))
+    register("compare_next", lambda s, d: iv.compare_between(every(s, d).where("feed < 'feed_B'"), every(s, d).where("feed > 'feed_B'")),
+             f"""WITH {OPTIMIZED}, sz AS (SELECT feed, count(*) AS entries, CAST(sum(hi - lo + 1) AS bigint) AS ips FROM opt GROUP BY feed),
+             ov AS (SELECT x.feed AS f1, y.feed AS f2, CAST(sum(least(x.hi, y.hi) - greatest(x.lo, y.lo) + 1) AS bigint) AS common FROM opt x JOIN opt y ON x.lo <= y.hi AND y.lo <= x.hi AND x.feed < 'feed_B' AND y.feed > 'feed_B' GROUP BY 1, 2)
+             SELECT p.feed AS name1, q.feed AS name2, p.entries AS entries1, q.entries AS entries2, p.ips AS ips1, q.ips AS ips2, p.ips + q.ips - coalesce(common, 0) AS combined, coalesce(common, 0) AS common
+             FROM sz p JOIN sz q ON p.feed < 'feed_B' AND q.feed > 'feed_B' LEFT JOIN ov ON f1 = p.feed AND f2 = q.feed""")
+    asked = "SELECT * FROM (VALUES ('feed_AF', 'feed_RF'), ('feed_RO', 'feed_AO'), ('feed_AF', 'nowhere'), ('feed_AF', 'feed_RF')) t(name1, name2)"
+    register("compare_pairs", lambda s, d: iv.compare_pairs(every(s, d), s.sql(asked)),
+             f"""{PAIRS}, both_ways AS (SELECT * FROM pairs UNION ALL SELECT name2, name1, entries2, entries1, ips2, ips1, combined, common FROM pairs)
+             SELECT DISTINCT w.* FROM both_ways w JOIN ({asked}) a ON a.name1 = w.name1 AND a.name2 = w.name2""")
+
+    def composed(plus: str, minus: str, feed: str) -> str:
+        """SQL of the ranges that some feeds have and others don't."""
+        return f"""WITH raw AS ({b.RANGES_RAW}), ev AS (SELECT lo AS p, CASE WHEN {plus} THEN 1 ELSE 0 END AS da, CASE WHEN {minus} THEN 1 ELSE 0 END AS db FROM raw
+             UNION ALL SELECT hi + 1, CASE WHEN {plus} THEN -1 ELSE 0 END, CASE WHEN {minus} THEN -1 ELSE 0 END FROM raw), pt AS (SELECT p, sum(da) AS da, sum(db) AS db FROM ev GROUP BY p),
+             seg AS (SELECT p AS lo, lead(p) OVER (ORDER BY p) - 1 AS hi, sum(da) OVER (ORDER BY p) AS a, sum(db) OVER (ORDER BY p) AS b FROM pt),
+             kept AS (SELECT lo, hi FROM seg WHERE a > 0 AND b = 0) {coalesced('kept', feed)}"""
+
+    register("exclude_next", lambda s, d: iv.exclude_next(b.ranges_raw(s, d), ["feed_AF", "feed_AO"], ["feed_NF", "feed_RO"]), composed("feed IN ('feed_AF', 'feed_AO')", "feed IN ('feed_NF', 'feed_RO')", "exclude"))
+    register("compose_expression", lambda s, d: iv.expression(b.ranges_raw(s, d), "feed_AF + feed_RF - feed_NO"), composed("feed IN ('feed_AF', 'feed_RF')", "feed = 'feed_NO'", "composed"))
+    states = "SELECT * FROM (VALUES ('feed_AF', true, 'healthy'), ('feed_AO', true, 'archived'), ('feed_NF', false, 'healthy'), ('feed_NO', true, 'risky'), ('feed_RF', true, 'delayed'), ('feed_RO', true, 'unavailable')) t(feed, enabled, health)"
+    wanted = """SELECT * FROM (VALUES ('one', 'feed_AF', false), ('one', 'feed_AO', false), ('one', 'feed_RF', true), ('two', 'feed_RF', false), ('two', 'feed_RO', true), ('three', 'feed_NF', false),
+             ('four', 'feed_NO', false), ('four', 'feed_AF', false)) t(merge, input, subtract)"""
+    register("merged_feeds", lambda s, d: iv.merged(b.ranges_raw(s, d), s.sql(wanted), s.sql(states)),
+             f"""SELECT * FROM ({composed("feed = 'feed_AF'", "feed = 'feed_RF'", "one")}) q UNION ALL SELECT * FROM ({composed("feed IN ('feed_NO', 'feed_AF')", "feed = ''", "four")}) r""")
+    blocks = """WITH RECURSIVE {opt}, step(feed, pos, hi, w) AS (SELECT feed, lo, hi, (SELECT max(1::bigint << k) FROM range(0, 33) t(k) WHERE lo % (1::bigint << k) = 0 AND lo + (1::bigint << k) - 1 <= hi) FROM opt
+             UNION ALL SELECT feed, pos + w, hi, (SELECT max(1::bigint << k) FROM range(0, 33) t(k) WHERE (pos + w) % (1::bigint << k) = 0 AND pos + w + (1::bigint << k) - 1 <= hi) FROM step WHERE pos + w <= hi),
+             cidr AS (SELECT feed, pos AS lo, w, CAST(32 - round(log2(w)) AS integer) AS prefix FROM step)""".replace("{opt}", OPTIMIZED)
+    text = "concat_ws('.', lo >> 24, (lo >> 16) & 255, (lo >> 8) & 255, lo & 255)"
+    register("cidr_lines", lambda s, d: iv.body(every(s, d)), f"{blocks} SELECT feed, lo, CASE WHEN prefix = 32 THEN {text} ELSE {text} || '/' || prefix END AS line FROM cidr")
+    register("cidrs_of_enabled_lengths", lambda s, d: iv.enabled_cidrs(every(s, d), [8, 16, 27, 30, 31]),
+             f"""{blocks}, t AS (SELECT *, CASE WHEN prefix <= 8 THEN 8 WHEN prefix <= 16 THEN 16 WHEN prefix <= 27 THEN 27 WHEN prefix <= 30 THEN 30 WHEN prefix <= 31 THEN 31 END AS q FROM cidr)
+             SELECT feed, lo + (1::bigint << (32 - q)) * i AS lo, q AS prefix FROM (SELECT *, unnest(range(0, 1::bigint << (q - prefix))) AS i FROM t WHERE q IS NOT NULL) u""")
+    register("reduced_prefixes", lambda s, d: iv.reduce_prefixes(every(s, d), percent=150, least=0))
+    register("content_hash", lambda s, d: iv.content_hash(every(s, d)),
+             f"WITH {OPTIMIZED} SELECT feed, sha256(unhex(string_agg(printf('%08X%08X', lo, hi), '' ORDER BY lo))) AS sha256 FROM opt GROUP BY feed")
