@@ -5,15 +5,20 @@ document by a vector of transformed statistics, estimates centre and scatter of
 (lang, source) by the minimum covariance determinant, and rejects a document whose Mahalanobis
 distance from its own group is beyond ``CUTOFF``.
 
-The estimate starts from coordinate-wise medians and deviations and repeats concentration steps: of
-each group the ``SHARE`` of rows nearest to the present centre, by the present scatter, gives the
-next one. Distances are cut on a logarithmic grid, and vectors are fixed-point numbers whose sums
+The estimate starts three times: from coordinate-wise medians with quartile ranges, from the same medians
+with the least deviations, and from the plain mean and covariance. Each start repeats concentration steps: the
+``SHARE`` of rows nearest to the present centre, by the present scatter, gives the next one. After two
+steps a group goes on with the start of the least determinant, until the determinant falls no more. Distances are
+cut on a logarithmic grid, and vectors are fixed-point numbers whose sums
 are exact, so results don't depend on the order of rows. Groups are only ever aggregated, so a
-group may hold any share of the rows.
+group may hold any share of the rows; the tables of groups are broadcast where their size is checked.
 
 Null texts have no words. Null lang and source form groups of their own. Groups with fewer than
 ``LEAST_ROWS`` vectors are judged by the estimate of all vectors of their lang, and where these are
 fewer too, by that of all vectors. Only a corpus with fewer in all has nothing to judge by.
+Every row is judged by its own text, so rows that repeat a doc_id or have none get results of their
+own; equal texts of one group get equal ones, and a distance of exactly ``CUTOFF`` is kept. Other columns
+of the input are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,10 +26,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rangeloom.llm.common import written
+from rangeloom.llm.common import sized, written
 
-SHARE, STEPS, LEAST_ROWS = 0.75, 4, 40
-#: Squared distance beyond which a vector is an outlier.
+SHARE, LEAST_ROWS = 0.75, 40
+#: Concentration steps of all starts, and of the best one at most; a fall of the log determinant that still counts.
+FIRST_STEPS, STEPS, FALL = 2, 20, 1e-3
+#: Squared distance beyond which a vector is an outlier: about three times the 99.9 % quantile of
+#: chi-square with five degrees of freedom (20.5), as counts of symbols and repeats have heavier tails than normal ones.
 CUTOFF = 60.0
 #: Fixed-point steps of a unit.
 GRID = 256
@@ -107,7 +115,8 @@ def _estimate(rows: DataFrame, keys: list[str], d: int, inflate: Column) -> Data
     covariance = lambda i, j: (F.col(f"q_{i}_{j}") - F.col(f"s_{i}") * F.col(f"s_{j}") / F.col("n")) / F.col("n") * inflate
     moments = moments.select(*keys, "n", *((F.col(f"s_{i}") / F.col("n")).alias(f"m_{i}") for i in range(d)),
                              *((F.greatest(covariance(i, j), F.lit(FLOORS[i])) if i == j else covariance(i, j)).alias(f"c_{i}_{j}") for i in range(d) for j in range(i + 1)))
-    return _with_cholesky(moments, d).select(*keys, *(f"m_{i}" for i in range(d)), *(f"l_{i}_{j}" for i in range(d) for j in range(i + 1)))
+    factor = _with_cholesky(moments, d).select(*keys, *(f"m_{i}" for i in range(d)), *(f"l_{i}_{j}" for i in range(d) for j in range(i + 1)))
+    return factor.withColumn("logdet", 2 * sum((F.log(f"l_{i}_{i}") for i in range(1, d)), F.log("l_0_0")))
 
 
 #: An estimate's key: 0 for a (lang, source), 1 for a lang, 2 for all rows.
@@ -128,30 +137,51 @@ def judges(rows: DataFrame) -> DataFrame:
     return asked.join(enough, "key").groupBy("g_lang", "g_source").agg(F.min("key").alias("key")).select("g_lang", "g_source", "key.*")
 
 
+def concentrated(rows: DataFrame, groups: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """One concentration step: the estimates of the ``share`` of each group's rows that are nearest by the given ones."""
+    d, of = len(VECTOR), [*keys, "start"]
+    # A normal sample's share of nearest rows has a smaller scatter; the factor puts it back (chi-square of 5 degrees, as a table).
+    inflate = F.lit({0.5: 2.03, 0.75: 1.42, 0.9: 1.17}.get(share, 1.0))
+    near = rows.join(sized(groups.drop("logdet")), keys).withColumn("bin", F.floor(F.log2(_squared_distance([F.col(v) for v in VECTOR], d) + 2.0 ** -10) * 32).cast("int"))
+    per_bin = near.groupBy(*of, "bin").agg(F.count(F.lit(1)).alias("k"))
+    w = Window.partitionBy(*of)
+    cut = (per_bin.withColumn("below", F.sum("k").over(w.orderBy("bin"))).withColumn("all", F.sum("k").over(w))
+           .where(F.col("below") >= F.ceil(F.col("all") * share)).groupBy(*of).agg(F.min("bin").alias("cut")))
+    cut = sized(written(cut, "mcd"))
+    return written(_estimate(near.join(cut, of).where("bin <= cut").select(*of, *VECTOR), of, d, inflate), "mcd")
+
+
 def scatter(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
     """Robust centre and scatter for each (g_lang, g_source): columns m_i and l_i_j, a row per group.
 
-    Every table here but ``rows`` has a row per group or estimate, and is written after every step;
-    joins with it are left to the sizes that Spark measures.
+    Every table here but ``rows`` has a row per group or estimate, and is written after every step.
     """
     keys, d = KEYS, len(VECTOR)
     judged_by = written(judges(rows), "mcd")
     asked = written(judged_by.select(*keys).distinct(), "mcd")
-    rows = rows.select(*VECTOR, F.explode(F.array(*(_key(level) for level in range(3)))).alias("key")).select("key.*", *VECTOR).join(asked, keys, "left_semi")
-    big = rows.groupBy(*keys).agg(*(F.percentile(v, F.lit([0.25, 0.5, 0.75])).alias(f"q_{i}") for i, v in enumerate(VECTOR)))
+    rows = rows.select(*VECTOR, F.explode(F.array(*(_key(level) for level in range(3)))).alias("key")).select("key.*", *VECTOR).join(sized(asked), keys, "left_semi")
+    quartiles = rows.groupBy(*keys).agg(*(F.percentile(v, F.lit([0.25, 0.5, 0.75])).alias(f"q_{i}") for i, v in enumerate(VECTOR)))
     wide = lambda i: F.greatest((F.get(f"q_{i}", F.lit(2)) - F.get(f"q_{i}", F.lit(0))) / 1.349, F.lit(FLOORS[i] ** 0.5))
-    groups = written(big.select(*keys, *(F.get(f"q_{i}", F.lit(1)).alias(f"m_{i}") for i in range(d)), *((wide(i) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i in range(d) for j in range(i + 1))), "mcd")
-    # A normal sample's share of nearest rows has a smaller scatter; the factor puts it back (chi-square of 5 degrees, as a table).
-    inflate = F.lit({0.5: 2.03, 0.75: 1.42, 0.9: 1.17}.get(share, 1.0))
-    for _ in range(steps):
-        near = rows.join(groups, keys).withColumn("bin", F.floor(F.log2(_squared_distance([F.col(v) for v in VECTOR], d) + 2.0 ** -10) * 32).cast("int"))
-        per_bin = near.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("k"))
-        w = Window.partitionBy(*keys)
-        cut = (per_bin.withColumn("below", F.sum("k").over(w.orderBy("bin"))).withColumn("all", F.sum("k").over(w))
-               .where(F.col("below") >= F.ceil(F.col("all") * share)).groupBy(*keys).agg(F.min("bin").alias("cut")))
-        cut = written(cut, "mcd")
-        groups = written(_estimate(near.join(cut, keys).where("bin <= cut").select(*keys, *VECTOR), keys, d, inflate), "mcd")
-    return written(judged_by.join(groups, keys).drop(*keys), "mcd")
+
+    def medians(start: int, deviation) -> DataFrame:
+        return quartiles.select(*keys, F.lit(start).alias("start"), *(F.get(f"q_{i}", F.lit(1)).alias(f"m_{i}") for i in range(d)),
+                                *((deviation(i) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i in range(d) for j in range(i + 1)))
+
+    plain = _estimate(rows, keys, d, F.lit(1.0)).drop("logdet").withColumn("start", F.lit(2))
+    starts = medians(0, wide).unionByName(medians(1, lambda i: F.lit(FLOORS[i] ** 0.5))).unionByName(plain)
+    groups = written(starts.withColumn("logdet", F.lit(float("inf"))), "mcd")
+    for step in range(steps):
+        new = concentrated(rows, groups, keys, share)
+        was = groups.select(*keys, "start", F.col("logdet").alias("was"))
+        still = new.join(was, [*keys, "start"]).where(F.col("was") - F.col("logdet") > FALL)
+        moved = not still.isEmpty()
+        if step + 1 == FIRST_STEPS:
+            best = new.groupBy(*keys).agg(F.min_by(F.struct(*new.drop(*keys).columns), F.struct("logdet", "start")).alias("best"))
+            new = written(best.select(*keys, "best.*"), "mcd")
+        groups = new
+        if not moved and step + 1 >= FIRST_STEPS:
+            break
+    return written(judged_by.join(groups, keys).drop(*keys, "start", "logdet"), "mcd")
 
 
 def verdicts(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
@@ -164,6 +194,6 @@ def verdicts(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
                     .withColumns({"g_lang": F.coalesce("lang", F.lit(missing)), "g_source": F.coalesce("source", F.lit(missing))}).drop("lang", "source"), "quality-stats")
     groups = scatter(stats.where("not base_failed").select("g_lang", "g_source", *VECTOR))
     distance = F.when(~F.col("base_failed"), _squared_distance([F.col(v) for v in VECTOR], len(VECTOR)))
-    judged = stats.join(groups, ["g_lang", "g_source"], "left").withColumn("distance", distance)
+    judged = stats.join(sized(groups), ["g_lang", "g_source"], "left").withColumn("distance", distance)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                          (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).alias("kept"), "distance")

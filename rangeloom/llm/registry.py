@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rangeloom.llm import jaccard_join, licenses, line_dedup, media, packing, quality_classifier, quality_rules, secrets, sentencepieces, toxicity
+from rangeloom.llm import jaccard_join, licenses, line_dedup, media, oracles, packing, quality_classifier, quality_rules, secrets, sentencepieces, toxicity
 from rangeloom.llm.common import documents
 
 
@@ -69,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()

@@ -145,3 +145,35 @@ def test_line_dedup_of_repeated_and_missing_ids_and_clashing_names(spark):
     assert [got[i]["n_removed"] for i in range(1, 9)] == [0, 3, 0, 0, 3, 3, 0, 0]
     kept = line_dedup.dedup(docs, counts=False)
     assert kept.columns == docs.columns and all(r["n_lines"] == 77 for r in kept.collect())
+
+
+def test_quality_rules_find_the_least_determinant(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    d, h = len(quality_rules.VECTOR), quality_rules.SHARE
+    clean = rng.normal(0, 2.0, (160, d)) @ np.triu(np.full((d, d), 0.4)) + 5
+    points = np.round(np.r_[clean, rng.normal(40, 1.0, (40, d))] * quality_rules.GRID) / quality_rules.GRID
+    rows = spark.createDataFrame([("en", "s", *map(float, p)) for p in points], "g_lang string, g_source string, " + ", ".join(f"{v} double" for v in quality_rules.VECTOR))
+    got = quality_rules.scatter(rows).first()
+    found = 2 * sum(np.log(got[f"l_{i}_{i}"]) for i in range(d))
+    best, count = np.inf, int(np.ceil(h * len(points)))
+    floors = np.array(quality_rules.FLOORS)
+    for start in range(60):
+        at = points[rng.choice(len(points), d + 3, replace=False)]
+        for _ in range(40):
+            m, c = at.mean(axis=0), np.cov(at.T, bias=True)
+            c = c + np.diag(np.maximum(floors - np.diag(c), 0))
+            z = np.linalg.solve(c, (points - m).T).T
+            at = points[np.argsort(((points - m) * z).sum(axis=1), kind="stable")[:count]]
+        best = min(best, np.linalg.slogdet(np.cov(at.T, bias=True) * 1.42)[1])
+    assert found <= best + 0.1
+    assert all(abs(got[f"m_{i}"] - clean[:, i].mean()) < 1.5 for i in range(d))
+
+
+def test_quality_rules_of_repeated_and_missing_ids_and_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    data = [(1, text, "en", "s", 5, 1.0), (1, text, "en", "s", 5, 1.0), (1, "short", "en", "s", 5, 1.0), (None, text, None, None, 5, 1.0), (None, None, "en", "s", 5, 1.0), (2, "a b " * 20_000, "en", "s", 5, 1.0)]
+    got = quality_rules.verdicts(spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_words long, distance double")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["base_failed"], r["kept"]) for r in got) == [
+        (0, 0, True, False), (0, 50, False, True), (1, 1, True, False), (1, 50, False, True), (1, 50, False, True), (2, 40_000, True, False)]

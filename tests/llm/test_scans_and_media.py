@@ -110,3 +110,29 @@ def test_packing_places_every_id_once(spark):
     used, sequences = sum(r["length"] for r in got), len({r["sequence_id"] for r in got})
     assert used >= 0.93 * 4096 * (sequences - 1)
     assert packing.pack(spark.createDataFrame([], SHAPE), path).collect() == []
+
+
+def test_random_tokens_are_told_from_names_that_no_model_has_seen(spark):
+    words = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = secrets.train(secrets.labelled_samples(words, spark, random_rows=2000))
+    rng = random.Random(99)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    drawn = ["".join(rng.choice(letters) for _ in range(rng.randrange(20, 50))) for _ in range(500)]
+    text = " ".join(r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(300).collect())
+    names = sorted({w for w in re.findall(r"[a-z]{4,}", text)})
+    joined = [f"{rng.choice(names)}_{rng.choice(names)}_{rng.choice(names)}" for _ in range(500)] + ["".join(rng.choice(names).title() for _ in range(3)) for _ in range(500)]
+    assert sum(secrets.ratio(t, model) >= secrets.RATIO for t in drawn) >= 490
+    assert sum(secrets.ratio(t, model) >= secrets.RATIO for t in joined) <= 5
+
+
+def test_secrets_and_packing_of_repeated_and_missing_ids_and_clashing_names(spark):
+    rows = [(None, "token=abcdef1", "x", 1), (None, "token=abcdef1", "x", 2), (1, None, "x", 3), (1, "a b", "x", 4), (1, "a b", "x", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, length long")
+    model = np.zeros((len(secrets.ALPHABET) + 1,) * 2)
+    got = secrets.report(secrets.scan(docs, model)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_assign"]) for r in got) == [(0, 1), (0, 1), (1, 0), (1, 0), (1, 0)]
+    kept = secrets.redact(docs, model)
+    assert kept.columns == docs.columns and sorted(r["length"] for r in kept.collect()) == [1, 2, 3, 4, 4]
+    packed = packing.pack(docs, registry.tokenizer_path("word_bpe_49k.json")).collect()
+    assert len(packed) == 5 and sum(r["doc_id"] is None for r in packed) == 2
+    assert packing.pack(docs.where("false"), registry.tokenizer_path("word_bpe_49k.json")).collect() == []
