@@ -32,11 +32,17 @@ def test_null_ids_and_no_rows(spark):
     assert sentencepieces.encode_and_check(spark.createDataFrame([], "doc_id long, text string"), path).collect() == []
 
 
-@pytest.mark.parametrize("text", ["hello", "tokenization", "aaaaaaaaaa"])
-def test_heap_and_fold_agree(spark, text):
-    from pyspark.sql import functions as F
-
+@pytest.mark.parametrize("text", ["hello", "tokenization", "aaaaaaaaaa", "x" * 2000])
+def test_fold_takes_the_best_edge_at_each_step(text):
     vocabulary = sentencepieces.Vocabulary(registry.tokenizer_path("piece_bpe_32k.model"))
-    found = sentencepieces.lattice(spark.createDataFrame([(text,)], "unit string"), vocabulary)
-    row = found.withColumn("cut", sentencepieces.folded("edges", F.char_length("unit"))).first()
-    assert row["cut"] == sentencepieces.merged_borders(len(text), row["edges"])
+    order = {score: i for i, score in enumerate(sorted({s for _, _, s in vocabulary.rows}, reverse=True))}
+    value = {p: order[s] << sentencepieces.ID_BITS | i for p, i, s in vocabulary.rows}
+    shift = sentencepieces.ORDER_BITS + sentencepieces.ID_BITS
+    edges = [(a << sentencepieces.LENGTH_BITS | k) << shift | value[text[a:a + k]] for a in range(len(text)) for k in range(2, vocabulary.longest + 1) if a + k <= len(text) and text[a:a + k] in value]
+    cut = list(range(len(text) + 1))
+    while True:
+        tried = [(value[text[cut[i]:cut[i + 2]]] >> sentencepieces.ID_BITS, i) for i in range(len(cut) - 2) if text[cut[i]:cut[i + 2]] in value]
+        if not tried:
+            break
+        del cut[min(tried)[1] + 1]
+    assert [a for a, _, _ in sentencepieces.folded(len(text), edges)] == cut[:-1]
