@@ -32,8 +32,9 @@ def following(ip: Column) -> Column:
 
 def number(text: Column) -> Column:
     """The address of an IPv6 text, or of a dotted quad as a mapped one; null for anything else."""
-    quad = F.concat(F.hex((ipv4_number(F.regexp_extract(text, f"({QUAD})$", 1)) / 65536).cast("bigint")), F.lit(":"), F.hex(F.pmod(ipv4_number(F.regexp_extract(text, f"({QUAD})$", 1)), F.lit(65536))))
-    plain = F.when(text.rlike(f"^{QUAD}$"), F.concat(F.lit("::ffff:"), quad)).when(text.rlike(f":{QUAD}$"), F.concat(F.regexp_replace(text, f"{QUAD}$", ""), quad)).otherwise(text)
+    as_groups = lambda x: F.concat(F.hex(F.floor(x / 65536)), F.lit(":"), F.hex(F.pmod(x, F.lit(65536))))
+    quad = let(ipv4_number(F.regexp_extract(text, f"({QUAD})$", 1)), as_groups)
+    plain = F.when(text.rlike(f"(?:^|:){QUAD}$"), F.concat(F.when(text.contains(":"), F.regexp_replace(text, f"{QUAD}$", "")).otherwise(F.lit("::ffff:")), quad)).otherwise(text)
 
     def joined(t: Column) -> Column:
         sides = F.split(t, "::", -1)
@@ -50,18 +51,17 @@ def text(ip: Column) -> Column:
     """The canonical text: lower case, no zeros in front, and the first longest run of two or more zero groups as ``::``; mapped addresses end in a dotted quad."""
     hex_half = lambda x: F.lpad(F.lower(F.conv(x.cast("string"), 10, 16)), 16, "0")
 
+    def shortened(joined: Column) -> Column:
+        out = joined
+        for n in range(2, 9):
+            run = rf"^(.*?)(?:^|:){':'.join('0' * n)}(?:$|:)(.*)$"
+            out = F.when(joined.rlike(run), F.regexp_replace(joined, run, "$1::$2")).otherwise(out)
+        return out
+
     def shown(h: Column) -> Column:
         groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.regexp_replace(F.substring(h, i * 4 + 1, F.lit(4)), "^0{1,3}", ""))
-        joined = F.array_join(groups, ":")
-        runs = [":".join(["0"] * n) for n in range(8, 1, -1)]
-        out = joined
-        for run in reversed(runs):
-            before = F.regexp_extract(joined, rf"^(.*?)(?:^|:){run}(?:$|:)", 1)
-            after = F.regexp_extract(joined, rf"^.*?(?:^|:){run}(?:$|:)(.*)$", 1)
-            out = F.when(joined.rlike(rf"(?:^|:){run}(?:$|:)"), F.concat(before, F.lit("::"), after)).otherwise(out)
-        low = F.conv(F.substring(h, 25, 8), 16, 10).cast("bigint")
-        quad = F.concat_ws(".", *(F.shiftright(low, s).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0)))
-        return F.when(F.startswith(h, F.lit("0" * 20 + "ffff")), F.concat(F.lit("::ffff:"), quad)).otherwise(out)
+        quad = lambda low: F.concat_ws(".", *(F.shiftright(low, s).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0)))
+        return F.when(F.startswith(h, F.lit("0" * 20 + "ffff")), F.concat(F.lit("::ffff:"), let(F.conv(F.substring(h, 25, 8), 16, 10).cast("bigint"), quad))).otherwise(let(F.array_join(groups, ":"), shortened))
 
     return let(F.concat(hex_half(ip["h"]), hex_half(ip["l"])), shown)
 
@@ -205,4 +205,4 @@ def symmetric_difference(left: DataFrame, right: DataFrame, feed: str = "diff")
 
 def range_text() -> Column:
     """``first-last``, or an address alone."""
-    return F.when(F.col("lo") == F.col("hi"), text(F.col("lo"))).otherwise(F.concat(text(F.col("lo")), F.lit("-"), text(F.col("hi"))))
+    return F.concat(text(F.col("lo")), F.when(F.col("lo") == F.col("hi"), F.lit("")).otherwise(F.concat(F.lit("-"), text(F.col("hi")))))

@@ -60,8 +60,8 @@ def register_all(register) -> None:
              x AS (SELECT feed, max(CASE WHEN tier = 'hard' THEN ips ELSE 0 END) AS hard, max(CASE WHEN tier = 'total' THEN ips ELSE 0 END) AS total FROM t GROUP BY feed)
              SELECT bog.feed, 'bogon_present' AS code, ips::double AS value FROM bog JOIN sz ON sz.feed = bog.feed WHERE n >= 100
              UNION ALL SELECT x.feed, 'infrastructure_present', CASE WHEN hard > 0 THEN hard ELSE total END FROM x JOIN sz ON sz.feed = x.feed WHERE hard > 0 OR (n >= 100 AND (total >= 10 OR total::double / n >= 0.0001))""")
-    register("insight_geography", lambda s, d: rules.geography(_sized(s, d), at.counts(_opt(s, d), b.geo(s, d).withColumn("code", F.expr("CASE WHEN code <= 'N17' THEN 'NA' ELSE code END")), "code")).select("feed", "code", F.round("value", 9).alias("value")),
-             f"""WITH {OPTIMIZED}, {sizes}, geo AS (SELECT CASE WHEN code <= 'N17' THEN 'NA' ELSE code END AS code, lo, hi FROM ({b.GEO}) g), c AS (SELECT o.feed, r.code, {SHARE} AS ips FROM opt o JOIN geo r ON {ON} GROUP BY 1, 2),
+    register("insight_geography", lambda s, d: rules.geography(_sized(s, d), at.counts(_opt(s, d), b.geo(s, d).withColumn("code", F.expr("CASE WHEN code <= 'N3' THEN 'NA' ELSE code END")), "code")).select("feed", "code", F.round("value", 9).alias("value")),
+             f"""WITH {OPTIMIZED}, {sizes}, geo AS (SELECT CASE WHEN code <= 'N3' THEN 'NA' ELSE code END AS code, lo, hi FROM ({b.GEO}) g), c AS (SELECT o.feed, r.code, {SHARE} AS ips FROM opt o JOIN geo r ON {ON} GROUP BY 1, 2),
              k AS (SELECT c.feed, ips::double / sum(ips) OVER (PARTITION BY c.feed) AS share, row_number() OVER (PARTITION BY c.feed ORDER BY ips DESC, code) AS place FROM c JOIN sz ON sz.feed = c.feed WHERE n >= 100),
              a AS (SELECT feed, count(*) AS n, max(share) AS top, sum(CASE WHEN place <= 3 THEN share END) AS top3 FROM k GROUP BY feed)
              SELECT feed, 'country_concentrated' AS code, round(top3, 9) AS value FROM a WHERE n >= 3 AND top3 > 0.7 AND top <= 0.95 UNION ALL SELECT feed, 'country_diverse', n FROM a WHERE n >= 50 AND top < 0.05

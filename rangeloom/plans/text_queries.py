@@ -50,8 +50,8 @@ def register_all(register) -> None:
              WHEN 5 THEN '1:2:3:4:5:6:7:8:9' WHEN 6 THEN concat({quad}, '/33') ELSE concat('1:2:3:4:5:6:', {quad}) END"""
     for name, step, test in (("filter_all4_lines", "filter_all4", "k % 8 IN (0, 1, 4)"), ("filter_ip6_lines", "filter_ip6", "k % 8 IN (2, 7)"), ("filter_net6_lines", "filter_net6", "k % 8 = 3"), ("filter_net4_lines", "filter_net4", "k % 8 IN (1, 3)")):
         steps(name, made(f"SELECT key, {kinds} AS line FROM ({base}) q"), (step, {}), oracle=f"SELECT key, {kinds} AS line FROM ({base}) q WHERE {test}")
-    register("parsed_lines", lambda s, d: text.parsed(text.lines(b.bound(s, d, b.LINES, "orders").withColumnRenamed("line", "body"))).select("key", "kind", "lo", "hi"),
+    register("parsed_lines", lambda s, d: text.parsed(text.lines(b.bound(s, d, b.LINES, "orders").withColumnRenamed("line", "body"))).select("key", "kind", iv.F.coalesce("lo", iv.F.lit(-1)).alias("lo"), iv.F.coalesce("hi", iv.F.lit(-1)).alias("hi")),
              f"""SELECT k AS key, CASE k % 10 WHEN 7 THEN 'rejected' WHEN 8 THEN 'reversed' WHEN 9 THEN 'hostname' ELSE 'range' END AS kind,
-             CASE k % 10 WHEN 1 THEN ip - ip % (1::bigint << (32 - k % 33)) WHEN 5 THEN ip - ip % 65536 WHEN 7 THEN NULL WHEN 8 THEN ip + 1 WHEN 9 THEN NULL ELSE ip END AS lo,
-             CASE k % 10 WHEN 1 THEN ip - ip % (1::bigint << (32 - k % 33)) + (1::bigint << (32 - k % 33)) - 1 WHEN 2 THEN ip + k % 1000 WHEN 5 THEN ip - ip % 65536 + 65535 WHEN 7 THEN NULL WHEN 9 THEN NULL ELSE ip END AS hi
+             CASE k % 10 WHEN 1 THEN ip - ip % (1::bigint << (32 - k % 33)) WHEN 5 THEN ip - ip % 65536 WHEN 7 THEN -1 WHEN 8 THEN ip + 1 WHEN 9 THEN -1 ELSE ip END AS lo,
+             CASE k % 10 WHEN 1 THEN ip - ip % (1::bigint << (32 - k % 33)) + (1::bigint << (32 - k % 33)) - 1 WHEN 2 THEN ip + k % 1000 WHEN 5 THEN ip - ip % 65536 + 65535 WHEN 7 THEN -1 WHEN 9 THEN -1 ELSE ip END AS hi
              FROM (SELECT CAST(o_orderkey AS bigint) AS k, {b.IP} % 4294000000 AS ip FROM orders) q""")

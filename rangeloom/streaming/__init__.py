@@ -1 +1 @@
-
+"""Incremental processing of snapshots with Structured Streaming."""
