@@ -69,3 +69,21 @@ def test_prefixes_are_given_up_by_price():
     # 4 blocks of /24 become 8 of /25, which is cheaper than 1 block of /16 cut into 256 of /24.
     assert iv.reduced_prefixes({16: 1, 24: 4, 25: 2}, 200, 0) == [16, 25]
     assert iv.reduced_prefixes({32: 5}, 1000, 0) == [32]
+
+
+def test_binary_files_go_round(spark, tmp_path):
+    import numpy as np
+
+    from rangeloom.sources import binary
+
+    rows = [("a", 5, 9), ("a", 20, 20), ("b", 0, 0xFFFFFFFF)]
+    df = spark.createDataFrame(rows, "feed string, lo long, hi long")
+    assert binary.write(df, f"file://{tmp_path}/sets", "own format v1").count() == 2
+    assert sorted(tuple(r) for r in binary.read(spark, f"{tmp_path}/sets", "own format v1").collect()) == sorted(rows)
+    assert sorted((r["feed"], r["records"], r["unique_ips"]) for r in binary.metadata(spark, f"{tmp_path}/sets", "own format v1").collect()) == [("a", 2, 6), ("b", 1, 1 << 32)]
+    good = binary.encoded(np.array([5]), np.array([9]), "m", 1)
+    swapped = good[:-12] + np.array([binary.MARK, 5, 9], ">u4").tobytes()
+    assert binary.decoded(swapped, "m").tolist() == [[5, 9]]
+    for bad in (good[:-1], good + b"x", good.replace(b"unique ips 5", b"unique ips 6"), good.replace(b"optimized", b"sorted", 1), b"x" + good, good.replace(b"record size 8", b"record size 9")):
+        with pytest.raises(ValueError):
+            binary.decoded(bad, "m")
