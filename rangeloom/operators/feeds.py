@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,22 +76,43 @@ def top_with_other(totals: DataFrame, key: str, value: str, n: int) -> DataFrame
     return top.select(key, value).unionByName(rest.select(F.lit("other").alias(key), value))
 
 
-def find(feeds: DataFrame, text: str | None = None, category: str | None = None, health_in: Iterable[str] = (), min_ips: int | None = None, country: str | None = None) -> DataFrame:
-    """The feeds that meet every given filter."""
-    tests = []
-    if text:
-        tests.append(F.contains(F.lower("feed"), F.lit(text.lower())))
-    if category:
-        tests.append(F.col("category") == category)
-    if health_in:
-        tests.append(F.col("health").isin(*health_in))
-    if min_ips is not None:
-        tests.append(F.col("unique_ips") >= min_ips)
-    if country:
-        tests.append(F.col("country") == country)
+# Least percentages, inclusive, and names of uniqueness buckets.
+UNIQUENESS = [(50.0, "very_high"), (20.0, "high"), (5.0, "medium")]
+# End of fixed values.
+
+
+def uniqueness(percent: Column) -> Column:
+    """The bucket of a unique share; none is unknown."""
+    chain = F
+    for least, name in UNIQUENESS:
+        chain = chain.when(percent >= least, name)
+    return chain.when(percent > 0, "low").otherwise("unknown")
+
+
+def find(feeds: DataFrame, search: str = "", maintainer: str = "", redistributable: bool | None = None, uniqueness_in: str = "", size_min: int = 0, size_max: int = 0, **equal: str) -> DataFrame:
+    """The feeds that meet every given filter, in the order of their names.
+
+    ``search`` is words that all stand somewhere in name, official name, description, maintainer or info, and
+    ``maintainer`` a part of that name. ``equal`` names columns (category, provenance, health, freshness,
+    cadence, license, critical_tier and so on) and values. Case is ignored; sizes of 0 are no limits. Columns that
+    ``search`` could use and the table doesn't have are passed over.
+    """
+    texts = [c for c in ("feed", "official_name", "short_description", "maintainer", "info") if c in feeds.columns]
+    tests = [F.contains(F.lower(F.concat_ws(" ", *texts)), F.lit(word)) for word in search.lower().split()]
+    if maintainer:
+        tests.append(F.contains(F.lower("maintainer"), F.lit(maintainer.lower())))
+    if redistributable is not None:
+        tests.append(F.col("redistributable") == redistributable)
+    if uniqueness_in:
+        tests.append(uniqueness(F.col("unique_share_pct")) == uniqueness_in.lower())
+    if size_min > 0:
+        tests.append(F.col("unique_ips") >= size_min)
+    if size_max > 0:
+        tests.append(F.col("unique_ips") <= size_max)
+    tests += [F.lower(column) == value.lower() for column, value in equal.items() if value]
     for test in tests:
         feeds = feeds.where(test)
-    return feeds
+    return feeds.orderBy("feed")
 
 
 def unique_share(pairs: DataFrame, feeds: DataFrame) -> DataFrame:

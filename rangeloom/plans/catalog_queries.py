@@ -38,8 +38,11 @@ def register_all(register) -> None:
     register("top_n_other", lambda s, d: f.top_with_other(b.catalog(s, d).groupBy("country").agg(F.sum("unique_ips").alias("ips")), "country", "ips", 5),
              f"""WITH {HEALTH}, t AS (SELECT country, CAST(sum(unique_ips) AS bigint) AS ips, row_number() OVER (ORDER BY sum(unique_ips) DESC, country) AS n FROM cat GROUP BY country)
              SELECT country, ips FROM t WHERE n <= 5 UNION ALL SELECT 'other', CAST(sum(ips) AS bigint) FROM t WHERE n > 5 HAVING count(*) > 0""")
-    register("find_feeds", lambda s, d: f.find(health(s, d), text="supplier", category="policy_risk", health_in=("healthy", "risky"), min_ips=100).select("feed", "health", "unique_ips"),
-             f"WITH {HEALTH} SELECT feed, health, unique_ips FROM hl WHERE contains(lower(feed), 'supplier') AND category = 'policy_risk' AND health IN ('healthy', 'risky') AND unique_ips >= 100")
+    shared = lambda s, d: health(s, d).withColumns({"unique_share_pct": F.expr("CAST(feed_no % 100 AS double)"), "redistributable": F.expr("feed_no % 2 = 0"), "license": F.expr("CASE feed_no % 3 WHEN 0 THEN 'CC-BY' ELSE 'none' END")})
+    register("find_feeds", lambda s, d: f.find(shared(s, d), search="supplier CO.", category="Policy_Risk", size_min=100).select("feed", "health", "unique_ips"),
+             f"WITH {HEALTH} SELECT feed, health, unique_ips FROM hl WHERE contains(lower(concat_ws(' ', feed, maintainer)), 'supplier') AND contains(lower(concat_ws(' ', feed, maintainer)), 'co.') AND category = 'policy_risk' AND unique_ips >= 100")
+    register("find_shared_feeds", lambda s, d: f.find(shared(s, d), maintainer="maintainer", redistributable=True, uniqueness_in="low", size_max=4000, license="none").select("feed", "unique_share_pct"),
+             f"WITH {HEALTH} SELECT feed, CAST(feed_no % 100 AS double) AS unique_share_pct FROM hl WHERE contains(lower(maintainer), 'maintainer') AND feed_no % 2 = 0 AND feed_no % 100 > 0 AND feed_no % 100 < 5 AND unique_ips <= 4000 AND feed_no % 3 <> 0")
     feeds = lambda s, d: iv.summary(iv.optimize(b.ranges_raw(s, d))).select("feed", "unique_ips", F.expr("CASE WHEN feed LIKE 'feed_A%' THEN 'Shared Co.' ELSE '' END AS maintainer"),
         F.lit("primary").alias("provenance"), (F.col("feed") == "feed_NF").alias("hidden"), F.lit(False).alias("reference"), F.array(F.expr("CASE WHEN feed LIKE 'feed_R%' THEN 'leaf_r' ELSE feed END")).alias("leaves"))
     register("unique_share", lambda s, d: f.unique_share(iv.compare(iv.optimize(b.ranges_raw(s, d))), feeds(s, d)),
