@@ -7,7 +7,9 @@ and a linear hinge-loss model is fitted by dual coordinate descent. A logistic f
 documents that the descent has not seen maps the margin to 0..1.
 
 Null and empty texts have no features; their margin is the intercept. Without labels of both
-classes every margin is 0.
+classes every margin is 0. Every row is scored by its own text: rows that repeat a doc_id or have none
+get scores of their own, equal texts equal ones; a null doc_id counts as the empty text for the
+held-out rule. Other columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -4,12 +4,15 @@ Three fixed kinds are matched by pattern. The method adds a kind ``random``: cha
 models of random strings and of ordinary identifiers, trained from labelled samples, are compared
 by their log-likelihood ratio on every other long token.
 
-Null texts count as empty and have no spans. Positions are code points, ends exclusive.
+Null texts count as empty and have no spans. Positions are code points, ends exclusive. Every row is
+scanned by its own text: rows that repeat a doc_id or have none get spans of their own, equal texts equal ones.
+An empty table gives an empty result. report() ignores other columns and redact() keeps them, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,9 +41,11 @@ _HEX_MAP = bytes(104 if chr(b) in "0123456789abcdef" else 32 for b in range(256)
 _WORDS = ("passw", "secret", "token", "apikey", "api_key")
 
 
+_CODES = {c: i + 1 for i, c in enumerate(ALPHABET)}
+
+
 def _codes(text: str) -> np.ndarray:
-    table = {c: i + 1 for i, c in enumerate(ALPHABET)}
-    return np.array([0, *(table.get(c, 0) for c in text), 0])
+    return np.array([0, *(_CODES.get(c, 0) for c in text), 0])
 
 
 def train(samples: DataFrame, smoothing: float = SMOOTHING) -> np.ndarray:
@@ -123,31 +128,42 @@ def ratio(token: str, model: np.ndarray) -> float:
     return float(model[codes[:-1], codes[1:]].mean())
 
 
-def covered(start: int, end: int, base: list[tuple[int, int, str]]) -> bool:
-    """Whether spans, given by start, leave no character of a range out."""
-    for a, b, _ in base:
-        if a <= start < b:
-            start = b
-    return start >= end
+class Cover:
+    """The characters that spans, given by start, cover: joined where they overlap or touch."""
+
+    def __init__(self, spans: list[tuple[int, int, str]]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b, _ in spans:
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def whole(self, start: int, end: int) -> bool:
+        """Whether no character of a range is left out."""
+        i = bisect_right(self.starts, start) - 1
+        return i >= 0 and self.ends[i] >= end
 
 
 def random_spans(text: str, base: list[tuple[int, int, str]], model: np.ndarray, judged: dict[str, bool], threshold: float = RATIO) -> list[tuple[int, int, str]]:
     """Spans of kind random: judged tokens that base spans don't cover whole."""
-    found = []
+    found, cover = [], Cover(base)
     for m in CANDIDATE.finditer(text):
         token = m.group()
         if token not in judged:
             if len(judged) > 200_000:
                 judged.clear()
             judged[token] = ratio(token, model) >= threshold
-        if judged[token] and not covered(m.start(), m.end(), base):
+        if judged[token] and not cover.whole(m.start(), m.end()):
             found.append((m.start(), m.end(), "random"))
     return found
 
 
 def scan(docs: DataFrame, model: np.ndarray, threshold: float = RATIO) -> DataFrame:
-    """All spans of each document: ``doc_id, text, spans array<struct<start, end, kind>>``."""
-    shape = "doc_id long, text string, spans array<struct<start:int,end:int,kind:string>>"
+    """All spans of each document: ``doc_id, spans array<struct<start, end, kind>>``."""
+    shape = "doc_id long, spans array<struct<start:int,end:int,kind:string>>"
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +174,7 @@ def scan(docs: DataFrame, model: np.ndarray, threshold: float = RATIO) -> DataFr
                 base = base_spans(text or "")
                 every = sorted(base + random_spans(text or "", base, model, judged, threshold), key=lambda s: (s[0], KINDS.index(s[2])))
                 spans.append([{"start": a, "end": b, "kind": k} for a, b, k in every])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(spans, kind)], names=["doc_id", "text", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, kind)], names=["doc_id", "spans"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, shape)
 
