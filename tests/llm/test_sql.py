@@ -1,6 +1,7 @@
 """The queries that SQL can express against their SQL on the smallest shared tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from rangeloom.llm import registry
@@ -15,5 +16,9 @@ def test_query_equals_its_sql(spark, name):
     got, want = registry.queries()[name](spark, SF).toPandas(), con.sql(registry.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     columns = sorted(got.columns)
-    plain = lambda frame: sorted(tuple(None if x is None or x != x else round(float(x), 9) if isinstance(x, float) else x for x in r) for r in frame[columns].astype(object).itertuples(index=False))
-    assert [tuple(map(str, r)) for r in plain(got)] == [tuple(map(str, r)) for r in plain(want)]
+
+    def plain(value):
+        return "" if value is None or pd.isna(value) else f"{float(value):.9f}" if not isinstance(value, str) else value
+
+    rows = lambda frame: sorted(tuple(map(plain, r)) for r in frame[columns].astype(object).itertuples(index=False))
+    assert rows(got) == rows(want)
