@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeloom.llm.common import scratch, written
+from rangeloom.llm.common import scratch, setting, written
 
 MARK = "▁"
 #: A run that is cut further: marks and what follows them, or one line feed.
@@ -243,7 +243,9 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
     parts = max(1, -(-rows // PARTITION))
     named = held.select("batch", F.posexplode("units").alias("place", "unit"))
     units = named.select("unit").distinct().repartition(parts, "unit")
-    coded = written(unit_ids(units, vocabulary), "piece-units")
+    # A partition's lattices fit in memory, as PARTITION bounds their number, so grouping needs no sort.
+    with setting(docs.sparkSession, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(10 * PARTITION)):
+        coded = written(unit_ids(units, vocabulary), "piece-units")
     returned = named.join(coded, "unit").select("batch", "place", "ids")
 
     def put_together(found: pa.Table) -> pa.Table:
