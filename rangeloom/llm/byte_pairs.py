@@ -87,21 +87,32 @@ class BytePairs:
         self.at_added = regex.compile("({})".format("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))))) if self.added else None
 
     @cached_property
-    def young_words(self) -> regex.Pattern:
-        """The word pattern with the library's classes: letters and numbers younger than its tables are neither."""
+    def young(self) -> regex.Pattern | None:
+        """Letters and numbers that are younger than the library's tables, and so neither of them to it."""
         every = regex.findall(r"[\p{L}\p{N}]", "".join(chr(c) for c in range(ord(OLD), 0x110000) if not 0xD800 <= c < 0xE000))
         line = "!" + "!".join(every) + "!"
         alone = {line[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(line) if b - a == 1}
-        young = "".join(f"\\U{ord(c):08x}" for c in every if c not in alone)
-        if not young:
-            return WORDS
-        return regex.compile(PATTERN.format(L=rf"[\p{{L}}--[{young}]]", N=rf"[\p{{N}}--[{young}]]", O=rf"[[^\s\p{{L}}\p{{N}}]||[{young}]]"), regex.V1)
+        runs: list[list[int]] = []
+        for c in (ord(c) for c in every if c not in alone):
+            if runs and runs[-1][1] == c - 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+        return regex.compile("[{}]".format("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs))) if runs else None
+
+    @cached_property
+    def young_words(self) -> regex.Pattern:
+        """The word pattern with the library's classes."""
+        young = self.young.pattern
+        return regex.compile(PATTERN.format(L=rf"[\p{{L}}--{young}]", N=rf"[\p{{N}}--{young}]", O=rf"[[^\s\p{{L}}\p{{N}}]||{young}]"), regex.V1)
 
     def words(self, chunk: str) -> list[str]:
         """The words of a chunk by the tokenizer's pattern."""
         if chunk.isascii():
             return [chunk] if chunk.lstrip(" ").isalpha() and chunk[:2] != "  " else ASCII_WORDS.findall(chunk)
-        return (WORDS if max(chunk) < OLD else self.young_words).findall(chunk)
+        if max(chunk) < OLD or not self.young or not self.young.search(chunk):
+            return WORDS.findall(chunk)
+        return self.young_words.findall(chunk)
 
     def fragments(self, word: bytes) -> list[bytes]:
         """The parts of a word between its forced boundaries."""

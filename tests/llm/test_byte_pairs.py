@@ -66,8 +66,8 @@ def test_null_ids_no_rows_and_broken_bytes(spark, path):
 
 def test_every_character_is_cut_as_by_the_library(path, library):
     model = byte_pairs.BytePairs(path)
-    for low in range(0, 0x110000, 4096):
-        line = "".join(f"a{c}1{c}! {c}" for c in map(chr, range(low, low + 4096)) if not 0xD800 <= ord(c) < 0xE000)
+    for low in range(0, 0x110000, 32):
+        line = "".join(f"a{c}1{c}! {c}" for c in map(chr, range(low, low + 32)) if not 0xD800 <= ord(c) < 0xE000)
         assert model.words(line) == [line[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(line)]
 
 
