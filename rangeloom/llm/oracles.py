@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rangeloom.llm import jaccard_join, licenses, line_dedup
+from rangeloom.llm import filter_audit, jaccard_join, licenses, line_dedup
 
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOW = f"translate(coalesce(text, ''), '{_CAPITALS}', '{_CAPITALS.lower()}')"
@@ -64,5 +64,23 @@ array_to_string(list_sort(list_distinct(list_concat(string_split_regex(coalesce(
 FROM t LEFT JOIN base ON base.doc_id = t.doc_id LEFT JOIN k ON k.doc_id = t.doc_id"""
 
 
+def filter_audit_sql() -> str:
+    """Failed filters of each document, then each step of each order as a count over all documents' failed sets."""
+    words = "[^ \\t\\n\\x0B\\f\\r]+"
+    return f"""WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, part, text, regexp_extract_all(text, '{words}') AS w, min(doc_id) OVER (PARTITION BY text) AS first FROM t),
+f AS (SELECT doc_id, part, [len(w) < {filter_audit.LEAST_WORDS}, 100 * len(list_distinct(w)) < {filter_audit.DISTINCT_PERCENT} * len(w),
+  100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > {filter_audit.CAPITALS_PERCENT} * len(text), regexp_matches(text, '{filter_audit.SYMBOLS}'), coalesce(doc_id > first, false)] AS fails FROM w),
+l AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f LEFT JOIN l ON l.doc_id = f.doc_id GROUP BY part, fails),
+k AS (SELECT unnest(range(1, 6)) AS k), o AS (SELECT [a.k, b.k, c.k, d.k, e.k] AS o FROM k a, k b, k c, k d, k e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+s AS (SELECT o, unnest(range(1, 6)) AS step FROM o),
+x AS (SELECT part, o, step, o[step] AS own, n, good, toxic, fails[o[step]] AS fails_own, len(list_filter(fails, lambda y: y)) AS failed, coalesce(list_bool_or(list_transform(o[1:step - 1], lambda y: fails[y])), false) AS gone FROM c CROSS JOIN s),
+r AS (SELECT part, array_to_string(list_transform(o, lambda y: chr(64 + CAST(y AS integer))), '') AS filter_order, CAST(step AS integer) AS step, own, coalesce(sum(n) FILTER (WHERE NOT gone AND NOT fails_own), 0) AS kept, coalesce(sum(n) FILTER (WHERE NOT gone AND fails_own), 0) AS removed,
+  coalesce(sum(n) FILTER (WHERE gone AND fails_own), 0) AS redundant, coalesce(sum(n) FILTER (WHERE fails_own AND failed = 1), 0) AS unique_fails, coalesce(sum(good) FILTER (WHERE NOT gone AND fails_own), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE NOT gone AND fails_own), 0) AS toxic_lost FROM x GROUP BY part, o, step, own)
+SELECT part, filter_order, step, CAST(kept AS bigint) AS kept, CAST(removed AS bigint) AS removed, CAST(redundant AS bigint) AS redundant, CAST(unique_fails AS bigint) AS unique_fails, CAST(good_lost AS bigint) AS good_lost, CAST(toxic_lost AS bigint) AS toxic_lost,
+CAST(sum(removed) OVER (PARTITION BY part, own) AS bigint) AS shapley FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup_sql(), "op4_jaccard_join": jaccard_sql(), "op6_license_scans": licenses_sql()}
+    return {"op3_line_dedup": line_dedup_sql(), "op4_jaccard_join": jaccard_sql(), "op6_license_scans": licenses_sql(), "op12_filter_audit": filter_audit_sql()}

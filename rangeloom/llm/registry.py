@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rangeloom.llm import byte_pairs, jaccard_join, licenses, line_dedup, media, oracles, packing, quality_classifier, quality_rules, secrets, sentencepieces, toxicity
+from rangeloom.llm import byte_pairs, filter_audit, jaccard_join, licenses, line_dedup, media, oracles, packing, quality_classifier, quality_rules, secrets, sentencepieces, toxicity, whitening
 from rangeloom.llm.common import documents
 
 
@@ -62,13 +62,21 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(docs, model))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(whitening.Whitening(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pairs.round_trip(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (op1_sentencepiece, op2_toxicity, op3_line_dedup, op4_jaccard_join, op5_quality_rules, op6_license_scans,
-             op7_media_columns, op8_quality_classifier, op9_packing, op10_secret_scans, op13_byte_pairs)
+             op7_media_columns, op8_quality_classifier, op9_packing, op10_secret_scans, op11_embedding_whitening, op12_filter_audit, op13_byte_pairs)
     return {f.__name__: f for f in every}
 
 
