@@ -23,14 +23,17 @@ def reserved_rows() -> list[tuple[str, int, int]]:
 
 
 def counts(optimized: DataFrame, reference: DataFrame, *keys: str) -> DataFrame:
-    """Addresses of each feed in each group of reference ranges; ranges of a group must be disjoint."""
-    return iv.overlaps(optimized, reference).groupBy("feed", *keys).agg(F.sum(iv.size()).alias("ips"))
+    """Addresses of each feed in each group of reference ranges; an address in several ranges of a group counts once."""
+    met = iv.cover(feed=optimized.select("feed", "lo", "hi"), key=reference.select("lo", "hi", *keys)).where("size(feed) > 0 and size(key) > 0")
+    pairs = met.select("ips", F.explode("feed").alias("feed"), "key").select("ips", "feed", F.explode("key").alias("key"))
+    named = pairs.groupBy("feed", "key").agg(F.sum("ips").alias("ips"))
+    return named.select("feed", *(F.col(f"key.{k}" if len(keys) > 1 else "key").alias(k) for k in keys), "ips")
 
 
 def covered(optimized: DataFrame, reference: DataFrame, name: str = "ips") -> DataFrame:
     """Addresses of each feed in any reference range, each counted once."""
-    whole = iv.union(reference.select("lo", "hi")).select("lo", "hi")
-    return iv.overlaps(optimized, whole).groupBy("feed").agg(F.sum(iv.size()).alias(name))
+    met = iv.cover(feed=optimized.select("feed", "lo", "hi"), key=reference.select("lo", "hi", F.lit(True).alias("any"))).where("size(feed) > 0 and size(key) > 0")
+    return met.select("ips", F.explode("feed").alias("feed")).groupBy("feed").agg(F.sum("ips").alias(name))
 
 
 def with_unknown(optimized: DataFrame, by_asn: DataFrame) -> DataFrame:
@@ -43,8 +46,12 @@ def with_unknown(optimized: DataFrame, by_asn: DataFrame) -> DataFrame:
 
 
 def joint(optimized: DataFrame, first: DataFrame, second: DataFrame, *keys: str) -> DataFrame:
-    """Counts by two attributions at once."""
-    return iv.overlaps(iv.overlaps(optimized, first), second).groupBy("feed", *keys).agg(F.sum(iv.size()).alias("ips"))
+    """Counts by two attributions at once; each key is a column of one of them."""
+    of = lambda table: [k for k in keys if k in table.columns]
+    met = iv.cover(feed=optimized.select("feed", "lo", "hi"), first=first.select("lo", "hi", F.struct(*of(first)).alias("f")), second=second.select("lo", "hi", F.struct(*of(second)).alias("s")))
+    for x in ("feed", "first", "second"):
+        met = met.where(F.size(x) > 0).withColumn(x, F.explode(x))
+    return met.groupBy("feed", *(F.col(f"first.{k}").alias(k) for k in of(first)), *(F.col(f"second.{k}").alias(k) for k in of(second))).agg(F.sum("ips").alias("ips"))
 
 
 def tiers(optimized: DataFrame, critical: DataFrame) -> DataFrame:
@@ -52,23 +59,31 @@ def tiers(optimized: DataFrame, critical: DataFrame) -> DataFrame:
 
     Providers may overlap; a tier's addresses are those of the union of its providers' ranges.
     """
-    every = critical.select("provider", "lo", "hi", "tier").unionByName(critical.select("provider", "lo", "hi", F.lit("total").alias("tier")))
-    whole = iv.optimize(every.select(F.col("tier").alias("feed"), "lo", "hi")).withColumnRenamed("feed", "tier")
-    providers = iv.overlaps(optimized, every).groupBy("feed", "tier").agg(F.count_distinct("provider").alias("providers"))
-    return counts(optimized, whole, "tier").join(providers, ["feed", "tier"])
+    met = iv.cover(feed=optimized.select("feed", "lo", "hi"), by=critical.select("lo", "hi", "tier", "provider")).where("size(feed) > 0 and size(by) > 0")
+    every = F.concat("by", F.transform("by", lambda x: F.named_struct(F.lit("tier"), F.lit("total"), F.lit("provider"), x["provider"])))
+    each = met.select("ips", F.explode("feed").alias("feed"), every.alias("by"))
+    ips = each.select("ips", "feed", F.explode(F.array_distinct(F.transform("by", lambda x: x["tier"]))).alias("tier")).groupBy("feed", "tier").agg(F.sum("ips").alias("ips"))
+    providers = each.select("feed", F.explode("by").alias("by")).groupBy("feed", "by.tier").agg(F.count_distinct("by.provider").alias("providers"))
+    return ips.join(providers, ["feed", "tier"])
 
 
-def split_bogons(optimized: DataFrame, bogons: DataFrame, networks: DataFrame) -> DataFrame:
-    """``feed, feed_ips, bogon_ips, attributed_ips, unknown_ips``: the last three add up to the first.
+def networks_and_bogons(optimized: DataFrame, bogons: DataFrame, networks: DataFrame) -> DataFrame:
+    """``feed, kind, asn, ips``: addresses in reserved space (kind ``bogon``), in each network (``network``) and in none (``unknown``).
 
-    A network counts only what is not reserved space; ``networks(lo, hi)`` may overlap.
+    Every address counts once: reserved space comes before networks, and of several networks the
+    least number counts. ``asn`` is 0 for what is not in a network.
     """
-    sizes = iv.summary(optimized).select("feed", F.col("unique_ips").alias("feed_ips"))
-    reserved = covered(optimized, bogons, "bogon_ips")
-    free = iv.exclude(networks, bogons).select("lo", "hi")
-    known = iv.overlaps(optimized, free).groupBy("feed").agg(F.sum(iv.size()).alias("attributed_ips"))
-    joined = sizes.join(reserved, "feed", "left").join(known, "feed", "left").fillna(0, ["bogon_ips", "attributed_ips"])
-    return joined.withColumn("unknown_ips", F.col("feed_ips") - F.col("bogon_ips") - F.col("attributed_ips"))
+    met = iv.cover(feed=optimized.select("feed", "lo", "hi"), bogon=bogons.select("lo", "hi", F.lit(True).alias("any")), asn=networks.select("lo", "hi", F.col("asn").cast("long").alias("asn")))
+    kind = F.when(F.size("bogon") > 0, "bogon").when(F.size("asn") > 0, "network").otherwise("unknown")
+    each = met.select("ips", F.explode("feed").alias("feed"), kind.alias("kind"), F.when(kind == "network", F.array_min("asn")).otherwise(F.lit(0).cast("long")).alias("asn"))
+    return each.groupBy("feed", "kind", "asn").agg(F.sum("ips").alias("ips"))
+
+
+def split_bogons(optimized: DataFrame, bogons: DataFrame, networks: DataFrame) -> DataFrame:
+    """``feed, feed_ips, bogon_ips, attributed_ips, unknown_ips``: the last three add up to the first."""
+    part = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("ips")).otherwise(0))
+    return networks_and_bogons(optimized, bogons, networks).groupBy("feed").agg(
+        F.sum("ips").alias("feed_ips"), part("bogon").alias("bogon_ips"), part("network").alias("attributed_ips"), part("unknown").alias("unknown_ips"))
 
 
 def within(optimized: DataFrame, outer: DataFrame, inner: DataFrame, *keys: str) -> DataFrame:
@@ -78,19 +93,17 @@ def within(optimized: DataFrame, outer: DataFrame, inner: DataFrame, *keys: str)
 
 def restricted(optimized: DataFrame, outer: DataFrame) -> DataFrame:
     """The ranges of each feed that lie in ``outer(lo, hi)``."""
-    return iv.optimize(iv.overlaps(optimized, iv.union(outer.select("lo", "hi")).select("lo", "hi")).select("feed", "lo", "hi"))
+    met = iv.atoms(iv.stacked(feed=optimized.select("feed", "lo", "hi"), outer=outer.select("lo", "hi", F.lit(True).alias("any"))), "feed", "outer")
+    return iv.optimize(met.where("size(feed) > 0 and size(outer) > 0").select(F.explode("feed").alias("feed"), "lo", "hi"))
 
 
 def context(points: DataFrame, geo: DataFrame, networks: DataFrame) -> DataFrame:
     """``ip, code, asn`` of addresses ``ip``: the first country code by name or null, and the least network number, or 0."""
-    at = points.select("ip", F.col("ip").alias("lo"), F.col("ip").alias("hi")).distinct()
-    code = iv.overlaps(at, geo.select("code", "lo", "hi")).groupBy("ip").agg(F.min("code").alias("code"))
-    asn = iv.overlaps(at, networks.select("asn", "lo", "hi")).groupBy("ip").agg(F.min("asn").alias("asn"))
-    return at.select("ip").join(code, "ip", "left").join(asn, "ip", "left").withColumn("asn", F.coalesce("asn", F.lit(0).cast("bigint")))
+    at = points.where("ip is not null").select("ip", F.col("ip").alias("lo"), F.col("ip").alias("hi"))
+    met = iv.atoms(iv.stacked(ip=at, code=geo.select("code", "lo", "hi"), asn=networks.select("asn", "lo", "hi")), "ip", "code", "asn").where("size(ip) > 0")
+    return met.select(F.col("ip")[0].alias("ip"), F.array_min("code").alias("code"), F.coalesce(F.array_min("asn").cast("bigint"), F.lit(0).cast("bigint")).alias("asn"))
 
 
 def providers(optimized: DataFrame, critical: DataFrame) -> DataFrame:
     """``feed, provider, tier, ips`` of the providers that a feed overlaps; a provider's own ranges may overlap."""
-    whole = iv.optimize(critical.select(F.concat_ws("\t", "tier", "provider").alias("feed"), "lo", "hi")).withColumnRenamed("feed", "of")
-    found = counts(optimized, whole, "of")
-    return found.select("feed", F.substring_index("of", "\t", -1).alias("provider"), F.substring_index("of", "\t", 1).alias("tier"), "ips")
+    return counts(optimized, critical, "provider", "tier")

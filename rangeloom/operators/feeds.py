@@ -135,14 +135,23 @@ def unique_share(pairs: DataFrame, feeds: DataFrame) -> DataFrame:
     return best.withColumn("percent", F.round(share, 4))
 
 
-def retry_mins(frequency: Column, failures: Column, unmaintained: Column, cap: int = 43200) -> Column:
+#: Most minutes of a delay; a delay that has grown beyond it grows no more.
+RETRY_CAP = 43200
+
+
+def retry_mins(frequency: Column, failures: Column, unmaintained: Column) -> Column:
     """Delay before another try: the frequency without failures, else a sixteenth of it, doubled for each further failure.
 
-    It is bounded by the frequency, and by ``cap`` once the feed is unmaintained.
+    A maintained feed waits for its frequency at most, which may be above the cap if one doubling leads
+    there; what is beyond the cap before it reaches the frequency stays at the cap.
     """
-    every = F.greatest(frequency, F.lit(1))
-    grown = F.ceil(every / 16) * F.pow(F.lit(2.0), F.least(failures - 1, F.lit(30)))
-    return F.when(failures < 1, every).when(unmaintained, F.least(grown, F.lit(float(cap)))).otherwise(F.least(grown, every, F.lit(float(cap)))).cast("long")
+    every, further = F.greatest(frequency, F.lit(1)), F.greatest(failures - 1, F.lit(0))
+    after = lambda doublings: F.ceil(every / 16) * F.pow(F.lit(2.0), doublings)
+    maintained = F
+    for k in range(1, 5):  # a sixteenth doubled four times is the whole
+        maintained = maintained.when((further >= k) & (after(F.lit(k - 1)) >= RETRY_CAP), F.lit(float(RETRY_CAP))).when((further >= k) & (after(F.lit(k)) >= every), every)
+    grown = F.least(after(F.least(further, F.lit(30))), F.lit(float(RETRY_CAP)))
+    return F.when(failures < 1, every).when(unmaintained, grown).otherwise(maintained.otherwise(F.least(grown, every))).cast("long")
 
 
 def percentile_of(histogram: DataFrame, group: str, value: str, weight: str, q: float) -> DataFrame:

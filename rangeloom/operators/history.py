@@ -22,11 +22,7 @@ def numbered(snapshots: DataFrame) -> DataFrame:
 
 def pieces(snapshots: DataFrame, bits: int = iv.JOIN_BITS) -> DataFrame:
     """The snapshots cut into atomic pieces: ``feed, ts, lo, hi``."""
-    cut = iv.clip(snapshots.select("feed", "ts", "lo", "hi"), bits)
-    border = cut.select("feed", "bucket", F.explode(F.array("lo", F.col("hi") + 1)).alias("p")).distinct()
-    order = Window.partitionBy("feed", "bucket").orderBy("p")
-    atoms = border.select("feed", "bucket", F.col("p").alias("a"), (F.lead("p").over(order) - 1).alias("b")).where("b is not null")
-    return cut.join(atoms, ["feed", "bucket"]).where("a >= lo and b <= hi").select("feed", "ts", F.col("a").alias("lo"), F.col("b").alias("hi"))
+    return iv.atoms(snapshots.select("feed", "ts", "lo", "hi"), "ts", keys=("feed",), bits=bits).select("feed", F.explode("ts").alias("ts"), "lo", "hi")
 
 
 def runs(snapshots: DataFrame) -> DataFrame:

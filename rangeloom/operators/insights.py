@@ -19,6 +19,7 @@ TOP_THREE, ONE_COUNTRY, NO_COUNTRY, MANY_COUNTRIES = 0.70, 0.95, 0.05, 50
 INDEPENDENT_PEERS, INDEPENDENT_SHARE, SUBSET_SHARE = 5, 0.10, 0.95
 CROSS_SHARE, CROSS_FEEDS = 0.30, 3
 FEW_INFRA_IPS, FEW_INFRA_SHARE = 10, 0.0001
+NO_CATEGORY = "uncategorized"
 # End of fixed values.
 
 
@@ -102,16 +103,30 @@ def geography(feeds: DataFrame, countries: DataFrame) -> DataFrame:
                 _named(facts.where(f"top > {ONE_COUNTRY}"), "single_country", F.col("top")))
 
 
+def overlap_facts(pairs: DataFrame, feeds: DataFrame) -> DataFrame:
+    """``feed, other, category, our_share, their_share, older`` of each published pair, as a row of either feed.
+
+    ``pairs`` are rows of iv.compare(); only pairs that share addresses are published. ``feeds`` has feed,
+    category and started (0 or null for unknown); the other feed is older if both are known and it started first.
+    """
+    rows = lambda a, z: pairs.select(F.col(f"name{a}").alias("feed"), F.col(f"name{z}").alias("other"), (F.col("common") / F.col(f"ips{a}")).alias("our_share"), (F.col("common") / F.col(f"ips{z}")).alias("their_share"), "common")
+    both = rows(1, 2).unionByName(rows(2, 1)).where("common > 0").drop("common")
+    mine, theirs = feeds.select("feed", F.col("started").alias("since")), feeds.select(F.col("feed").alias("other"), "category", F.col("started").alias("theirs"))
+    older = F.coalesce((F.col("theirs") > 0) & (F.col("since") > 0) & (F.col("theirs") < F.col("since")), F.lit(False))
+    return both.join(mine, "feed", "left").join(theirs, "other", "left").select("feed", "other", "category", "our_share", "their_share", older.alias("older"))
+
+
 def relations(feeds: DataFrame, overlaps: DataFrame) -> DataFrame:
     """Independence, subsets of older feeds and overlap across categories.
 
-    ``overlaps`` has feed, other, category (of the other), our_share and older (whether the other is).
+    ``overlaps`` has feed, other, category (of the other), our_share and older (whether the other is). Pairs
+    without overlap are not published and don't count; others without a category are a category of their own.
     """
     own = feeds.where(f"unique_ips >= {LEAST_LISTED}").select("feed", F.coalesce("category", F.lit("")).alias("own"))
-    met = overlaps.join(own, "feed")
+    met = overlaps.where("our_share > 0").withColumn("category", F.coalesce(F.nullif("category", F.lit("")), F.lit(NO_CATEGORY))).join(own, "feed")
     widest = met.groupBy("feed").agg(F.count(F.lit(1)).alias("n"), F.max("our_share").alias("top"))
     inside = met.where(F.col("older") & (F.col("our_share") > SUBSET_SHARE)).groupBy("feed").agg(F.max("our_share").alias("top"))
-    across = (met.where("category <> '' and category <> own").groupBy("feed", "category").agg(F.count(F.lit(1)).alias("n"), F.max("our_share").alias("top"))
+    across = (met.where("category <> own").groupBy("feed", "category").agg(F.count(F.lit(1)).alias("n"), F.max("our_share").alias("top"))
               .where((F.col("n") >= CROSS_FEEDS) & (F.col("top") > CROSS_SHARE)).groupBy("feed").agg(F.max("top").alias("top")))
     return _all(_named(widest.where((F.col("n") >= INDEPENDENT_PEERS) & (F.col("top") < INDEPENDENT_SHARE)), "independent", 1 - F.col("top")),
                 _named(inside, "subset_of", F.col("top")), _named(across, "cross_category_overlap", F.col("top")))

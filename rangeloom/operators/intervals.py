@@ -7,8 +7,12 @@ first and joined again across the edges afterwards.
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,15 +80,49 @@ def union(ranges: DataFrame, feed: str = "union") -> DataFrame:
     return optimize(named(ranges, feed))
 
 
-def overlaps(left: DataFrame, right: DataFrame, bits: int = JOIN_BITS) -> DataFrame:
-    """Common ranges of every overlapping pair: an equi-join on buckets, never a join on inequality alone.
+def atoms(ranges: DataFrame, *labels: str, keys: tuple[str, ...] = (), bits: int = JOIN_BITS) -> DataFrame:
+    """Segments between borders, ``*keys, lo, hi`` and for each label column a sorted list of what covers the segment.
 
-    Columns of ``left`` keep their names, those of ``right`` must be other ones except lo and hi.
-    Ranges are cut at bucket edges, so a pair meets once in each bucket that both touch.
+    One exchange by bucket (and ``keys``), no join: borders are numbered within their bucket, a range
+    gives a cell for each segment from its first border to its last, and cells of a segment make its
+    lists. A null label is nothing. A bucket has at most ``2 ** bits`` segments, whatever the input.
     """
-    a, b = clip(left, bits), clip(right, bits).withColumnsRenamed({"lo": "_lo", "hi": "_hi"})
-    return (a.join(b, "bucket").where("lo <= _hi and _lo <= hi")
-            .withColumns({"lo": F.greatest("lo", "_lo"), "hi": F.least("hi", "_hi")}).drop("bucket", "_lo", "_hi"))
+    return swept(clip(ranges.select(*keys, *labels, "lo", "hi"), bits), labels, keys, lambda hi: hi + 1, lambda p: p - 1)
+
+
+def swept(cut: DataFrame, labels: tuple[str, ...], keys: tuple[str, ...], after: Callable[[Column], Column], before: Callable[[Column], Column]) -> DataFrame:
+    """The segments of ranges that are cut at buckets; ``after`` and ``before`` step from an address to its neighbours."""
+    group = [*keys, "bucket"]
+    ends = cut.select("*", F.explode(F.array("lo", after(F.col("hi")))).alias("p"))
+    numbered = ends.withColumn("s", F.dense_rank().over(Window.partitionBy(*group).orderBy(F.asc_nulls_last("p"))))
+    spans = numbered.groupBy(*group, *labels, "lo", "hi").agg(F.min("s").alias("a"), F.max("s").alias("b"))
+    inside = lambda s: F.struct(s.alias("s"), F.when(s == F.col("a"), F.col("lo")).when(s == F.col("b"), after(F.col("hi"))).alias("p"), (s < F.col("b")).alias("covers"))
+    cells = spans.select(*group, *labels, F.explode(F.transform(F.sequence("a", "b"), inside)).alias("c"))
+    held = cells.groupBy(*group, "c.s").agg(F.max("c.p").alias("lo"), *(F.sort_array(F.collect_set(F.when(F.col("c.covers"), F.col(x)))).alias(x) for x in labels))
+    ended = held.withColumn("hi", before(F.lead("lo").over(Window.partitionBy(*group).orderBy("s"))))
+    return ended.where(sum((F.size(x) for x in labels), F.lit(0)) > 0).select(*keys, "lo", "hi", *labels)
+
+
+def stacked(**tables: DataFrame) -> DataFrame:
+    """The ranges of several tables, each with its label in a column of its own: ``lo, hi`` and a column for each name.
+
+    A table's label is what it has besides ``lo`` and ``hi``: its only other column, or a struct of several.
+    """
+    out = None
+    for name, table in tables.items():
+        own = [c for c in table.columns if c not in ("lo", "hi")]
+        one = table.select("lo", "hi", (F.struct(*own) if len(own) > 1 else F.col(own[0])).alias(name))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
+def cover(bits: int = JOIN_BITS, **tables: DataFrame) -> DataFrame:
+    """``ips`` by what covers the addresses: a row for each distinct combination of the tables' labels, as lists.
+
+    Segments of the same combination are added up before anything is expanded from it, so what follows
+    depends on the number of combinations and not on the number of ranges.
+    """
+    return atoms(stacked(**tables), *tables, bits=bits).groupBy(*tables).agg(F.sum(size()).alias("ips"))
 
 
 def segments(left: DataFrame, right: DataFrame, bits: int = JOIN_BITS) -> DataFrame:
@@ -130,41 +168,51 @@ def bounds(ranges: DataFrame) -> DataFrame:
 
 def contains(optimized: DataFrame, points: DataFrame) -> DataFrame:
     """``ip, feed`` for every address of ``points(ip)`` and every feed that has it."""
-    found = overlaps(points.select("ip", F.col("ip").alias("lo"), F.col("ip").alias("hi")), optimized)
-    return found.select("ip", "feed").distinct()
+    at = points.where("ip is not null").select(F.col("ip").alias("lo"), F.col("ip").alias("hi"), F.col("ip").alias("one"))
+    found = atoms(stacked(ip=at, feed=optimized.select("feed", "lo", "hi")), "ip", "feed").where("size(ip) > 0 and size(feed) > 0")
+    return found.select(F.col("ip")[0].alias("ip"), F.explode("feed").alias("feed"))
+
+
+def _crossed(optimized1: DataFrame, optimized2: DataFrame) -> DataFrame:
+    """``name1, name2, common`` of the feeds of two tables that share addresses."""
+    both = cover(name1=optimized1.select("feed", "lo", "hi"), name2=optimized2.select("feed", "lo", "hi")).where("size(name1) > 0 and size(name2) > 0")
+    pairs = both.select("ips", F.explode("name1").alias("name1"), "name2").select("ips", "name1", F.explode("name2").alias("name2"))
+    return pairs.groupBy("name1", "name2").agg(F.sum("ips").alias("common"))
 
 
-def _shared(left: DataFrame, right: DataFrame, condition: str = "true", bits: int = JOIN_BITS) -> DataFrame:
-    """``name1, name2, common`` of the pairs of ``left(name1)`` and ``right(name2)`` that share addresses and meet a condition."""
-    a, b = clip(left, bits), clip(right, bits).withColumnsRenamed({"lo": "_lo", "hi": "_hi", "bucket": "_bucket"})
-    met = a.join(b, F.expr(f"bucket = _bucket and lo <= _hi and _lo <= hi and {condition}"))
-    return met.groupBy("name1", "name2").agg(F.sum(F.least("hi", "_hi") - F.greatest("lo", "_lo") + 1).alias("common"))
+def shared(optimized: DataFrame) -> DataFrame:
+    """``name1, name2, common`` of the feeds that share addresses, each pair once, ``name1 < name2``."""
+    sets = cover(feed=optimized.select("feed", "lo", "hi")).where("size(feed) > 1")
+    later = lambda x, i: F.transform(F.slice("feed", i + 2, F.size("feed")), lambda y: F.struct(x.alias("name1"), y.alias("name2")))
+    return sets.select("ips", F.explode(F.flatten(F.transform("feed", later))).alias("p")).groupBy("p.name1", "p.name2").agg(F.sum("ips").alias("common"))
 
 
 PAIR = ["name1", "name2", "entries1", "entries2", "ips1", "ips2"]
 
 
-def _measured(pairs: DataFrame, shared: DataFrame) -> DataFrame:
+def _measured(pairs: DataFrame, common: DataFrame) -> DataFrame:
     """Pairs with sizes, and their combined and common addresses; no overlap counts as 0."""
-    joined = pairs.join(shared, ["name1", "name2"], "left").withColumn("common", F.coalesce("common", F.lit(0).cast("long")))
+    joined = pairs.join(common, ["name1", "name2"], "left").withColumn("common", F.coalesce("common", F.lit(0).cast("long")))
     return joined.select(*PAIR, (F.col("ips1") + F.col("ips2") - F.col("common")).alias("combined"), "common")
 
 
-def _one(feeds: DataFrame, side: int) -> DataFrame:
-    return feeds.withColumnRenamed("feed", f"name{side}")
-
-
 def compare(optimized: DataFrame) -> DataFrame:
     """All unordered pairs of feeds; the pairs are as many as the catalog's feeds make, whatever the ranges."""
     sizes = summary(optimized)
     pairs = sizes.toDF("name1", "entries1", "ips1").join(sizes.toDF("name2", "entries2", "ips2"), F.col("name1") < F.col("name2"))
-    return _measured(pairs, _shared(_one(optimized, 1), _one(optimized, 2), "name1 < name2"))
+    return _measured(pairs, shared(optimized))
 
 
 def compare_between(before: DataFrame, after: DataFrame) -> DataFrame:
     """Every feed of the first table with every feed of the second."""
     pairs = summary(before).toDF("name1", "entries1", "ips1").crossJoin(summary(after).toDF("name2", "entries2", "ips2"))
-    return _measured(pairs, _shared(_one(before, 1), _one(after, 2)))
+    return _measured(pairs, _crossed(before, after))
+
+
+def compare_first(optimized: DataFrame, first: str) -> DataFrame:
+    """``name, entries, ips, common`` of every other feed beside one feed; without that feed, none."""
+    own, others = optimized.where(F.col("feed") == first), optimized.where(F.col("feed") != first)
+    return compare_between(own, others).select(F.col("name2").alias("name"), F.col("entries2").alias("entries"), F.col("ips2").alias("ips"), "common")
 
 
 def compare_pairs(optimized: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -172,9 +220,9 @@ def compare_pairs(optimized: DataFrame, wanted: DataFrame) -> DataFrame:
     wanted = wanted.select("name1", "name2").distinct()
     sizes = summary(optimized)
     pairs = wanted.join(sizes.toDF("name1", "entries1", "ips1"), "name1").join(sizes.toDF("name2", "entries2", "ips2"), "name2")
-    left = _one(optimized, 1).join(wanted.select("name1").distinct(), "name1", "left_semi")
-    right = _one(optimized, 2).join(wanted.select("name2").distinct(), "name2", "left_semi")
-    return _measured(pairs, _shared(left, right))
+    left = optimized.join(wanted.select(F.col("name1").alias("feed")).distinct(), "feed", "left_semi")
+    right = optimized.join(wanted.select(F.col("name2").alias("feed")).distinct(), "feed", "left_semi")
+    return _measured(pairs, _crossed(left, right))
 
 
 def compose(ranges: DataFrame, includes: list[str], excludes: list[str] = (), most: int = 20, feed: str = "composed") -> DataFrame:
@@ -223,11 +271,32 @@ def merged(ranges: DataFrame, merges: DataFrame, states: DataFrame) -> DataFrame
 def content_hash(optimized: DataFrame) -> DataFrame:
     """``feed, sha256``: of the big-endian 32-bit bounds of the ranges in order, as hexadecimal text.
 
-    The digest is defined over a feed's whole sequence, so a feed's bounds pass through one row.
+    The digest is defined over a feed's whole sequence. Feeds are dealt out and sorted by Spark, and a
+    task folds the batches of its partition as they come, so a feed of any size needs constant memory.
     """
-    pair = F.concat(F.lpad(F.hex("lo"), 8, "0"), F.lpad(F.hex("hi"), 8, "0"))
-    ordered = optimized.groupBy("feed").agg(F.sort_array(F.collect_list(F.struct("lo", pair.alias("pair")))).alias("s"))
-    return ordered.select("feed", F.sha2(F.unhex(F.array_join(F.transform("s", lambda x: x["pair"]), "")), 256).alias("sha256"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, digest, names, values = None, None, [], []
+        for batch in batches:
+            pairs = np.stack([batch.column(c).to_numpy() for c in ("lo", "hi")], 1).astype(">u4")
+            feeds = batch.column("feed")
+            code = feeds.dictionary_encode()
+            codes = code.indices.to_numpy()
+            starts = np.r_[0, np.flatnonzero(np.diff(codes)) + 1] if len(codes) else np.zeros(0, int)
+            for a, b in zip(starts, np.r_[starts[1:], len(codes)]):
+                name = feeds[int(a)].as_py()
+                if name != current:
+                    if digest is not None:
+                        names.append(current)
+                        values.append(digest.hexdigest())
+                    current, digest = name, hashlib.sha256()
+                digest.update(pairs[a:b].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.string())], names=["feed", "sha256"])
+            names, values = [], []
+        if digest is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([current], pa.string()), pa.array([digest.hexdigest()])], names=["feed", "sha256"])
+
+    dealt = optimized.where("feed is not null").select("feed", "lo", "hi").repartition("feed").sortWithinPartitions("feed", "lo")
+    return dealt.mapInArrow(run, "feed string, sha256 string")
 
 
 def to_cidrs(optimized: DataFrame) -> DataFrame:
@@ -289,14 +358,19 @@ def reduced_prefixes(counts: dict[int, int], percent: int, least: int) -> list[i
 
 
 def reduce_prefixes(optimized: DataFrame, percent: int = 120, least: int = 16384) -> DataFrame:
-    """``feed, prefix`` of the lengths that stay enabled; a feed has at most 33 rows to decide by."""
+    """``feed, prefix`` of the lengths that stay enabled."""
+    return reduce_counts(prefix_counts(optimized), percent, least)
+
+
+def reduce_counts(counts: DataFrame, percent: int, least: int) -> DataFrame:
+    """``feed, prefix`` that stay enabled, from ``counts(feed, prefix, blocks)``; a feed has a row per length to decide by."""
     def decide(rows):
         import pandas as pd
 
         stay = reduced_prefixes(dict(zip(rows["prefix"].tolist(), rows["blocks"].tolist(), strict=True)), percent, least)
         return pd.DataFrame({"feed": [rows["feed"].iloc[0]] * len(stay), "prefix": stay})
 
-    return prefix_counts(optimized).groupBy("feed").applyInPandas(decide, "feed string, prefix int")
+    return counts.groupBy("feed").applyInPandas(decide, "feed string, prefix int")
 
 
 def body(optimized: DataFrame, single: bool = False) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rangeloom.functions.addresses import QUAD, _ipv6_shape, ipv4_number, let
+from rangeloom.operators import intervals as iv
 
 #: 2 to the power of 64, less one: the largest half.
 TOP = (1 << 64) - 1
@@ -152,26 +153,103 @@ def segments(left: DataFrame, right: DataFrame) -> DataFrame:
     return closed.select(F.col("p").alias("lo"), last.alias("hi"), "n_left", "n_right")
 
 
-def overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Common ranges of every overlapping pair, by an equi-join on buckets; columns of ``right`` are other ones except lo and hi."""
-    a, b = clip(left), clip(right).withColumnsRenamed({"lo": "_lo", "hi": "_hi"})
-    return a.join(b, "bucket").where("lo <= _hi and _lo <= hi").withColumns({"lo": F.greatest("lo", "_lo"), "hi": F.least("hi", "_hi")}).drop("bucket", "_lo", "_hi")
+def preceding(ip: Column) -> Column:
+    """The address before; the last address for the null that follows it."""
+    return F.when(ip.isNull(), address(half(TOP), half(TOP))).when(ip["l"] > half(0), address(ip["h"], ip["l"] - 1)).otherwise(address(ip["h"] - 1, half(TOP)))
+
+
+def atoms(ranges: DataFrame, *labels: str) -> DataFrame:
+    """Segments ``lo, hi`` and for each label column a sorted list of what covers them, by one sweep as for IPv4."""
+    return iv.swept(clip(ranges.select(*labels, "lo", "hi")), labels, (), following, preceding)
 
 
 def contains(optimized: DataFrame, points: DataFrame) -> DataFrame:
     """``ip, feed`` for every address of ``points(ip)`` and every feed that has it."""
-    return overlaps(points.select("ip", F.col("ip").alias("lo"), F.col("ip").alias("hi")), optimized).select("ip", "feed").distinct()
+    at = points.where("ip is not null").select(F.col("ip").alias("lo"), F.col("ip").alias("hi"), F.col("ip").alias("one"))
+    found = atoms(iv.stacked(ip=at, feed=optimized.select("feed", "lo", "hi")), "ip", "feed").where("size(ip) > 0 and size(feed) > 0")
+    return found.select(F.col("ip")[0].alias("ip"), F.explode("feed").alias("feed"))
+
+
+def cover(**tables: DataFrame) -> DataFrame:
+    """``ips`` by the combination of labels that covers the addresses; null beyond 38 digits."""
+    return atoms(iv.stacked(**tables), *tables).groupBy(*tables).agg(F.sum(size()).alias("ips"))
 
 
 def compare(optimized: DataFrame) -> DataFrame:
     """All unordered pairs of feeds with their sizes and common addresses; no overlap counts as 0."""
     sizes = summary(optimized)
-    met = overlaps(optimized.withColumnRenamed("feed", "name1"), optimized.withColumnRenamed("feed", "name2")).where("name1 < name2")
-    shared = met.groupBy("name1", "name2").agg(F.sum(size()).alias("common"))
+    sets = cover(feed=optimized.select("feed", "lo", "hi")).where("size(feed) > 1")
+    later = lambda x, i: F.transform(F.slice("feed", i + 2, F.size("feed")), lambda y: F.struct(x.alias("name1"), y.alias("name2")))
+    shared = sets.select("ips", F.explode(F.flatten(F.transform("feed", later))).alias("p")).groupBy("p.name1", "p.name2").agg(F.sum("ips").alias("common"))
     pairs = sizes.toDF("name1", "entries1", "ips1").join(sizes.toDF("name2", "entries2", "ips2"), F.col("name1") < F.col("name2"))
     return pairs.join(shared, ["name1", "name2"], "left").withColumn("common", F.coalesce("common", F.lit(0).cast("decimal(38,0)")))
 
 
+def compare_between(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Every feed of the first table with every feed of the second."""
+    both = cover(name1=before.select("feed", "lo", "hi"), name2=after.select("feed", "lo", "hi")).where("size(name1) > 0 and size(name2) > 0")
+    common = both.select("ips", F.explode("name1").alias("name1"), "name2").select("ips", "name1", F.explode("name2").alias("name2")).groupBy("name1", "name2").agg(F.sum("ips").alias("common"))
+    pairs = summary(before).toDF("name1", "entries1", "ips1").crossJoin(summary(after).toDF("name2", "entries2", "ips2"))
+    return pairs.join(common, ["name1", "name2"], "left").withColumn("common", F.coalesce("common", F.lit(0).cast("decimal(38,0)")))
+
+
+def compare_first(optimized: DataFrame, first: str) -> DataFrame:
+    """``name, entries, ips, common`` of every other feed beside one feed."""
+    found = compare_between(optimized.where(F.col("feed") == first), optimized.where(F.col("feed") != first))
+    return found.select(F.col("name2").alias("name"), F.col("entries2").alias("entries"), F.col("ips2").alias("ips"), "common")
+
+
+def _blocks64(parts: DataFrame) -> DataFrame:
+    """``feed, other, upper, x, k``: the least aligned blocks of ``2 ** k`` of the ranges from ``x`` up to below ``end`` of one half."""
+    power = F.array(*(half(1 << k) for k in range(66)))
+    at = lambda shift: F.element_at(power, F.col("k") + 1 + shift)
+    cut = parts.select("*", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("k")).select("*", at(0).alias("w"), at(1).alias("w2"))
+    up = lambda w: (F.col("x") + F.pmod(F.col(w) - F.col("x") % F.col(w), F.col(w))).cast("decimal(21,0)")
+    down = lambda w: (F.col("end") - F.col("end") % F.col(w)).cast("decimal(21,0)")
+    edges = cut.select("feed", "other", "upper", "k", "w", up("w").alias("c"), down("w").alias("f"), up("w2").alias("c2"), down("w2").alias("f2")).where("c < f")
+    wider = F.col("c2") < F.col("f2")
+    starts = F.array_compact(F.array(F.when(~wider | (F.col("c") < F.col("c2")), F.col("c")), F.when(~wider | (F.col("f2") < F.col("f")), (F.col("f") - F.col("w")).cast("decimal(21,0)"))))
+    return edges.select("feed", "other", "upper", F.explode(F.array_distinct(starts)).alias("x"), "k").withColumn("x", F.col("x").cast(HALF))
+
+
+def to_blocks(optimized: DataFrame) -> DataFrame:
+    """``feed, lo, prefix``: the least aligned blocks of each range.
+
+    A range is a part at its start and one at its end that share their upper half, and whole upper halves
+    between them; no block crosses from one part to another, so each is cut within its own half.
+    """
+    lo, hi = F.col("lo"), F.col("hi")
+    first = F.when(lo["l"] == half(0), lo["h"]).otherwise(lo["h"] + 1).cast("decimal(21,0)")
+    last = F.when(hi["l"] == half(TOP), hi["h"] + 1).otherwise(hi["h"]).cast("decimal(21,0)")  # the end of the whole halves
+    part = lambda other, upper, x, end: F.struct(other.cast(HALF).alias("other"), F.lit(upper).alias("upper"), x.cast("decimal(21,0)").alias("x"), end.cast("decimal(21,0)").alias("end"))
+    full = F.lit(str(1 << 64)).cast("decimal(21,0)")
+    same = lo["h"] == hi["h"]
+    parts = F.array_compact(F.array(
+        F.when(same & (first >= last), part(lo["h"], False, lo["l"], hi["l"] + 1)),
+        F.when(~same & (lo["l"] > half(0)), part(lo["h"], False, lo["l"], full)),
+        F.when(first < last, part(half(0), True, first, last)),
+        F.when(~same & (hi["l"] < half(TOP)), part(hi["h"], False, half(0), hi["l"] + 1))))
+    cut = _blocks64(optimized.where("lo <= hi").select("feed", F.explode(parts).alias("p")).select("feed", "p.*"))
+    ip = F.when(F.col("upper"), address(F.col("x"), half(0))).otherwise(address(F.col("other"), F.col("x")))
+    return cut.select("feed", ip.alias("lo"), F.when(F.col("upper"), 64 - F.col("k")).otherwise(128 - F.col("k")).alias("prefix"))
+
+
+def body(optimized: DataFrame) -> DataFrame:
+    """``feed, lo, line``: the canonical lines of a feed; a block of one address has no length."""
+    length = F.when(F.col("prefix") < 128, F.concat(F.lit("/"), "prefix")).otherwise("")
+    return to_blocks(optimized).select("feed", "lo", F.concat(text(F.col("lo")), length).alias("line"))
+
+
+def prefix_counts(optimized: DataFrame) -> DataFrame:
+    """``feed, prefix, blocks``."""
+    return to_blocks(optimized).groupBy("feed", "prefix").agg(F.count(F.lit(1)).alias("blocks"))
+
+
+def reduce_prefixes(optimized: DataFrame, percent: int = 120, least: int = 16384) -> DataFrame:
+    """``feed, prefix`` of the lengths that stay enabled; a feed has at most 129 rows to decide by."""
+    return iv.reduce_counts(prefix_counts(optimized), percent, least)
+
+
 def ranges(lines: DataFrame) -> DataFrame:
     """``feed, lo, hi`` of lines ``key, line``: an address, a block, or ``first-last``; IPv4 enters as mapped, other lines are dropped."""
     bare = F.trim(F.regexp_replace("line", "[#;].*$", ""))

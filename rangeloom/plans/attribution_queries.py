@@ -50,6 +50,13 @@ def register_all(register) -> None:
              o2 AS (SELECT x.feed, greatest(x.lo, r.lo) AS lo, least(x.hi, r.hi) AS hi FROM opt x JOIN res r ON x.lo <= r.hi AND r.lo <= x.hi), twice AS (SELECT o.feed, {SHARE} AS n FROM o2 o JOIN asn r ON {ON} GROUP BY 1),
              t AS (SELECT sz.feed, feed_ips, coalesce(bog.n, 0) AS bogon_ips, coalesce(known.n, 0) - coalesce(twice.n, 0) AS attributed_ips FROM sz LEFT JOIN bog ON bog.feed = sz.feed LEFT JOIN known ON known.feed = sz.feed LEFT JOIN twice ON twice.feed = sz.feed)
              SELECT *, feed_ips - bogon_ips - attributed_ips AS unknown_ips FROM t""")
+    register("networks_without_reserved_space", lambda s, d: at.networks_and_bogons(_opt(s, d), _reserved(s), b.asn(s, d)),
+             f"""WITH {OPTIMIZED}, {RESERVED}, asn AS ({b.ASN}), sz AS (SELECT feed, CAST(sum(hi - lo + 1) AS bigint) AS n FROM opt GROUP BY feed), bog AS (SELECT o.feed, {SHARE} AS ips FROM opt o JOIN res r ON {ON} GROUP BY 1),
+             one AS (SELECT o.feed, r.asn, {SHARE} AS ips FROM opt o JOIN asn r ON {ON} GROUP BY 1, 2), o2 AS (SELECT x.feed, greatest(x.lo, r.lo) AS lo, least(x.hi, r.hi) AS hi FROM opt x JOIN res r ON x.lo <= r.hi AND r.lo <= x.hi),
+             two AS (SELECT o.feed, r.asn, {SHARE} AS ips FROM o2 o JOIN asn r ON {ON} GROUP BY 1, 2), net AS (SELECT one.feed, one.asn, one.ips - coalesce(two.ips, 0) AS ips FROM one LEFT JOIN two ON two.feed = one.feed AND two.asn = one.asn),
+             every AS (SELECT feed, 'bogon' AS kind, 0 AS asn, ips FROM bog UNION ALL SELECT feed, 'network', asn, ips FROM net UNION ALL
+               SELECT sz.feed, 'unknown', 0, n - coalesce((SELECT ips FROM bog WHERE bog.feed = sz.feed), 0) - coalesce((SELECT CAST(sum(ips) AS bigint) FROM net WHERE net.feed = sz.feed), 0) FROM sz)
+             SELECT feed, kind, CAST(asn AS bigint) AS asn, CAST(ips AS bigint) AS ips FROM every WHERE ips > 0""")
     inside = "SELECT x.feed, greatest(x.lo, g.lo) AS lo, least(x.hi, g.hi) AS hi FROM opt x JOIN geo g ON x.lo <= g.hi AND g.lo <= x.hi AND code = 'N3'"
     register("networks_of_a_country", lambda s, d: at.within(_opt(s, d), b.geo(s, d).where("code = 'N0'"), b.asn(s, d), "asn"),
              f"WITH {OPTIMIZED}, geo AS ({b.GEO}), asn AS ({b.ASN}), o AS ({inside.replace('N3', 'N0')}) SELECT o.feed, r.asn, {SHARE} AS ips FROM o JOIN asn r ON {ON} GROUP BY 1, 2")

@@ -26,9 +26,11 @@ def register_all(register) -> None:
     register("health_class", lambda s, d: health(s, d).select("feed", "health"), f"WITH {HEALTH} SELECT feed, health FROM hl")
     register("cadence_bins", lambda s, d: b.catalog(s, d).groupBy(f.cadence(F.col("avg_update_mins")).alias("cadence")).count().withColumnRenamed("count", "feeds"),
              f"WITH {HEALTH} SELECT {BINS} AS cadence, count(*) AS feeds FROM cat GROUP BY 1")
-    register("retry_delay", lambda s, d: health(s, d).select("feed", f.retry_mins(F.col("avg_update_mins"), F.col("observed"), F.col("health").isin("unmaintained", "archived")).alias("retry_mins")),
-             f"""WITH {HEALTH}, g AS (SELECT *, ceil(greatest(avg_update_mins, 1) / 16) * pow(2, observed - 1) AS grown FROM hl)
-             SELECT feed, CAST(CASE WHEN observed < 1 THEN greatest(avg_update_mins, 1) WHEN health IN ('unmaintained', 'archived') THEN least(grown, 43200) ELSE least(grown, avg_update_mins, 43200) END AS bigint) AS retry_mins FROM g""")
+    for name, times in (("retry_delay", 1), ("retry_delay_of_rare_feeds", 40)):
+        doubled = " ".join(f"WHEN observed > {k} AND base * {1 << k - 1} >= {f.RETRY_CAP} THEN {f.RETRY_CAP} WHEN observed > {k} AND base * {1 << k} >= every THEN every" for k in range(1, 5))
+        register(name, lambda s, d, times=times: health(s, d).select("feed", f.retry_mins(F.col("avg_update_mins") * times, F.col("observed"), F.col("health").isin("unmaintained", "archived")).alias("retry_mins")),
+                 f"""WITH {HEALTH}, g AS (SELECT feed, health, observed, greatest(avg_update_mins * {times}, 1) AS every, CAST(ceil(greatest(avg_update_mins * {times}, 1) / 16) AS bigint) AS base FROM hl)
+                 SELECT feed, CAST(CASE WHEN observed < 1 THEN every WHEN health IN ('unmaintained', 'archived') THEN least(base * pow(2, observed - 1), {f.RETRY_CAP}) {doubled} ELSE least(base * pow(2, observed - 1), every, {f.RETRY_CAP}) END AS bigint) AS retry_mins FROM g""")
     for name, key in (("category_rollup", "category"), ("country_index", "country"), ("asn_index", "asn")):
         register(name, lambda s, d, key=key: f.rollup(health(s, d).where("health in ('healthy', 'delayed')"), key),
                  f"""WITH {HEALTH} SELECT {key}, count(*) AS feeds, CAST(sum(unique_ips) AS bigint) AS ips, count(DISTINCT CASE WHEN maintainer <> '' THEN maintainer END) AS maintainers

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from rangeloom.operators import intervals as iv
 from rangeloom.plans import bindings as b
+from rangeloom.sources import binary
+from rangeloom.sources.versions import scratch
 
 OPTIMIZED = f"""raw AS ({b.RANGES_RAW}),
 p AS (SELECT feed, lo, hi, max(hi) OVER (PARTITION BY feed ORDER BY lo, hi DESC
@@ -59,8 +61,10 @@ def register_all(register) -> None:
              seg AS (SELECT p AS lo, lead(p) OVER (ORDER BY p) - 1 AS hi, sum(x) OVER (ORDER BY p) AS n FROM pt),
              kept AS (SELECT lo, hi FROM seg WHERE n = (SELECT count(DISTINCT feed) FROM opt)) {coalesced('kept', 'common')}""")
     register("compare_all", lambda s, d: iv.compare(iv.optimize(b.ranges_raw(s, d))), f"{PAIRS} SELECT * FROM pairs")
-    register("compare_first", lambda s, d: iv.compare(iv.optimize(b.ranges_raw(s, d))).where("name1 = 'feed_AF'").selectExpr("name2 AS name", "entries2 AS entries", "ips2 AS ips", "common"),
-             f"{PAIRS} SELECT name2 AS name, entries2 AS entries, ips2 AS ips, common FROM pairs WHERE name1 = 'feed_AF'")
+    for name, first in (("compare_first", "feed_AF"), ("compare_first_of_many", "feed_NO")):
+        register(name, lambda s, d, first=first: iv.compare_first(iv.optimize(b.ranges_raw(s, d)), first),
+                 f"""{PAIRS} SELECT CASE WHEN name1 = '{first}' THEN name2 ELSE name1 END AS name, CASE WHEN name1 = '{first}' THEN entries2 ELSE entries1 END AS entries,
+             CASE WHEN name1 = '{first}' THEN ips2 ELSE ips1 END AS ips, common FROM pairs WHERE '{first}' IN (name1, name2)""")
     register("count_unique_merged", lambda s, d: iv.summary(iv.union(b.ranges_raw(s, d))),
              f"WITH raw AS ({b.RANGES_RAW}) SELECT feed, count(*) AS entries, CAST(sum(hi - lo + 1) AS bigint) AS unique_ips FROM ({coalesced('raw', 'union')}) u GROUP BY feed")
     register("bounds", lambda s, d: iv.bounds(b.ranges_raw(s, d)), f"SELECT feed, min(lo) AS lo, max(hi) AS hi FROM ({b.RANGES_RAW}) r GROUP BY feed")
@@ -108,6 +112,24 @@ def register_all(register) -> None:
     register("cidrs_of_enabled_lengths", lambda s, d: iv.enabled_cidrs(every(s, d), [8, 16, 27, 30, 31]),
              f"""{blocks}, t AS (SELECT *, CASE WHEN prefix <= 8 THEN 8 WHEN prefix <= 16 THEN 16 WHEN prefix <= 27 THEN 27 WHEN prefix <= 30 THEN 30 WHEN prefix <= 31 THEN 31 END AS q FROM cidr)
              SELECT feed, lo + (1::bigint << (32 - q)) * i AS lo, q AS prefix FROM (SELECT *, unnest(range(0, 1::bigint << (q - prefix))) AS i FROM t WHERE q IS NOT NULL) u""")
-    register("reduced_prefixes", lambda s, d: iv.reduce_prefixes(every(s, d), percent=150, least=0))
+    for name, percent, least in (("reduced_prefixes", 150, 0), ("reduced_prefixes_of_a_budget", 100, 400)):
+        register(name, lambda s, d, percent=percent, least=least: iv.reduce_prefixes(every(s, d), percent, least),
+                 f"""{blocks}, n AS (SELECT feed, list_transform(range(0, 33), lambda p: CAST(coalesce(list_sum(list_transform(list_filter(list(prefix), lambda y: y = p), lambda y: 1)), 0) AS bigint)) AS c, count(*) AS total FROM cidr GROUP BY feed),
+                 red(feed, c, total, budget) AS (SELECT feed, c, total, greatest(total * {percent} // 100, {least}) FROM n UNION ALL
+                   SELECT feed, list_transform(range(0, 33), lambda p: CASE p WHEN best.p THEN 0 WHEN best.q THEN c[p + 1] + best.price + c[best.p + 1] ELSE c[p + 1] END), total + best.price, budget
+                   FROM (SELECT *, list_sort(list_transform(range(1, len(u)), lambda i: {{'price': c[u[i] + 1] * ((1::bigint << (u[i + 1] - u[i])) - 1), 'p': u[i], 'q': u[i + 1]}}))[1] AS best FROM (SELECT *, list_filter(range(0, 33), lambda p: c[p + 1] > 0) AS u FROM red) a) z
+                   WHERE total < budget AND best IS NOT NULL AND best.price < budget * 10 AND total + best.price <= budget),
+                 done AS (SELECT feed, arg_max(c, total) AS c FROM red GROUP BY feed)
+                 SELECT feed, CAST(unnest(list_filter(range(0, 33), lambda p: c[p + 1] > 0)) AS integer) AS prefix FROM done""")
     register("content_hash", lambda s, d: iv.content_hash(every(s, d)),
              f"WITH {OPTIMIZED} SELECT feed, sha256(unhex(string_agg(printf('%08X%08X', lo, hi), '' ORDER BY lo))) AS sha256 FROM opt GROUP BY feed")
+
+    def through_files(s, d):
+        """Ranges written to binary files and read back from them in runs of records."""
+        folder = scratch(s, "range-files")
+        binary.write(every(s, d), folder, "rangeloom ranges 1").count()
+        return folder
+
+    register("binary_round_trip", lambda s, d: binary.read(s, through_files(s, d), "rangeloom ranges 1", records=500), f"WITH {OPTIMIZED} SELECT feed, lo, hi FROM opt")
+    register("binary_metadata", lambda s, d: binary.metadata(s, through_files(s, d), "rangeloom ranges 1").select("feed", "optimized", "records", iv.F.col("unique_ips").cast("long").alias("unique_ips")),
+             f"WITH {OPTIMIZED} SELECT feed, true AS optimized, count(*) AS records, CAST(sum(hi - lo + 1) AS bigint) AS unique_ips FROM opt GROUP BY feed")

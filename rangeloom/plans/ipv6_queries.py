@@ -36,3 +36,11 @@ def register_all(register) -> None:
              seg AS (SELECT p AS lo, lead(p) OVER (ORDER BY p) - 1 AS hi, sum(da) OVER (ORDER BY p) AS a, sum(db) OVER (ORDER BY p) AS b FROM pt), kept AS (SELECT lo, hi FROM seg WHERE {where}),
              k AS (SELECT lo, hi, sum(CASE WHEN ph IS NULL OR lo > ph + 1 THEN 1 ELSE 0 END) OVER (ORDER BY lo ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, lag(hi) OVER (ORDER BY lo) AS ph FROM kept) q),
              m AS (SELECT min(lo) AS lo, max(hi) AS hi FROM k GROUP BY g) SELECT 'x' AS feed, {LINE} AS line FROM m""")
+    step = """step(feed, pos, hi, w) AS (SELECT feed, lo, hi, (SELECT max(1::bigint << k) FROM range(0, 33) t(k) WHERE lo % (1::bigint << k) = 0 AND lo + (1::bigint << k) - 1 <= hi) FROM opt
+             UNION ALL SELECT feed, pos + w, hi, (SELECT max(1::bigint << k) FROM range(0, 33) t(k) WHERE (pos + w) % (1::bigint << k) = 0 AND pos + w + (1::bigint << k) - 1 <= hi) FROM step WHERE pos + w <= hi)"""
+    register("ipv6_blocks", lambda s, d: ipv6.body(ipv6.optimize(_ranges(s, d))).select("feed", "line"),
+             f"WITH RECURSIVE {OPT}, {step} SELECT feed, '2001:db8::' || lower(hex(pos)) || CASE WHEN w = 1 THEN '' ELSE '/' || CAST(128 - round(log2(w)) AS integer) END AS line FROM step WHERE w < 1000000")
+    register("ipv6_compare_first", lambda s, d: ipv6.compare_first(ipv6.optimize(_ranges(s, d)), "six_1").select("name", "entries", *(F.col(c).cast("bigint").alias(c) for c in ("ips", "common"))),
+             f"""WITH {OPT}, sz AS (SELECT feed, count(*) AS n, CAST(sum(hi - lo + 1) AS bigint) AS ips FROM opt GROUP BY feed),
+             ov AS (SELECT y.feed, CAST(sum(least(x.hi, y.hi) - greatest(x.lo, y.lo) + 1) AS bigint) AS common FROM opt x JOIN opt y ON x.lo <= y.hi AND y.lo <= x.hi AND x.feed = 'six_1' AND y.feed <> 'six_1' GROUP BY 1)
+             SELECT sz.feed AS name, n AS entries, ips, coalesce(common, 0) AS common FROM sz LEFT JOIN ov ON ov.feed = sz.feed WHERE sz.feed <> 'six_1'""")

@@ -73,22 +73,10 @@ def geolite(blocks: DataFrame, locations: DataFrame) -> DataFrame:
     return (named.select(F.coalesce("pseudo", "country_iso_code").alias("code"), endpoint(F.col("network")).alias("e")).where("e is not null and code <> ''").select("code", "e.lo", "e.hi"))
 
 
-def flattened(geo: DataFrame, bits: int = iv.BUCKET_BITS) -> DataFrame:
-    """``lo, hi, codes``: disjoint segments with the sorted codes that cover them.
-
-    A sweep over the borders of each bucket; a segment's codes are those whose borders so far don't cancel out.
-    """
-    cut = iv.clip(geo.select("code", "lo", "hi"), bits)
-    edges = cut.select("bucket", "code", F.explode(F.array(F.struct(F.col("lo").alias("p"), F.lit(1).alias("d")), F.struct((F.col("hi") + 1).alias("p"), F.lit(-1).alias("d")))).alias("e"))
-    order = Window.partitionBy("bucket", "code").orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    depth = edges.groupBy("bucket", "code", "e.p").agg(F.sum("e.d").alias("d")).withColumn("depth", F.sum("d").over(order))
-    turns = depth.withColumn("was", F.coalesce(F.col("depth") - F.col("d"), F.lit(0))).where("(depth > 0) <> (was > 0)")
-    at = turns.groupBy("bucket", "p").agg(F.collect_set(F.when(F.col("depth") > 0, F.col("code"))).alias("come"), F.collect_set(F.when(F.col("depth") <= 0, F.col("code"))).alias("gone"))
-    w = Window.partitionBy("bucket").orderBy("p")
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    held = F.aggregate(F.collect_list(F.struct("come", "gone")).over(upto), F.array().cast("array<string>"), lambda s, x: F.array_union(F.array_except(s, x["gone"]), x["come"]))
-    segments = at.select("bucket", F.col("p").alias("lo"), (F.lead("p").over(w) - 1).alias("hi"), F.sort_array(held).alias("codes")).where("hi is not null and size(codes) > 0")
-    joined = iv.optimize(segments.select(F.array_join("codes", ",").alias("feed"), "lo", "hi"))
+def flattened(geo: DataFrame) -> DataFrame:
+    """``lo, hi, codes``: disjoint segments with the sorted codes that cover them."""
+    segments = iv.atoms(geo.select("code", "lo", "hi"), "code")
+    joined = iv.optimize(segments.select(F.array_join("code", ",").alias("feed"), "lo", "hi"))
     return joined.select("lo", "hi", F.split("feed", ",").alias("codes"))
 
 

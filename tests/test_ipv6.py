@@ -2,6 +2,7 @@
 
 import ipaddress
 import random
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
@@ -62,3 +63,35 @@ def test_set_operators_across_halves_and_buckets(spark):
         assert plain(operator(a, b, "x").collect()) == named("x", numbers)
     row = ipv6.compare(ipv6.optimize(df)).first()
     assert (int(row["ips1"]), int(row["ips2"]), int(row["common"])) == (len(sets["a"]), len(sets["b"]), len(sets["a"] & sets["b"]))
+
+
+def test_least_blocks_equal_the_standard_library(spark):
+    rng, top = random.Random(9), (1 << 128) - 1
+    pairs = [(0, top), (0, 0), (top, top), (1, top), (0, top - 1), (1 << 64, (1 << 65) - 1), ((1 << 64) - 1, 1 << 64), (5, (1 << 64) + 5), ((3 << 64) + 7, (9 << 64) - 2), ((7 << 64), (9 << 64) - 1), ((7 << 64) + 1, (8 << 64) - 1)]
+    for _ in range(60):
+        a = rng.getrandbits(rng.choice((8, 63, 64, 65, 100, 128)))
+        pairs.append((a, min(top, a + rng.getrandbits(rng.choice((4, 40, 64, 66, 127))))))
+    shape = "feed string, lo struct<h:decimal(20,0),l:decimal(20,0)>, hi struct<h:decimal(20,0),l:decimal(20,0)>"
+    split = lambda x: (Decimal(x >> 64), Decimal(x & ((1 << 64) - 1)))
+    got: dict = {}
+    for r in ipv6.to_blocks(spark.createDataFrame([(str(i), split(a), split(z)) for i, (a, z) in enumerate(pairs)], shape)).collect():
+        got.setdefault(int(r["feed"]), set()).add((int(r["lo"]["h"]) << 64 | int(r["lo"]["l"]), r["prefix"]))
+    for i, (a, z) in enumerate(pairs):
+        want = {(int(n.network_address), n.prefixlen) for n in ipaddress.summarize_address_range(ipaddress.IPv6Address(a), ipaddress.IPv6Address(z))}
+        assert got[i] == want, (hex(a), hex(z))
+
+
+def test_lines_and_reduced_lengths(spark):
+    lines = spark.createDataFrame([("f", "2001:db8::1-2001:db8::4"), ("f", "fe80::/10"), ("g", "::1")], "key string, line string")
+    ranges = ipv6.optimize(ipv6.ranges(lines))
+    assert sorted((r["feed"], r["line"]) for r in ipv6.body(ranges).collect()) == [("f", "2001:db8::1"), ("f", "2001:db8::2/127"), ("f", "2001:db8::4"), ("f", "fe80::/10"), ("g", "::1")]
+    assert {tuple(r) for r in ipv6.reduce_prefixes(ranges, percent=100, least=5).collect()} == {("f", 10), ("f", 128), ("g", 128)}
+
+
+def test_sweep_at_the_ends_of_the_space(spark):
+    lines = spark.createDataFrame([("a", "::/0"), ("b", "ffff:ffff:ffff:ffff:ffff:ffff:ffff:fff0/124"), ("b", "::5"), ("c", "::1-::9")], "key string, line string")
+    rows = ipv6.compare(ipv6.optimize(ipv6.ranges(lines.where("key <> 'a'")))).collect()
+    assert [(r["name1"], r["name2"], int(r["common"])) for r in rows] == [("b", "c", 1)]
+    last = spark.createDataFrame([("x", "ffff:ffff:ffff:ffff:ffff:ffff:ffff:fff8/125")], "key string, line string")
+    found = ipv6.compare_between(ipv6.optimize(ipv6.ranges(last)), ipv6.optimize(ipv6.ranges(lines.where("key <> 'a'")))).collect()
+    assert sorted((r["name2"], int(r["common"])) for r in found) == [("b", 8), ("c", 0)]

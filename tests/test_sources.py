@@ -5,10 +5,12 @@ import io
 import tarfile
 import zipfile
 
+import numpy as np
 import pytest
 
 from rangeloom.operators import intervals as iv
-from rangeloom.sources import reference, text
+from rangeloom.operators import ipv6
+from rangeloom.sources import binary, reference, text
 
 #: line, kind, first and last address; the first four follow the base rules of C number literals.
 LINES = [("10", "range", 10, 10), ("0x0A.1", "range", (10 << 24) + 1, (10 << 24) + 1), ("012.0.0.1", "range", (10 << 24) + 1, (10 << 24) + 1), ("10.0.256", "range", (10 << 24) + 256, (10 << 24) + 256),
@@ -72,18 +74,53 @@ def test_prefixes_are_given_up_by_price():
 
 
 def test_binary_files_go_round(spark, tmp_path):
-    import numpy as np
-
-    from rangeloom.sources import binary
-
-    rows = [("a", 5, 9), ("a", 20, 20), ("b", 0, 0xFFFFFFFF)]
-    df = spark.createDataFrame(rows, "feed string, lo long, hi long")
-    assert binary.write(df, f"file://{tmp_path}/sets", "own format v1").count() == 2
-    assert sorted(tuple(r) for r in binary.read(spark, f"{tmp_path}/sets", "own format v1").collect()) == sorted(rows)
-    assert sorted((r["feed"], r["records"], r["unique_ips"]) for r in binary.metadata(spark, f"{tmp_path}/sets", "own format v1").collect()) == [("a", 2, 6), ("b", 1, 1 << 32)]
-    good = binary.encoded(np.array([5]), np.array([9]), "m", 1)
-    swapped = good[:-12] + np.array([binary.MARK, 5, 9], ">u4").tobytes()
-    assert binary.decoded(swapped, "m").tolist() == [[5, 9]]
-    for bad in (good[:-1], good + b"x", good.replace(b"unique ips 5", b"unique ips 6"), good.replace(b"optimized", b"sorted", 1), b"x" + good, good.replace(b"record size 8", b"record size 9")):
-        with pytest.raises(ValueError):
-            binary.decoded(bad, "m")
+    rows = [("a", 5, 9), ("a", 20, 20), ("b", 0, 0xFFFFFFFF)] + [("c", 10 * i, 10 * i + i % 7) for i in range(1000)]
+    df = spark.createDataFrame(rows, "feed string, lo long, hi long").repartition(5)
+    assert binary.write(df, f"file://{tmp_path}/sets", "own format v1").count() == 3
+    assert sorted(p.name for p in (tmp_path / "sets").iterdir() if p.suffix == ".bin") == ["a.bin", "b.bin", "c.bin"]
+    got = binary.read(spark, f"{tmp_path}/sets", "own format v1", records=130)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(rows)
+    assert got.rdd.getNumPartitions() == 1 + 1 + 8  # a file is read by several tasks
+    about = binary.metadata(spark, f"{tmp_path}/sets", "own format v1")
+    assert sorted((r["feed"], r["records"], int(r["unique_ips"])) for r in about.collect() if r["feed"] < "c") == [("a", 2, 6), ("b", 1, 1 << 32)]
+    assert binary.verified(got, about).count() == 0
+    (tmp_path / "sets" / "empty.bin").write_bytes(b"")
+    assert binary.read(spark, f"{tmp_path}/sets", "own format v1").count() == len(rows)
+
+
+def test_metadata_reads_the_header_only(spark, tmp_path):
+    """The payload is missing, and nobody notices; reading the ranges fails."""
+    (tmp_path / "cut.bin").write_bytes(binary.head_of("m", 4, 1_000_000, 1_000_000, 2_000_000)[:-4])
+    assert [r["records"] for r in binary.metadata(spark, str(tmp_path), "m").collect()] == [1_000_000]
+    with pytest.raises(Exception, match="payload is cut short"):
+        binary.read(spark, str(tmp_path), "m").count()
+
+
+def test_binary_files_of_both_byte_orders_and_broken_ones(spark, tmp_path):
+    good = binary.head_of("m", 4, 1, 1, 5) + np.array([5, 9], "<u4").tobytes()
+    broken = [good[:-1], good + b"x", good.replace(b"optimized", b"sorted", 1), b"x" + good, good.replace(b"record size 8", b"record size 9"), good[:-8] + np.array([9, 5], "<u4").tobytes(), good[:-12] + b"abcd" + good[-8:], b"m\nipv6" + good[1:]]
+    (tmp_path / "big").mkdir()
+    (tmp_path / "big" / "f.bin").write_bytes(good[:-12] + np.array([binary.MARK, 5, 9], ">u4").tobytes())
+    assert [tuple(r) for r in binary.read(spark, f"{tmp_path}/big", "m").collect()] == [("f", 5, 9)]
+    for i, bad in enumerate(broken):
+        (tmp_path / f"bad{i}").mkdir()
+        (tmp_path / f"bad{i}" / "f.bin").write_bytes(bad)
+        with pytest.raises(Exception):
+            binary.read(spark, f"{tmp_path}/bad{i}", "m").collect()
+    (tmp_path / "sum").mkdir()
+    (tmp_path / "sum" / "f.bin").write_bytes(good.replace(b"unique ips 5", b"unique ips 6"))
+    found = binary.verified(binary.read(spark, f"{tmp_path}/sum", "m"), binary.metadata(spark, f"{tmp_path}/sum", "m")).collect()
+    assert [tuple(r) for r in found] == [("f", "unique ips")]
+
+
+def test_binary_files_of_ipv6_ranges(spark, tmp_path):
+    lines = [("s", "2001:db8::1-2001:db8::9"), ("s", "fe80::/10"), ("t", "::/0"), ("t", "ffff:ffff:ffff:ffff:ffff:ffff:ffff:ffff")]
+    ranges = ipv6.optimize(ipv6.ranges(spark.createDataFrame(lines[:3], "key string, line string")))
+    binary.write(ranges, f"file://{tmp_path}/six", "own format v2", family=6).count()
+    got = binary.read(spark, f"{tmp_path}/six", "own format v2", family=6, records=1)
+    shown = lambda df: sorted((r["feed"], r["line"]) for r in df.select("feed", ipv6.range_text().alias("line")).collect())
+    assert shown(got) == shown(ranges)
+    head = (tmp_path / "six" / "s.bin").read_bytes()
+    assert head.startswith(b"own format v2\nipv6\noptimized\nrecord size 32\nrecords 2\nbytes 68\n")
+    with pytest.raises(Exception, match="IPv6 ranges where IPv4"):
+        binary.read(spark, f"{tmp_path}/six", "own format v2").count()
