@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rangeloom.operators import intervals as iv
@@ -36,13 +36,16 @@ def covered(optimized: DataFrame, reference: DataFrame, name: str = "ips") -> Da
     return met.select("ips", F.explode("feed").alias("feed")).groupBy("feed").agg(F.sum("ips").alias(name))
 
 
-def with_unknown(optimized: DataFrame, by_asn: DataFrame) -> DataFrame:
-    """``feed, asn, ips, percent``: what no network holds is asn 0; percents are of the feed's addresses."""
-    sizes = iv.summary(optimized).select("feed", "unique_ips")
-    known = by_asn.groupBy("feed").agg(F.sum("ips").alias("known"))
-    rest = sizes.join(known, "feed", "left").select("feed", F.lit(0).cast("long").alias("asn"), (F.col("unique_ips") - F.coalesce("known", F.lit(0))).alias("ips"))
-    every = by_asn.select("feed", F.col("asn").cast("long").alias("asn"), "ips").unionByName(rest.where("ips > 0"))
-    return every.join(sizes, "feed").select("feed", "asn", "ips", F.round(F.col("ips") * 100.0 / F.col("unique_ips"), 4).alias("percent"))
+def network_shares(optimized: DataFrame, networks: DataFrame) -> DataFrame:
+    """``feed, asn, ips, percent``: what no network holds is asn 0; percents are of the feed's addresses.
+
+    One sweep gives the counts and, as a row without a number, the feed's addresses in all.
+    """
+    met = iv.cover(feed=optimized.select("feed", "lo", "hi"), asn=networks.select("lo", "hi", F.col("asn").cast("long").alias("asn"))).where("size(feed) > 0")
+    each = F.concat(F.when(F.size("asn") > 0, F.col("asn")).otherwise(F.array(F.lit(0).cast("long"))), F.array(F.lit(None).cast("long")))
+    counted = met.select("ips", F.explode("feed").alias("feed"), each.alias("asn")).select("ips", "feed", F.explode("asn").alias("asn")).groupBy("feed", "asn").agg(F.sum("ips").alias("ips"))
+    whole = F.max(F.when(F.col("asn").isNull(), F.col("ips"))).over(Window.partitionBy("feed"))
+    return counted.withColumn("whole", whole).where("asn is not null").select("feed", "asn", "ips", F.round(F.col("ips") * 100.0 / F.col("whole"), 4).alias("percent"))
 
 
 def joint(optimized: DataFrame, first: DataFrame, second: DataFrame, *keys: str) -> DataFrame:

@@ -44,16 +44,16 @@ def optimize(ranges: DataFrame, bits: int = BUCKET_BITS) -> DataFrame:
     """Sorted, disjoint, non-adjacent ranges of each feed.
 
     Merges overlapping and adjacent ranges inside (feed, bucket) first, so that a large feed is
-    spread over many tasks. Only ranges that touch a bucket edge can go on in the next bucket; the
-    second pass sees those alone, at most two for each feed and bucket.
-    Rows with ``lo > hi`` or a null bound are dropped.
+    spread over many tasks. Only ranges that touch a bucket edge can go on in the next bucket: the
+    second pass takes those of a feed together, at most two for each bucket, and leaves the others
+    in their buckets. Both passes see each row once, and plans that use the result several times share
+    what the second one shuffles. Rows with ``lo > hi``, a null bound or a null feed are dropped.
     """
-    valid = ranges.select("feed", "lo", "hi").where("lo <= hi")
-    local = _islands(clip(valid, bits), ["feed", "bucket"])
+    valid = ranges.select("feed", "lo", "hi").where("feed is not null and lo <= hi")
     width = 1 << bits
     edge = (F.col("lo") % width == 0) | (F.col("hi") % width == width - 1)
-    across = _islands(local.where(edge).select("feed", "lo", "hi"), ["feed"])
-    return local.where(~edge).select("feed", "lo", "hi").unionByName(across.select("feed", "lo", "hi"))
+    local = _islands(clip(valid, bits), ["feed", "bucket"]).withColumn("bucket", F.when(~edge, F.col("bucket")))
+    return _islands(local, ["feed", "bucket"]).select("feed", "lo", "hi")
 
 
 def size() -> Column:

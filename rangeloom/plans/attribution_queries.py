@@ -33,7 +33,7 @@ def register_all(register) -> None:
     register("country_total_mapped", lambda s, d: at.covered(_opt(s, d), b.geo(s, d), "total_mapped"),
              f"WITH {OPTIMIZED}, geo AS (SELECT 1 AS one, lo, hi FROM ({b.GEO}) g), u AS {merged('geo', 'one')} SELECT o.feed, {SHARE} AS total_mapped FROM opt o JOIN u r ON {ON} GROUP BY 1")
     known = f"WITH {OPTIMIZED}, asn AS ({b.ASN}), c AS (SELECT o.feed, r.asn, {SHARE} AS ips FROM opt o JOIN asn r ON {ON} GROUP BY 1, 2)"
-    register("asn_counts", lambda s, d: at.with_unknown(_opt(s, d), at.counts(_opt(s, d), b.asn(s, d), "asn")),
+    register("asn_counts", lambda s, d: at.network_shares(_opt(s, d), b.asn(s, d)),
              f"""{known}, sz AS (SELECT feed, CAST(sum(hi - lo + 1) AS bigint) AS n FROM opt GROUP BY feed),
              every AS (SELECT feed, asn, ips FROM c UNION ALL SELECT feed, 0, n - coalesce((SELECT CAST(sum(ips) AS bigint) FROM c WHERE c.feed = sz.feed), 0) FROM sz)
              SELECT every.feed, asn, ips, round(ips * 100.0::double / n, 4) AS percent FROM every JOIN sz ON sz.feed = every.feed WHERE ips > 0""")

@@ -1,9 +1,10 @@
 """A cohort ledger that new snapshots update, micro-batch by micro-batch.
 
-The ledger folder holds the cohorts of each version (``feed, lo, hi, added_at``: what is listed, and
-since when) and, per batch, the changes ``feed, ts, added, removed`` and the removals
-``feed, added_at, removed_at, hours, ips``. A batch writes a new version and then names it in one
-small file, so a batch that is run again starts from the version before it and writes the same rows.
+The ledger folder holds the cohorts ``feed, lo, hi, added_at`` (what is listed, and since when) as a table of
+named versions, of which old ones expire, and for each batch its changes ``feed, ts, added, removed`` and its
+removals ``feed, added_at, removed_at, hours, ips``. A batch names its cohorts last, and readers pass over
+changes and removals of batches that named none. A batch that runs again starts from the version before it and
+writes the same rows over its own.
 """
 
 from __future__ import annotations
@@ -13,29 +14,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rangeloom.operators import intervals as iv
+from rangeloom.sources.versions import VersionedTable, written
 
 COHORTS = "feed string, lo long, hi long, added_at long"
 
 
-def _version(spark: SparkSession, folder: str, before: int) -> int:
-    """The last version made by a batch before the given one, or -1."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return -1
-    made = [int(f.getPath().getName().partition("=")[2]) for f in fs.listStatus(path) if f.getPath().getName().startswith("cohorts=")
-            and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
-    return max((v for v in made if v < before), default=-1)
+REMOVALS = "feed string, added_at long, removed_at long, ips long, hours long"
+CHANGES = "feed string, ts long, added long, removed long"
 
 
-def cohorts(spark: SparkSession, folder: str, before: int = 1 << 62) -> DataFrame:
+def versions(spark: SparkSession, folder: str) -> VersionedTable:
+    return VersionedTable(spark, f"{folder}/cohorts", COHORTS)
+
+
+def cohorts(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
     """The listed ranges with the time since when, as the last finished batch left them."""
-    version = _version(spark, folder, before)
-    return spark.read.schema(COHORTS).parquet(f"{folder}/cohorts={version}") if version >= 0 else spark.createDataFrame([], COHORTS)
+    return versions(spark, folder).read(before)
 
 
-def step(old: DataFrame, snapshot: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(new cohorts, removals)`` after one snapshot ``feed, ts, lo, hi`` of some feeds; feeds without one stay as they are."""
+def step(old: DataFrame, snapshot: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(new cohorts, removals, changes)`` after one snapshot ``feed, ts, lo, hi`` of some feeds; feeds without one stay as they are."""
     times = snapshot.groupBy("feed").agg(F.max("ts").alias("ts"))
     now = iv.optimize(snapshot.select("feed", "lo", "hi"))
     touched = old.join(times, "feed", "left_semi")
@@ -56,7 +54,9 @@ def step(old: DataFrame, snapshot: DataFrame) -> tuple[DataFrame, DataFrame]:
     gone = placed.where("now = 0").select("feed", F.col("since").alias("added_at"), F.col("ts").alias("removed_at"), "lo", "hi")
     merged = iv.optimize(keyed(stay)).select("feed.feed", "lo", "hi", "feed.added_at").unionByName(old.join(times, "feed", "left_anti").select("feed", "lo", "hi", "added_at"))
     removals = gone.groupBy("feed", "added_at", "removed_at").agg(F.sum(iv.size()).alias("ips")).withColumn("hours", F.floor((F.col("removed_at") + 1800 - F.col("added_at")) / 3600).cast("long"))
-    return merged, removals
+    sized = lambda test: F.sum(F.when(F.expr(test), iv.size()).otherwise(0)).cast("long")
+    changes = placed.groupBy("feed", "ts").agg(sized("was = 0").alias("added"), sized("now = 0").alias("removed")).where("added + removed > 0")
+    return merged, removals, changes
 
 
 def apply_batch(batch: DataFrame, batch_id: int, folder: str) -> None:
@@ -68,13 +68,12 @@ def apply_batch(batch: DataFrame, batch_id: int, folder: str) -> None:
         last = ranked.agg(F.coalesce(F.max("k"), F.lit(0))).first()[0]
         state = cohorts(spark, folder, batch_id)
         for k in range(1, last + 1):
-            one = ranked.where(F.col("k") == k).drop("k")
-            new, removals = step(state, one)
-            name = f"batch={batch_id}/step={k}"
-            new.write.mode("overwrite").parquet(f"{folder}/state/{name}")
-            removals.write.mode("overwrite").parquet(f"{folder}/removals/{name}")
-            state = spark.read.schema(COHORTS).parquet(f"{folder}/state/{name}")
-        state.write.mode("overwrite").parquet(f"{folder}/cohorts={batch_id}")
+            new, gone, changed = step(state, ranked.where(F.col("k") == k).drop("k"))
+            state = written(new, "ledger-step")
+            for name, rows, shape in (("removals", gone, REMOVALS), ("changes", changed, CHANGES)):
+                columns = [c.split()[0] for c in shape.split(", ")]
+                rows.select(*columns).write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}/step={k}")
+        versions(spark, folder).replace(state, batch_id)
     finally:
         batch.unpersist()
 
@@ -85,6 +84,19 @@ def start(snapshots: DataFrame, folder: str, checkpoint: str, **trigger) -> Stre
             .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
 
 
+def _of_named(spark: SparkSession, folder: str, name: str, shape: str) -> DataFrame:
+    named = versions(spark, folder).versions()
+    if not named:
+        return spark.createDataFrame([], shape)
+    rows = spark.read.schema(f"{shape}, batch long, step long").parquet(f"{folder}/{name}")
+    return rows.where(F.col("batch") <= named[-1][0]).drop("batch", "step")
+
+
 def removals(spark: SparkSession, folder: str) -> DataFrame:
     """``feed, added_at, removed_at, ips, hours`` of everything that has left."""
-    return spark.read.parquet(f"{folder}/removals").drop("batch", "step")
+    return _of_named(spark, folder, "removals", REMOVALS)
+
+
+def changes(spark: SparkSession, folder: str) -> DataFrame:
+    """``feed, ts, added, removed`` of every snapshot that changed its feed, the first one included."""
+    return _of_named(spark, folder, "changes", CHANGES)
