@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A canonical dotted quad, without boundaries.
+#: Fixed value: a canonical dotted quad, without boundaries.
 QUAD = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}"
 _LAST = 0xFFFFFFFF
 _H = "[0-9A-Fa-f]{1,4}"

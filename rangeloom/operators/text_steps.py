@@ -53,6 +53,12 @@ def extract(pattern: str, group: int = 0) -> Step:
     return lambda df: df.select("key", F.explode(F.regexp_extract_all("line", F.lit(pattern), F.lit(group))).alias("line"))
 
 
+def matches(pattern: str) -> Step:
+    """What a pattern's first group matches, or all of it without one, anywhere in a line, without outer white space."""
+    pattern = pattern.strip()
+    return lambda df: trim()(extract(pattern, min(re.compile(pattern).groups, 1))(df))
+
+
 def found(pattern: str) -> Step:
     """What the first group of a pattern matches, anywhere in a line, without outer white space."""
     return lambda df: trim()(extract(pattern, 1)(df))
@@ -292,7 +298,7 @@ STEPS: dict[str, Callable[..., Step]] = {
     "p2p_blocklist_proxy": lambda: labelled_ranges("Proxy"), "p2p_gz_proxy": lambda: labelled_ranges("Proxy"),
     "torproject_exits": tor_exits, "dataplane_column3": third_bar_field, "parse_cleantalk": lambda: found(TAGGED_IPV4), "parse_ipblacklistcloud": lambda: found(TAGGED_IPV4),
     "parse_cta_cryptowall": lambda: csv(3), "parse_graphiclineweb": lambda: found(TAGGED_BLOCK), "botscout_filter": lambda: found(CHECKED_LINK), "gz_proxyrss": before_colon,
-    "ip2location_ip2proxy_px1lite": numeric_range, "regex": extract, "grep": grep, "grep_not": lambda pattern, **kw: grep(pattern, inverted=True, **kw),
+    "ip2location_ip2proxy_px1lite": numeric_range, "regex": matches, "grep": grep, "grep_not": lambda pattern, **kw: grep(pattern, inverted=True, **kw),
     "cut_delimiter": cut, "json_path": json_path, "json_paths": json_paths,
     "remove_slash32": remove_slash32, "append_slash32": append_slash32, "remove_slash128": lambda: remove_slash(128), "append_slash128": lambda: append_slash(128),
     "filter_ip4": lambda: kept(ip.is_ipv4, "/32"), "filter_net4": lambda: kept(lambda x: (ip.is_cidr4(x) | ip.is_cidr6(x)) & ~x.endswith("/0"), "/32"),
