@@ -5,8 +5,9 @@ longer runs between neighbouring characters that no piece has side by side. Text
 a file of the shared folder keeps each document as positions in the batch's list of distinct units,
 so that no text is shuffled. Only distinct units are encoded, each once for the whole table:
 
-1. the substrings of a unit, up to the longest piece, are exploded and joined with the piece table;
-2. the edges found are grouped by unit into its lattice;
+1. the substrings of a unit, up to the longest piece, are exploded and joined with the piece table; a
+   long unit is cut into overlapping slices first, so that the work is linear in its length;
+2. the edges found are grouped by unit, or slice of one, into its lattice;
 3. each lattice is folded to its path in Arrow batches. The vocabulary holds merge ranks,
    not log-probabilities: the best path takes, at each step, the edge of best score that spans two
    neighbouring segments, leftmost first, instead of maximising the sum of the scores, which would
@@ -18,7 +19,8 @@ The ids return to the batches that have the unit, and a batch puts its documents
 Characters that no piece has become the pieces of their UTF-8 bytes. Decoding joins pieces and
 bytes back; it is exact up to ``▁`` itself, which reads as a space.
 
-Null and empty texts have no ids and decode to an empty text. Repeated rows are encoded as often
+Null and empty texts have no ids and decode to an empty text. Texts, and words, of any length are
+encoded whole. Repeated rows are encoded as often
 as they occur, a null doc_id is carried through, other columns are ignored, whatever their names,
 and an empty table gives an empty result.
 """
@@ -37,7 +39,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rangeloom.llm.common import scratch, setting, written
@@ -51,6 +53,8 @@ BATCH_CHARS, BATCH_DOCS = 8_000_000, 6_000
 PARTITION = 100_000
 #: Runs of more characters than this are cut at every neighbours that no piece has.
 LONG = 64
+#: Characters of a slice of a unit that is longer.
+SLICE = 256
 #: An edge is one number: start, length, order of its score, id.
 LENGTH_BITS, ORDER_BITS, ID_BITS = 5, 17, 17
 BATCH = "batch long, units array<string>"
@@ -165,19 +169,30 @@ def load(folder: str, number: int) -> tuple[pa.Array, np.ndarray, np.ndarray, by
     return table["doc_ids"][0].values, table["sizes"][0].values.to_numpy(), codes, table["digests"][0].as_py()
 
 
-def lattice(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``unit, edges``: of each unit the spans of two or more characters that are pieces, as packed numbers.
+def key_of(unit: Column) -> Column:
+    """What names a unit: itself, or a digest that is longer than any unit that names itself."""
+    return F.when(F.char_length(unit) <= SLICE, unit).otherwise(F.lpad(F.sha2(unit, 256), SLICE + 1, "0"))
 
-    Rows of a unit stay in its partition: the piece table is broadcast, its size is the vocabulary's.
-    The first character's span keeps a unit without an edge.
+
+def lattice(units: DataFrame, vocabulary: Vocabulary, parts: int) -> DataFrame:
+    """``key, at, part, edges``: the spans of two or more characters that are pieces, as packed numbers.
+
+    A long unit is cut into slices of ``SLICE`` characters, each with what a piece could need of the
+    next one, so no row grows with the length of a unit: ``at`` is where a slice starts, ``part`` its text
+    (empty for a unit that is its own key). Rows of a unit go to one partition; the piece table is
+    broadcast, its size is the vocabulary's. The first character's span keeps a slice without an edge.
     """
-    n, most = F.char_length("unit"), vocabulary.longest
+    most, unit = vocabulary.longest, F.col("unit")
+    slices = F.transform(F.sequence(F.lit(0), F.greatest(F.char_length(unit) - 1, F.lit(0)), F.lit(SLICE)), lambda at: F.struct(at.alias("at"), F.substring(unit, at + 1, F.lit(SLICE + most - 1)).alias("part")))
+    sliced = units.select(key_of(unit).alias("key"), F.explode(slices).alias("s")).select("key", "s.*").repartition(parts, "key")
+    n = F.char_length("part")
     of_start = lambda a: F.transform(F.sequence(F.lit(2), F.least(n - a, F.lit(most))), lambda k: a.cast("long") * (1 << LENGTH_BITS) + k)
-    wide = F.flatten(F.transform(F.sequence(F.lit(0), n - 2), of_start))
-    spans = units.select("unit", F.explode(F.when(n < 2, F.array(F.lit(1).cast("long"))).otherwise(F.concat(F.array(F.lit(1).cast("long")), wide))).alias("span"))
-    placed = spans.withColumn("piece", F.expr(f"substring(unit, cast(shiftright(span, {LENGTH_BITS}) as int) + 1, cast(span & {(1 << LENGTH_BITS) - 1} as int))"))
+    wide = F.flatten(F.transform(F.sequence(F.lit(0), F.least(n - 2, F.lit(SLICE - 1))), of_start))
+    spans = sliced.select("key", "at", "part", F.explode(F.when(n < 2, F.array(F.lit(1).cast("long"))).otherwise(F.concat(F.array(F.lit(1).cast("long")), wide))).alias("span"))
+    placed = spans.withColumn("piece", F.expr(f"substring(part, cast(shiftright(span, {LENGTH_BITS}) as int) + 1, cast(span & {(1 << LENGTH_BITS) - 1} as int))"))
     edges = placed.join(F.broadcast(vocabulary.table(units.sparkSession)), "piece", "left").where("value is not null or span = 1")
-    return edges.groupBy("unit").agg(F.collect_list(F.when(F.col("span") != 1, F.shiftleft("span", ORDER_BITS + ID_BITS).bitwiseOR(F.col("value")))).alias("edges"))
+    text = F.when(F.char_length("key") <= SLICE, "").otherwise(F.col("part"))
+    return edges.groupBy("key", "at", text.alias("part")).agg(F.collect_list(F.when(F.col("span") != 1, F.shiftleft("span", ORDER_BITS + ID_BITS).bitwiseOR(F.col("value")))).alias("edges"))
 
 
 def folded(n: int, edges: list[int]) -> list[tuple[int, int, int | None]]:
@@ -212,8 +227,11 @@ def folded(n: int, edges: list[int]) -> list[tuple[int, int, int | None]]:
     return path
 
 
-def unit_ids(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``unit, ids`` of each distinct unit."""
+def unit_ids(units: DataFrame, vocabulary: Vocabulary, parts: int) -> DataFrame:
+    """``key, ids`` of each distinct unit.
+
+    A unit of several slices is folded when its partition has been read; until then its edges wait in memory.
+    """
     single = {p: i for p, i, _ in vocabulary.rows if len(p) == 1}
     first_byte = vocabulary.first_byte
 
@@ -221,18 +239,34 @@ def unit_ids(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         found = single.get(char)
         return [found] if found is not None else [first_byte + x for x in char.encode()]
 
+    def ids_of(unit: str, edges: list[int]) -> list[int]:
+        ids: list[int] = []
+        for a, b, found in folded(len(unit), edges):
+            ids += of_char(unit[a]) if found is None else (found,)
+        return ids
+
+    def batch_of(keys: list[str], ids: list[list[int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(ids, pa.list_(pa.int32()))], names=["key", "ids"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[str, list[tuple[int, str, np.ndarray]]] = {}
         for batch in batches:
-            edges, out = batch.column("edges"), []
-            flat, offsets = edges.flatten().to_pylist(), edges.offsets.to_pylist()
-            for unit, x, y in zip(batch.column("unit").to_pylist(), offsets, offsets[1:]):
-                ids: list[int] = []
-                for a, b, found in folded(len(unit), flat[x - offsets[0]:y - offsets[0]]):
-                    ids += of_char(unit[a]) if found is None else (found,)
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array(out, pa.list_(pa.int32()))], names=["unit", "ids"])
-
-    return lattice(units, vocabulary).mapInArrow(run, "unit string, ids array<int>")
+            edges, keys, out = batch.column("edges"), [], []
+            flat, offsets = edges.flatten(), edges.offsets.to_pylist()
+            numbers, low = flat.to_pylist(), offsets[0]
+            for key, at, part, x, y in zip(batch.column("key").to_pylist(), batch.column("at").to_pylist(), batch.column("part").to_pylist(), offsets, offsets[1:]):
+                if part:
+                    waiting.setdefault(key, []).append((at, part, np.array(numbers[x - low:y - low], np.int64)))
+                else:
+                    keys.append(key)
+                    out.append(ids_of(key, numbers[x - low:y - low]))
+            yield batch_of(keys, out)
+        for key, slices in waiting.items():
+            slices.sort(key=lambda s: s[0])
+            shift = LENGTH_BITS + ORDER_BITS + ID_BITS
+            yield batch_of([key], [ids_of("".join([part[:SLICE] for _, part, _ in slices]), [e + (at << shift) for at, _, edges in slices for e in edges.tolist()])])
+
+    return lattice(units, vocabulary, parts).mapInArrow(run, "key string, ids array<int>")
 
 
 def encode(docs: DataFrame, model_file: str) -> DataFrame:
@@ -242,11 +276,11 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
     rows = held.agg(F.coalesce(F.sum(F.size("units")), F.lit(0))).first()[0]
     parts = max(1, -(-rows // PARTITION))
     named = held.select("batch", F.posexplode("units").alias("place", "unit"))
-    units = named.select("unit").distinct().repartition(parts, "unit")
+    units = named.select("unit").distinct()
     # A partition's lattices fit in memory, as PARTITION bounds their number, so grouping needs no sort.
     with setting(docs.sparkSession, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(10 * PARTITION)):
-        coded = written(unit_ids(units, vocabulary), "piece-units")
-    returned = named.join(coded, "unit").select("batch", "place", "ids")
+        coded = written(unit_ids(units, vocabulary, parts), "piece-units")
+    returned = named.select("batch", "place", key_of(F.col("unit")).alias("key")).join(coded, "key").select("batch", "place", "ids")
 
     def put_together(found: pa.Table) -> pa.Table:
         found = found.sort_by("place").combine_chunks()

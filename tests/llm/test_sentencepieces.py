@@ -25,6 +25,20 @@ def test_ids_equal_the_library_and_decode(spark):
         assert r["ids"] == model.encode(texts[r["doc_id"]] or ""), repr(texts[r["doc_id"]])[:80]
 
 
+def test_long_words_in_slices(spark):
+    """Words around the length of a slice, and of many slices, are what the library makes of them."""
+    import sentencepiece
+
+    path, rng = registry.tokenizer_path("piece_bpe_32k.model"), random.Random(11)
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    size = sentencepieces.SLICE
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for n in (size - 2, size - 1, size, size + 1, 2 * size - 1, 2 * size, 5 * size + 3, 40_000) for letters in ("x", "the", "internationalization", "0")]
+    got = sentencepieces.encode_and_check(spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string"), path).collect()
+    assert len(got) == len(texts) + 1
+    for r in got:
+        assert r["round_trip"] and r["ids"] == model.encode(texts[r["doc_id"]]), texts[r["doc_id"]][:30]
+
+
 def test_null_ids_and_no_rows(spark):
     path = registry.tokenizer_path("piece_bpe_32k.model")
     got = sentencepieces.encode_and_check(spark.createDataFrame([(None, "a")], "doc_id long, text string"), path).collect()
