@@ -7,10 +7,10 @@ discounted mass goes to continuation counts that both classes share: the share o
 that go on this way. An expression too rare to be told apart therefore gets the same probability
 from both models, and an unseen inflection is judged by its stem.
 
-Prefixes seen fewer than ``LEAST_COUNT`` times in the sample are judged by their own prefix: with less
-evidence a class's smaller sample, not its language, decides which class finds an expression likelier.
-On the labelled documents of sf0.1, a fit with the rule finds 84 of 144 toxic documents that it has not
-seen and rejects none of 1,200 ordinary ones; without it 77 and 4.
+Prefixes seen fewer than ``LEAST_COUNT`` times in the sample are judged by their own prefix. That is a cut
+in what the models keep, made so that the table of prefixes on the driver stays small. On the labelled
+documents of sf0.1, the registered query finds 104 of 144 toxic documents that its fit has not seen and
+rejects 5 of 1,200 ordinary ones; without the cut it is 111 and 7.
 
 A toxic text is mostly ordinary language, so its likelihood mixes both models, with a share
 ``RATE`` of toxic expressions. A document's statistic is the difference of the two log-likelihoods,
