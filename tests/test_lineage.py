@@ -3,6 +3,7 @@
 import random
 
 from rangeloom.operators import lineage
+from rangeloom.sources import versions
 
 EDGES = "feed string, parent string, additive boolean"
 
@@ -58,6 +59,12 @@ def test_what_may_be_passed_on(spark):
     assert {tuple(r) for r in lineage.redistributable(feeds, edges).collect()} == {("a", True), ("b", False), ("m", True), ("n", False), ("o", False)}
 
 
+def test_rounds_are_released(spark):
+    versions.release(spark)
+    reach = lineage.closure(graph(spark, [("a", "b", True), ("b", "c", True)]))
+    assert reach.count() == 3 and versions.release(spark) >= 2 and versions.release(spark) == 0
+
+
 def test_no_rows(spark):
     feeds, edges = spark.createDataFrame([], "feed string"), graph(spark, [])
     assert lineage.closure(edges).count() == lineage.cycles(edges).count() == lineage.leaves(feeds, edges).count() == lineage.related(lineage.leaves(feeds, edges)).count() == 0
