@@ -22,7 +22,7 @@ def main() -> None:
     queries, took = catalog.queries(), {}
     queries["bounds"](spark, sf).collect()  # starts the executors
     warm, shuffled, execution = {}, {}, spark.sparkContext._jsc.sc().statusStore()
-    written = lambda: execution.executorSummary("driver").get().totalShuffleWrite()
+    written = lambda: execution.executorSummary("driver").totalShuffleWrite()
 
     def timed(name: str) -> float:
         began = time.perf_counter()
