@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from rangeloom.operators import intervals as iv
+
 # The byte-order mark, the names of the header's numbers in their order, and the family line of IPv6.
 MARK = 0x1A2B3C4D
 NUMBERS = ("record size", "records", "bytes", "lines", "unique ips")
@@ -241,7 +243,7 @@ def write(optimized: DataFrame, folder: str, magic: str, family: int = 4) -> Dat
     # Addresses as a sum of whole upper halves and a sum of lower ones: together they may have more digits than a decimal.
     high, low = (F.lit(0), F.col("hi") - F.col("lo") + 1) if family == 4 else (F.col("hi.h") - F.col("lo.h"), F.col("hi.l") - F.col("lo.l") + 1)
     sizes = optimized.groupBy("feed").agg(F.count(F.lit(1)).alias("records"), F.sum(high).cast("decimal(38,0)").alias("high"), F.sum(low).cast("decimal(38,0)").alias("low"))
-    dealt = optimized.join(sizes, "feed").select("feed", "lo", "hi", "records", "high", "low").repartition("feed").sortWithinPartitions("feed", "lo")
+    dealt = iv.dealt(optimized.join(sizes, "feed").select("feed", "lo", "hi", "records", "high", "low"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = opened(where)
