@@ -4,7 +4,7 @@ A document's set is its distinct shingles of five words, as 64-bit hashes. Docum
 sets form a class at once, by a fingerprint of the set. The classes are then joined:
 
 1. The hash order of all shingles is cut into fragments. The scanning tasks send each fragment the
-   shingles that fall into it, as compact sorted blocks with the classes that own them. A fragment
+   shingles that fall into it, as compact sorted blocks with the short numbers of their classes. A fragment
    finds the shingles of two or more classes. Where classes are so many that the owners of one
    shingle could fill a task, fragments are also salted by class and their counts summed.
 2. Shingles that exactly the same classes own are one item, weighted by their number. A passage that
@@ -112,25 +112,64 @@ def document_sets(docs: DataFrame) -> DataFrame:
 
 def packed(values: np.ndarray) -> tuple[bytes, int]:
     """Ascending numbers as differences of the fewest bytes that hold them all: (bytes, bytes each)."""
-    steps = np.diff(values, prepend=np.uint64(0))
-    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
-    return steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes(), width
+    return narrow(np.diff(values, prepend=np.uint64(0)))
 
 
 def unpacked(data: bytes, width: int) -> np.ndarray:
+    return np.cumsum(widened(data, width), dtype=np.uint64)
+
+
+#: Bits of a class's short number, and the classes up to which those are enough to keep most apart.
+SHORT_BITS, SHORT_CLASSES = 32, 1 << 24
+
+
+def short_bits(classes: int) -> int:
+    """Bits of short numbers, so that of some classes about one in 250 at most has the bits of another."""
+    return SHORT_BITS if classes <= SHORT_CLASSES else SHORT_BITS + 8
+
+
+def short_number(name: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(name, 64 - bits)
+
+
+def numbered(classes: DataFrame, bits: int) -> tuple[DataFrame, dict[int, int]]:
+    """The classes with a number ``no`` of their own, the first bits of the name, and the numbers of those that have others' bits.
+
+    These few, about the square of the classes over ``2 ** bits``, get numbers above all short ones.
+    """
+    short = classes.withColumn("no", short_number(F.col("class"), bits))
+    clashing = short.join(short.groupBy("no").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("no"), "no", "left_semi").select("class")
+    other = {r["class"]: (1 << bits) + i for i, r in enumerate(clashing.orderBy("class").toLocalIterator())}
+    if not other:
+        return short, other
+    given = F.broadcast(classes.sparkSession.createDataFrame(list(other.items()), "class long, given long"))
+    return short.join(given, "class", "left").withColumn("no", F.coalesce("given", "no")).drop("given"), other
+
+
+BLOCK = "fragment int, salt int, width int, hashes binary, owner_width int, owners binary"
+
+
+def narrow(values: np.ndarray) -> tuple[bytes, int]:
+    """Numbers in the fewest bytes that hold them all: (bytes, bytes each)."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8)
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes(), width
+
+
+def widened(data: bytes, width: int) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8).reshape(-1, width)
     wide = np.zeros((len(raw), 8), np.uint8)
     wide[:, :width] = raw
-    return np.cumsum(wide.reshape(-1).view("<u8"), dtype=np.uint64)
+    return wide.reshape(-1).view("<u8")
 
 
-BLOCK = "fragment int, salt int, width int, hashes binary, owners binary, classes binary"
+def blocks(docs: DataFrame, bits: int, salts: int, short: int, other: dict[int, int]) -> DataFrame:
+    """The shingles of each scanned batch, by fragment and salt: sorted hashes, and for each its owner's number.
 
-
-def blocks(docs: DataFrame, bits: int, salts: int) -> DataFrame:
-    """The shingles of each scanned batch, by fragment and salt: sorted hashes, and for each its owner's place in ``classes``."""
+    A number costs the same few bytes whatever the number of fragments; names of 64 bits that a block lists
+    once are shared by ever fewer shingles the more fragments there are.
+    """
     names = [x.split()[0] for x in BLOCK.split(", ")]
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -140,7 +179,8 @@ def blocks(docs: DataFrame, bits: int, salts: int) -> DataFrame:
                 for text in batch.column("text").slice(at, PART).to_pylist():
                     s = shingler.of(text)
                     if len(s):
-                        sets[fingerprint(s)] = s
+                        name = fingerprint(s)
+                        sets[other.get(name, (name & (1 << 64) - 1) >> 64 - short)] = s
                 for salt in range(salts):
                     rows = _cut([(c, s) for c, s in sets.items() if c % salts == salt], bits, salt)
                     if rows:
@@ -153,18 +193,17 @@ def _cut(sets: list[tuple[int, np.ndarray]], bits: int, salt: int) -> list[tuple
     """Rows of blocks() for the sets of some classes."""
     if not sets:
         return []
-    names = np.array([c for c, _ in sets], np.int64)
     hashes = np.concatenate([s for _, s in sets])
-    owners = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for _, s in sets])
+    owners = np.repeat(np.array([c for c, _ in sets], np.uint64), [len(s) for _, s in sets])
     order = np.argsort(hashes, kind="stable")
     hashes, owners = hashes[order], owners[order]
     at = hashes >> np.uint64(64 - bits) if bits else np.zeros(len(hashes), np.uint64)
     edges, rows = np.flatnonzero(np.diff(at, prepend=at[0])).tolist(), []
     for a, b in zip([0, *edges], [*edges, len(at)], strict=True):
-        own, place = np.unique(owners[a:b], return_inverse=True)
         base = at[a] << np.uint64(64 - bits) if bits else np.uint64(0)
         data, width = packed(hashes[a:b] - base)
-        rows.append((int(at[a]), salt, width, data, place.astype("<u2" if len(own) < 1 << 16 else "<u4").tobytes(), names[own].tobytes()))
+        numbers, owner_width = narrow(owners[a:b])
+        rows.append((int(at[a]), salt, width, data, owner_width, numbers))
     return rows
 
 
@@ -177,15 +216,14 @@ def mixed(classes: np.ndarray) -> np.ndarray:
         return (x ^ (x >> np.uint64(29))).view(np.int64)
 
 
-def shared_shingles(docs: DataFrame, bits: int, salts: int = 1) -> DataFrame:
-    """``class, h, df, owners``: every shingle of two or more classes, with the number and the fingerprint of its classes."""
+def shared_shingles(docs: DataFrame, bits: int, salts: int, short: int, other: dict[int, int]) -> DataFrame:
+    """``class, h, df, owners``: every shingle of two or more classes, by their numbers, with the number and the fingerprint of its classes."""
     def count(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
         base = np.uint64(key[0]) << np.uint64(64 - bits) if bits else np.uint64(0)
         hashes, classes = [], []
-        for width, data, owners, names in zip(found["width"], found["hashes"], found["owners"], found["classes"], strict=True):
-            own = np.frombuffer(names, np.int64)
+        for width, data, owner_width, owners in zip(found["width"], found["hashes"], found["owner_width"], found["owners"], strict=True):
             hashes.append(unpacked(data, width) + base)
-            classes.append(own[np.frombuffer(owners, "<u2" if len(own) < 1 << 16 else "<u4")])
+            classes.append(widened(owners, owner_width).view(np.int64))
         h, c = np.concatenate(hashes), np.concatenate(classes)
         del hashes, classes
         if salts == 1:  # a shingle that occurs once is nobody's partner; with salts, others may have it
@@ -207,7 +245,7 @@ def shared_shingles(docs: DataFrame, bits: int, salts: int = 1) -> DataFrame:
         keep = df > (1 if salts == 1 else 0)
         return pd.DataFrame({"class": c[keep], "h": h[keep].view(np.int64), "df": df[keep].astype(np.int64), "owners": owners[keep]})
 
-    counted = blocks(docs, bits, salts).groupBy("fragment", "salt").applyInPandas(count, "class long, h long, df long, owners long")
+    counted = blocks(docs, bits, salts, short, other).groupBy("fragment", "salt").applyInPandas(count, "class long, h long, df long, owners long")
     if salts == 1:
         return counted
     counted = written(counted, "salted")
@@ -301,9 +339,9 @@ def between_components(posted: DataFrame, items: DataFrame, few: int) -> DataFra
     return out.distinct()
 
 
-def class_links(docs: DataFrame, classes: DataFrame, bits: int, salts: int, few: int) -> DataFrame:
-    """``node, root`` of the classes that have a partner."""
-    shared = shared_shingles(docs, bits, salts)
+def class_links(docs: DataFrame, classes: DataFrame, bits: int, salts: int, few: int, short: int, other: dict[int, int]) -> DataFrame:
+    """``node, root`` of the classes that have a partner; ``classes`` has their numbers as ``class``."""
+    shared = shared_shingles(docs, bits, salts, short, other)
     weighed = written(shared.groupBy("class", F.xxhash64("df", "owners").alias("item"), "df").agg(F.count(F.lit(1)).alias("w")), "items")
     place = F.pmod("item", F.lit(BOUNDS))
     inside = [F.sum(F.when(place == i, F.col("w")).otherwise(0)).cast("int").alias(f"f{i}") for i in range(BOUNDS)]
@@ -338,13 +376,17 @@ def near_duplicates(docs: DataFrame, fragment: int = FRAGMENT, owners: int = OWN
     size = classes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("shingles"), F.count(F.lit(1)).alias("classes")).first()
     salts = max(1, -(-size["classes"] // owners))
     bits = max(0, int(np.ceil(np.log2(max(1, size["shingles"] / fragment / salts)))))
-    roots = class_links(docs, classes, bits, salts, few)
+    short = short_bits(size["classes"])
+    classes, other = numbered(classes, short)
+    roots = class_links(docs, classes.select(F.col("no").alias("class"), "n_shingles"), bits, salts, few, short, other)
     # A doc_id with several rows of different texts ties their classes together.
     several = sets.where("class is not null").groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a != b and doc_id is not null")
     if not several.isEmpty():
-        tied = sets.where("class is not null").join(several.select("doc_id", "a"), "doc_id").select("a", F.col("class").alias("b"))
+        number = classes.select("class", F.col("no").alias("b"))
+        tied = (sets.where("class is not null").join(several.select("doc_id", F.col("a").alias("_a")), "doc_id").select("_a", "class").join(number, "class").drop("class")
+                .join(classes.select(F.col("class").alias("_a"), F.col("no").alias("a")), "_a").select("a", "b"))
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(tied))
-    grouped = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "rep", F.coalesce("root", "class").alias("root"))
+    grouped = classes.join(roots.withColumnRenamed("node", "no"), "no", "left").select("class", "rep", F.coalesce("root", "no").alias("root"))
     least = grouped.groupBy("root").agg(F.min("rep").alias("component"))
     of_class = written(grouped.join(least, "root").select("class", "component"), "components")
     return sets.join(of_class, "class", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
