@@ -124,9 +124,11 @@ def _islands(ranges: DataFrame, keys: list[str]) -> DataFrame:
 def optimize(ranges: DataFrame) -> DataFrame:
     """Sorted, disjoint, non-adjacent ranges of each feed; reversed and null ranges are dropped.
 
-    Ranges merge inside (feed, bucket) first; only those at a bucket's border can go on in the next one.
+    Ranges merge inside (feed, bucket) first; only those at a bucket's border can go on in the next one. Of ranges with
+    the same start only the longest counts, so a window sorts the starts of a bucket and not its rows.
     """
-    local = _islands(clip(ranges.select("feed", "lo", "hi")), ["feed", "bucket"])
+    longest = clip(ranges.select("feed", "lo", "hi")).groupBy("feed", "bucket", "lo").agg(F.max("hi").alias("hi"))
+    local = _islands(longest, ["feed", "bucket"])
     first = (F.col("lo.l") == half(0)) & (F.col("lo.h") % half(BUCKET) == half(0))
     last = (F.col("hi.l") == half(TOP)) & (F.col("hi.h") % half(BUCKET) == half(BUCKET - 1))
     across = _islands(local.where(first | last).select("feed", "lo", "hi"), ["feed"])
