@@ -6,7 +6,7 @@ from rangeloom.operators import intervals as iv
 from rangeloom.operators import pairs as pr
 from rangeloom.plans import bindings as b
 from rangeloom.plans.interval_queries import OPTIMIZED, PAIRS
-from rangeloom.sources.versions import scratch
+from rangeloom.sources.versions import scratch, written
 
 #: Feeds that are apart by their bounds, by coarse or fine blocks, equal, or really overlap.
 APART_RAW = """SELECT DISTINCT feed, lo, hi FROM (SELECT CASE c_nationkey % 5 WHEN 0 THEN 'near' WHEN 1 THEN 'between' WHEN 2 THEN 'wide' WHEN 3 THEN 'gaps' ELSE 'far' END AS feed,
@@ -30,7 +30,7 @@ def _planned(s, d):
 
 def _refreshed(s, d):
     """All pairs after one feed got back the ranges that it had lost."""
-    every = iv.optimize(b.ranges_raw(s, d))
+    every = written(iv.optimize(b.ranges_raw(s, d)), "optimized")  # signatures, coverage and counts of both updates read it
     ledger = pr.PairLedger(s, scratch(s, "pair-ledger"))
     before = every.where("feed <> 'feed_NF' or lo % 3 <> 0")
     ledger.update(before, before)
