@@ -125,10 +125,15 @@ def optimize(ranges: DataFrame) -> DataFrame:
     """Sorted, disjoint, non-adjacent ranges of each feed; reversed and null ranges are dropped.
 
     Ranges merge inside (feed, bucket) first; only those at a bucket's border can go on in the next one. Of ranges with
-    the same start only the longest counts, so a window sorts the starts of a bucket and not its rows.
+    the same start only the longest counts, so a window sorts the starts of a bucket and not its rows. An address is one
+    number there, its distance from the bucket's first, as Spark reduces numbers by hash and structs by a sort of all rows.
     """
-    longest = clip(ranges.select("feed", "lo", "hi")).groupBy("feed", "bucket", "lo").agg(F.max("hi").alias("hi"))
-    local = _islands(longest, ["feed", "bucket"])
+    start, full = F.col("bucket").cast(HALF) * half(BUCKET), F.lit(str(1 << 64)).cast(HALF)
+    distance = lambda ip: ((ip["h"] - start).cast(HALF) * full + ip["l"]).cast("decimal(38,0)")
+    place = lambda x: address(start + F.expr(f"{x} div {1 << 64}BD"), F.col(x) % full)
+    cut = clip(ranges.select("feed", "lo", "hi")).select("feed", "bucket", distance(F.col("lo")).alias("a"), distance(F.col("hi")).alias("z"))
+    longest = cut.groupBy("feed", "bucket", "a").agg(F.max("z").alias("z"))
+    local = _islands(longest.select("feed", "bucket", place("a").alias("lo"), place("z").alias("hi")), ["feed", "bucket"])
     first = (F.col("lo.l") == half(0)) & (F.col("lo.h") % half(BUCKET) == half(0))
     last = (F.col("hi.l") == half(TOP)) & (F.col("hi.h") % half(BUCKET) == half(BUCKET - 1))
     across = _islands(local.where(first | last).select("feed", "lo", "hi"), ["feed"])
@@ -258,8 +263,10 @@ def ranges(lines: DataFrame) -> DataFrame:
     cut = lines.select("key", bare.alias("line"))
     left, right = F.trim(F.substring_index("line", "-", 1)), F.trim(F.expr("substring(line, instr(line, '-') + 1)"))
     split = F.instr("line", "-") > 1
-    ends = cut.select("key", split.alias("split"), endpoint(F.when(split, left).otherwise(F.col("line"))).alias("a"), F.when(split, endpoint(right)).alias("b"))
-    placed = ends.select(F.col("key").alias("feed"), F.col("a.lo").alias("lo"), F.when(F.col("split"), F.col("b.hi")).otherwise(F.col("a.hi")).alias("hi"))
+    # Exploded from an array of one, as the filter below would read each end anew for every use of it.
+    ends = F.struct(split.alias("split"), endpoint(F.when(split, left).otherwise(F.col("line"))).alias("a"), F.when(split, endpoint(right)).alias("b"))
+    found = cut.select("key", F.explode(F.array(ends)).alias("e")).select("key", "e.*")
+    placed = found.select(F.col("key").alias("feed"), F.col("a.lo").alias("lo"), F.when(F.col("split"), F.col("b.hi")).otherwise(F.col("a.hi")).alias("hi"))
     return placed.where("lo is not null and hi is not null and lo <= hi")
 
 
