@@ -3,7 +3,9 @@
 White space becomes the mark ``▁`` and texts are cut into units that no piece crosses: words, and
 longer runs between neighbouring characters that no piece has side by side. Texts travel as batches:
 a file of the shared folder keeps each document as positions in the batch's list of distinct units,
-so that no text is shuffled. Only distinct units are encoded, each once for the whole table:
+so that no text is shuffled. Units are dealt out to buckets by their crc32, and those that a batch has of a
+bucket travel as one block: sorted, compressed, and in an order that both ends know, so that neither
+positions nor batches are named for each unit. Only distinct units are encoded, each once for the whole table:
 
 1. the substrings of a unit, up to the longest piece, are exploded and joined with the piece table; a
    long unit is cut into overlapping slices first, so that the work is linear in its length;
@@ -14,7 +16,8 @@ so that no text is shuffled. Only distinct units are encoded, each once for the
    give other ids than the library does. A heap holds the edges that can be taken, so the fold of a
    unit of any length is nearly linear; the higher-order ``aggregate`` was about ten times slower.
 
-The ids return to the batches that have the unit, and a batch puts its documents together.
+The ids return, again a block for each bucket, to the batches that have the units, and a batch puts its
+documents together.
 
 Characters that no piece has become the pieces of their UTF-8 bytes. Decoding joins pieces and
 bytes back; it is exact up to ``▁`` itself, which reads as a space.
@@ -31,6 +34,7 @@ import hashlib
 import heapq
 import re
 import uuid
+import zlib
 from array import array
 from collections.abc import Iterator
 from itertools import chain
@@ -49,6 +53,8 @@ MARK = "▁"
 RUN = re.compile(rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 #: Characters of texts, and documents, that a batch holds at most before it is closed.
 BATCH_CHARS, BATCH_DOCS = 8_000_000, 6_000
+#: Documents for each bucket of units.
+BUCKET_DOCS = 4_000
 #: Unit rows that a partition of the lattice gets on average.
 PARTITION = 100_000
 #: Runs of more characters than this are cut at every neighbours that no piece has.
@@ -57,7 +63,7 @@ LONG = 64
 SLICE = 256
 #: An edge is one number: start, length, order of its score, id.
 LENGTH_BITS, ORDER_BITS, ID_BITS = 5, 17, 17
-BATCH = "batch long, units array<string>"
+BATCH = "batch long, bucket int, n int, units binary"
 
 
 class Vocabulary:
@@ -105,8 +111,57 @@ def cut(run: str, neighbours: set[str]) -> list[str]:
     return [run] if run[-2:] in neighbours or len(run) < 2 else [run[:-1], run[-1]]
 
 
-def batches(docs: DataFrame, neighbours: set[str], folder: str) -> DataFrame:
-    """``batch, units``: the distinct units of each batch of texts.
+def packed(units: list[str]) -> bytes:
+    """Units as one block; a line feed is only ever a unit of its own, so it can part the others."""
+    return zstandard.compress("\n".join(["" if u == "\n" else u for u in units]).encode())
+
+
+def unpacked(block: bytes) -> list[str]:
+    return [u or "\n" for u in zstandard.decompress(block).decode().split("\n")]
+
+
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2 ** 32, compressed byte by byte."""
+    return zstandard.compress(np.asarray(numbers).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def numbers_of(raw: bytes) -> np.ndarray:
+    found = np.frombuffer(zstandard.decompress(raw), np.uint8)
+    return np.ascontiguousarray(found.reshape(4, -1).T).view("<u4").reshape(-1)
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` of these starts and lengths, one after the other."""
+    ends = np.cumsum(lengths, dtype=np.int64)
+    return values[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def named_by(unit: str) -> str:
+    """``key_of`` of one unit."""
+    return unit if len(unit) <= SLICE else hashlib.sha256(unit.encode()).hexdigest().rjust(SLICE + 1, "0")
+
+
+def bucket_of(key: str, buckets: int) -> int:
+    return zlib.crc32(key.encode()) % buckets
+
+
+def blocks(units: list[str], buckets: int) -> tuple[dict[int, list[str]], np.ndarray]:
+    """The units of each bucket, sorted, and the place of each unit when these lists follow each other by bucket."""
+    found: dict[int, list[tuple[str, int]]] = {}
+    for i, u in enumerate(units):
+        found.setdefault(bucket_of(named_by(u), buckets), []).append((u, i))
+    places, at = np.zeros(len(units), np.int64), 0
+    out = {}
+    for b in sorted(found):
+        found[b].sort()
+        out[b] = [u for u, _ in found[b]]
+        places[[i for _, i in found[b]]] = np.arange(at, at + len(out[b]))
+        at += len(out[b])
+    return out, places
+
+
+def batches(docs: DataFrame, neighbours: set[str], folder: str, buckets: int) -> DataFrame:
+    """``batch, bucket, n, units``: the distinct units of each batch of texts, n in a block for each bucket.
 
     The batch's documents, as positions of units, with digests of the texts to decode, are in a file
     that its number names; the number is drawn, so that a repeated attempt writes a file of its own.
@@ -117,8 +172,10 @@ def batches(docs: DataFrame, neighbours: set[str], folder: str) -> DataFrame:
 
         def closed() -> pa.RecordBatch:
             number = uuid.uuid4().int >> 65
-            save(folder, number, doc_ids, sizes, codes, digests)
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([list(units)], pa.list_(pa.string()))], names=["batch", "units"])
+            dealt, places = blocks(list(units), buckets)
+            save(folder, number, doc_ids, sizes, codes, digests, places)
+            return pa.RecordBatch.from_arrays([pa.array([number] * len(dealt), pa.int64()), pa.array(list(dealt), pa.int32()), pa.array([len(x) for x in dealt.values()], pa.int32()),
+                                               pa.array([packed(x) for x in dealt.values()], pa.binary())], names=["batch", "bucket", "n", "units"])
 
         known, units, doc_ids, sizes, codes, digests, chars = fresh()
         for batch in incoming:
@@ -144,31 +201,43 @@ def batches(docs: DataFrame, neighbours: set[str], folder: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, BATCH)
 
 
-def save(folder: str, number: int, doc_ids: list, sizes: list[int], codes: array, digests: list[bytes]) -> None:
+def save(folder: str, number: int, doc_ids: list, sizes: list[int], codes: array, digests: list[bytes], places: np.ndarray) -> None:
     """Writes a batch's documents."""
     from pyarrow import fs
 
     system, path = fs.FileSystem.from_uri(folder)
     system.create_dir(path, recursive=True)
-    split = np.frombuffer(codes, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
     table = pa.table({"doc_ids": pa.array([doc_ids], pa.list_(pa.int64())), "sizes": pa.array([sizes], pa.list_(pa.int32())),
-                      "codes": pa.array([zstandard.compress(split)], pa.binary()), "digests": pa.array([b"".join(digests)], pa.binary())})
+                      "codes": pa.array([squeezed(np.frombuffer(codes, "<u4"))], pa.binary()), "digests": pa.array([b"".join(digests)], pa.binary()),
+                      "places": pa.array([squeezed(places)], pa.binary())})
     with system.open_output_stream(f"{path}/{number}") as out, pa.ipc.new_stream(out, table.schema) as stream:
         stream.write_table(table)
 
 
 def load(folder: str, number: int) -> tuple[pa.Array, np.ndarray, np.ndarray, bytes]:
-    """A batch's doc_ids, sizes, codes and digests."""
+    """A batch's doc_ids, sizes, places of units and digests."""
     from pyarrow import fs
 
     system, path = fs.FileSystem.from_uri(folder)
     with system.open_input_stream(f"{path}/{number}") as source, pa.ipc.open_stream(source) as stream:
         table = stream.read_all()
-    raw = np.frombuffer(zstandard.decompress(table["codes"][0].as_py()), np.uint8)
-    codes = np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").reshape(-1)
+    codes = numbers_of(table["places"][0].as_py())[numbers_of(table["codes"][0].as_py())]
     return table["doc_ids"][0].values, table["sizes"][0].values.to_numpy(), codes, table["digests"][0].as_py()
 
 
+def distinct_units(held: DataFrame, parts: int) -> DataFrame:
+    """``unit``: each unit of the blocks once; a bucket's blocks meet in one task, which keeps the units it has seen."""
+    def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for batch in incoming:
+            for block in batch.column("units").to_pylist():
+                new = set(unpacked(block)) - seen
+                seen |= new
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(new), pa.string())], names=["unit"])
+
+    return held.select("bucket", "units").repartition(parts, "bucket").mapInArrow(run, "unit string")
+
+
 def key_of(unit: Column) -> Column:
     """What names a unit: itself, or a digest that is longer than any unit that names itself."""
     return F.when(F.char_length(unit) <= SLICE, unit).otherwise(F.lpad(F.sha2(unit, 256), SLICE + 1, "0"))
@@ -183,16 +252,17 @@ def lattice(units: DataFrame, vocabulary: Vocabulary, parts: int) -> DataFrame:
     broadcast, its size is the vocabulary's. The first character's span keeps a slice without an edge.
     """
     most, unit = vocabulary.longest, F.col("unit")
-    slices = F.transform(F.sequence(F.lit(0), F.greatest(F.char_length(unit) - 1, F.lit(0)), F.lit(SLICE)), lambda at: F.struct(at.alias("at"), F.substring(unit, at + 1, F.lit(SLICE + most - 1)).alias("part")))
+    text = lambda at: F.when(F.char_length(unit) > SLICE, F.substring(unit, at + 1, F.lit(SLICE + most - 1))).otherwise("")
+    slices = F.transform(F.sequence(F.lit(0), F.greatest(F.char_length(unit) - 1, F.lit(0)), F.lit(SLICE)), lambda at: F.struct(at.alias("at"), text(at).alias("part")))
     sliced = units.select(key_of(unit).alias("key"), F.explode(slices).alias("s")).select("key", "s.*").repartition(parts, "key")
-    n = F.char_length("part")
-    of_start = lambda a: F.transform(F.sequence(F.lit(2), F.least(n - a, F.lit(most))), lambda k: a.cast("long") * (1 << LENGTH_BITS) + k)
-    wide = F.flatten(F.transform(F.sequence(F.lit(0), F.least(n - 2, F.lit(SLICE - 1))), of_start))
-    spans = sliced.select("key", "at", "part", F.explode(F.when(n < 2, F.array(F.lit(1).cast("long"))).otherwise(F.concat(F.array(F.lit(1).cast("long")), wide))).alias("span"))
-    placed = spans.withColumn("piece", F.expr(f"substring(part, cast(shiftright(span, {LENGTH_BITS}) as int) + 1, cast(span & {(1 << LENGTH_BITS) - 1} as int))"))
+    whole = F.when(F.col("part") == "", F.col("key")).otherwise(F.col("part"))
+    # Two explodes of number ranges, as nested lambdas over arrays are interpreted for each span.
+    starts = sliced.withColumn("n", F.char_length(whole)).select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.least(F.col("n") - 2, F.lit(SLICE - 1)), F.lit(0)))).alias("a"))
+    lengths = F.explode(F.sequence(F.when(F.col("a") == 0, 1).otherwise(2), F.least(F.col("n") - F.col("a"), F.lit(most)))).alias("k")
+    spans = starts.select("key", "at", "part", "a", lengths).select("key", "at", "part", (F.col("a").cast("long") * (1 << LENGTH_BITS) + F.col("k")).alias("span"))
+    placed = spans.withColumn("piece", F.substring(whole, F.shiftright("span", LENGTH_BITS).cast("int") + 1, F.col("span").bitwiseAND((1 << LENGTH_BITS) - 1).cast("int")))
     edges = placed.join(F.broadcast(vocabulary.table(units.sparkSession)), "piece", "left").where("value is not null or span = 1")
-    text = F.when(F.char_length("key") <= SLICE, "").otherwise(F.col("part"))
-    return edges.groupBy("key", "at", text.alias("part")).agg(F.collect_list(F.when(F.col("span") != 1, F.shiftleft("span", ORDER_BITS + ID_BITS).bitwiseOR(F.col("value")))).alias("edges"))
+    return edges.groupBy("key", "at", "part").agg(F.collect_list(F.when(F.col("span") != 1, F.shiftleft("span", ORDER_BITS + ID_BITS).bitwiseOR(F.col("value")))).alias("edges"))
 
 
 def folded(n: int, edges: list[int]) -> list[tuple[int, int, int | None]]:
@@ -227,8 +297,8 @@ def folded(n: int, edges: list[int]) -> list[tuple[int, int, int | None]]:
     return path
 
 
-def unit_ids(units: DataFrame, vocabulary: Vocabulary, parts: int) -> DataFrame:
-    """``key, ids`` of each distinct unit.
+def unit_ids(units: DataFrame, vocabulary: Vocabulary, parts: int, buckets: int) -> DataFrame:
+    """``bucket, keys, lengths, ids`` of the distinct units: a task's units of a bucket are one block.
 
     A unit of several slices is folded when its partition has been read; until then its edges wait in memory.
     """
@@ -245,52 +315,67 @@ def unit_ids(units: DataFrame, vocabulary: Vocabulary, parts: int) -> DataFrame:
             ids += of_char(unit[a]) if found is None else (found,)
         return ids
 
-    def batch_of(keys: list[str], ids: list[list[int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(ids, pa.list_(pa.int32()))], names=["key", "ids"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[str, list[tuple[int, str, np.ndarray]]] = {}
+        done: dict[str, np.ndarray] = {}
         for batch in batches:
-            edges, keys, out = batch.column("edges"), [], []
+            edges = batch.column("edges")
             flat, offsets = edges.flatten(), edges.offsets.to_pylist()
             numbers, low = flat.to_pylist(), offsets[0]
             for key, at, part, x, y in zip(batch.column("key").to_pylist(), batch.column("at").to_pylist(), batch.column("part").to_pylist(), offsets, offsets[1:]):
                 if part:
                     waiting.setdefault(key, []).append((at, part, np.array(numbers[x - low:y - low], np.int64)))
                 else:
-                    keys.append(key)
-                    out.append(ids_of(key, numbers[x - low:y - low]))
-            yield batch_of(keys, out)
+                    done[key] = np.array(ids_of(key, numbers[x - low:y - low]), np.uint32)
         for key, slices in waiting.items():
             slices.sort(key=lambda s: s[0])
             shift = LENGTH_BITS + ORDER_BITS + ID_BITS
-            yield batch_of([key], [ids_of("".join([part[:SLICE] for _, part, _ in slices]), [e + (at << shift) for at, _, edges in slices for e in edges.tolist()])])
-
-    return lattice(units, vocabulary, parts).mapInArrow(run, "key string, ids array<int>")
+            done[key] = np.array(ids_of("".join([part[:SLICE] for _, part, _ in slices]), [e + (at << shift) for at, _, edges in slices for e in edges.tolist()]), np.uint32)
+        for bucket, keys in blocks(list(done), buckets)[0].items():
+            ids = [done[k] for k in keys]
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *(pa.array([x], pa.binary()) for x in (packed(keys), squeezed(np.array([len(x) for x in ids])), squeezed(np.concatenate(ids))))],
+                                             names=["bucket", "keys", "lengths", "ids"])
+
+    return lattice(units, vocabulary, parts).mapInArrow(run, "bucket int, keys binary, lengths binary, ids binary")
+
+
+def answered(held: pa.Table, coded: pa.Table) -> pa.Table:
+    """``batch, bucket, lengths, ids``: the ids of the units of each block of a bucket."""
+    place, lengths, ids = {}, [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+    for keys, n, found in zip(*(coded.column(c).to_pylist() for c in ("keys", "lengths", "ids")), strict=True):
+        place.update({k: i for i, k in enumerate(unpacked(keys), len(place))})
+        lengths.append(numbers_of(n).astype(np.int64))
+        ids.append(numbers_of(found))
+    n, values = np.concatenate(lengths), np.concatenate(ids)
+    starts = np.cumsum(n) - n
+    out = []
+    for block in held.column("units").to_pylist():
+        at = np.array([place[named_by(u)] for u in unpacked(block)], np.int64)
+        out.append((squeezed(n[at]), squeezed(gathered(values, starts[at], n[at]))))
+    return pa.table({"batch": held.column("batch"), "bucket": held.column("bucket"), "lengths": pa.array([a for a, _ in out], pa.binary()), "ids": pa.array([b for _, b in out], pa.binary())})
 
 
 def encode(docs: DataFrame, model_file: str) -> DataFrame:
     """``doc_id, ids, digest`` of each row of ``docs(doc_id, text)``; the digest is the text's."""
     vocabulary, folder = Vocabulary(model_file), scratch(docs.sparkSession, "piece-codes")
-    held = written(batches(docs, vocabulary.neighbours, folder), "piece-batches")
-    rows = held.agg(F.coalesce(F.sum(F.size("units")), F.lit(0))).first()[0]
+    buckets = max(1, -(-docs.count() // BUCKET_DOCS))
+    held = written(batches(docs, vocabulary.neighbours, folder, buckets), "piece-batches")
+    rows = held.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(1, -(-rows // PARTITION))
-    named = held.select("batch", F.posexplode("units").alias("place", "unit"))
-    units = named.select("unit").distinct()
     # A partition's lattices fit in memory, as PARTITION bounds their number, so grouping needs no sort.
     with setting(docs.sparkSession, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(10 * PARTITION)):
-        coded = written(unit_ids(units, vocabulary, parts), "piece-units")
-    returned = named.select("batch", "place", key_of(F.col("unit")).alias("key")).join(coded, "key").select("batch", "place", "ids")
+        coded = written(unit_ids(distinct_units(held, buckets), vocabulary, parts, buckets), "piece-units")
+    returned = held.groupBy("bucket").cogroup(coded.groupBy("bucket")).applyInArrow(answered, "batch long, bucket int, lengths binary, ids binary")
 
     def put_together(found: pa.Table) -> pa.Table:
-        found = found.sort_by("place").combine_chunks()
-        lists = found.column("ids").chunk(0)
-        ids, lengths = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-        start = np.cumsum(lengths, dtype=np.int64) - lengths
+        found = found.sort_by("bucket")
+        lengths = np.concatenate([numbers_of(x) for x in found.column("lengths").to_pylist()]).astype(np.int64)
+        ids = np.concatenate([numbers_of(x) for x in found.column("ids").to_pylist()])
+        start = np.cumsum(lengths) - lengths
         doc_ids, sizes, codes, digests = load(folder, found.column("batch")[0].as_py())
-        n = lengths[codes].astype(np.int64)
+        n = lengths[codes]
         total = np.r_[0, np.cumsum(n)]
-        taken = ids[np.repeat(start[codes] - total[:-1], n) + np.arange(total[-1])]
+        taken = gathered(ids, start[codes], n)
         offsets = total[np.r_[0, np.cumsum(sizes)]].astype(np.int32)
         texts = [digests[16 * i:16 * i + 16].hex() for i in range(len(sizes))]
         return pa.table({"doc_id": doc_ids, "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(taken, pa.int32())), "digest": texts})
@@ -303,7 +388,7 @@ def decoder(model_file: str):
     raw = Vocabulary(model_file).raw()
 
     def run(lists: pd.Series) -> pd.Series:
-        return pd.Series([None if ids is None else b"".join([raw[i] for i in ids]).decode("utf-8", "replace")[1:] for ids in lists], dtype=object)
+        return pd.Series([None if ids is None else b"".join([raw[i] for i in ids.tolist()]).decode("utf-8", "replace")[1:] for ids in lists], dtype=object)
 
     run.__annotations__ = {"lists": pd.Series, "return": pd.Series}
     return F.pandas_udf(run, "string")

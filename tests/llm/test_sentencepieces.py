@@ -60,3 +60,17 @@ def test_fold_takes_the_best_edge_at_each_step(text):
             break
         del cut[min(tried)[1] + 1]
     assert [a for a, _, _ in sentencepieces.folded(len(text), edges)] == cut[:-1]
+
+
+def test_units_travel_in_blocks(spark, tmp_path):
+    """A batch's units, of any kind, come back from their blocks, and a row of the batches is a block and not a unit."""
+    units = [sentencepieces.MARK, "\n", "é", "\x00", "▁the", "x" * 300, "▁a\r", *(f"▁w{i}" for i in range(500))]
+    dealt, places = sentencepieces.blocks(units, 7)
+    flat = [u for b in dealt for u in sentencepieces.unpacked(sentencepieces.packed(dealt[b]))]
+    assert [flat[p] for p in places] == units and list(dealt) == sorted(dealt)
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * j}" for j in range(300)) + "\n") for i in range(40)], "doc_id long, text string").coalesce(1)
+    path = registry.tokenizer_path("piece_bpe_32k.model")
+    held = sentencepieces.batches(docs, sentencepieces.Vocabulary(path).neighbours, f"file://{tmp_path}", 5).cache()
+    assert held.count() == 5
+    every = [r["unit"] for r in sentencepieces.distinct_units(held.unionAll(held), 3).collect()]
+    assert len(every) == len(set(every)) == held.groupBy().sum("n").first()[0]
