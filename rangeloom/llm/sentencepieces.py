@@ -141,23 +141,29 @@ def named_by(unit: str) -> str:
     return unit if len(unit) <= SLICE else hashlib.sha256(unit.encode()).hexdigest().rjust(SLICE + 1, "0")
 
 
-def bucket_of(key: str, buckets: int) -> int:
-    return zlib.crc32(key.encode()) % buckets
-
-
 def blocks(units: list[str], buckets: int) -> tuple[dict[int, list[str]], np.ndarray]:
     """The units of each bucket, sorted, and the place of each unit when these lists follow each other by bucket."""
-    found: dict[int, list[tuple[str, int]]] = {}
-    for i, u in enumerate(units):
-        found.setdefault(bucket_of(named_by(u), buckets), []).append((u, i))
-    places, at = np.zeros(len(units), np.int64), 0
-    out = {}
-    for b in sorted(found):
-        found[b].sort()
-        out[b] = [u for u, _ in found[b]]
-        places[[i for _, i in found[b]]] = np.arange(at, at + len(out[b]))
-        at += len(out[b])
-    return out, places
+    order = sorted(range(len(units)), key=units.__getitem__)
+    names = [units[i] for i in order]
+    dealt = np.array([zlib.crc32((u if len(u) <= SLICE else named_by(u)).encode()) for u in names], np.int64) % buckets
+    by = np.argsort(dealt, kind="stable")
+    places = np.zeros(len(units), np.int64)
+    places[np.array(order, np.int64)[by]] = np.arange(len(units))
+    found, first = np.unique(dealt[by], return_index=True)
+    return {b: [names[k] for k in by[x:y].tolist()] for b, x, y in zip(found.tolist(), first, [*first[1:], len(units)])}, places
+
+
+class Known(dict):
+    """The runs seen by a batch, as positions in its list of units; a new run adds its own."""
+
+    def __init__(self, neighbours: set[str]) -> None:
+        super().__init__({"": ()})
+        self.units, self.neighbours = {MARK: 0}, neighbours
+
+    def __missing__(self, run: str) -> tuple[int, ...]:
+        units = self.units
+        found = self[run] = tuple([units.setdefault(x, len(units)) for x in cut(run, self.neighbours)])
+        return found
 
 
 def batches(docs: DataFrame, neighbours: set[str], folder: str, buckets: int) -> DataFrame:
@@ -168,33 +174,27 @@ def batches(docs: DataFrame, neighbours: set[str], folder: str, buckets: int) ->
     """
     def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def fresh() -> tuple:
-            return {"": ()}, {MARK: 0}, [], [], array("i"), [], 0
+            return Known(neighbours), [], [], array("i"), [], 0
 
         def closed() -> pa.RecordBatch:
             number = uuid.uuid4().int >> 65
-            dealt, places = blocks(list(units), buckets)
+            dealt, places = blocks(list(known.units), buckets)
             save(folder, number, doc_ids, sizes, codes, digests, places)
             return pa.RecordBatch.from_arrays([pa.array([number] * len(dealt), pa.int64()), pa.array(list(dealt), pa.int32()), pa.array([len(x) for x in dealt.values()], pa.int32()),
                                                pa.array([packed(x) for x in dealt.values()], pa.binary())], names=["batch", "bucket", "n", "units"])
 
-        known, units, doc_ids, sizes, codes, digests, chars = fresh()
+        known, doc_ids, sizes, codes, digests, chars = fresh()
         for batch in incoming:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 text, before = text or "", len(codes)
-                runs = runs_of(text)
-                try:
-                    codes.extend(chain.from_iterable([known[u] for u in runs]))
-                except KeyError:
-                    for u in set(runs).difference(known):
-                        known[u] = tuple(units.setdefault(x, len(units)) for x in cut(u, neighbours))
-                    codes.extend(chain.from_iterable([known[u] for u in runs]))
+                codes.extend(chain.from_iterable(map(known.__getitem__, runs_of(text))))
                 doc_ids.append(doc)
                 sizes.append(len(codes) - before)
                 digests.append(hashlib.md5(text.replace(MARK, " ").encode()).digest())
                 chars += len(text)
                 if chars >= BATCH_CHARS or len(doc_ids) >= BATCH_DOCS:
                     yield closed()
-                    known, units, doc_ids, sizes, codes, digests, chars = fresh()
+                    known, doc_ids, sizes, codes, digests, chars = fresh()
         if doc_ids:
             yield closed()
 
@@ -265,11 +265,29 @@ def lattice(units: DataFrame, vocabulary: Vocabulary, parts: int) -> DataFrame:
     return edges.groupBy("key", "at", "part").agg(F.collect_list(F.when(F.col("span") != 1, F.shiftleft("span", ORDER_BITS + ID_BITS).bitwiseOR(F.col("value")))).alias("edges"))
 
 
+def folded_short(n: int, value_of: dict[int, int]) -> list[tuple[int, int, int | None]]:
+    """``folded`` for few characters: the least of a short list is found faster than a heap is kept."""
+    none, ids = 1 << ORDER_BITS, (1 << ID_BITS) - 1
+    order_of = {span: value >> ID_BITS for span, value in value_of.items()}
+    get = order_of.get
+    cuts, orders = list(range(n + 1)), [get(a << LENGTH_BITS | 2, none) for a in range(n - 1)]
+    while orders and (least := min(orders)) < none:
+        i = orders.index(least)
+        del cuts[i + 1], orders[i]
+        for k in (i - 1, i):
+            if 0 <= k < len(orders):
+                size = cuts[k + 2] - cuts[k]
+                orders[k] = get(cuts[k] << LENGTH_BITS | size, none) if size < 1 << LENGTH_BITS else none
+    return [(a, b, value_of[a << LENGTH_BITS | b - a] & ids if b - a > 1 else None) for a, b in zip(cuts, cuts[1:])]
+
+
 def folded(n: int, edges: list[int]) -> list[tuple[int, int, int | None]]:
     """The path through the lattice of a unit of n characters: (start, end, id), without an id for single characters."""
     if not edges:
         return [(i, i + 1, None) for i in range(n)]
     value_of = {e >> ORDER_BITS + ID_BITS: e & ((1 << ORDER_BITS + ID_BITS) - 1) for e in edges}
+    if n <= LONG:
+        return folded_short(n, value_of)
     after, before, heap = list(range(1, n + 2)), list(range(-1, n)), []
     for a in range(n - 1):
         value = value_of.get(a << LENGTH_BITS | 2)
@@ -317,7 +335,7 @@ def unit_ids(units: DataFrame, vocabulary: Vocabulary, parts: int, buckets: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[str, list[tuple[int, str, np.ndarray]]] = {}
-        done: dict[str, np.ndarray] = {}
+        done: dict[str, list[int]] = {}
         for batch in batches:
             edges = batch.column("edges")
             flat, offsets = edges.flatten(), edges.offsets.to_pylist()
@@ -326,14 +344,14 @@ def unit_ids(units: DataFrame, vocabulary: Vocabulary, parts: int, buckets: int)
                 if part:
                     waiting.setdefault(key, []).append((at, part, np.array(numbers[x - low:y - low], np.int64)))
                 else:
-                    done[key] = np.array(ids_of(key, numbers[x - low:y - low]), np.uint32)
+                    done[key] = ids_of(key, numbers[x - low:y - low])
         for key, slices in waiting.items():
             slices.sort(key=lambda s: s[0])
             shift = LENGTH_BITS + ORDER_BITS + ID_BITS
-            done[key] = np.array(ids_of("".join([part[:SLICE] for _, part, _ in slices]), [e + (at << shift) for at, _, edges in slices for e in edges.tolist()]), np.uint32)
+            done[key] = ids_of("".join([part[:SLICE] for _, part, _ in slices]), [e + (at << shift) for at, _, edges in slices for e in edges.tolist()])
         for bucket, keys in blocks(list(done), buckets)[0].items():
             ids = [done[k] for k in keys]
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *(pa.array([x], pa.binary()) for x in (packed(keys), squeezed(np.array([len(x) for x in ids])), squeezed(np.concatenate(ids))))],
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *(pa.array([x], pa.binary()) for x in (packed(keys), squeezed(np.array([len(x) for x in ids])), squeezed(np.fromiter(chain.from_iterable(ids), np.uint32))))],
                                              names=["bucket", "keys", "lengths", "ids"])
 
     return lattice(units, vocabulary, parts).mapInArrow(run, "bucket int, keys binary, lengths binary, ids binary")
