@@ -4,7 +4,7 @@ White space becomes the mark ``▁`` and texts are cut into units that no piece
 longer runs between neighbouring characters that no piece has side by side. Texts travel as batches:
 a file of the shared folder keeps each document as positions in the batch's list of distinct units,
 so that no text is shuffled. Units are dealt out to buckets by their crc32, and those that a batch has of a
-bucket travel as one block: sorted, compressed, and in an order that both ends know, so that neither
+bucket travel as one block: sorted, front-coded, compressed, and in an order that both ends know, so that neither
 positions nor batches are named for each unit. Only distinct units are encoded, each once for the whole table:
 
 1. the substrings of a unit, up to the longest piece, are exploded and joined with the piece table; a
@@ -53,6 +53,8 @@ MARK = "▁"
 RUN = re.compile(rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 #: Characters of texts, and documents, that a batch holds at most before it is closed.
 BATCH_CHARS, BATCH_DOCS = 8_000_000, 6_000
+#: Texts that a worker takes out of an Arrow batch at once.
+ROWS = 256
 #: Documents for each bucket of units.
 BUCKET_DOCS = 4_000
 #: Unit rows that a partition of the lattice gets on average.
@@ -63,6 +65,8 @@ LONG = 64
 SLICE = 256
 #: An edge is one number: start, length, order of its score, id.
 LENGTH_BITS, ORDER_BITS, ID_BITS = 5, 17, 17
+#: Characters that neighbours of a block are compared by, one digit says how many; how hard a block is compressed.
+HEAD, DIGITS, LEVEL = 8, "012345678", 6
 BATCH = "batch long, bucket int, n int, units binary"
 
 
@@ -111,13 +115,29 @@ def cut(run: str, neighbours: set[str]) -> list[str]:
     return [run] if run[-2:] in neighbours or len(run) < 2 else [run[:-1], run[-1]]
 
 
+def shared_heads(names: list[str]) -> list[int]:
+    """How many of its first characters, up to ``HEAD``, each name has in common with the one before."""
+    heads = np.array(names, dtype=f"U{HEAD}").view(np.uint32).reshape(-1, HEAD)
+    same = np.logical_and.accumulate(heads[1:] == heads[:-1], axis=1).sum(axis=1)
+    sizes = np.fromiter(map(len, names), np.int64, len(names))  # short names are filled up with zeros, which a name may hold
+    return [0, *np.minimum(same, np.minimum(sizes[1:], sizes[:-1])).tolist()]
+
+
 def packed(units: list[str]) -> bytes:
-    """Units as one block; a line feed is only ever a unit of its own, so it can part the others."""
-    return zstandard.compress("\n".join(["" if u == "\n" else u for u in units]).encode())
+    """Units as one block; a line feed is only ever a unit of its own, so it can part the others.
+
+    Of what a unit shares with the one before only the length is kept, as the digit in front; sorted units share most.
+    """
+    names = ["" if u == "\n" else u for u in units]
+    return zstandard.compress("\n".join([DIGITS[k] + u[k:] for k, u in zip(shared_heads(names), names)]).encode(), LEVEL)
 
 
 def unpacked(block: bytes) -> list[str]:
-    return [u or "\n" for u in zstandard.decompress(block).decode().split("\n")]
+    last, out = "", []
+    for x in zstandard.decompress(block).decode().split("\n"):
+        last = last[:int(x[0])] + x[1:]
+        out.append(last or "\n")
+    return out
 
 
 def squeezed(numbers: np.ndarray) -> bytes:
@@ -185,7 +205,8 @@ def batches(docs: DataFrame, neighbours: set[str], folder: str, buckets: int) ->
 
         known, doc_ids, sizes, codes, digests, chars = fresh()
         for batch in incoming:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            texts = batch.column("text")
+            for doc, text in zip(batch.column("doc_id").to_pylist(), chain.from_iterable(texts[i:i + ROWS].to_pylist() for i in range(0, len(texts), ROWS)), strict=True):
                 text, before = text or "", len(codes)
                 codes.extend(chain.from_iterable(map(known.__getitem__, runs_of(text))))
                 doc_ids.append(doc)
@@ -375,13 +396,20 @@ def answered(held: pa.Table, coded: pa.Table) -> pa.Table:
 
 def encode(docs: DataFrame, model_file: str) -> DataFrame:
     """``doc_id, ids, digest`` of each row of ``docs(doc_id, text)``; the digest is the text's."""
+    return _encoded(docs, model_file).drop("round_trip")
+
+
+def _encoded(docs: DataFrame, model_file: str, check: bool = False) -> DataFrame:
+    """``encode``, and whether the ids decode to the text, null without ``check``; the ids stay in the worker for it."""
     vocabulary, folder = Vocabulary(model_file), scratch(docs.sparkSession, "piece-codes")
-    buckets = max(1, -(-docs.count() // BUCKET_DOCS))
+    buckets, raw = max(1, -(-docs.count() // BUCKET_DOCS)), vocabulary.raw() if check else []
     held = written(batches(docs, vocabulary.neighbours, folder, buckets), "piece-batches")
     rows = held.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(1, -(-rows // PARTITION))
     # A partition's lattices fit in memory, as PARTITION bounds their number, so grouping needs no sort.
-    with setting(docs.sparkSession, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(10 * PARTITION)):
+    # What this job has shuffled is not read again, and would stay on disk until the driver collects its garbage.
+    with setting(docs.sparkSession, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(10 * PARTITION)), \
+            setting(docs.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         coded = written(unit_ids(distinct_units(held, buckets), vocabulary, parts, buckets), "piece-units")
     returned = held.groupBy("bucket").cogroup(coded.groupBy("bucket")).applyInArrow(answered, "batch long, bucket int, lengths binary, ids binary")
 
@@ -396,9 +424,14 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
         taken = gathered(ids, start[codes], n)
         offsets = total[np.r_[0, np.cumsum(sizes)]].astype(np.int32)
         texts = [digests[16 * i:16 * i + 16].hex() for i in range(len(sizes))]
-        return pa.table({"doc_id": doc_ids, "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(taken, pa.int32())), "digest": texts})
+        same = [hashlib.md5(text_of(taken[a:z].tolist(), raw).encode()).hexdigest() == x if check else None for a, z, x in zip(offsets, offsets[1:], texts)]
+        return pa.table({"doc_id": doc_ids, "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(taken, pa.int32())), "digest": texts, "round_trip": pa.array(same, pa.bool_())})
+
+    return returned.groupBy("batch").applyInArrow(put_together, "doc_id long, ids array<int>, digest string, round_trip boolean")
+
 
-    return returned.groupBy("batch").applyInArrow(put_together, "doc_id long, ids array<int>, digest string")
+def text_of(ids: list[int], raw: list[bytes]) -> str:
+    return b"".join([raw[i] for i in ids]).decode("utf-8", "replace")[1:]
 
 
 def decoder(model_file: str):
@@ -406,7 +439,7 @@ def decoder(model_file: str):
     raw = Vocabulary(model_file).raw()
 
     def run(lists: pd.Series) -> pd.Series:
-        return pd.Series([None if ids is None else b"".join([raw[i] for i in ids.tolist()]).decode("utf-8", "replace")[1:] for ids in lists], dtype=object)
+        return pd.Series([None if ids is None else text_of(ids.tolist(), raw) for ids in lists], dtype=object)
 
     run.__annotations__ = {"lists": pd.Series, "return": pd.Series}
     return F.pandas_udf(run, "string")
@@ -414,6 +447,4 @@ def decoder(model_file: str):
 
 def encode_and_check(docs: DataFrame, model_file: str) -> DataFrame:
     """``doc_id, n_ids, ids, round_trip``: the last says that the ids decode to the text."""
-    coded = encode(docs, model_file)
-    text = decoder(model_file)(F.col("ids"))
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", (F.md5(text) == F.col("digest")).alias("round_trip"))
+    return _encoded(docs, model_file, check=True).select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")

@@ -74,3 +74,14 @@ def test_units_travel_in_blocks(spark, tmp_path):
     assert held.count() == 5
     every = [r["unit"] for r in sentencepieces.distinct_units(held.unionAll(held), 3).collect()]
     assert len(every) == len(set(every)) == held.groupBy().sum("n").first()[0]
+
+
+def test_blocks_of_units_are_small_and_return_whole():
+    import zstandard
+
+    rng = random.Random(3)
+    units = sorted({"▁" + "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 9))) for _ in range(3_000)})
+    plain = len(zstandard.compress("\n".join(units).encode()))
+    assert len(sentencepieces.packed(units)) < 0.9 * plain
+    for some in (units, ["\n"], ["a", "a\0", "a\0\0b", "\n", "ab", "abcdefghi", "abcdefghij", "9", "98"], sorted(["\t", "\n", "x" * 5_000, "x" * 5_001, "🙂", "🙂🙂"])):
+        assert sentencepieces.unpacked(sentencepieces.packed(some)) == some
