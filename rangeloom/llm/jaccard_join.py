@@ -6,7 +6,9 @@ sets form a class at once, by a fingerprint of the set. The classes are then joi
 1. The hash order of all shingles is cut into fragments. The scanning tasks send each fragment the
    shingles that fall into it, as compact sorted blocks with the short numbers of their classes. A fragment
    finds the shingles of two or more classes. Where classes are so many that the owners of one
-   shingle could fill a task, fragments are also salted by class and their counts summed.
+   shingle could fill a task, fragments are also salted by class and their counts summed. The fragments
+   get their shingles in a few rounds, each of which scans the texts again, as all shingles of a corpus
+   take more than its compressed texts; what a round has shuffled goes when it ends.
 2. Shingles that exactly the same classes own are one item, weighted by their number. A passage that
    many documents share is a few items, however long it is. The items are in a global order,
    rarest first.
@@ -33,6 +35,7 @@ kept by one_of_each(), whatever their names. An empty table gives an empty resul
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -42,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from rangeloom.llm.common import fresh, written
+from rangeloom.llm.common import discard, fresh, setting, written
 from rangeloom.llm.components import components
 
 WORDS, PERCENT = 5, 75
@@ -58,37 +61,63 @@ BOUNDS = 16
 PART = 4_000
 #: Hash ranges in which a pair's overlap is counted separately (a power of two).
 COUNT_BITS = 3
-KNOWN_WORDS = 400_000
-_P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+#: Rounds in which the fragments get their shingles, at most (a power of two).
+ROUNDS_BITS = 2
+#: Bytes of a text that are hashed at a time, and of a word up to which its bytes are summed.
+PIECE, WORD = 1 << 16, 32
+_P, _Q, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0xD1342543DE82EF95)
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def _powers(base: int) -> np.ndarray:
+    return np.multiply.accumulate(np.r_[np.uint64(1), np.full(PIECE, base, np.uint64)])
 
 
 class Shingler:
-    """Sorted distinct shingle hashes of texts; keeps the hashes of words it has met."""
+    """Sorted distinct shingle hashes of texts.
+
+    A word is hashed as the sum of a random number for each byte, times a power by its place: differences of
+    running sums, so that all words of a text are hashed at once. Longer words are hashed one by one.
+    """
 
     def __init__(self, width: int = WORDS) -> None:
-        self.width, self.known = width, {}
+        self.width = width
+        self.power, self.inverse = _powers(int(_M)), _powers(pow(int(_M), -1, 1 << 64))
+        lower = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+        self.byte = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in lower], np.uint64)
+
+    def words(self, text: str | None) -> np.ndarray:
+        """The hash of each word."""
+        data = (text or "").encode("utf-8", "surrogatepass")
+        raw = np.frombuffer(data, np.uint8)
+        edges = np.flatnonzero(np.diff(_BLANK[raw], prepend=True, append=True))
+        starts, ends = edges[::2], edges[1::2]
+        h, at = np.zeros(len(starts), np.uint64), 0
+        while at < len(starts):
+            base = starts[at]
+            to = max(at + 1, int(np.searchsorted(ends, base + PIECE, "right")))
+            if ends[to - 1] - base <= PIECE:
+                piece = raw[base:ends[to - 1]]
+                sums = np.zeros(len(piece) + 1, np.uint64)
+                np.cumsum(self.byte[piece] * self.power[:len(piece)], out=sums[1:])
+                h[at:to] = (sums[ends[at:to] - base] - sums[starts[at:to] - base]) * self.inverse[starts[at:to] - base]
+            at = to
+        for i in np.flatnonzero(ends - starts > WORD):
+            h[i] = xxhash.xxh3_64_intdigest(data[starts[i]:ends[i]].lower())
+        return (h ^ (h >> np.uint64(32))) * _Q
 
     def of(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        known = self.known
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        try:
-            h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        h = self.words(text)
+        if not len(h):
+            return h
         width = min(self.width, len(h))
         out = np.full(len(h) - width + 1, width, np.uint64)
         for j in range(width):
             out = (out ^ h[j:len(h) - width + 1 + j]) * _P
             out ^= out >> np.uint64(29)
         out = (out * _Q) ^ (out >> np.uint64(32))
-        return np.unique(out)
+        out.sort()
+        return out[np.r_[True, out[1:] != out[:-1]]]
 
 
 def fingerprint(s: np.ndarray) -> int:
@@ -162,14 +191,16 @@ def widened(data: bytes, width: int) -> np.ndarray:
     return wide.reshape(-1).view("<u8")
 
 
-def blocks(docs: DataFrame, bits: int, salts: int, short: int, other: dict[int, int]) -> DataFrame:
+def blocks(docs: DataFrame, bits: int, salts: int, short: int, other: dict[int, int], turn: int = 0, turn_bits: int = 0) -> DataFrame:
     """The shingles of each scanned batch, by fragment and salt: sorted hashes, and for each its owner's number.
 
+    Only hashes whose first ``turn_bits`` bits are ``turn``; at most ``bits``, so that a fragment is in one round.
     A number costs the same few bytes whatever the number of fragments; names of 64 bits that a block lists
     once are shared by ever fewer shingles the more fragments there are.
     """
     names = [x.split()[0] for x in BLOCK.split(", ")]
     kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
+    least, most = (np.uint64(turn << 64 - turn_bits), np.uint64((turn + 1 << 64 - turn_bits) - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -180,6 +211,8 @@ def blocks(docs: DataFrame, bits: int, salts: int, short: int, other: dict[int,
                     s = shingler.of(text)
                     if len(s):
                         name = fingerprint(s)
+                        s = s[np.searchsorted(s, least):np.searchsorted(s, most, "right")].copy()
+                    if len(s):
                         sets[other.get(name, (name & (1 << 64) - 1) >> 64 - short)] = s
                 for salt in range(salts):
                     rows = _cut([(c, s) for c, s in sets.items() if c % salts == salt], bits, salt)
@@ -195,7 +228,7 @@ def _cut(sets: list[tuple[int, np.ndarray]], bits: int, salt: int) -> list[tuple
         return []
     hashes = np.concatenate([s for _, s in sets])
     owners = np.repeat(np.array([c for c, _ in sets], np.uint64), [len(s) for _, s in sets])
-    order = np.argsort(hashes, kind="stable")
+    order = np.argsort(hashes)
     hashes, owners = hashes[order], owners[order]
     at = hashes >> np.uint64(64 - bits) if bits else np.zeros(len(hashes), np.uint64)
     edges, rows = np.flatnonzero(np.diff(at, prepend=at[0])).tolist(), []
@@ -216,8 +249,11 @@ def mixed(classes: np.ndarray) -> np.ndarray:
         return (x ^ (x >> np.uint64(29))).view(np.int64)
 
 
-def shared_shingles(docs: DataFrame, bits: int, salts: int, short: int, other: dict[int, int]) -> DataFrame:
-    """``class, h, df, owners``: every shingle of two or more classes, by their numbers, with the number and the fingerprint of its classes."""
+def shared_shingles(docs: DataFrame, bits: int, salts: int, short: int, other: dict[int, int], turn: int, turn_bits: int) -> DataFrame:
+    """``class, item, df`` of every shingle of two or more classes in a round, by their numbers: a written table.
+
+    ``df`` is the number of its classes; with their fingerprint it names the item.
+    """
     def count(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
         base = np.uint64(key[0]) << np.uint64(64 - bits) if bits else np.uint64(0)
         hashes, classes = [], []
@@ -227,7 +263,7 @@ def shared_shingles(docs: DataFrame, bits: int, salts: int, short: int, other: d
         h, c = np.concatenate(hashes), np.concatenate(classes)
         del hashes, classes
         if salts == 1:  # a shingle that occurs once is nobody's partner; with salts, others may have it
-            order = np.argsort(h, kind="stable")
+            order = np.argsort(h)
             h, c = h[order], c[order]
             runs = np.diff(np.r_[np.flatnonzero(np.r_[True, h[1:] != h[:-1]]), len(h)])
             several = np.repeat(runs > 1, runs)
@@ -245,14 +281,17 @@ def shared_shingles(docs: DataFrame, bits: int, salts: int, short: int, other: d
         keep = df > (1 if salts == 1 else 0)
         return pd.DataFrame({"class": c[keep], "h": h[keep].view(np.int64), "df": df[keep].astype(np.int64), "owners": owners[keep]})
 
-    counted = blocks(docs, bits, salts, short, other).groupBy("fragment", "salt").applyInPandas(count, "class long, h long, df long, owners long")
+    found = blocks(docs, bits, salts, short, other, turn, turn_bits).groupBy("fragment", "salt").applyInPandas(count, "class long, h long, df long, owners long")
+    items = ["class", F.xxhash64("df", "owners").alias("item"), "df"]
     if salts == 1:
-        return counted
-    counted = written(counted, "salted")
+        return written(found.select(*items), "shared")
+    counted = written(found, "salted")
     salt = F.pmod("class", F.lit(salts))
     first = counted.groupBy("h", salt.alias("salt")).agg(F.max("df").alias("df"), F.max("owners").alias("owners"))
     whole = first.groupBy("h").agg(F.sum("df").alias("df"), F.bit_xor("owners").alias("owners")).where("df > 1")
-    return counted.select("class", "h").join(whole, "h")
+    out = written(counted.select("class", "h").join(whole, "h").select(*items), "shared")
+    discard(counted)
+    return out
 
 
 def linked(overlap: Column, n: Column, m: Column) -> Column:
@@ -341,8 +380,10 @@ def between_components(posted: DataFrame, items: DataFrame, few: int) -> DataFra
 
 def class_links(docs: DataFrame, classes: DataFrame, bits: int, salts: int, few: int, short: int, other: dict[int, int]) -> DataFrame:
     """``node, root`` of the classes that have a partner; ``classes`` has their numbers as ``class``."""
-    shared = shared_shingles(docs, bits, salts, short, other)
-    weighed = written(shared.groupBy("class", F.xxhash64("df", "owners").alias("item"), "df").agg(F.count(F.lit(1)).alias("w")), "items")
+    turn_bits = min(ROUNDS_BITS, bits)
+    rounds = [shared_shingles(docs, bits, salts, short, other, turn, turn_bits) for turn in range(1 << turn_bits)]
+    weighed = written(reduce(DataFrame.unionByName, rounds).groupBy("class", "item", "df").agg(F.count(F.lit(1)).alias("w")), "weights")
+    discard(*rounds)
     place = F.pmod("item", F.lit(BOUNDS))
     inside = [F.sum(F.when(place == i, F.col("w")).otherwise(0)).cast("int").alias(f"f{i}") for i in range(BOUNDS)]
     alive = (weighed.groupBy("class").agg(F.sum("w").alias("s"), F.sum(F.col("df") * F.col("w")).alias("spread"), *inside)
@@ -352,6 +393,7 @@ def class_links(docs: DataFrame, classes: DataFrame, bits: int, salts: int, few:
     order = Window.partitionBy("class").orderBy("df", "item")
     placed = weighed.join(alive, "class").withColumn("place", F.row_number().over(order)).withColumn("before", F.sum("w").over(order) - F.col("w") + F.col("n") - F.col("s"))
     items = written(placed.select("class", "place", "item", "w", "before", "n", "s", "f", (F.col("spread") / F.col("n")).alias("centrality")), "items")
+    discard(weighed)
     part = F.shiftrightunsigned("item", 64 - COUNT_BITS).cast("int")
     segments = written(items.groupBy("class", part.alias("part")).agg(F.collect_list(F.struct("item", "w")).alias("items")), "segments")
     posted = items.where(F.col("before") <= may_miss(F.col("n"))).select(
@@ -365,6 +407,7 @@ def class_links(docs: DataFrame, classes: DataFrame, bits: int, salts: int, few:
     rooted = posted.withColumn("class", F.col("x.class")).join(roots.withColumnRenamed("node", "class"), "class", "left").select("key", F.coalesce("root", "class").alias("r"), "x", "place")
     again = between_components(rooted, items, few).join(first.select("a", "b"), ["a", "b"], "left_anti")
     more = written(compared(again, segments), "found")
+    discard(items, segments, posted)
     return roots if more.isEmpty() else components(links.unionByName(more))
 
 
@@ -378,7 +421,9 @@ def near_duplicates(docs: DataFrame, fragment: int = FRAGMENT, owners: int = OWN
     bits = max(0, int(np.ceil(np.log2(max(1, size["shingles"] / fragment / salts)))))
     short = short_bits(size["classes"])
     classes, other = numbered(classes, short)
-    roots = class_links(docs, classes.select(F.col("no").alias("class"), "n_shingles"), bits, salts, few, short, other)
+    # What a step has shuffled is not read again once its table is written, and would stay until the driver collects its garbage.
+    with setting(docs.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        roots = class_links(docs, classes.select(F.col("no").alias("class"), "n_shingles"), bits, salts, few, short, other)
     # A doc_id with several rows of different texts ties their classes together.
     several = sets.where("class is not null").groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a != b and doc_id is not null")
     if not several.isEmpty():
